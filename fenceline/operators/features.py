@@ -21,18 +21,21 @@ def daily_features(raw: DataFrame, settings: DetectionSettings = DEFAULTS) -> Da
     each 28-day frame are bounded by the calendar, not by the data volume.
     """
     pair, recent = _pair_history(settings)
+    # One select, so that every frame shares one Window node and one sort.
+    framed = raw.withColumn("day_number", F.unix_date("date")).select(
+        "*",
+        F.lag("day_number").over(pair).alias("prev_day_number"),
+        F.lag("on_hand").over(pair).alias("prev_on_hand"),
+        F.avg("sold").over(recent).alias("sold_rolling_mean"),
+        F.stddev_pop("sold").over(recent).alias("sold_rolling_std"),
+        F.avg("on_hand").over(recent).alias("on_hand_rolling_mean"),
+        F.stddev_pop("on_hand").over(recent).alias("on_hand_rolling_std"),
+    )
+    change = F.col("on_hand").cast("bigint") - F.col("prev_on_hand").cast("bigint")
     return (
-        raw.withColumn("day_number", F.unix_date("date"))
-        .withColumn("prev_day_number", F.lag("day_number").over(pair))
-        .withColumn(
-            "delta_on_hand",
-            F.col("on_hand").cast("bigint") - F.lag("on_hand").over(pair).cast("bigint"),
-        )
+        framed.withColumn("delta_on_hand", change)
         .withColumn("day_of_week", F.weekday("date"))
-        .withColumn("sold_rolling_mean", F.avg("sold").over(recent))
-        .withColumn("sold_rolling_std", F.stddev_pop("sold").over(recent))
-        .withColumn("on_hand_rolling_mean", F.avg("on_hand").over(recent))
-        .withColumn("on_hand_rolling_std", F.stddev_pop("on_hand").over(recent))
+        .drop("prev_on_hand")
     )
 
 
@@ -44,32 +47,28 @@ def feature_baseline(features: DataFrame, settings: DetectionSettings = DEFAULTS
     ``baseline_rows`` is 0 where neither level has history.
     """
     _, recent = _pair_history(settings)
-    rows = features.withColumn("pair_rows", F.count(F.lit(1)).over(recent))
-    for name in REASON_FEATURES:
-        rows = (
-            rows.withColumn(f"{name}_pair_n", F.count(name).over(recent))
-            .withColumn(f"{name}_pair_mean", F.avg(name).over(recent))
-            .withColumn(f"{name}_pair_std", F.stddev_pop(name).over(recent))
-        )
+    rows = features.select(
+        "*",
+        F.count(F.lit(1)).over(recent).alias("pair_rows"),
+        *[F.count(name).over(recent).alias(f"{name}_pair_n") for name in REASON_FEATURES],
+        *[F.avg(name).over(recent).alias(f"{name}_pair_mean") for name in REASON_FEATURES],
+        *[F.stddev_pop(name).over(recent).alias(f"{name}_pair_std") for name in REASON_FEATURES],
+    )
     store = _store_baseline(features, settings)
     joined = rows.join(store, ["store_id", "day_number"], "left")
     use_pair = F.col("pair_rows") >= MIN_PAIR_ROWS
-    out = joined.withColumn(
-        "baseline_rows",
-        F.when(use_pair, F.col("pair_rows")).otherwise(F.coalesce("store_rows", F.lit(0))),
-    )
-    for name in REASON_FEATURES:
-        n = F.coalesce(F.when(use_pair, F.col(f"{name}_pair_n")).otherwise(F.col(f"{name}_store_n")), F.lit(0))
-        mean = F.when(use_pair, F.col(f"{name}_pair_mean")).otherwise(F.col(f"{name}_store_mean"))
-        std = F.when(use_pair, F.col(f"{name}_pair_std")).otherwise(F.col(f"{name}_store_std"))
-        known = F.col("baseline_rows") > 0
-        out = out.withColumn(
-            f"{name}_mean", F.when(known & (n > 0), mean).when(known, F.lit(0.0))
-        ).withColumn(f"{name}_std", F.when(known & (n > 1), std).when(known, F.lit(1.0)))
-    dropped = ["pair_rows", "store_rows"]
+    rows_used = F.when(use_pair, F.col("pair_rows")).otherwise(F.coalesce("store_rows", F.lit(0)))
+    known = rows_used > 0
+
+    def chosen(name, stat):
+        return F.when(use_pair, F.col(f"{name}_pair_{stat}")).otherwise(F.col(f"{name}_store_{stat}"))
+
+    stats = []
     for name in REASON_FEATURES:
-        dropped += [f"{name}_{level}_{stat}" for level in ("pair", "store") for stat in ("n", "mean", "std")]
-    return out.drop(*dropped)
+        n = F.coalesce(chosen(name, "n"), F.lit(0))
+        stats.append(F.when(known & (n > 0), chosen(name, "mean")).when(known, 0.0).alias(f"{name}_mean"))
+        stats.append(F.when(known & (n > 1), chosen(name, "std")).when(known, 1.0).alias(f"{name}_std"))
+    return joined.select(*features.columns, rows_used.alias("baseline_rows"), *stats)
 
 
 def _store_baseline(features: DataFrame, settings: DetectionSettings) -> DataFrame:

@@ -15,7 +15,9 @@ from fenceline.settings import DEFAULTS, DETECTION_METRICS, DetectionSettings
 from fenceline.sources.shared import materialize
 
 QUARTILES = (0.25, 0.75)
-BROADCAST_ROWS = 200_000
+# Short targets up to this number are handled by broadcasting their windows
+# (at most 3 levels x 28 days x this many small rows); more of them are joined by shuffle.
+FEW_TARGETS = 10_000
 FALLBACK_LABELS = {1: "store", 2: "sku", 3: "global"}
 
 
@@ -71,7 +73,10 @@ def pair_baselines(
 
 
 def tukey_baselines(
-    features: DataFrame, metrics=DETECTION_METRICS, settings: DetectionSettings = DEFAULTS
+    features: DataFrame,
+    metrics=DETECTION_METRICS,
+    settings: DetectionSettings = DEFAULTS,
+    few_targets: int = FEW_TARGETS,
 ) -> DataFrame:
     """Every target with the first baseline level that has enough values.
 
@@ -90,18 +95,13 @@ def tukey_baselines(
         F.count_if(F.col("is_target") & ~enough).alias("short"),
         (F.max("value") - F.min("value")).alias("spread"),
     ).first()
-    own = targets.filter(enough).withColumn("level", F.lit(0))
+    own = targets.filter(enough).withColumn("level", F.lit(0)).drop("day_number")
     if not facts["short"]:
-        return own.drop("day_number")
+        return own
     short = targets.filter(~enough).drop("n", "q1", "q3")
-    choice = materialize(_choose_level(short, observed, settings), "baseline-levels")
-    needed = choice.filter("level is not null").select("metric_name", "level", "level_key", "day_number").distinct()
-    quartiles = _coarse_quartiles(
-        observed, needed, settings, small=facts["short"] <= BROADCAST_ROWS, wide=facts["spread"] > SMALL_DOMAIN
-    )
-    coarse = choice.join(quartiles, ["metric_name", "level", "level_key", "day_number"], "left")
-    coarse = coarse.withColumn("n", F.coalesce("n", "global_n"))
-    return own.drop("day_number").unionByName(coarse.drop("level_key", "day_number", "global_n"))
+    wide = (facts["spread"] or 0) > SMALL_DOMAIN
+    solve = _few_targets if facts["short"] <= few_targets else _many_targets
+    return own.unionByName(solve(short, observed, settings, wide).drop("level_key", "day_number"))
 
 
 def _with_levels(df: DataFrame) -> DataFrame:
@@ -112,6 +112,47 @@ def _with_levels(df: DataFrame) -> DataFrame:
     return df.select("*", F.inline(F.array(level, sku, everybody)))
 
 
+LEVEL_KEYS = ["metric_name", "level", "level_key"]
+TARGET = ["date", "store_id", "sku_id", "day_number", "metric_name", "value"]
+
+
+def _few_targets(short: DataFrame, observed: DataFrame, settings: DetectionSettings, wide: bool) -> DataFrame:
+    """All three levels at once; each target keeps the first with enough values."""
+    candidates = _with_levels(short)
+    needed = candidates.select(*LEVEL_KEYS, "day_number").distinct()
+    sides = F.struct("level", "n", "q1", "q3")
+    enough = F.col("n") >= settings.min_samples
+    return (
+        candidates.join(
+            _coarse_quartiles(observed, needed, settings, few=True, wide=wide), [*LEVEL_KEYS, "day_number"], "left"
+        )
+        .groupBy(*TARGET)
+        .agg(
+            F.min(F.when(enough, sides)).alias("chosen"),
+            F.max(F.when(F.col("level") == 3, F.col("n"))).alias("global_n"),
+        )
+        .select(
+            *TARGET,
+            "chosen.level",
+            F.coalesce("chosen.n", "global_n", F.lit(0)).alias("n"),
+            "chosen.q1",
+            "chosen.q3",
+        )
+    )
+
+
+def _many_targets(short: DataFrame, observed: DataFrame, settings: DetectionSettings, wide: bool) -> DataFrame:
+    """Level from counts first, then quartiles only for the (level, key, day) that were chosen."""
+    choice = materialize(_choose_level(short, observed, settings), "baseline-levels")
+    needed = choice.filter("level is not null").select(*LEVEL_KEYS, "day_number").distinct()
+    quartiles = _coarse_quartiles(observed, needed, settings, few=False, wide=wide)
+    return (
+        choice.join(quartiles, [*LEVEL_KEYS, "day_number"], "left")
+        .withColumn("n", F.coalesce("n", "global_n"))
+        .drop("global_n")
+    )
+
+
 def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSettings) -> DataFrame:
     """First coarse level with enough values, found from counts alone.
 
@@ -119,7 +160,7 @@ def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSett
     (level, key, day) before any window runs, these changes are bounded by the calendar, and their
     running sum is the size of every window.
     """
-    keys = ["metric_name", "level", "level_key"]
+    keys = LEVEL_KEYS
     change = F.struct((F.col("day_number") + 1).alias("at"), F.lit(1).alias("change"))
     undo = F.struct((F.col("reach") + 1).alias("at"), F.lit(-1).alias("change"))
     changes = (
@@ -137,16 +178,15 @@ def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSett
         .filter("wanted")
         .select(*keys, F.col("at").alias("day_number"), "n")
     )
-    target = ["date", "store_id", "sku_id", "day_number", "metric_name", "value"]
     chosen = F.min(
         F.when(F.col("n") >= settings.min_samples, F.struct("level", "level_key", "n"))
     ).alias("chosen")
     return (
         candidates.join(sizes, [*keys, "day_number"])
-        .groupBy(*target)
+        .groupBy(*TARGET)
         .agg(chosen, F.max(F.when(F.col("level") == 3, F.col("n"))).alias("global_n"))
         .select(
-            *target,
+            *TARGET,
             F.col("chosen.level").alias("level"),
             F.col("chosen.level_key").alias("level_key"),
             F.when(F.col("chosen").isNull(), F.col("global_n")).alias("global_n"),
@@ -154,9 +194,9 @@ def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSett
     )
 
 
-def _coarse_quartiles(observed, needed, settings, small: bool, wide: bool) -> DataFrame:
+def _coarse_quartiles(observed, needed, settings, few: bool, wide: bool) -> DataFrame:
     """Quartiles per needed (metric, level, key, day) from counted values."""
-    keys = ["metric_name", "level", "level_key"]
+    keys = LEVEL_KEYS
     days = needed.select(
         *keys,
         F.col("day_number").alias("target_day"),
@@ -165,8 +205,7 @@ def _coarse_quartiles(observed, needed, settings, small: bool, wide: bool) -> Da
         ).alias("day_number"),
     )
     values = _with_levels(observed).select(*keys, "day_number", "reach", "value")
-    if small:
-        # The short targets were counted: at most BROADCAST_ROWS x window_days small rows.
+    if few:
         reached = values.join(F.broadcast(days), [*keys, "day_number"]).withColumn("w", F.lit(1).cast("bigint"))
     else:
         counted = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("w"))
@@ -181,10 +220,13 @@ def _coarse_quartiles(observed, needed, settings, small: bool, wide: bool) -> Da
 
 
 def tukey_results(
-    features: DataFrame, metrics=DETECTION_METRICS, settings: DetectionSettings = DEFAULTS
+    features: DataFrame,
+    metrics=DETECTION_METRICS,
+    settings: DetectionSettings = DEFAULTS,
+    few_targets: int = FEW_TARGETS,
 ) -> DataFrame:
     """Fences, signed distance and flag for every target."""
-    base = tukey_baselines(features, metrics, settings)
+    base = tukey_baselines(features, metrics, settings, few_targets)
     known = F.col("level").isNotNull()
     label = F.when(F.col("level").isNull(), F.lit("insufficient_data"))
     for level, name in FALLBACK_LABELS.items():

@@ -14,38 +14,36 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     The price is exact integer arithmetic on cents, so that every engine gets the same double.
     """
     qty = F.col("l_quantity").cast("bigint")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     returned = F.col("l_returnflag") == "R"
     even_line = F.col("l_linenumber") % 2 == 0
 
-    def code(prefix, column):
-        return F.concat(F.lit(prefix), F.lpad((F.col(column) % 5).cast("string"), 3, "0"))
+    def code(prefix, number):
+        return F.concat(F.lit(prefix), F.lpad(F.col(number).cast("string"), 3, "0"))
 
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
             F.to_date("l_shipdate").alias("date"),
-            code("ST-", "l_suppkey").alias("store_id"),
-            code("SKU-", "l_partkey").alias("sku_id"),
+            (F.col("l_suppkey") % 5).alias("store"),
+            (F.col("l_partkey") % 5).alias("sku"),
         )
         .agg(
             (500 + F.sum(F.when(even_line, qty).otherwise(-qty))).cast("int").alias("on_hand"),
             F.sum(F.when(returned, 0).otherwise(qty)).cast("int").alias("sold"),
             F.sum(F.when(F.col("l_linenumber") == 1, qty).otherwise(0)).cast("int").alias("delivered"),
             F.sum(F.when(returned, qty).otherwise(0)).cast("int").alias("returned"),
-            F.sum(cents).alias("cents"),
-            F.sum(qty).alias("units"),
+            F.expr("sum(floor(l_extendedprice * 100 + 0.5)) div sum(bigint(l_quantity))").alias("unit_cents"),
             (F.max("l_discount") >= 0.08).alias("promo_flag"),
         )
         .select(
             "date",
-            "store_id",
-            "sku_id",
+            code("ST-", "store").alias("store_id"),
+            code("SKU-", "sku").alias("sku_id"),
             "on_hand",
             "sold",
             "delivered",
             "returned",
-            (F.expr("cents div units").cast("double") / 100).alias("price"),
+            (F.col("unit_cents").cast("double") / 100).alias("price"),
             "promo_flag",
         )
     )
@@ -74,7 +72,7 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 3 == 1, F.date_format(day, "dd/MM/yyyy"))
         .otherwise((F.unix_date(day).cast("bigint") * 86400).cast("string"))
     )
-    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    cents = F.floor(F.col("o_totalprice") * 100 + 0.5)
     thousands = F.expr("cents div 100000")
     return (
         table(spark, sf_dir, "orders")

@@ -12,7 +12,7 @@ raw_daily AS (
            CAST(sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS sold,
            CAST(sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS BIGINT) AS delivered,
            CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS returned,
-           CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
+           CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents,
            CAST(sum(l_quantity) AS BIGINT) AS units,
            max(l_discount) >= 0.08 AS promo_flag
     FROM lineitem GROUP BY 1, 2, 3
