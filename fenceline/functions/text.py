@@ -5,17 +5,10 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, places: int) -> Column:
-    """Fixed-point text, exact ties to even."""
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    """Fixed-point text, exact ties to even; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.bround(value, places)))
 
 
 def short_hash(text: Column) -> Column:
     """First 32 hex digits of SHA-256."""
     return F.left(F.sha2(text, 256), F.lit(32))
-
-
-def detection_id(detector: str, metric: Column) -> Column:
-    """Natural-key id of one detection, so that a rerun yields the same id."""
-    return short_hash(
-        F.concat_ws("|", F.col("date").cast("string"), "store_id", "sku_id", F.lit(detector), metric)
-    )

@@ -3,14 +3,25 @@
 Output columns are plain strings, bigints, doubles and booleans, so that any engine can compare them.
 """
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fenceline.functions.quantiles import histogram_quantiles
 from fenceline.operators import features as feat
+from fenceline.operators import incidents as inc
+from fenceline.operators import reports as rep
 from fenceline.operators import tukey
+from fenceline.operators import workflow as work
+from fenceline.operators.detections import tukey_detections
 from fenceline.plans import fixtures
+from fenceline.settings import DEFAULTS
+from fenceline.sources.shared import materialize
 
 QUERIES = {}
+HALF_WAY = dt.date(1998, 6, 30)
+CHANGES_FROM = dt.datetime(2002, 2, 1, tzinfo=dt.timezone.utc)
 
 
 def query(fn):
@@ -33,16 +44,62 @@ def flat(df: DataFrame, rounded: int | None = None) -> DataFrame:
     return df.select(*out)
 
 
+# --- stored tables -------------------------------------------------------------------------------
+# The reading side works on stored detections and incidents, as it would in production. Each table is
+# built once per session and table folder; the queries that produce them do not use these copies.
+
+_STORED = {}
+AS_OF = dt.datetime(2002, 1, 1)
+
+
+def as_of():
+    return F.lit(AS_OF)
+
+
+def stored(spark, sf_dir, name):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(_BUILD[name](spark, sf_dir), name)
+    return _STORED[key]
+
+
 def _features(spark, sf_dir):
     return feat.daily_features(fixtures.raw_daily(spark, sf_dir))
 
 
-def _tukey(spark, sf_dir):
-    return tukey.tukey_results(_features(spark, sf_dir)).withColumn(
-        "fallback_used", F.coalesce("fallback_used", F.lit("pair"))
+def _incidents_in_use(spark, sf_dir):
+    """Incidents part way through their life: the state follows from the first hex digit of the key."""
+    digit = F.left("dedup_key", F.lit(1))
+    status = (
+        F.when(digit.isin(list("abcd")), "investigating").when(digit.isin(list("ef")), "resolved").otherwise("open")
+    )
+    fresh = inc.new_incidents(stored(spark, sf_dir, "run"), as_of())
+    return fresh.withColumn("status", status).withColumn(
+        "resolved_at", F.when(F.col("status") == "resolved", F.col("created_at"))
     )
 
 
+_BUILD = {
+    "features": _features,
+    "tukey": lambda s, d: tukey.tukey_results(stored(s, d, "features")),
+    "detections": lambda s, d: tukey_detections(stored(s, d, "tukey")),
+    "flagged": lambda s, d: inc.flagged_rows(stored(s, d, "detections"), stored(s, d, "features")),
+    "groups": lambda s, d: inc.incident_groups(stored(s, d, "flagged")),
+    "run": lambda s, d: inc.run_incidents(stored(s, d, "groups")),
+    "incidents": _incidents_in_use,
+    "items": lambda s, d: inc.incident_items(
+        stored(s, d, "run"), stored(s, d, "flagged"), stored(s, d, "detections")
+    ),
+}
+
+
+def _labelled(results):
+    return results.withColumn("fallback_used", F.coalesce("fallback_used", F.lit("pair")))
+
+
+# --- detection -----------------------------------------------------------------------------------
+
+
 @query
 def features_daily(spark, sf_dir):
     df = _features(spark, sf_dir).drop("day_number", "prev_day_number")
@@ -51,4 +108,307 @@ def features_daily(spark, sf_dir):
 
 @query
 def tukey_results(spark, sf_dir):
-    return flat(_tukey(spark, sf_dir))
+    return flat(_labelled(tukey.tukey_results(_features(spark, sf_dir))))
+
+
+@query
+def tukey_levels(spark, sf_dir):
+    """How many targets each baseline level serves, per metric."""
+    results = _labelled(tukey.tukey_results(_features(spark, sf_dir)))
+    return results.groupBy("metric_name", "fallback_used").agg(
+        F.count(F.lit(1)).alias("results"), F.count_if("is_outlier").alias("flagged")
+    )
+
+
+@query
+def tukey_fences(spark, sf_dir):
+    """Fences of each pair over its whole history."""
+    sold = F.col("sold").cast("double")
+    hist = fixtures.raw_daily(spark, sf_dir).groupBy("store_id", "sku_id", sold.alias("value")).agg(
+        F.count(F.lit(1)).alias("w")
+    )
+    keys = ["store_id", "sku_id"]
+    quartiles = histogram_quantiles(hist, keys, "value", "w", tukey.QUARTILES, ("q1", "q3"))
+    iqr = F.col("q3") - F.col("q1")
+    return quartiles.select(
+        *keys,
+        F.col("n").alias("sample_size"),
+        "q1",
+        "q3",
+        iqr.alias("iqr"),
+        (F.col("q1") - DEFAULTS.fence_factor * iqr).alias("lower_fence"),
+        (F.col("q3") + DEFAULTS.fence_factor * iqr).alias("upper_fence"),
+    )
+
+
+@query
+def tukey_reasons(spark, sf_dir):
+    told = tukey.tukey_reasons(tukey.tukey_results(_features(spark, sf_dir)).filter("is_outlier"))
+    return flat(
+        told.select("date", "store_id", "sku_id", "metric_name", "reason.type", "reason.message", "reason.distance")
+    )
+
+
+# --- incidents -----------------------------------------------------------------------------------
+
+
+@query
+def incident_groups(spark, sf_dir):
+    groups = inc.incident_groups(stored(spark, sf_dir, "flagged"))
+    return flat(groups.select("date", "store_id", "sku_count", "estimated_impact"), 4)
+
+
+@query
+def incident_severity(spark, sf_dir):
+    groups = inc.incident_groups(stored(spark, sf_dir, "flagged"))
+    return flat(groups.select("date", "store_id", "severity_score"), 6)
+
+
+@query
+def incident_dedup(spark, sf_dir):
+    return flat(inc.incident_groups(stored(spark, sf_dir, "flagged")).select("date", "store_id", "dedup_key"))
+
+
+@query
+def incident_headline(spark, sf_dir):
+    return flat(inc.incident_groups(stored(spark, sf_dir, "flagged")).select("date", "store_id", "headline"))
+
+
+@query
+def incident_description(spark, sf_dir):
+    return flat(inc.incident_groups(stored(spark, sf_dir, "flagged")).select("date", "store_id", "description"))
+
+
+@query
+def incidents(spark, sf_dir):
+    """From daily rows to incidents in one go (fences only)."""
+    features = materialize(_features(spark, sf_dir), "features")
+    detections = tukey_detections(tukey.tukey_results(features))
+    flagged = materialize(inc.flagged_rows(detections, features), "flagged")
+    run = inc.run_incidents(inc.incident_groups(flagged))
+    made = inc.new_incidents(run, as_of())
+    return flat(
+        made.select(
+            "incident_id",
+            "date",
+            "store_id",
+            "status",
+            "severity_score",
+            "headline",
+            "description",
+            "sku_count",
+            "estimated_impact",
+            F.array_join("detectors_triggered", ",").alias("detectors_triggered"),
+        ),
+        4,
+    )
+
+
+@query
+def incident_merge(spark, sf_dir):
+    """A rerun meets a table that holds the older half of the incidents."""
+    earlier = stored(spark, sf_dir, "incidents").filter(F.col("date") < F.lit(HALF_WAY)).withColumn(
+        "severity_score", F.lit(1.0)
+    )
+    merged = inc.merge_incidents(earlier, stored(spark, sf_dir, "run"), as_of())
+    return flat(merged.select("incident_id", "date", "status", "severity_score", "sku_count", "change"), 4)
+
+
+@query
+def incident_items(spark, sf_dir):
+    items = inc.incident_items(
+        stored(spark, sf_dir, "run"), stored(spark, sf_dir, "flagged"), stored(spark, sf_dir, "detections")
+    )
+    return flat(
+        items.select(
+            "incident_id",
+            "sku_id",
+            "contribution_score",
+            F.array_join("detection_result_ids", ",").alias("detection_result_ids"),
+        ),
+        6,
+    )
+
+
+@query
+def incident_notes(spark, sf_dir):
+    notes = inc.creation_notes(stored(spark, sf_dir, "run"), as_of())
+    return flat(notes.select("incident_id", "author", "content", "note_type"))
+
+
+@query
+def run_stats(spark, sf_dir):
+    """Counts of one run without the forest."""
+    features, results = stored(spark, sf_dir, "features"), stored(spark, sf_dir, "tukey")
+    one = F.lit(1)
+    made = features.agg(F.count(one).alias("features_created")).withColumn("run", one)
+    flags = results.agg(F.count_if("is_outlier").alias("tukey_outliers")).withColumn("run", one)
+    counts = inc.run_counts(stored(spark, sf_dir, "run")).withColumn("run", one)
+    mode = rep.detection_mode(features).select("mode", one.alias("run"))
+    return made.join(flags, "run").join(counts, "run").join(mode, "run").drop("run")
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+@query
+def incident_list(spark, sf_dir):
+    page = rep.incident_page(
+        stored(spark, sf_dir, "incidents"),
+        page=2,
+        page_size=20,
+        status="OPEN",
+        min_severity=40,
+        date_from=dt.date(1996, 1, 1),
+        date_to=dt.date(2001, 6, 30),
+    )
+    return flat(page.select("incident_id", "date", "store_id", "status", "severity_score", "headline"), 4)
+
+
+@query
+def incident_total(spark, sf_dir):
+    rows = rep.filter_incidents(stored(spark, sf_dir, "incidents"), status="open", min_severity=40)
+    return flat(rep.page_totals(rows, 20))
+
+
+@query
+def status_counts(spark, sf_dir):
+    return rep.status_counts(stored(spark, sf_dir, "incidents"))
+
+
+@query
+def incident_summary(spark, sf_dir):
+    return rep.incident_summary(stored(spark, sf_dir, "incidents"))
+
+
+@query
+def incidents_over_time(spark, sf_dir):
+    return flat(rep.incidents_over_time(stored(spark, sf_dir, "incidents"), AS_OF.date(), days=365))
+
+
+@query
+def severity_distribution(spark, sf_dir):
+    return rep.severity_distribution(stored(spark, sf_dir, "incidents"))
+
+
+@query
+def top_stores(spark, sf_dir):
+    return rep.top_stores(stored(spark, sf_dir, "incidents"), 3)
+
+
+@query
+def incident_detail(spark, sf_dir):
+    notes = inc.creation_notes(stored(spark, sf_dir, "run"), as_of())
+    detail = rep.incident_detail(stored(spark, sf_dir, "incidents"), stored(spark, sf_dir, "items"), notes)
+    return flat(detail, 4)
+
+
+@query
+def detection_details(spark, sf_dir):
+    details = rep.detection_details(stored(spark, sf_dir, "items"), stored(spark, sf_dir, "detections"))
+    return flat(_labelled(details).drop("anomaly_score", "threshold_used", "reasons", "date"))
+
+
+@query
+def apply_changes(spark, sf_dir):
+    table = stored(spark, sf_dir, "incidents")
+    changed = work.apply_changes(table, _change_log(table))
+    seconds = (F.unix_seconds("resolved_at") - int(CHANGES_FROM.timestamp())).cast("double")
+    return flat(
+        changed.select(
+            "incident_id", "status", "assignee", "resolution_reason", seconds.alias("resolved_after")
+        )
+    )
+
+
+@query
+def audit_notes(spark, sf_dir):
+    table = stored(spark, sf_dir, "incidents")
+    notes = work.audit_notes(table, _change_log(table))
+    comments = table.filter(F.col("status") == "open").select(
+        "incident_id",
+        F.lit(None).cast("string").alias("author"),
+        F.concat(F.lit("Looked at "), "headline").alias("content"),
+        as_of().alias("created_at"),
+    )
+    said = work.comment_notes(table, comments).withColumn("change_id", F.lit(0))
+    columns = ["incident_id", "change_id", "author", "content", "note_type"]
+    return flat(notes.select(*columns).unionByName(said.select(*columns)))
+
+
+def _change_log(table):
+    """Three requests per incident an hour and a half apart, derived from the digits of its id."""
+
+    def digit(i):
+        return F.substring("incident_id", i, 1)
+
+    def request(number):
+        status = (
+            F.when(digit(number + 1).isin(list("0123")), "Investigating")
+            .when(digit(number + 1).isin(list("4567")), "resolved")
+            .when(digit(number + 1).isin(list("89")), "open")
+        )
+        assignee = F.when(digit(number + 4).isin(list("0123")), F.concat(F.lit("user-"), digit(number + 7))).when(
+            digit(number + 4) == "4", F.lit("")
+        )
+        reason = F.when(digit(number + 10) == "0", F.lit("checked"))
+        at = F.lit(CHANGES_FROM) + F.expr(f"interval {90 * number} minutes")
+        return F.struct(
+            F.lit(number).alias("change_id"),
+            at.alias("changed_at"),
+            status.alias("status"),
+            assignee.alias("assignee"),
+            reason.alias("resolution_reason"),
+        )
+
+    return table.select("incident_id", F.inline(F.array(*[request(i) for i in (1, 2, 3)])))
+
+
+@query
+def timeseries(spark, sf_dir):
+    points = rep.timeseries(
+        fixtures.raw_daily(spark, sf_dir),
+        stored(spark, sf_dir, "detections"),
+        HALF_WAY,
+        store_id="ST-001",
+        days=365,
+    )
+    return flat(points)
+
+
+@query
+def boxplot(spark, sf_dir):
+    box = rep.boxplot(fixtures.raw_daily(spark, sf_dir), HALF_WAY, DEFAULTS, days=90)
+    told = F.array_join(F.transform("outliers", lambda x: x.cast("bigint").cast("string")), ",")
+    return flat(box.withColumn("outliers", told))
+
+
+@query
+def list_stores(spark, sf_dir):
+    return rep.list_stores(fixtures.raw_daily(spark, sf_dir))
+
+
+@query
+def list_skus(spark, sf_dir):
+    return rep.list_skus(fixtures.raw_daily(spark, sf_dir), "ST-003")
+
+
+@query
+def detection_mode(spark, sf_dir):
+    return rep.detection_mode(fixtures.raw_daily(spark, sf_dir))
+
+
+@query
+def date_spine(spark, sf_dir):
+    return flat(rep.date_spine(fixtures.raw_daily(spark, sf_dir)))
+
+
+@query
+def duplicate_keys(spark, sf_dir):
+    """Line items of one supplier and part on one day, before they are summed into daily rows."""
+    lines = fixtures.table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("date"),
+        F.col("l_suppkey").cast("string").alias("store_id"),
+        (F.col("l_partkey") % 100).cast("string").alias("sku_id"),
+    )
+    return flat(rep.duplicate_keys(lines))

@@ -107,6 +107,94 @@ tukey AS (
 )
 
 
+FLAGGED = (
+    TUKEY
+    + """,
+flagged AS (
+  SELECT t.*, greatest(abs(coalesce(f.sold, 0) * f.price), abs(coalesce(f.delta_on_hand, 0) * f.price)) AS impact
+  FROM (
+    SELECT date, store_id, sku_id,
+           max(CASE WHEN metric_name = 'sold' THEN outlier_distance END) AS sold_distance,
+           max(CASE WHEN metric_name = 'delta_on_hand' THEN outlier_distance END) AS delta_distance,
+           sum(least(abs(outlier_distance) / 50, 1)) AS closeness, count(*) AS flags
+    FROM tukey WHERE is_outlier GROUP BY ALL
+  ) t JOIN features f USING (date, store_id, sku_id)
+),
+lines AS (
+  SELECT *, row_number() OVER (PARTITION BY date, store_id ORDER BY sku_id) AS rank,
+         CASE WHEN sold_distance IS NOT NULL THEN 'Unusual sales for ' || sku_id
+              ELSE 'Inventory anomaly for ' || sku_id END AS headline,
+         '• ' || sku_id || ': ' || concat_ws('; ',
+            CASE WHEN sold_distance IS NOT NULL THEN 'sold ' || printf('%.1f', abs(sold_distance))
+                 || CASE WHEN sold_distance > 0 THEN ' above' ELSE ' below' END || ' normal range' END,
+            CASE WHEN delta_distance IS NOT NULL THEN 'delta_on_hand ' || printf('%.1f', abs(delta_distance))
+                 || CASE WHEN delta_distance > 0 THEN ' above' ELSE ' below' END || ' normal range' END) AS line
+  FROM flagged
+),
+incident_group AS (
+  SELECT date, store_id, n AS sku_count, impact AS estimated_impact,
+         least(20 + least(n * 5, 20) + CASE WHEN impact > 0 THEN least(log10(impact + 1) * 5, 30) ELSE 0 END
+               + closeness * 10, 100) AS severity_score,
+         CASE WHEN n = 1 THEN headline1 ELSE n || ' SKUs with anomalies in store ' || store_id END AS headline,
+         told || CASE WHEN n > 5 THEN chr(10) || '• ...and ' || (n - 5) || ' more SKUs' ELSE '' END AS description,
+         left(sha256(CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) || '_' || store_id || '_' || skus), 32) AS dedup_key
+  FROM (
+    SELECT date, store_id, count(*) AS n, sum(impact) AS impact, sum(closeness) / sum(flags) AS closeness,
+           max(CASE WHEN rank = 1 THEN headline END) AS headline1,
+           string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) AS told,
+           string_agg(sku_id, '_' ORDER BY rank) FILTER (rank <= 10) AS skus
+    FROM lines GROUP BY ALL
+  )
+),
+run AS (
+  SELECT dedup_key, min(date) AS date, any_value(store_id) AS store_id,
+         arg_min(headline, date) AS headline, arg_min(description, date) AS description,
+         arg_max(severity_score, date) AS severity_score, arg_max(estimated_impact, date) AS estimated_impact,
+         arg_max(sku_count, date) AS sku_count, arg_min(estimated_impact, date) AS first_impact, count(*) AS groups
+  FROM incident_group GROUP BY dedup_key
+),
+incident AS (
+  SELECT *, CASE WHEN dedup_key[1] IN ('a', 'b', 'c', 'd') THEN 'investigating'
+                 WHEN dedup_key[1] IN ('e', 'f') THEN 'resolved' ELSE 'open' END AS status
+  FROM run
+),
+detection AS (
+  SELECT *, left(sha256(concat_ws('|', CAST(date AS VARCHAR), store_id, sku_id, 'tukey', metric_name)), 32) AS detection_id
+  FROM tukey
+),
+items AS (
+  SELECT r.dedup_key AS incident_id, f.date, f.store_id, f.sku_id,
+         CASE WHEN r.first_impact = 0 THEN 0 ELSE f.impact / r.first_impact END AS contribution_score,
+         (SELECT string_agg(d.detection_id, ',' ORDER BY d.detection_id) FROM detection d
+          WHERE d.date = f.date AND d.store_id = f.store_id AND d.sku_id = f.sku_id) AS detection_result_ids
+  FROM run r JOIN flagged f USING (date, store_id)
+)"""
+)
+
+CREATED = "'Incident created by automated detection. Triggered by: tukey'"
+
+CHANGES = (
+    FLAGGED
+    + """,
+request AS (
+  SELECT dedup_key AS incident_id, i AS change_id, status AS start_status, 5400 * i AS asked_at,
+         CASE WHEN dedup_key[i + 1] IN ('0', '1', '2', '3') THEN 'investigating'
+              WHEN dedup_key[i + 1] IN ('4', '5', '6', '7') THEN 'resolved'
+              WHEN dedup_key[i + 1] IN ('8', '9') THEN 'open' END AS new_status,
+         CASE WHEN dedup_key[i + 4] IN ('0', '1', '2', '3') THEN 'user-' || dedup_key[i + 7]
+              WHEN dedup_key[i + 4] = '4' THEN '' END AS new_assignee,
+         CASE WHEN dedup_key[i + 10] = '0' THEN 'checked' END AS new_reason
+  FROM incident, (VALUES (1), (2), (3)) v(i)
+),
+step AS (
+  SELECT *, coalesce(last_value(new_status IGNORE NULLS) OVER w, start_status) AS old_status,
+         nullif(last_value(new_assignee IGNORE NULLS) OVER w, '') AS old_assignee
+  FROM request
+  WINDOW w AS (PARTITION BY incident_id ORDER BY change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)"""
+)
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -127,4 +215,189 @@ def oracle_sql() -> dict[str, str]:
                upper_fence, outlier_distance, is_outlier, CAST(sample_size AS BIGINT) AS sample_size, fallback_used
         FROM tukey""",
     )
+    sql["tukey_levels"] = _with(
+        TUKEY,
+        """SELECT metric_name, fallback_used, count(*) AS results, count(*) FILTER (is_outlier) AS flagged
+        FROM tukey GROUP BY ALL""",
+    )
+    sql["tukey_fences"] = _with(
+        RAW,
+        """SELECT store_id, sku_id, n AS sample_size, q1, q3, q3 - q1 AS iqr,
+               q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence
+        FROM (SELECT store_id, sku_id, count(*) AS n, quantile_cont(sold, 0.25) AS q1, quantile_cont(sold, 0.75) AS q3
+              FROM raw_daily GROUP BY ALL)""",
+    )
+    sql["tukey_reasons"] = _with(
+        TUKEY,
+        """SELECT CAST(date AS VARCHAR) AS date, store_id, sku_id, metric_name,
+               CASE WHEN outlier_distance > 0 THEN 'above_upper_fence' ELSE 'below_lower_fence' END AS type,
+               metric_name || ' value (' || printf('%.1f', actual_value) || ') is ' || printf('%.1f', abs(outlier_distance))
+               || CASE WHEN outlier_distance > 0 THEN ' above upper fence (' || printf('%.1f', upper_fence)
+                       ELSE ' below lower fence (' || printf('%.1f', lower_fence) END || ')' AS message,
+               outlier_distance AS distance
+        FROM tukey WHERE is_outlier""",
+    )
+    day = "CAST(date AS VARCHAR) AS date, store_id"
+    group = "SELECT {} FROM incident_group"
+    sql["incident_groups"] = _with(
+        FLAGGED, group.format(f"{day}, sku_count, round(estimated_impact, 4) AS estimated_impact")
+    )
+    sql["incident_severity"] = _with(FLAGGED, group.format(f"{day}, round(severity_score, 6) AS severity_score"))
+    sql["incident_dedup"] = _with(FLAGGED, group.format(f"{day}, dedup_key"))
+    sql["incident_headline"] = _with(FLAGGED, group.format(f"{day}, headline"))
+    sql["incident_description"] = _with(FLAGGED, group.format(f"{day}, description"))
+    sql["incidents"] = _with(
+        FLAGGED,
+        f"""SELECT dedup_key AS incident_id, {day}, 'open' AS status, round(severity_score, 4) AS severity_score,
+               headline, description, sku_count, round(estimated_impact, 4) AS estimated_impact,
+               'tukey' AS detectors_triggered FROM run""",
+    )
+    sql["incident_merge"] = _with(
+        FLAGGED,
+        """SELECT dedup_key AS incident_id, CAST(date AS VARCHAR) AS date,
+               CASE WHEN old THEN status ELSE 'open' END AS status,
+               CASE WHEN old AND status = 'resolved' THEN 1.0 ELSE round(severity_score, 4) END AS severity_score,
+               sku_count, CASE WHEN NOT old THEN 'created' WHEN status = 'resolved' THEN 'unchanged' ELSE 'updated' END AS change
+        FROM (SELECT *, date < DATE '1998-06-30' AS old FROM incident)""",
+    )
+    sql["incident_items"] = _with(
+        FLAGGED,
+        "SELECT incident_id, sku_id, round(contribution_score, 6) AS contribution_score, detection_result_ids FROM items",
+    )
+    sql["incident_notes"] = _with(
+        FLAGGED,
+        f"""SELECT dedup_key AS incident_id, 'system' AS author, {CREATED} AS content,
+               'status_change' AS note_type FROM run""",
+    )
+    sql["run_stats"] = _with(
+        FLAGGED,
+        """SELECT (SELECT count(*) FROM features) AS features_created,
+               (SELECT count(*) FROM tukey WHERE is_outlier) AS tukey_outliers,
+               (SELECT count(*) FROM run) AS incidents_created,
+               (SELECT CAST(sum(groups - 1) AS BIGINT) FROM run) AS incidents_updated, 'full' AS mode""",
+    )
+    sql["incident_list"] = _with(
+        FLAGGED,
+        f"""SELECT dedup_key AS incident_id, {day}, status, round(severity_score, 4) AS severity_score, headline
+        FROM (SELECT * FROM incident WHERE status = 'open' AND severity_score >= 40
+              AND date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30'
+              ORDER BY severity_score DESC, date DESC, dedup_key LIMIT 20 OFFSET 20)""",
+    )
+    sql["incident_total"] = _with(
+        FLAGGED,
+        """SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages
+        FROM incident WHERE status = 'open' AND severity_score >= 40""",
+    )
+    sql["status_counts"] = _with(FLAGGED, "SELECT status, count(*) AS incidents FROM incident GROUP BY ALL")
+    sql["incident_summary"] = _with(
+        FLAGGED,
+        """SELECT count(*) FILTER (severity_score >= 70 AND status <> 'resolved') AS high_severity_count,
+               count(DISTINCT store_id) FILTER (status <> 'resolved') AS affected_stores,
+               CAST(coalesce(sum(sku_count) FILTER (status <> 'resolved'), 0) AS BIGINT) AS affected_skus,
+               round(coalesce(sum(estimated_impact) FILTER (status <> 'resolved'), 0), 2) AS total_estimated_impact,
+               count(*) FILTER (status IN ('open', 'investigating')) AS active_incidents
+        FROM incident""",
+    )
+    sql["incidents_over_time"] = _with(
+        FLAGGED,
+        """SELECT CAST(date AS VARCHAR) AS date, count(*) AS incidents FROM incident
+        WHERE date >= DATE '2002-01-01' - 365 GROUP BY ALL""",
+    )
+    sql["severity_distribution"] = _with(
+        FLAGGED,
+        """SELECT bucket, count(severity_score) AS incidents
+        FROM (VALUES ('Low', -1, 30), ('Medium', 30, 60), ('High', 60, 80), ('Critical', 80, 1000)) b(bucket, lo, hi)
+        LEFT JOIN incident ON severity_score >= lo AND severity_score < hi GROUP BY ALL""",
+    )
+    sql["top_stores"] = _with(
+        FLAGGED,
+        """SELECT store_id, count(*) AS incident_count FROM incident WHERE status <> 'resolved'
+        GROUP BY ALL ORDER BY incident_count DESC, store_id LIMIT 3""",
+    )
+    sql["incident_detail"] = _with(
+        FLAGGED,
+        f"""SELECT dedup_key AS incident_id, 'incident' AS section, '' AS position, headline AS content,
+               CAST(NULL AS VARCHAR) AS author, round(severity_score, 4) AS amount FROM incident
+        UNION ALL
+        SELECT incident_id, 'item', sku_id, detection_result_ids, NULL, round(contribution_score, 4) FROM items
+        UNION ALL
+        SELECT dedup_key, 'note', lpad(CAST(1000000000000 - epoch(TIMESTAMP '2002-01-01')::BIGINT AS VARCHAR), 13, '0'),
+               {CREATED}, 'system', NULL FROM run""",
+    )
+    sql["detection_details"] = _with(
+        FLAGGED,
+        """SELECT i.incident_id, d.store_id, d.sku_id, 'tukey' AS detector_type, d.metric_name, d.actual_value, d.q1, d.q3,
+               d.iqr, d.lower_fence, d.upper_fence, d.outlier_distance, d.sample_size, d.fallback_used
+        FROM items i JOIN tukey d USING (date, store_id, sku_id)""",
+    )
+    sql["apply_changes"] = _with(
+        CHANGES,
+        """SELECT incident_id, coalesce(arg_max(new_status, change_id) FILTER (new_status IS NOT NULL), any_value(start_status)) AS status,
+               nullif(arg_max(new_assignee, change_id) FILTER (new_assignee IS NOT NULL), '') AS assignee,
+               max(new_reason) AS resolution_reason,
+               CASE WHEN max(change_id) FILTER (new_status <> old_status) IS NULL
+                    THEN CASE WHEN any_value(start_status) = 'resolved' THEN CAST(-31 * 86400 AS DOUBLE) END
+                    WHEN arg_max(new_status, change_id) FILTER (new_status <> old_status) = 'resolved'
+                    THEN CAST(max(asked_at) FILTER (new_status <> old_status) AS DOUBLE) END AS resolved_after
+        FROM step GROUP BY incident_id""",
+    )
+    sql["audit_notes"] = _with(
+        CHANGES,
+        """SELECT incident_id, CAST(change_id AS BIGINT) AS change_id, 'system' AS author,
+               'Status changed from ' || old_status || ' to ' || new_status AS content, 'status_change' AS note_type
+        FROM step WHERE new_status <> old_status
+        UNION ALL
+        SELECT incident_id, change_id, 'system', 'Assignment changed from ' || coalesce(old_assignee, 'unassigned') || ' to '
+               || coalesce(nullif(new_assignee, ''), 'unassigned'), 'assignment'
+        FROM step WHERE new_assignee IS NOT NULL AND new_assignee IS DISTINCT FROM old_assignee
+        UNION ALL
+        SELECT incident_id, change_id, 'system', 'Resolution reason updated', 'assignment' FROM step WHERE new_reason IS NOT NULL
+        UNION ALL
+        SELECT dedup_key, 0, 'user', 'Looked at ' || headline, 'comment' FROM incident WHERE status = 'open'""",
+    )
+    series = """, changes AS (
+      SELECT *, CASE WHEN true THEN on_hand - lag(on_hand) OVER (PARTITION BY store_id, sku_id ORDER BY date) END AS change
+      FROM raw_daily WHERE date BETWEEN DATE '1998-06-30' - {} AND DATE '1998-06-30' {}
+    )"""
+    sql["timeseries"] = _with(
+        TUKEY + series.format(365, "AND store_id = 'ST-001'"),
+        """SELECT c.store_id, c.sku_id, CAST(c.date AS VARCHAR) AS date, p.metric, CAST(p.value AS DOUBLE) AS value,
+               EXISTS (SELECT 1 FROM tukey t WHERE t.is_outlier AND t.date = c.date AND t.store_id = c.store_id
+                       AND t.sku_id = c.sku_id AND t.metric_name = p.mark) AS is_outlier
+        FROM changes c, LATERAL (VALUES ('sold', sold, 'sold'), ('on_hand', on_hand, 'delta_on_hand'),
+                                        ('delta_on_hand', change, 'delta_on_hand')) p(metric, value, mark)
+        WHERE p.value IS NOT NULL""",
+    )
+    sql["boxplot"] = _with(
+        RAW + series.format(90, ""),
+        """SELECT store_id, sku_id, metric, min, q1, median, q3, max, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
+               q3 + 1.5 * (q3 - q1) AS upper_fence,
+               array_to_string(list_filter(v, lambda x: x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)), ',') AS outliers
+        FROM (
+          SELECT store_id, sku_id, metric, count(*) AS n, CAST(min(value) AS DOUBLE) AS min, quantile_cont(value, 0.25) AS q1,
+                 quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, CAST(max(value) AS DOUBLE) AS max,
+                 list(value ORDER BY date) FILTER (value IS NOT NULL) AS v
+          FROM (SELECT store_id, sku_id, date, 'sold' AS metric, sold AS value FROM changes
+                UNION ALL SELECT store_id, sku_id, date, 'delta_on_hand', change FROM changes)
+          GROUP BY ALL
+        ) WHERE n >= 5""",
+    )
+    sql["list_stores"] = _with(RAW, "SELECT DISTINCT store_id FROM raw_daily")
+    sql["list_skus"] = _with(RAW, "SELECT DISTINCT sku_id FROM raw_daily WHERE store_id = 'ST-003'")
+    sql["detection_mode"] = _with(
+        RAW,
+        """SELECT *, CASE WHEN total = 0 THEN 'none' WHEN has_on_hand > total * 0.1 AND has_sold > total * 0.1 THEN 'full'
+                 WHEN has_sold > total * 0.1 THEN 'sold_only' WHEN has_on_hand > total * 0.1 THEN 'on_hand_only' ELSE 'none' END AS mode,
+               concat_ws(',', CASE WHEN has_sold > total * 0.1 THEN 'sold' END,
+                         CASE WHEN has_on_hand > total * 0.1 THEN 'delta_on_hand' END) AS metrics
+        FROM (SELECT count(*) AS total, count(on_hand) AS has_on_hand, count(*) FILTER (sold > 0) AS has_sold FROM raw_daily)""",
+    )
+    sql["date_spine"] = _with(
+        RAW,
+        """SELECT CAST(CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS date
+        FROM raw_daily""",
+    )
+    sql["duplicate_keys"] = """SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, CAST(l_suppkey AS VARCHAR) AS store_id,
+               CAST(l_partkey % 100 AS VARCHAR) AS sku_id, count(*) AS rows
+        FROM lineitem GROUP BY ALL HAVING count(*) > 1"""
     return sql
