@@ -41,21 +41,21 @@ def _rank(n: Column, p: float, side: str) -> Column:
 
 
 def histogram_quantiles(
-    hist: DataFrame, keys: list[str], value: str, weight: str, probabilities, names, wide: bool = False
+    hist: DataFrame, keys: list[str], value: str, weight: str, probabilities, names, block: float | None = None
 ) -> DataFrame:
     """Quantiles per group of a (value, weight) histogram with one row per distinct value.
 
     Columns out: keys, ``n`` and one column per name. The running count goes through one group per
-    key, so the group is as long as its number of distinct values. With ``wide`` (integer values
-    over a large range) the ranks are first located in blocks of 65,536 values and only the blocks
-    hit are opened: both steps then see at most about 65,536 rows per key, however many rows there are.
+    key, so the group is as long as its number of distinct values. Where that can be large, ``block``
+    cuts the value range into blocks of that width: the ranks are first located among the blocks,
+    and only the blocks hit are opened and ordered inside.
     """
-    if wide:
-        hist = _blocks_hit(hist, keys, value, weight, probabilities)
+    if block:
+        hist = _blocks_hit(hist, keys, value, weight, probabilities, block)
     else:
         everything = Window.partitionBy(*keys)
         hist = hist.withColumn("__n", F.sum(weight).over(everything)).withColumn("__before", F.lit(0))
-    group = keys + (["__block"] if wide else [])
+    group = keys + (["__block"] if block else [])
     running = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = hist.withColumn("__upto", F.sum(weight).over(running) + F.col("__before"))
 
@@ -72,9 +72,9 @@ def histogram_quantiles(
     return picked.select(*keys, F.col("n"), *[q.alias(name) for q, name in zip(found, names)])
 
 
-def _blocks_hit(hist, keys, value, weight, probabilities) -> DataFrame:
+def _blocks_hit(hist, keys, value, weight, probabilities, block) -> DataFrame:
     """Histogram rows in the value blocks that hold a wanted rank, with the count before the block."""
-    blocked = hist.withColumn("__block", F.floor(F.col(value) / 65536))
+    blocked = hist.withColumn("__block", F.floor(F.col(value) / block))
     blocks = blocked.groupBy(*keys, "__block").agg(F.sum(weight).alias("__w"))
     running = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.withColumn("__end", F.sum("__w").over(running)).withColumn(

@@ -18,6 +18,9 @@ QUARTILES = (0.25, 0.75)
 # Short targets up to this number are handled by broadcasting their windows
 # (at most 3 levels x 28 days x this many small rows); more of them are joined by shuffle.
 FEW_TARGETS = 10_000
+# Width of a value block where the values span more than SMALL_DOMAIN whole numbers: a 33-bit
+# change then has at most 2^17 blocks of 2^16 values.
+BLOCK = 65_536
 FALLBACK_LABELS = {1: "store", 2: "sku", 3: "global"}
 
 
@@ -215,7 +218,7 @@ def _coarse_quartiles(observed, needed, settings, few: bool, wide: bool) -> Data
         .groupBy(*keys, "target_day", "value")
         .agg(F.sum("w").alias("w"))
     )
-    found = histogram_quantiles(hist, [*keys, "target_day"], "value", "w", QUARTILES, ("q1", "q3"), wide)
+    found = histogram_quantiles(hist, [*keys, "target_day"], "value", "w", QUARTILES, ("q1", "q3"), BLOCK if wide else None)
     return found.withColumnRenamed("target_day", "day_number")
 
 

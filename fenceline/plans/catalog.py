@@ -8,16 +8,23 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fenceline.functions.parsing import parse_date, parse_number
 from fenceline.functions.quantiles import histogram_quantiles
 from fenceline.operators import features as feat
+from fenceline.operators import flexible as flex
+from fenceline.operators import forest
 from fenceline.operators import incidents as inc
+from fenceline.operators import ingest
+from fenceline.operators import profile as prof
 from fenceline.operators import reports as rep
 from fenceline.operators import tukey
 from fenceline.operators import workflow as work
 from fenceline.operators.detections import tukey_detections
 from fenceline.plans import fixtures
 from fenceline.settings import DEFAULTS
-from fenceline.sources.shared import materialize
+from fenceline.sources import datasets
+from fenceline.sources.csv import read_csv
+from fenceline.sources.shared import materialize, new_path
 
 QUERIES = {}
 HALF_WAY = dt.date(1998, 6, 30)
@@ -412,3 +419,313 @@ def duplicate_keys(spark, sf_dir):
         (F.col("l_partkey") % 100).cast("string").alias("sku_id"),
     )
     return flat(rep.duplicate_keys(lines))
+
+
+# --- forest --------------------------------------------------------------------------------------
+
+
+def _baseline(spark, sf_dir):
+    return feat.feature_baseline(_features(spark, sf_dir))
+
+
+@query
+def feature_baseline(spark, sf_dir):
+    df = _baseline(spark, sf_dir)
+    stats = [f"{name}_{stat}" for name in feat.REASON_FEATURES for stat in ("mean", "std")]
+    return flat(df.select("date", "store_id", "sku_id", "baseline_rows", *stats), 5)
+
+
+@query
+def forest_features(spark, sf_dir):
+    return flat(forest.forest_features(_features(spark, sf_dir)).drop("day_number"))
+
+
+@query
+def forest_training_counts(spark, sf_dir):
+    counts = forest.training_counts(_features(spark, sf_dir))
+    return flat(counts.withColumn("date", F.date_from_unix_date("day_number")).drop("day_number", "day_rows"))
+
+
+@query
+def forest_scope(spark, sf_dir):
+    features = _features(spark, sf_dir)
+    scoped = forest.with_scope(features, forest.cutoffs(features))
+    return flat(scoped.select("date", "store_id", "sku_id", F.coalesce("scope", F.lit("none")).alias("scope")))
+
+
+@query
+def forest_reasons(spark, sf_dir):
+    """The features that stand out, per daily row and rank."""
+    told = _baseline(spark, sf_dir)
+    found = told.select("date", "store_id", "sku_id", F.posexplode(forest.notable_z(told)).alias("rank", "r"))
+    return flat(found.select("date", "store_id", "sku_id", "rank", "r.feature", "r.value", "r.mean", "r.z"), 4)
+
+
+@query
+def forest_model(spark, sf_dir):
+    """Size of every tree of every scope."""
+    features = stored(spark, sf_dir, "features")
+    training = forest.training_rows(forest.forest_features(features), forest.cutoffs(features))
+    trees = forest.fit_forest(training, forest.FEATURES)
+    return flat(trees.select("scope", "tree", "sample_size", F.size("feature").alias("nodes")))
+
+
+@query
+def forest_results(spark, sf_dir):
+    features = materialize(_features(spark, sf_dir), "features")
+    baseline = materialize(feat.feature_baseline(features), "feature-baseline")
+    results = forest.forest_results(features, baseline)
+    told = F.array_join(F.transform("reasons", lambda r: r["message"]), "; ")
+    return flat(results.withColumn("reasons", told), 9)
+
+
+# --- flexible tables -------------------------------------------------------------------------------
+
+EVENTS = ingest.DatasetSchema(
+    1, "events", "day", ["event_type", "user_id"], ["value", "k"], ["props"]
+)
+ORDERS = ingest.DatasetSchema(2, "orders", "order_date", ["customer", "priority"], ["total"], ["status"])
+
+
+def _event_rows(spark, sf_dir):
+    rows = fixtures.flexible_events(spark, sf_dir).withColumnRenamed("day", "date")
+    return rows.withColumn("identifier_key", ingest.identifier_key(EVENTS))
+
+
+@query
+def flexible_tukey(spark, sf_dir):
+    found = flex.flexible_tukey(_event_rows(spark, sf_dir), EVENTS)
+    return flat(found.drop("metric_order", "reason", "detector_type"), 6)
+
+
+@query
+def flexible_zscores(spark, sf_dir):
+    return flat(flex.flexible_zscores(_event_rows(spark, sf_dir), EVENTS).drop("metric_order"), 6)
+
+
+@query
+def flexible_forest(spark, sf_dir):
+    found = flex.flexible_forest(_event_rows(spark, sf_dir), EVENTS)
+    told = F.array_join(F.transform("reasons", lambda r: r["message"]), "; ")
+    return flat(found.withColumn("reasons", told), 9)
+
+
+@query
+def flexible_detections(spark, sf_dir):
+    """Flags per day and metric, over the table both detectors write into (fences only here)."""
+    found = flex.flexible_detections(flex.flexible_tukey(_event_rows(spark, sf_dir), EVENTS), None)
+    return flat(
+        found.groupBy("date", "detector_type", "metric_name").agg(
+            F.count(F.lit(1)).alias("results"), F.count_if("is_outlier").alias("outliers")
+        )
+    )
+
+
+@query
+def flexible_incidents(spark, sf_dir):
+    tukey_only = materialize(flex.flexible_tukey(_event_rows(spark, sf_dir), EVENTS), "flexible-detections")
+    run = flex.flexible_incidents(tukey_only, EVENTS, AS_OF.date())
+    made = inc.new_incidents(run, as_of())
+    return flat(
+        made.select(
+            "incident_id",
+            "date",
+            "store_id",
+            "dataset_id",
+            "status",
+            "severity_score",
+            "headline",
+            "sku_count",
+            "estimated_impact",
+            F.array_join("detectors_triggered", ",").alias("detectors_triggered"),
+            F.regexp_replace("description", r"\[[^\]]*\]", "").alias("description"),
+        )
+    )
+
+
+# --- ingest --------------------------------------------------------------------------------------
+
+
+def _cleaned(spark, sf_dir):
+    return ingest.clean(fixtures.dirty_orders(spark, sf_dir), ORDERS)
+
+
+@query
+def csv_scan(spark, sf_dir):
+    """Write the untidy orders as CSV, then scan them with inferred types."""
+    path = new_path(spark, "orders-csv")
+    fixtures.dirty_orders(spark, sf_dir).write.csv(path, header=True, quote='"', escape='"')
+    scanned = read_csv(spark, path)
+    ingest.require_columns(scanned, ORDERS)
+    return flat(scanned.select("row_index", "order_date", "priority", "status", "total"))
+
+
+@query
+def preview_rows(spark, sf_dir):
+    return flat(ingest.preview_rows(fixtures.dirty_orders(spark, sf_dir), "row_index"))
+
+
+@query
+def parse_dates(spark, sf_dir):
+    df = fixtures.dirty_orders(spark, sf_dir)
+    return flat(df.select("row_index", "order_date", parse_date(F.col("order_date")).alias("parsed")))
+
+
+@query
+def parse_numbers(spark, sf_dir):
+    df = fixtures.dirty_orders(spark, sf_dir)
+    return flat(df.select("row_index", "total", parse_number(F.col("total")).alias("parsed")))
+
+
+@query
+def valid_rows(spark, sf_dir):
+    return flat(ingest.valid_rows(_cleaned(spark, sf_dir)).drop("identifier_key"))
+
+
+@query
+def row_errors(spark, sf_dir):
+    return flat(ingest.row_errors(_cleaned(spark, sf_dir)))
+
+
+@query
+def transform_summary(spark, sf_dir):
+    return ingest.transform_summary(_cleaned(spark, sf_dir))
+
+
+@query
+def identifier_key(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select("row_index", "identifier_key")
+
+
+def _packed_orders(spark, sf_dir):
+    return ingest.packed_rows(ingest.valid_rows(_cleaned(spark, sf_dir)), ORDERS)
+
+
+def _packed_events(spark, sf_dir):
+    return ingest.packed_rows(_event_rows(spark, sf_dir), EVENTS, "row_id")
+
+
+def _shown(packed):
+    """Maps as text, in the declared order of their keys."""
+    return packed.withColumns({c: F.to_json(c) for c in ("identifiers", "metrics", "attributes") if c in packed.columns})
+
+
+@query
+def packed_rows(spark, sf_dir):
+    return flat(_shown(_packed_orders(spark, sf_dir).drop("metrics")))
+
+
+@query
+def dataset_page(spark, sf_dir):
+    page = ingest.dataset_page(
+        _packed_orders(spark, sf_dir), limit=50, offset=25, date_to=dt.date(1998, 1, 1)
+    )
+    return flat(page.select("row_id", "date", "identifier_key"))
+
+
+@query
+def unique_identifiers(spark, sf_dir):
+    return flat(_shown(ingest.unique_identifiers(_packed_events(spark, sf_dir))))
+
+
+def _registry(spark, sf_dir):
+    """Two datasets with the statistics of their rows."""
+    registry = datasets.empty_registry(spark)
+    for day, s in ((1, EVENTS), (2, ORDERS)):
+        registry = datasets.create_dataset(
+            registry,
+            s.dataset_id,
+            dt.datetime(2002, 1, day),
+            name=s.name,
+            date_column=s.date_column,
+            identifier_columns=s.identifiers,
+            metric_columns=s.metrics,
+            attribute_columns=s.attributes,
+        )
+    both = _packed_events(spark, sf_dir).unionByName(_packed_orders(spark, sf_dir))
+    return datasets.add_stats(registry, both), both
+
+
+@query
+def dataset_list(spark, sf_dir):
+    """Newest first; one dataset's roles were changed after its rows came in."""
+    registry, _ = _registry(spark, sf_dir)
+    changed = datasets.update_schema(registry, 2, dt.datetime(2002, 1, 3), '{"name": "renamed", "metric_columns": []}')
+    listed = datasets.list_datasets(changed)
+    return flat(
+        listed.select(
+            "dataset_id",
+            "name",
+            "date_column",
+            F.array_join("identifier_columns", ",").alias("identifier_columns"),
+            F.array_join("metric_columns", ",").alias("metric_columns"),
+            "row_count",
+        )
+    )
+
+
+@query
+def dataset_stats(spark, sf_dir):
+    registry, _ = _registry(spark, sf_dir)
+    return flat(registry.select("dataset_id", "row_count", "date_range_start", "date_range_end"))
+
+
+@query
+def data_stats(spark, sf_dir):
+    registry, rows = _registry(spark, sf_dir)
+    stats = rep.data_stats(registry, rows, fixtures.raw_daily(spark, sf_dir))
+    return flat(stats.withColumns({c: F.col(c).cast("double") for c in ("datasets", "stores", "skus")}))
+
+
+# --- profiling -----------------------------------------------------------------------------------
+
+
+def _text_cells(spark, sf_dir):
+    return prof.cells(fixtures.dirty_orders(spark, sf_dir), "row_index")
+
+
+@query
+def profile_columns(spark, sf_dir):
+    long = _text_cells(spark, sf_dir)
+    counts = prof.column_counts(long)
+    samples = prof.sample_values(long).withColumn("sample_values", F.array_join("sample_values", "|"))
+    return flat(
+        counts.join(samples.select("ordinal", "sample_values"), "ordinal")
+        .select("ordinal", "column_name", "total_count", "null_count", "unique_count", "cardinality_ratio", "sample_values"),
+        9,
+    )
+
+
+@query
+def profile_numeric(spark, sf_dir):
+    lines = fixtures.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+    )
+    return flat(prof.numeric_stats(prof.cells(lines, "l_orderkey")), 4)
+
+
+@query
+def detect_types(spark, sf_dir):
+    long = _text_cells(spark, sf_dir)
+    types = prof.detect_types(long, prof.column_counts(long))
+    return types.select("column_name", "detected_type")
+
+
+def _roles(spark, sf_dir, name, order):
+    long = prof.cells(fixtures.table(spark, sf_dir, name), order)
+    return prof.suggest_roles(prof.detect_types(long, prof.column_counts(long)))
+
+
+@query
+def suggest_roles(spark, sf_dir):
+    parts = [_roles(spark, sf_dir, "part", "p_partkey"), _roles(spark, sf_dir, "events", "event_id")]
+    return parts[0].unionByName(parts[1]).select("column_name", "detected_type", "suggested_role", "role_confidence")
+
+
+@query
+def suggest_schema(spark, sf_dir):
+    found = prof.suggest_schema(_roles(spark, sf_dir, "events", "event_id"))
+    return found.select(
+        "date_column",
+        *[F.array_join(c, ",").alias(c) for c in ("identifiers", "metrics", "warnings")],
+    )
