@@ -116,13 +116,14 @@ def fit_forest(training: DataFrame, inputs, settings: DetectionSettings = DEFAUL
         .filter(F.col("rank") <= size)
     )
     inputs = list(inputs)
+    columns = ["scope", "tree", "sample_size", "feature", "threshold", "left", "right", "path"]
 
-    def grow(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(key, rows):
         scope, tree = key
         points = rows.sort_values("rank")[inputs].to_numpy(dtype=float)
         rng = np.random.default_rng([seed, zlib.crc32(scope.encode()), int(tree)])
         nodes = grow_tree(points, rng)
-        return pd.DataFrame([(scope, int(tree), len(points), *nodes)], columns=["scope", "tree", "sample_size", "feature", "threshold", "left", "right", "path"])
+        return pd.DataFrame([(scope, int(tree), len(points), *nodes)], columns=columns)
 
     return sample.select("scope", "tree", "rank", *inputs).groupBy("scope", "tree").applyInPandas(grow, TREES)
 
@@ -141,7 +142,7 @@ def score_rows(rows: DataFrame, trees: DataFrame, inputs, rows_per_group: int =
     ).drop("parts")
     columns = [*rows.columns, "score"]
 
-    def score(group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    def score(group, model):
         if group.empty or model.empty:
             return pd.DataFrame(columns=columns)
         points = group[inputs].to_numpy(dtype=float)

@@ -36,8 +36,12 @@ def query(fn):
     return fn
 
 
-def flat(df: DataFrame, rounded: int | None = None) -> DataFrame:
-    """Dates as ISO text, whole numbers as bigint, decimals as (optionally rounded) double."""
+def flat(df: DataFrame, rounded: int | None = None, nudge: float = 0.0) -> DataFrame:
+    """Dates as ISO text, whole numbers as bigint, decimals as (optionally rounded) double.
+
+    ``nudge`` is added before rounding where exact ties are common, so that noise in the last bit
+    cannot send the two engines to different sides of a tie.
+    """
     out = []
     for name, kind in df.dtypes:
         c = F.col(name)
@@ -46,7 +50,7 @@ def flat(df: DataFrame, rounded: int | None = None) -> DataFrame:
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
         elif kind == "double" and rounded is not None:
-            c = F.round(c, rounded)
+            c = F.round(c + nudge if nudge else c, rounded)
         out.append(c.alias(name))
     return df.select(*out)
 
@@ -432,7 +436,7 @@ def _baseline(spark, sf_dir):
 def feature_baseline(spark, sf_dir):
     df = _baseline(spark, sf_dir)
     stats = [f"{name}_{stat}" for name in feat.REASON_FEATURES for stat in ("mean", "std")]
-    return flat(df.select("date", "store_id", "sku_id", "baseline_rows", *stats), 5)
+    return flat(df.select("date", "store_id", "sku_id", "baseline_rows", *stats), 5, 1e-8)
 
 
 @query
@@ -458,7 +462,7 @@ def forest_reasons(spark, sf_dir):
     """The features that stand out, per daily row and rank."""
     told = _baseline(spark, sf_dir)
     found = told.select("date", "store_id", "sku_id", F.posexplode(forest.notable_z(told)).alias("rank", "r"))
-    return flat(found.select("date", "store_id", "sku_id", "rank", "r.feature", "r.value", "r.mean", "r.z"), 4)
+    return flat(found.select("date", "store_id", "sku_id", "rank", "r.feature", "r.value", "r.mean", "r.z"), 4, 1e-8)
 
 
 @query

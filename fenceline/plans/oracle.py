@@ -171,6 +171,179 @@ items AS (
 )"""
 )
 
+BASELINE = (
+    FEATURES
+    + """,
+windowed AS (
+  SELECT *, count(*) OVER r AS pair_rows, count(*) OVER s AS store_rows
+         {columns}
+  FROM features
+  WINDOW r AS (PARTITION BY store_id, sku_id ORDER BY date
+               RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING),
+         s AS (PARTITION BY store_id ORDER BY date
+               RANGE BETWEEN INTERVAL 28 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING)
+),
+baseline AS (
+  SELECT date, store_id, sku_id, sold, delivered, returned, delta_on_hand, price,
+         CASE WHEN pair_rows >= 5 THEN pair_rows ELSE store_rows END AS baseline_rows {stats}
+  FROM windowed
+)"""
+)
+_REASON_FEATURES = ("sold", "delivered", "returned", "delta_on_hand", "price")
+BASELINE = BASELINE.replace(
+    "{columns}",
+    "".join(
+        f", count({c}) OVER {w} AS {c}_{w}_n, avg({c}) OVER {w} AS {c}_{w}_mean, stddev_pop({c}) OVER {w} AS {c}_{w}_std\n"
+        for c in _REASON_FEATURES
+        for w in "rs"
+    ),
+).replace(
+    "{stats}",
+    "".join(
+        f""",
+         CASE WHEN baseline_rows = 0 THEN NULL WHEN pair_rows >= 5 AND {c}_r_n > 0 THEN {c}_r_mean
+              WHEN pair_rows < 5 AND {c}_s_n > 0 THEN {c}_s_mean ELSE 0 END AS {c}_mean,
+         CASE WHEN baseline_rows = 0 THEN NULL WHEN pair_rows >= 5 AND {c}_r_n > 1 THEN {c}_r_std
+              WHEN pair_rows < 5 AND {c}_s_n > 1 THEN {c}_s_std ELSE 1 END AS {c}_std"""
+        for c in _REASON_FEATURES
+    ),
+)
+
+SCOPES = (
+    FEATURES
+    + """,
+scope_day AS (
+  SELECT 'store:' || store_id AS scope, date, count(*) AS n FROM features GROUP BY ALL
+  UNION ALL SELECT 'global', date, count(*) FROM features GROUP BY ALL
+),
+training AS (
+  SELECT scope, date, coalesce(sum(n) OVER (PARTITION BY scope ORDER BY date
+           RANGE BETWEEN INTERVAL 91 DAYS PRECEDING AND INTERVAL 1 DAYS PRECEDING), 0)::BIGINT AS training_rows
+  FROM scope_day
+),
+cutoff AS (SELECT scope, min(date) AS cutoff FROM training WHERE training_rows >= 100 GROUP BY scope)"""
+)
+
+# The interpolation is spelled out from the ordered values, so that both sides do the same arithmetic.
+EVENTS = """
+event AS (
+  SELECT event_id AS row_id, CAST(ts AS DATE) AS date, event_type, CAST(user_id AS VARCHAR) AS user_id, value,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, props,
+         left(sha256('event_type=' || event_type || '|user_id=' || CAST(user_id AS VARCHAR)), 32) AS identifier_key,
+         'event_type=' || event_type || ', user_id=' || CAST(user_id AS VARCHAR) AS label
+  FROM events
+),
+metric AS (
+  SELECT row_id, date, identifier_key, label, 0 AS metric_order, 'value' AS metric_name, value AS actual_value FROM event WHERE value IS NOT NULL
+  UNION ALL SELECT row_id, date, identifier_key, label, 1, 'k', k FROM event WHERE k IS NOT NULL
+),
+ordered AS (SELECT metric_name, count(*) AS n, list(actual_value ORDER BY actual_value) AS v FROM metric GROUP BY ALL),
+neighbour AS (
+  SELECT metric_name, n, (n - 1) * 0.25 - floor((n - 1) * 0.25) AS f1, (n - 1) * 0.75 - floor((n - 1) * 0.75) AS f3,
+         v[floor((n - 1) * 0.25)::BIGINT + 1] AS a1, v[least(floor((n - 1) * 0.25)::BIGINT + 2, n)] AS b1,
+         v[floor((n - 1) * 0.75)::BIGINT + 1] AS a3, v[least(floor((n - 1) * 0.75)::BIGINT + 2, n)] AS b3
+  FROM ordered WHERE n >= 10
+),
+quartile AS (
+  SELECT metric_name, CASE WHEN f1 < 0.5 THEN a1 + (b1 - a1) * f1 ELSE b1 - (b1 - a1) * (1 - f1) END AS q1,
+         CASE WHEN f3 < 0.5 THEN a3 + (b3 - a3) * f3 ELSE b3 - (b3 - a3) * (1 - f3) END AS q3
+  FROM neighbour
+),
+flex AS (
+  SELECT *, actual_value < lower_fence OR actual_value > upper_fence AS is_outlier,
+         CASE WHEN actual_value < lower_fence THEN actual_value - lower_fence
+              WHEN actual_value > upper_fence THEN actual_value - upper_fence ELSE 0 END AS outlier_distance
+  FROM (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence
+        FROM metric JOIN quartile USING (metric_name))
+)"""
+
+ORDERS = """
+dirty AS (
+  SELECT o_orderkey AS row_index,
+         CASE WHEN o_orderkey % 19 = 5 THEN 'not a date'
+              WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+              WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%d/%m/%Y')
+              ELSE CAST(epoch(o_orderdate)::BIGINT AS VARCHAR) END AS order_date,
+         CASE WHEN o_orderkey % 17 = 3 THEN NULL WHEN o_orderkey % 17 = 4 THEN '  '
+              ELSE ' C' || o_custkey || ' ' END AS customer,
+         CASE WHEN o_orderkey % 17 = 5 THEN NULL ELSE 'P' || o_orderpriority[1] END AS priority,
+         CASE WHEN o_orderkey % 17 = 3 THEN 'not a number' WHEN o_orderkey % 17 = 6 THEN NULL
+              ELSE '$' || cents // 100000 || ',' || lpad(CAST(cents // 100 % 1000 AS VARCHAR), 3, '0')
+                   || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS total,
+         o_orderstatus AS status
+  FROM (SELECT *, floor(o_totalprice * 100 + 0.5)::BIGINT AS cents FROM orders)
+),
+parsed AS (
+  SELECT row_index,
+         CASE WHEN regexp_full_match(order_date, '\\d+') THEN DATE '1970-01-01' + (CAST(order_date AS BIGINT) // 86400)::INTEGER
+              ELSE CAST(coalesce(try_strptime(order_date, '%Y-%m-%d'), try_strptime(order_date, '%d/%m/%Y')) AS DATE) END AS date,
+         trim(customer) AS customer, trim(priority) AS priority,
+         TRY_CAST(regexp_replace(total, '[$,]', '', 'g') AS DOUBLE) AS total, status
+  FROM dirty
+),
+keyed AS (
+  SELECT *, coalesce(customer, priority) IS NULL AS no_id, total IS NULL AS no_metric,
+         CASE WHEN coalesce(customer, priority) IS NOT NULL
+              THEN left(sha256(concat_ws('|', 'customer=' || customer, 'priority=' || priority)), 32) END AS identifier_key
+  FROM parsed
+)"""
+
+
+def _cells(select: str, columns: list[str], order: str) -> str:
+    """(ordinal, column_name, value, pos) of the text of some columns."""
+    parts = [
+        f"SELECT {i} AS ordinal, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, {order} AS pos FROM {select}"
+        for i, c in enumerate(columns)
+    ]
+    return "cell AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _contains(words: str) -> str:
+    return "(" + " OR ".join(f"contains(lower(column_name), '{w}')" for w in words.split()) + ")"
+
+
+ID_HINT = _contains(
+    "id code key name store product sku item customer user location branch region category department supplier vendor"
+)
+METRIC_HINT = _contains(
+    "amount total count qty quantity price cost value sales revenue profit stock inventory sold returned delivered units "
+    "volume weight score rating percent rate avg sum balance"
+)
+DATE_HINT = _contains("date time day month year created updated timestamp dt")
+
+COUNTED = """,
+counted AS (
+  SELECT ordinal, column_name, count(*) AS total, count(*) - count(value) AS nulls, count(DISTINCT value) AS uniques
+  FROM cell GROUP BY ALL
+)"""
+
+ROLES = """,
+typed AS (
+  SELECT ordinal, column_name, uniques, uniques / total AS ratio,
+         CASE WHEN column_name IN ({integers}) THEN 'integer' WHEN column_name IN ({floats}) THEN 'float'
+              WHEN column_name IN ({times}) THEN 'datetime'
+              WHEN uniques / (total - nulls) < 0.5 THEN 'categorical' ELSE 'text' END AS detected_type
+  FROM counted
+),
+role AS (
+  SELECT *, CASE WHEN detected_type = 'datetime' THEN ['date', '0.95']
+       WHEN {id} AND detected_type IN ('categorical', 'text', 'integer') THEN ['identifier', '0.8']
+       WHEN {metric} AND detected_type IN ('integer', 'float') THEN ['metric', '0.9']
+       WHEN detected_type IN ('categorical', 'text') AND ratio < 0.1 AND uniques < 1000 THEN ['identifier', '0.7']
+       WHEN detected_type IN ('categorical', 'text') AND ratio < 0.3 THEN ['identifier', '0.5']
+       WHEN detected_type IN ('integer', 'float') AND ratio > 0.1 THEN ['metric', '0.7']
+       WHEN detected_type IN ('integer', 'float') AND uniques < 50 THEN ['identifier', '0.5']
+       WHEN detected_type IN ('integer', 'float') THEN ['metric', '0.6']
+       ELSE ['attribute', '0.3'] END AS r
+  FROM typed
+)"""
+ROLES = ROLES.format(
+    integers="'p_partkey', 'p_size', 'user_id'", floats="'p_retailprice', 'value'", times="'ts'", id=ID_HINT, metric=METRIC_HINT
+)
+PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+EVENT_COLUMNS = ["ts", "user_id", "event_type", "value", "props"]
+DIRTY_COLUMNS = ["order_date", "customer", "priority", "total", "status"]
+
 CREATED = "'Incident created by automated detection. Triggered by: tukey'"
 
 CHANGES = (
@@ -400,4 +573,185 @@ def oracle_sql() -> dict[str, str]:
     sql["duplicate_keys"] = """SELECT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, CAST(l_suppkey AS VARCHAR) AS store_id,
                CAST(l_partkey % 100 AS VARCHAR) AS sku_id, count(*) AS rows
         FROM lineitem GROUP BY ALL HAVING count(*) > 1"""
+    keys = "CAST(date AS VARCHAR) AS date, store_id, sku_id"
+    stats = ", ".join(f"round({c}_{x} + 1e-8, 5) AS {c}_{x}" for c in _REASON_FEATURES for x in ("mean", "std"))
+    sql["feature_baseline"] = _with(BASELINE, f"SELECT {keys}, baseline_rows, {stats} FROM baseline")
+    sql["forest_features"] = _with(
+        FEATURES,
+        f"""SELECT {keys}, CAST(sold AS DOUBLE) AS sold, CAST(delivered AS DOUBLE) AS delivered, CAST(returned AS DOUBLE) AS returned,
+               CAST(coalesce(delta_on_hand, 0) AS DOUBLE) AS delta_on_hand, price, CAST(promo_flag AS DOUBLE) AS promo_flag,
+               CAST(day_of_week AS DOUBLE) AS day_of_week FROM features""",
+    )
+    sql["forest_training_counts"] = _with(
+        SCOPES, "SELECT scope, CAST(date AS VARCHAR) AS date, training_rows FROM training"
+    )
+    sql["forest_scope"] = _with(
+        SCOPES,
+        f"""SELECT {keys}, CASE WHEN f.date >= s.cutoff THEN s.scope WHEN f.date >= (SELECT cutoff FROM cutoff WHERE scope = 'global')
+               THEN 'global' ELSE 'none' END AS scope
+        FROM features f LEFT JOIN cutoff s ON s.scope = 'store:' || f.store_id""",
+    )
+    zs = " UNION ALL ".join(
+        f"""SELECT date, store_id, sku_id, {i} AS i, '{c}' AS feature, CAST(coalesce({c}, 0) AS DOUBLE) AS value, {c}_mean AS mean,
+            CASE WHEN {c}_std > 0 THEN (coalesce({c}, 0) - {c}_mean) / {c}_std ELSE 0 END AS z FROM baseline WHERE baseline_rows > 0"""
+        for i, c in enumerate(_REASON_FEATURES)
+    )
+    sql["forest_reasons"] = _with(
+        BASELINE,
+        f"""SELECT {keys}, rank - 1 AS rank, feature, round(value + 1e-8, 4) AS value, round(mean + 1e-8, 4) AS mean, round(z + 1e-8, 4) AS z
+        FROM (SELECT *, row_number() OVER (PARTITION BY date, store_id, sku_id ORDER BY round(abs(z), 9) DESC, i) AS rank FROM ({zs}))
+        WHERE rank <= 3 AND round(abs(z), 9) > 1.5""",
+    )
+    sql["flexible_tukey"] = _with(
+        EVENTS,
+        """SELECT row_id, CAST(date AS VARCHAR) AS date, identifier_key, label, metric_name, round(actual_value, 6) AS actual_value,
+               round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lower_fence, 6) AS lower_fence,
+               round(upper_fence, 6) AS upper_fence, round(outlier_distance, 6) AS outlier_distance, is_outlier FROM flex""",
+    )
+    sql["flexible_zscores"] = _with(
+        EVENTS,
+        """SELECT row_id, metric_name, round(CASE WHEN std > 0 THEN abs((actual_value - mean) / std) / (1 + 1e-8) ELSE 0 END, 6) AS z
+        FROM (SELECT * FROM metric WHERE row_id IN (SELECT row_id FROM event WHERE value IS NOT NULL AND k IS NOT NULL))
+        JOIN (SELECT metric_name, avg(actual_value) AS mean, stddev_pop(actual_value) AS std FROM metric
+              WHERE row_id IN (SELECT row_id FROM event WHERE value IS NOT NULL AND k IS NOT NULL) GROUP BY ALL) USING (metric_name)""",
+    )
+    sql["flexible_detections"] = _with(
+        EVENTS,
+        """SELECT CAST(date AS VARCHAR) AS date, 'tukey' AS detector_type, metric_name, count(*) AS results,
+               count(*) FILTER (is_outlier) AS outliers FROM flex GROUP BY ALL""",
+    )
+    sql["flexible_incidents"] = _with(
+        EVENTS
+        + """,
+        flagged AS (
+          SELECT *, row_number() OVER (PARTITION BY identifier_key ORDER BY metric_order, date, row_id) AS rank,
+                 '• ' || metric_name || ' value ' || printf('%.2f', actual_value) || ' is '
+                 || CASE WHEN actual_value < lower_fence THEN 'below' ELSE 'above' END || ' normal range ' AS line
+          FROM flex WHERE is_outlier
+        )""",
+        """SELECT left(sha256('1_' || identifier_key || '_' || min(date)), 32) AS incident_id, CAST(min(date) AS VARCHAR) AS date,
+               left(any_value(label), 50) AS store_id, CAST(1 AS BIGINT) AS dataset_id, 'open' AS status,
+               CAST(least(35 + 5 * count(*), 100) AS DOUBLE) AS severity_score,
+               'Anomalies in ' || string_agg(DISTINCT metric_name, ', ' ORDER BY metric_name) || ' for ' || any_value(label) AS headline,
+               CAST(1 AS BIGINT) AS sku_count, CAST(0 AS DOUBLE) AS estimated_impact, 'tukey' AS detectors_triggered,
+               string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) AS description
+        FROM flagged GROUP BY identifier_key""",
+    )
+    sql["csv_scan"] = _with(ORDERS, "SELECT row_index, order_date, priority, status, total FROM dirty")
+    sql["preview_rows"] = _with(ORDERS, "SELECT * FROM dirty ORDER BY row_index LIMIT 20")
+    sql["parse_dates"] = _with(
+        ORDERS, "SELECT row_index, order_date, CAST(date AS VARCHAR) AS parsed FROM dirty JOIN parsed USING (row_index)"
+    )
+    sql["parse_numbers"] = _with(
+        ORDERS, "SELECT row_index, d.total, p.total AS parsed FROM dirty d JOIN parsed p USING (row_index)"
+    )
+    sql["valid_rows"] = _with(
+        ORDERS,
+        """SELECT row_index, CAST(date AS VARCHAR) AS date, customer, priority, total, status
+        FROM keyed WHERE NOT no_id AND NOT no_metric""",
+    )
+    sql["row_errors"] = _with(
+        ORDERS,
+        """SELECT row_index + 2 AS row, 'All identifier columns are empty' AS error FROM keyed WHERE no_id
+        UNION ALL SELECT row_index + 2, 'All metric columns are empty' FROM keyed WHERE no_metric ORDER BY 1, 2 LIMIT 50""",
+    )
+    sql["transform_summary"] = _with(
+        ORDERS,
+        """SELECT count(*) AS total_rows, count(*) FILTER (NOT no_id AND NOT no_metric) AS valid_rows,
+               count(*) FILTER (no_id OR no_metric) AS error_rows FROM keyed""",
+    )
+    sql["identifier_key"] = _with(ORDERS, "SELECT row_index, identifier_key FROM keyed")
+    sql["packed_rows"] = _with(
+        ORDERS,
+        """SELECT CAST(2 AS BIGINT) AS dataset_id, row_index AS row_id, CAST(date AS VARCHAR) AS date,
+               '{' || concat_ws(',', '"customer":"' || customer || '"', '"priority":"' || priority || '"') || '}' AS identifiers,
+               '{"status":"' || status || '"}' AS attributes, identifier_key
+        FROM keyed WHERE NOT no_id AND NOT no_metric""",
+    )
+    sql["dataset_page"] = _with(
+        ORDERS,
+        """SELECT row_index AS row_id, CAST(date AS VARCHAR) AS date, identifier_key FROM keyed
+        WHERE NOT no_id AND NOT no_metric AND date <= DATE '1998-01-01' ORDER BY keyed.date DESC, row_index LIMIT 50 OFFSET 25""",
+    )
+    sql["unique_identifiers"] = _with(
+        EVENTS,
+        """SELECT identifier_key, '{"event_type":"' || event_type || '","user_id":"' || user_id || '"}' AS identifiers,
+               count(*) AS rows FROM event GROUP BY ALL""",
+    )
+    sets = """, stat AS (
+      SELECT 1 AS id, count(*) AS n, min(date) AS a, max(date) AS b FROM event
+      UNION ALL SELECT 2, count(*), min(date), max(date) FROM keyed WHERE NOT no_id AND NOT no_metric
+    )"""
+    sql["dataset_list"] = _with(
+        EVENTS + "," + ORDERS + sets,
+        """SELECT CAST(id AS BIGINT) AS dataset_id, CASE id WHEN 1 THEN 'events' ELSE 'renamed' END AS name,
+               CASE id WHEN 1 THEN 'day' ELSE 'order_date' END AS date_column,
+               CASE id WHEN 1 THEN 'event_type,user_id' ELSE 'customer,priority' END AS identifier_columns,
+               CASE id WHEN 1 THEN 'value,k' ELSE '' END AS metric_columns, n AS row_count FROM stat""",
+    )
+    sql["dataset_stats"] = _with(
+        EVENTS + "," + ORDERS + sets,
+        """SELECT CAST(id AS BIGINT) AS dataset_id, n AS row_count, CAST(a AS VARCHAR) AS date_range_start,
+               CAST(b AS VARCHAR) AS date_range_end FROM stat""",
+    )
+    sql["data_stats"] = _with(
+        EVENTS + "," + ORDERS + sets + "," + RAW,
+        """SELECT 'datasets' AS part, CAST(sum(n) AS BIGINT) AS rows, CAST(count(*) AS DOUBLE) AS datasets, CAST(NULL AS DOUBLE) AS stores,
+               CAST(NULL AS DOUBLE) AS skus, CAST(min(a) AS VARCHAR) AS date_from, CAST(max(b) AS VARCHAR) AS date_to FROM stat
+        UNION ALL
+        SELECT 'daily', count(*), NULL, count(DISTINCT store_id), count(DISTINCT sku_id), CAST(min(date) AS VARCHAR),
+               CAST(max(date) AS VARCHAR) FROM raw_daily""",
+    )
+    dirty = ORDERS + "," + _cells("dirty", DIRTY_COLUMNS, "row_index") + COUNTED
+    sql["profile_columns"] = _with(
+        dirty,
+        """SELECT CAST(ordinal AS BIGINT) AS ordinal, column_name, total AS total_count, nulls AS null_count, uniques AS unique_count,
+               round(uniques / total, 9) AS cardinality_ratio, sample_values
+        FROM counted JOIN (
+          SELECT ordinal, string_agg(value, '|' ORDER BY first, value) AS sample_values
+          FROM (SELECT ordinal, value, min(pos) AS first, row_number() OVER (PARTITION BY ordinal ORDER BY min(pos), value) AS rank
+                FROM cell WHERE value IS NOT NULL GROUP BY ordinal, value)
+          WHERE rank <= 5 GROUP BY ordinal) USING (ordinal)""",
+    )
+    sql["profile_numeric"] = " UNION ALL ".join(
+        f"""SELECT CAST({i} AS BIGINT) AS ordinal, round(CAST(min({c}) AS DOUBLE), 4) AS min_value, round(CAST(max({c}) AS DOUBLE), 4) AS max_value,
+            round(avg({c}), 4) AS mean_value, round(coalesce(stddev_samp({c}), 0), 4) AS std_value FROM lineitem"""
+        for i, c in enumerate(["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    )
+    sql["detect_types"] = _with(
+        dirty
+        + f""",
+        evidence AS (
+          SELECT ordinal, count(*) AS rows, count(*) FILTER (rank <= 10) AS n10, count(day) FILTER (rank <= 10) AS d10,
+                 count(*) FILTER (rank <= 20) AS n20, count(day) FILTER (rank <= 20 AND year(day) BETWEEN 1900 AND 2100) AS d20,
+                 count(DISTINCT lower(trim(value))) AS words,
+                 bool_and(lower(trim(value)) IN ('true','false','yes','no','y','n','1','0','t','f','on','off')) AS bools,
+                 bool_and(bare IN ('', 'nan', 'null', 'none', 'na') OR coalesce(TRY_CAST(bare AS DOUBLE) = floor(TRY_CAST(bare AS DOUBLE)), false)) AS ints,
+                 bool_and(money IN ('', 'nan', 'null', 'none', 'na') OR TRY_CAST(money AS DOUBLE) IS NOT NULL) AS nums,
+                 count(TRY_CAST(money AS DOUBLE)) AS nnum
+          FROM (
+            SELECT *, coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%d/%m/%Y')) AS day,
+                   regexp_replace(value, '[, ]', '', 'g') AS bare, regexp_replace(value, '[, £$€]', '', 'g') AS money,
+                   row_number() OVER (PARTITION BY ordinal ORDER BY pos) AS rank
+            FROM cell WHERE value IS NOT NULL
+          ) WHERE rank <= 100 GROUP BY ordinal
+        )""",
+        f"""SELECT column_name, CASE WHEN CASE WHEN {DATE_HINT} THEN d10 * 2 >= n10 ELSE d20 * 2 >= n20 END THEN 'date'
+               WHEN words <= 2 AND bools THEN 'boolean' WHEN ints THEN 'integer' WHEN nums AND nnum >= rows * 0.8 THEN 'float'
+               WHEN uniques / (total - nulls) < 0.5 THEN 'categorical' ELSE 'text' END AS detected_type
+        FROM counted JOIN evidence USING (ordinal)""",
+    )
+    part_and_events = [
+        _with(_cells(table, columns, order) + COUNTED + ROLES, "SELECT column_name, detected_type, r FROM role")
+        for table, columns, order in (("part", PART_COLUMNS, "p_partkey"), ("events", EVENT_COLUMNS, "event_id"))
+    ]
+    sql["suggest_roles"] = f"""SELECT column_name, detected_type, r[1] AS suggested_role, CAST(r[2] AS DOUBLE) AS role_confidence
+        FROM (SELECT * FROM ({part_and_events[0]}) UNION ALL SELECT * FROM ({part_and_events[1]}))"""
+    sql["suggest_schema"] = _with(
+        _cells("events", EVENT_COLUMNS, "event_id") + COUNTED + ROLES,
+        """SELECT arg_min(column_name, ordinal) FILTER (r[1] = 'date') AS date_column,
+               coalesce(string_agg(column_name, ',' ORDER BY r[2] DESC, ordinal) FILTER (r[1] = 'identifier'), '') AS identifiers,
+               coalesce(string_agg(column_name, ',' ORDER BY r[2] DESC, ordinal) FILTER (r[1] = 'metric'), '') AS metrics,
+               '' AS warnings FROM role""",
+    )
     return sql
