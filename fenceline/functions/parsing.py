@@ -9,6 +9,12 @@ CURRENCY_AND_SEPARATORS = r"[£$€,\s]"
 UNIX_SECONDS_ABOVE = 50_000
 SPREADSHEET_EPOCH = "1899-12-30"
 SECONDS_PER_DAY = 86_400
+DAY_FIRST = (
+    "[d/M/yyyy][d-M-yyyy][d.M.yyyy][yyyy/M/d][yyyy.M.d]"
+    "[MMMM d, yyyy][MMMM d yyyy][MMM d, yyyy][MMM d yyyy][d MMMM yyyy][d MMM yyyy]"
+)
+MONTH_FIRST = "[M/d/yyyy][M-d-yyyy][M.d.yyyy]"
+HAS_YEAR = r"\d{4}"
 TIME_OF_DAY = r"[T ]+\d{1,2}:\d{2}.*$"
 
 
@@ -31,25 +37,15 @@ def date_from_number(number: Column) -> Column:
 
 
 def date_from_text(text: Column) -> Column:
-    """ISO first, then day-first numeric forms, then month names; a time of day is ignored."""
-    day = F.regexp_replace(F.trim(text), TIME_OF_DAY, "")
-    slashed = F.regexp_replace(day, r"[.-]", "/")
-    words = F.regexp_replace(F.regexp_replace(day, ",", " "), r"\s+", " ")
-    return (
-        F.when(day.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), day.try_cast("date"))
-        .when(slashed.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_date(slashed, "yyyy/M/d"))
-        .when(
-            slashed.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"),
-            F.coalesce(F.try_to_date(slashed, "d/M/yyyy"), F.try_to_date(slashed, "M/d/yyyy")),
-        )
-        .when(
-            words.rlike(r"^[A-Za-z]+ \d{1,2} \d{4}$"),
-            F.coalesce(F.try_to_date(words, "MMMM d yyyy"), F.try_to_date(words, "MMM d yyyy")),
-        )
-        .when(
-            words.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"),
-            F.coalesce(F.try_to_date(words, "d MMMM yyyy"), F.try_to_date(words, "d MMM yyyy")),
-        )
+    """ISO first, then day-first numeric forms, then month names; a time of day is ignored.
+
+    One formatter with optional parts reads all forms but ISO; only a month above 12 needs a second.
+    """
+    trimmed = F.trim(text)
+    day = F.when(trimmed.contains(":"), F.regexp_replace(trimmed, TIME_OF_DAY, "")).otherwise(trimmed)
+    iso = (F.substring(trimmed, 5, 1) == "-") & (F.length(trimmed) >= 8)
+    return F.when(iso, trimmed.try_cast("date")).when(
+        day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
     )
 
 

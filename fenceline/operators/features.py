@@ -91,31 +91,27 @@ def _store_baseline(features: DataFrame, settings: DetectionSettings) -> DataFra
         "store_id",
         "day_number",
         F.sum("day_rows").over(recent).alias("store_rows"),
+        *[F.sum(F.col(name)["n"]).over(recent).alias(f"{name}_store_n") for name in REASON_FEATURES],
+        *[F.sum(F.col(name)["n"] * F.col(name)["mean"]).over(recent).alias(f"{name}_sum") for name in REASON_FEATURES],
+        *[F.sum(F.col(name)["m2"]).over(recent).alias(f"{name}_m2") for name in REASON_FEATURES],
         *[F.collect_list(name).over(recent).alias(name) for name in REASON_FEATURES],
     )
-
-    def total(days, term):
-        return F.aggregate(days, F.lit(0.0), lambda acc, d: acc + term(d))
-
-    sums = seen.select(
-        "*",
-        *[total(F.col(name), lambda d: d["n"].cast("double")).alias(f"{name}_n") for name in REASON_FEATURES],
-        *[total(F.col(name), lambda d: d["n"] * d["mean"]).alias(f"{name}_sum") for name in REASON_FEATURES],
-    )
-    means = sums.select(
-        "*", *[F.try_divide(f"{name}_sum", f"{name}_n").alias(f"{name}_avg") for name in REASON_FEATURES]
+    means = seen.select(
+        "*", *[F.try_divide(f"{name}_sum", f"{name}_store_n").alias(f"{name}_store_mean") for name in REASON_FEATURES]
     )
 
     def spread(name):
-        centre = F.col(f"{name}_avg")
-        m2 = total(F.col(name), lambda d: d["m2"] + d["n"] * (d["mean"] - centre) * (d["mean"] - centre))
-        return F.sqrt(F.try_divide(m2, F.col(f"{name}_n")))
+        centre = F.col(f"{name}_store_mean")
+        between = F.aggregate(
+            name, F.lit(0.0), lambda acc, d: acc + d["n"] * (d["mean"] - centre) * (d["mean"] - centre)
+        )
+        return F.sqrt(F.try_divide(F.col(f"{name}_m2") + between, F.col(f"{name}_store_n")))
 
     return means.select(
         "store_id",
         "day_number",
         "store_rows",
-        *[F.col(f"{name}_n").cast("bigint").alias(f"{name}_store_n") for name in REASON_FEATURES],
-        *[F.col(f"{name}_avg").alias(f"{name}_store_mean") for name in REASON_FEATURES],
+        *[f"{name}_store_n" for name in REASON_FEATURES],
+        *[f"{name}_store_mean" for name in REASON_FEATURES],
         *[spread(name).alias(f"{name}_store_std") for name in REASON_FEATURES],
     )

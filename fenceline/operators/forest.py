@@ -5,6 +5,7 @@ rows are scored in groups of bounded size that meet a copy of their scope's tree
 convention: negative means more unusual than the contamination share of the training rows.
 """
 
+import math
 import zlib
 
 import numpy as np
@@ -26,6 +27,8 @@ EULER_GAMMA = 0.5772156649015329
 
 GLOBAL_SCOPE = "global"
 ROWS_PER_GROUP = 100_000
+# A scope's trees are grown in this many groups of at most 256 rows per tree.
+TREE_BUNDLES = 10
 SCORE_BLOCK = 1e-5
 TREES = (
     "scope string, tree int, sample_size int, feature array<int>, threshold array<double>, "
@@ -36,39 +39,44 @@ TREES = (
 # --- model -------------------------------------------------------------------------------------
 
 
-def average_path(n):
+def average_path(n: np.ndarray) -> np.ndarray:
     """Mean path length of an unsuccessful search among n points."""
     n = np.asarray(n, dtype=float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        longer = 2.0 * (np.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
+    many = np.maximum(n, 3.0)
+    longer = 2.0 * (np.log(many - 1.0) + EULER_GAMMA) - 2.0 * (many - 1.0) / many
     return np.where(n > 2, longer, np.where(n == 2, 1.0, 0.0))
 
 
 def grow_tree(points: np.ndarray, rng: np.random.Generator):
     """Node arrays of one random tree; ``feature`` is -1 at leaves, ``path`` their path length."""
-    limit = int(np.ceil(np.log2(max(len(points), 2))))
-    feature, threshold, left, right, path = [], [], [], [], []
-    stack = [(np.arange(len(points)), 0, None)]
+    limit = math.ceil(math.log2(max(len(points), 2)))
+    draws = iter(rng.random(4 * len(points)).tolist())  # two per split, fewer splits than points
+    feature, threshold, left, right, depths, sizes = [], [], [], [], [], []
+    stack = [(points, 0, -1, left)]
     while stack:
-        rows, depth, link = stack.pop()
+        part, depth, parent, side = stack.pop()
         node = len(feature)
-        if link is not None:
-            (left if link[1] else right)[link[0]] = node
-        feature.append(-1), threshold.append(0.0), left.append(-1), right.append(-1)
-        path.append(depth + float(average_path(len(rows))))
-        if depth >= limit or len(rows) <= 1:
+        if parent >= 0:
+            side[parent] = node
+        feature.append(-1)
+        threshold.append(0.0)
+        left.append(-1)
+        right.append(-1)
+        depths.append(depth)
+        sizes.append(len(part))
+        if depth >= limit or len(part) <= 1:
             continue
-        part = points[rows]
         low, high = part.min(axis=0), part.max(axis=0)
-        usable = np.flatnonzero(high > low)
+        usable = (high > low).nonzero()[0]
         if not len(usable):
             continue
-        f = int(rng.choice(usable))
-        cut = float(rng.uniform(low[f], high[f]))
+        f = int(usable[int(next(draws) * len(usable))])
+        cut = float(low[f] + (high[f] - low[f]) * next(draws))
         below = part[:, f] < cut
         feature[node], threshold[node] = f, cut
-        stack.append((rows[~below], depth + 1, (node, False)))
-        stack.append((rows[below], depth + 1, (node, True)))
+        stack.append((part[~below], depth + 1, node, right))
+        stack.append((part[below], depth + 1, node, left))
+    path = (np.array(depths) + average_path(sizes)).tolist()
     return feature, threshold, left, right, path
 
 
@@ -88,7 +96,7 @@ def score_points(trees: pd.DataFrame, points: np.ndarray) -> np.ndarray:
             below = points[index, np.maximum(f, 0)] < cut[node]
             node = np.where(inner, np.where(below, left[node], right[node]), node)
         total += np.asarray(t.path)[node]
-    scale = float(average_path(int(trees["sample_size"].iloc[0])))
+    scale = float(average_path(trees["sample_size"].iloc[0]))
     return -np.exp2(-(total / len(trees)) / scale) if scale > 0 else np.full(len(points), -1.0)
 
 
@@ -119,13 +127,15 @@ def fit_forest(training: DataFrame, inputs, settings: DetectionSettings = DEFAUL
     columns = ["scope", "tree", "sample_size", "feature", "threshold", "left", "right", "path"]
 
     def grow(key, rows):
-        scope, tree = key
-        points = rows.sort_values("rank")[inputs].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, zlib.crc32(scope.encode()), int(tree)])
-        nodes = grow_tree(points, rng)
-        return pd.DataFrame([(scope, int(tree), len(points), *nodes)], columns=columns)
-
-    return sample.select("scope", "tree", "rank", *inputs).groupBy("scope", "tree").applyInPandas(grow, TREES)
+        scope = key[0]
+        grown = []
+        for tree, own in rows.sort_values(["tree", "rank"]).groupby("tree"):
+            rng = np.random.default_rng([seed, zlib.crc32(scope.encode()), int(tree)])
+            grown.append((scope, int(tree), len(own), *grow_tree(own[inputs].to_numpy(dtype=float), rng)))
+        return pd.DataFrame(grown, columns=columns)
+
+    bundles = sample.select("scope", "tree", "rank", (F.col("tree") % TREE_BUNDLES).alias("bundle"), *inputs)
+    return bundles.groupBy("scope", "bundle").applyInPandas(grow, TREES)
 
 
 def score_rows(rows: DataFrame, trees: DataFrame, inputs, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:

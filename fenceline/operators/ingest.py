@@ -98,22 +98,29 @@ def clean(df: DataFrame, schema: DatasetSchema, row_index: str = "row_index") ->
     def empty(columns):
         return F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull() if columns else F.lit(False)
 
-    errors = F.array(
-        F.when(empty(schema.identifiers), F.lit(NO_IDENTIFIER)), F.when(empty(schema.metrics), F.lit(NO_METRIC))
+    no_id, no_metric = empty(schema.identifiers), empty(schema.metrics)
+    errors = (
+        F.when(no_id & no_metric, F.array(F.lit(NO_IDENTIFIER), F.lit(NO_METRIC)))
+        .when(no_id, F.array(F.lit(NO_IDENTIFIER)))
+        .when(no_metric, F.array(F.lit(NO_METRIC)))
+        .otherwise(F.array().cast("array<string>"))
     )
-    return typed.withColumn("errors", F.filter(errors, lambda e: e.isNotNull())).withColumn(
-        "identifier_key", identifier_key(schema)
+    return typed.select(
+        "*",
+        (~no_id & ~no_metric).alias("is_valid"),
+        errors.alias("errors"),
+        identifier_key(schema).alias("identifier_key"),
     )
 
 
 def valid_rows(cleaned: DataFrame) -> DataFrame:
-    return cleaned.filter(F.size("errors") == 0).drop("errors")
+    return cleaned.filter("is_valid").drop("is_valid", "errors")
 
 
 def row_errors(cleaned: DataFrame, row_index: str = "row_index", keep: int = KEPT_ERRORS) -> DataFrame:
     """The first errors by line; a row can have two."""
     return (
-        cleaned.filter(F.size("errors") > 0)
+        cleaned.filter("not is_valid")
         .select((F.col(row_index) + FIRST_DATA_LINE).alias("row"), F.explode("errors").alias("error"))
         .orderBy("row", "error")
         .limit(keep)
@@ -121,7 +128,7 @@ def row_errors(cleaned: DataFrame, row_index: str = "row_index", keep: int = KEP
 
 
 def transform_summary(cleaned: DataFrame) -> DataFrame:
-    valid = F.size("errors") == 0
+    valid = F.col("is_valid")
     return cleaned.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(valid).alias("valid_rows"),
