@@ -112,31 +112,36 @@ def flexible_zscores(rows: DataFrame, schema: DatasetSchema) -> DataFrame:
     )
 
 
-def _with_zscores(complete: DataFrame, schema: DatasetSchema) -> DataFrame:
-    """Complete rows with a ``zs`` array of struct(feature, z), computed in place from one small row."""
+def flexible_forest(rows: DataFrame, schema: DatasetSchema, settings: DetectionSettings = DEFAULTS) -> DataFrame | None:
+    """Score and flag of each complete row; None with fewer than two metrics or twenty rows.
+
+    One pass over the complete rows yields their count and, per metric, mean and deviation. Those few
+    numbers are the only thing the driver sees.
+    """
+    if len(schema.metrics) < 2:
+        return None
+    complete = complete_rows(with_label(rows, schema), schema)
     stats = complete.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[F.avg(c).alias(f"mean{i}") for i, c in enumerate(schema.metrics)],
         *[F.stddev_pop(c).alias(f"std{i}") for i, c in enumerate(schema.metrics)],
     ).first()
+    if stats["rows"] < settings.flexible_forest_min_rows:
+        return None
+    keyed = complete.select(
+        F.col("row_id").cast("string").alias("row_key"),
+        "row_id",
+        F.unix_date("date").alias("day"),
+        "identifier_key",
+        "label",
+        *schema.metrics,
+    )
     zs = []
     for i, c in enumerate(schema.metrics):
         mean, std = stats[f"mean{i}"], stats[f"std{i}"]
         z = F.abs((F.col(c) - mean) / std) / (1 + Z_SMOOTHING) if std else F.lit(0.0)
         zs.append(F.struct(F.lit(c).alias("feature"), z.alias("z")))
-    return complete.withColumn("zs", F.array(*zs))
-
-
-def flexible_forest(rows: DataFrame, schema: DatasetSchema, settings: DetectionSettings = DEFAULTS) -> DataFrame | None:
-    """Score and flag of each complete row; None with fewer than two metrics or twenty rows."""
-    if len(schema.metrics) < 2:
-        return None
-    complete = complete_rows(with_label(rows, schema), schema)
-    if complete.count() < settings.flexible_forest_min_rows:
-        return None
-    keyed = complete.select(
-        F.col("row_id").cast("string").alias("row_key"), "row_id", F.unix_date("date").alias("day"), "identifier_key", "label", *schema.metrics
-    )
-    scored = _with_zscores(single_scope_scores(keyed, schema.metrics, settings), schema)
+    scored = single_scope_scores(keyed, schema.metrics, stats["rows"], settings).withColumn("zs", F.array(*zs))
     order = F.transform(
         F.array_sort(F.transform("zs", lambda e, i: F.struct((-e["z"]).alias("a"), i.alias("i"), e.alias("e")))),
         lambda x: x["e"],

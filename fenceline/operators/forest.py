@@ -12,8 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fenceline.functions.quantiles import histogram_quantiles
+from fenceline.functions.quantiles import SMALL_DOMAIN, histogram_quantiles
 from fenceline.functions.text import fixed
 from fenceline.operators.features import REASON_FEATURES
 from fenceline.settings import DEFAULTS, DetectionSettings
@@ -26,7 +27,7 @@ MIN_REASON_Z = 1.5
 EULER_GAMMA = 0.5772156649015329
 
 GLOBAL_SCOPE = "global"
-ROWS_PER_GROUP = 100_000
+ROWS_PER_GROUP = 20_000
 # A scope's trees are grown in this many groups of at most 256 rows per tree.
 TREE_BUNDLES = 10
 SCORE_BLOCK = 1e-5
@@ -81,40 +82,53 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator):
 
 
 def score_points(trees: pd.DataFrame, points: np.ndarray) -> np.ndarray:
-    """-1 (unusual) to 0 (ordinary), all points at once per tree."""
+    """-1 (unusual) to 0 (ordinary), all points at once per tree.
+
+    Leaves lead to themselves, so every point takes the same number of steps.
+    """
+    sample = int(trees["sample_size"].iloc[0])
+    flat = np.ascontiguousarray(points).ravel()
+    start = np.arange(len(points)) * points.shape[1]
     total = np.zeros(len(points))
-    index = np.arange(len(points))
     for t in trees.itertuples():
         feature, cut = np.asarray(t.feature), np.asarray(t.threshold)
-        left, right = np.asarray(t.left), np.asarray(t.right)
+        leaf = feature < 0
+        own = np.arange(len(feature))
+        child = np.column_stack([np.where(leaf, own, t.right), np.where(leaf, own, t.left)]).ravel()
+        tested = np.where(leaf, 0, feature)
         node = np.zeros(len(points), dtype=np.int64)
-        while True:
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            below = points[index, np.maximum(f, 0)] < cut[node]
-            node = np.where(inner, np.where(below, left[node], right[node]), node)
+        for _ in range(math.ceil(math.log2(max(sample, 2)))):
+            below = flat[start + tested[node]] < cut[node]
+            node = child[2 * node + below]
         total += np.asarray(t.path)[node]
-    scale = float(average_path(trees["sample_size"].iloc[0]))
+    scale = float(average_path(sample))
     return -np.exp2(-(total / len(trees)) / scale) if scale > 0 else np.full(len(points), -1.0)
 
 
 def fit_forest(training: DataFrame, inputs, settings: DetectionSettings = DEFAULTS) -> DataFrame:
     """Trees per scope from rows with columns scope, row_key and the inputs.
 
-    A row enters a tree when its hash ranks among the 256 smallest of its scope. A generous hash
+    A row enters a tree when its hash ranks among the 256 smallest of its scope and tree. In a small
+    scope every row draws for every tree. In a large one a second hash first assigns the row to a
+    single tree, so it costs two hashes instead of a hundred and samples do not overlap. A generous
     threshold drops nearly all rows before anything is shuffled; the rank makes the sample exact,
     repeatable and independent of partitioning.
     """
-    size, seed = settings.forest_sample, settings.forest_seed
+    size, seed, tree_count = settings.forest_sample, settings.forest_seed, settings.forest_trees
+    wanted = size * 1.5 + 64
     counts = training.groupBy("scope").agg(F.count(F.lit(1)).alias("scope_rows"))
-    share = F.least((size * 1.5 + 64) / F.col("scope_rows"), F.lit(1.0))
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(settings.forest_trees - 1)),
-        lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), "scope", t, "row_key").alias("draw")),
+    large = F.col("scope_rows") >= tree_count * wanted
+    share = F.least(F.when(large, tree_count * wanted).otherwise(wanted) / F.col("scope_rows"), F.lit(1.0))
+
+    def draw(tree):
+        return F.struct(tree.alias("tree"), F.xxhash64(F.lit(seed), "scope", tree, "row_key").alias("draw"))
+
+    one = F.pmod(F.xxhash64(F.lit(seed + 1), "scope", "row_key"), F.lit(tree_count)).cast("int")
+    every = F.transform(F.sequence(F.lit(0), F.lit(tree_count - 1)), draw)
+    kept = F.filter(
+        F.when(large, F.array(draw(one))).otherwise(every),
+        lambda d: d["draw"] / F.lit(2.0**63) <= F.col("share") * 2 - 1,
     )
-    kept = F.filter(draws, lambda d: d["draw"] / F.lit(2.0**63) <= F.col("share") * 2 - 1)
     order = Window.partitionBy("scope", "tree").orderBy("draw", "row_key")
     sample = (
         training.join(counts, "scope")
@@ -158,14 +172,17 @@ def score_rows(rows: DataFrame, trees: DataFrame, inputs, rows_per_group: int =
         points = group[inputs].to_numpy(dtype=float)
         return group.assign(score=score_points(model.sort_values("tree"), points))[columns]
 
-    schema = rows.schema.add("score", "double")
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     return dealt.groupBy("scope", "part").cogroup(copies.groupBy("scope", "part")).applyInPandas(score, schema)
 
 
-def offsets(scored_training: DataFrame, contamination: float) -> DataFrame:
-    """Per scope, the score below which the contamination share of the training rows lies."""
+def offsets(scored_training: DataFrame, contamination: float, block: float | None = SCORE_BLOCK) -> DataFrame:
+    """Per scope, the score below which the contamination share of the training rows lies.
+
+    Without ``block`` the distinct scores of a scope are ordered in one piece.
+    """
     hist = scored_training.groupBy("scope", "score").agg(F.count(F.lit(1)).alias("w"))
-    return histogram_quantiles(hist, ["scope"], "score", "w", (contamination,), ("offset",), SCORE_BLOCK).drop("n")
+    return histogram_quantiles(hist, ["scope"], "score", "w", (contamination,), ("offset",), block).drop("n")
 
 
 def _scored(rows: DataFrame, training: DataFrame, trees: DataFrame, inputs, settings) -> DataFrame:
@@ -304,16 +321,15 @@ def forest_reasons(baseline: DataFrame) -> DataFrame:
     return baseline.withColumn("reasons", told)
 
 
-def forest_results(
-    features: DataFrame, baseline: DataFrame, settings: DetectionSettings = DEFAULTS
-) -> DataFrame:
+def forest_results(baseline: DataFrame, settings: DetectionSettings = DEFAULTS) -> DataFrame:
     """Score, flag and reasons for every daily row.
 
-    ``baseline`` is ``feature_baseline(features)``. Means and deviations travel through scoring as
-    plain doubles, and reasons are written afterwards, so no join by row is needed.
+    ``baseline`` is the output of ``feature_baseline``, stored, since several steps read it. Means and
+    deviations travel through scoring as plain doubles, and reasons are written afterwards, so no
+    join by row is needed.
     """
-    cuts = materialize(cutoffs(features, settings), "forest-cutoffs")
-    inputs = forest_features(features)
+    cuts = materialize(cutoffs(baseline, settings), "forest-cutoffs")
+    inputs = forest_features(baseline)
     training = training_rows(inputs, cuts, settings)
     trees = materialize(fit_forest(training, FEATURES, settings), "forest-trees")
 
@@ -350,15 +366,16 @@ def forest_results(
 
 
 def single_scope_scores(
-    rows: DataFrame, inputs, settings: DetectionSettings = DEFAULTS
+    rows: DataFrame, inputs, row_count: int, settings: DetectionSettings = DEFAULTS
 ) -> DataFrame:
     """One model for the whole table: fit on all rows, then score and flag the same rows."""
     scoped = rows.withColumn("scope", F.lit(GLOBAL_SCOPE))
     training = scoped.select("scope", "row_key", *inputs)
     trees = materialize(fit_forest(training, inputs, settings), "forest-trees")
     scored = materialize(score_rows(scoped, trees, inputs), "forest-scores")
+    limit = offsets(scored, settings.contamination, SCORE_BLOCK if row_count > SMALL_DOMAIN else None)
     return (
-        scored.join(F.broadcast(offsets(scored, settings.contamination)), "scope")  # one row
+        scored.join(F.broadcast(limit), "scope")  # one row
         .withColumn("anomaly_score", F.col("score") - F.col("offset"))
         .withColumn("is_anomaly", F.col("anomaly_score") < 0)
         .drop("score", "offset", "scope")

@@ -476,9 +476,8 @@ def forest_model(spark, sf_dir):
 
 @query
 def forest_results(spark, sf_dir):
-    features = materialize(_features(spark, sf_dir), "features")
-    baseline = materialize(feat.feature_baseline(features), "feature-baseline")
-    results = forest.forest_results(features, baseline)
+    baseline = materialize(_baseline(spark, sf_dir), "feature-baseline")  # carries the features too
+    results = forest.forest_results(baseline)
     told = F.array_join(F.transform("reasons", lambda r: r["message"]), "; ")
     return flat(results.withColumn("reasons", told), 9)
 

@@ -51,13 +51,15 @@ def run_detection(
     mode = detection_mode(raw).first()
     metrics = [m for m in mode["metrics"].split(",") if m]
 
-    features = materialize(daily_features(raw, settings), "features")
+    features = daily_features(raw, settings)
+    if with_forest:  # same partitioning and order: one shuffle yields both
+        features = feature_baseline(features, settings)
+    features = materialize(features, "features")
     parts = []
     if metrics:
         parts.append(tukey_detections(tukey_results(features, metrics, settings)))
     if with_forest:
-        baseline = materialize(feature_baseline(features, settings), "feature-baseline")
-        parts.append(forest_detections(forest_results(features, baseline, settings)))
+        parts.append(forest_detections(forest_results(features, settings)))
     if not parts:
         raise ValueError("Neither stock nor sales are present in enough rows to detect anything")
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
