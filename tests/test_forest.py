@@ -85,7 +85,7 @@ def daily(spark):
     for day in range(120):
         date = dt.date(2024, 1, 1) + dt.timedelta(day)
         for sku in range(5):
-            price = None if sku == 4 and day % 9 == 0 else 9.0 + float(rng.random())
+            price = None if (sku, day) == (4, 0) else 9.0 + float(rng.random())
             row = (100 + int(rng.integers(0, 9)), int(rng.integers(10, 30)), int(rng.integers(0, 5)), int(rng.integers(0, 3)), price)
             if (day, sku) == (100, 2):
                 row = (-100, 5000, 300, 50, 500.0)
@@ -113,7 +113,8 @@ def test_daily_scopes_scores_and_reasons(spark):
             assert r["reasons"] == []
     assert {r["fallback_used"] for r in out} == {None, "global", "insufficient_data"}
     spike = next(r for r in out if r["date"] == dt.date(2024, 1, 1) + dt.timedelta(100) and r["sku_id"] == "k2" and r["store_id"] == "busy")
-    assert spike["is_anomaly"] and [x["feature"] for x in spike["reasons"]] == ["price", "sold", "delivered"]
+    assert spike["is_anomaly"], spike
+    assert [x["feature"] for x in spike["reasons"]] == ["price", "sold", "delivered"]
     assert spike["reasons"][1]["message"].endswith("std above average") and spike["reasons"][1]["value"] == 5000.0
     assert cuts["global"] <= cuts["store:busy"] and first < cuts["global"]
     baseline.unpersist()
