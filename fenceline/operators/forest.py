@@ -258,17 +258,31 @@ def with_scope(rows: DataFrame, cuts: DataFrame) -> DataFrame:
 def training_rows(inputs: DataFrame, cuts: DataFrame, settings: DetectionSettings = DEFAULTS) -> DataFrame:
     """Rows in the training span of their store's model or of the global one.
 
-    The cutoff table (one row per store) is matched on the scope; each row belongs to two scopes.
+    ``cuts`` is stored. Its first and last day bound the rows that can train anything, so the scan
+    skips the rest; only the rows left are joined to their store's cutoff. The global span is a
+    literal range.
     """
-    scopes = F.array(F.concat(F.lit("store:"), "store_id"), F.lit(GLOBAL_SCOPE))
     span = settings.forest_window_days
+    is_global = F.col("scope") == GLOBAL_SCOPE
+    ends = cuts.agg(
+        F.min(F.when(~is_global, F.col("cutoff"))).alias("first"),
+        F.max(F.when(~is_global, F.col("cutoff"))).alias("last"),
+        F.max(F.when(is_global, F.col("cutoff"))).alias("everybody"),
+    ).first()
+
+    def days(low, high):
+        return inputs.filter(F.col("day_number").between(low - span, high - 1) if low is not None else F.lit(False))
+
     inside = F.col("day_number").between(F.col("cutoff") - span, F.col("cutoff") - 1)
-    return (
-        inputs.withColumn("scope", F.explode(scopes))
-        .join(cuts, "scope")
+    stores = (
+        days(ends["first"], ends["last"])
+        .withColumn("scope", F.concat(F.lit("store:"), "store_id"))
+        .join(cuts.filter(~is_global), "scope")
         .filter(inside)
-        .select("scope", row_key().alias("row_key"), *FEATURES)
     )
+    everybody = days(ends["everybody"], ends["everybody"]).withColumn("scope", F.lit(GLOBAL_SCOPE))
+    wanted = ["scope", row_key().alias("row_key"), *FEATURES]
+    return stores.select(*wanted).unionByName(everybody.select(*wanted))
 
 
 def row_key():

@@ -82,11 +82,21 @@ def cells(df: DataFrame, order_by: str | None = None) -> DataFrame:
 COLUMN_KEY = ["ordinal", "column_name", "storage"]
 
 
+def value_counts(long: DataFrame) -> DataFrame:
+    """Rows and first appearance of each distinct value of each column.
+
+    Equal values are combined in the map tasks, so frequent ones cost nothing in the shuffle.
+    """
+    return long.groupBy(*COLUMN_KEY, "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("__order").alias("first_seen")
+    )
+
+
 def column_counts(long: DataFrame, approximate: bool = False) -> DataFrame:
     """Total, nulls, distinct values and the share of distinct values per column.
 
-    Exact counting shuffles each distinct value of a column once, after combining equal ones in the
-    map tasks, so frequent values cost nothing. ``approximate`` replaces that by a sketch.
+    ``approximate`` replaces the exact distinct count, which shuffles every distinct value once, by a
+    sketch of fixed size.
     """
     total, ratio = F.col("total_count"), F.try_divide("unique_count", "total_count")
     if approximate:
@@ -97,12 +107,11 @@ def column_counts(long: DataFrame, approximate: bool = False) -> DataFrame:
         )
     else:
         counts = (
-            long.groupBy(*COLUMN_KEY, "value")
-            .agg(F.count(F.lit(1)).alias("w"))
+            value_counts(long)
             .groupBy(*COLUMN_KEY)
             .agg(
-                F.sum("w").alias("total_count"),
-                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("w"))), F.lit(0)).alias("null_count"),
+                F.sum("rows").alias("total_count"),
+                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("null_count"),
                 F.count("value").alias("unique_count"),
             )
         )
@@ -110,11 +119,15 @@ def column_counts(long: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def sample_values(long: DataFrame) -> DataFrame:
-    """The first five distinct values of each column, in order of appearance."""
-    seen = long.filter("value is not null").groupBy(*COLUMN_KEY, "value").agg(F.min("__order").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy("first", "value"))
+    """The first five distinct values of each column, in order of appearance.
+
+    Reads the same value counts as ``column_counts``; the limit is applied in the map tasks.
+    """
+    rank = F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy("first_seen", "value"))
     return (
-        seen.withColumn("rank", rank)
+        value_counts(long)
+        .filter("value is not null")
+        .withColumn("rank", rank)
         .filter(F.col("rank") <= SAMPLE_VALUES)
         .groupBy(*COLUMN_KEY)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))

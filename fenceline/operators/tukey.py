@@ -209,12 +209,13 @@ def _coarse_quartiles(observed, needed, settings, few: bool, wide: bool) -> Data
     )
     values = _with_levels(observed).select(*keys, "day_number", "reach", "value")
     if few:
-        reached = values.join(F.broadcast(days), [*keys, "day_number"]).withColumn("w", F.lit(1).cast("bigint"))
-    else:
-        counted = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("w"))
-        reached = counted.join(days, [*keys, "day_number"])
+        days = F.broadcast(days)
+        values = values.join(F.broadcast(days.select(*keys, "day_number").distinct()), [*keys, "day_number"], "left_semi")
+    # Count equal values of a day before repeating them for the target days they reach.
+    counted = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("w"))
     hist = (
-        reached.filter(F.col("target_day") <= F.col("reach"))
+        counted.join(days, [*keys, "day_number"])
+        .filter(F.col("target_day") <= F.col("reach"))
         .groupBy(*keys, "target_day", "value")
         .agg(F.sum("w").alias("w"))
     )

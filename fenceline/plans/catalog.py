@@ -122,6 +122,13 @@ def tukey_results(spark, sf_dir):
     return flat(_labelled(tukey.tukey_results(_features(spark, sf_dir))))
 
 
+@query
+def tukey_results_sparse(spark, sf_dir):
+    """Many stores and SKUs: nearly every target needs a coarser baseline."""
+    raw = fixtures.raw_daily(spark, sf_dir, stores=400, skus=300)
+    return flat(_labelled(tukey.tukey_results(feat.daily_features(raw))))
+
+
 @query
 def tukey_levels(spark, sf_dir):
     """How many targets each baseline level serves, per metric."""

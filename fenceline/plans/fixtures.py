@@ -8,8 +8,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (date, store, SKU) from ``lineitem``.
+def raw_daily(spark: SparkSession, sf_dir: str, stores: int = 5, skus: int = 5) -> DataFrame:
+    """One row per (date, store, SKU) from ``lineitem``, folded onto so many stores and SKUs.
 
     The price is exact integer arithmetic on cents, so that every engine gets the same double.
     """
@@ -24,8 +24,8 @@ def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy(
             F.to_date("l_shipdate").alias("date"),
-            (F.col("l_suppkey") % 5).alias("store"),
-            (F.col("l_partkey") % 5).alias("sku"),
+            (F.col("l_suppkey") % stores).alias("store"),
+            (F.col("l_partkey") % skus).alias("sku"),
         )
         .agg(
             (500 + F.sum(F.when(even_line, qty).otherwise(-qty))).cast("int").alias("on_hand"),

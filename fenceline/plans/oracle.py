@@ -388,6 +388,9 @@ def oracle_sql() -> dict[str, str]:
                upper_fence, outlier_distance, is_outlier, CAST(sample_size AS BIGINT) AS sample_size, fallback_used
         FROM tukey""",
     )
+    sql["tukey_results_sparse"] = (
+        sql["tukey_results"].replace("l_suppkey % 5", "l_suppkey % 400").replace("l_partkey % 5", "l_partkey % 300")
+    )
     sql["tukey_levels"] = _with(
         TUKEY,
         """SELECT metric_name, fallback_used, count(*) AS results, count(*) FILTER (is_outlier) AS flagged
