@@ -239,20 +239,20 @@ def cutoffs(features: DataFrame, settings: DetectionSettings = DEFAULTS) -> Data
 
 
 def with_scope(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add ``scope``: the store's model from its cutoff on, else the global one, else NULL."""
+    """Add ``scope``: the store's model from its cutoff on, else the global one, else NULL.
+
+    ``cuts`` is stored; the global cutoff is a single day.
+    """
     stores = cuts.filter(F.col("scope") != GLOBAL_SCOPE).select(
         F.substring_index("scope", "store:", -1).alias("store_id"), F.col("cutoff").alias("store_cutoff")
     )
-    everybody = cuts.filter(F.col("scope") == GLOBAL_SCOPE).select(
-        F.col("scope").alias("global_scope"), F.col("cutoff").alias("global_cutoff")
-    )
-    joined = rows.withColumn("global_scope", F.lit(GLOBAL_SCOPE)).join(stores, "store_id", "left")
-    joined = joined.join(F.broadcast(everybody), "global_scope", "left")  # one row
+    everybody = cuts.filter(F.col("scope") == GLOBAL_SCOPE).first()  # one day, or none
+    global_cutoff = F.lit(everybody["cutoff"] if everybody else None).cast("int")
     day = F.col("day_number")
     scope = F.when(day >= F.col("store_cutoff"), F.concat(F.lit("store:"), "store_id")).when(
-        day >= F.col("global_cutoff"), F.lit(GLOBAL_SCOPE)
+        day >= global_cutoff, F.lit(GLOBAL_SCOPE)
     )
-    return joined.withColumn("scope", scope).drop("store_cutoff", "global_cutoff", "global_scope")
+    return rows.join(stores, "store_id", "left").withColumn("scope", scope).drop("store_cutoff")
 
 
 def training_rows(inputs: DataFrame, cuts: DataFrame, settings: DetectionSettings = DEFAULTS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenceline.functions.quantiles import array_quantile
+from fenceline.functions.summary import side_by_side
 from fenceline.settings import INCIDENT_STATUSES, DetectionSettings
 
 UNRESOLVED = "status <> 'resolved'"
@@ -320,21 +321,20 @@ def duplicate_keys(raw: DataFrame) -> DataFrame:
 
 def data_stats(datasets: DataFrame, data_rows: DataFrame, raw: DataFrame) -> DataFrame:
     """Two rows, ``datasets`` and ``daily``: sizes and date ranges of the stored data."""
-    none = F.lit(None).cast("bigint")
     sets = datasets.agg(
         F.count(F.lit(1)).alias("datasets"),
         F.min("date_range_start").alias("date_from"),
         F.max("date_range_end").alias("date_to"),
-    ).withColumn("part", F.lit("datasets"))
-    size = data_rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit("datasets"))
-    flexible = sets.join(size, "part").select(
-        "part", "rows", "datasets", none.alias("stores"), none.alias("skus"), "date_from", "date_to"
     )
+    size = data_rows.agg(F.count(F.lit(1)).alias("rows"))
     daily = raw.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct("store_id").alias("stores"),
         F.count_distinct("sku_id").alias("skus"),
         F.min("date").alias("date_from"),
         F.max("date").alias("date_to"),
-    ).select(F.lit("daily").alias("part"), "rows", none.alias("datasets"), "stores", "skus", "date_from", "date_to")
-    return flexible.unionByName(daily)
+    )
+    flexible = side_by_side(sets, size)
+    return flexible.withColumn("part", F.lit("datasets")).unionByName(
+        daily.withColumn("part", F.lit("daily")), allowMissingColumns=True
+    )

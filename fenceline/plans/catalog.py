@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fenceline.functions.parsing import parse_date, parse_number
 from fenceline.functions.quantiles import histogram_quantiles
+from fenceline.functions.summary import side_by_side
 from fenceline.operators import features as feat
 from fenceline.operators import flexible as flex
 from fenceline.operators import forest
@@ -60,7 +61,7 @@ def flat(df: DataFrame, rounded: int | None = None, nudge: float = 0.0) -> DataF
 # built once per session and table folder; the queries that produce them do not use these copies.
 
 _STORED = {}
-AS_OF = dt.datetime(2002, 1, 1)
+AS_OF = dt.datetime(2002, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def as_of():
@@ -258,12 +259,12 @@ def incident_notes(spark, sf_dir):
 def run_stats(spark, sf_dir):
     """Counts of one run without the forest."""
     features, results = stored(spark, sf_dir, "features"), stored(spark, sf_dir, "tukey")
-    one = F.lit(1)
-    made = features.agg(F.count(one).alias("features_created")).withColumn("run", one)
-    flags = results.agg(F.count_if("is_outlier").alias("tukey_outliers")).withColumn("run", one)
-    counts = inc.run_counts(stored(spark, sf_dir, "run")).withColumn("run", one)
-    mode = rep.detection_mode(features).select("mode", one.alias("run"))
-    return made.join(flags, "run").join(counts, "run").join(mode, "run").drop("run")
+    return side_by_side(
+        features.agg(F.count(F.lit(1)).alias("features_created")),
+        results.agg(F.count_if("is_outlier").alias("tukey_outliers")),
+        inc.run_counts(stored(spark, sf_dir, "run")),
+        rep.detection_mode(features).select("mode"),
+    )
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -460,7 +461,7 @@ def forest_training_counts(spark, sf_dir):
 @query
 def forest_scope(spark, sf_dir):
     features = _features(spark, sf_dir)
-    scoped = forest.with_scope(features, forest.cutoffs(features))
+    scoped = forest.with_scope(features, materialize(forest.cutoffs(features), "forest-cutoffs"))
     return flat(scoped.select("date", "store_id", "sku_id", F.coalesce("scope", F.lit("none")).alias("scope")))
 
 
@@ -476,7 +477,8 @@ def forest_reasons(spark, sf_dir):
 def forest_model(spark, sf_dir):
     """Size of every tree of every scope."""
     features = stored(spark, sf_dir, "features")
-    training = forest.training_rows(forest.forest_features(features), forest.cutoffs(features))
+    cuts = materialize(forest.cutoffs(features), "forest-cutoffs")
+    training = forest.training_rows(forest.forest_features(features), cuts)
     trees = forest.fit_forest(training, forest.FEATURES)
     return flat(trees.select("scope", "tree", "sample_size", F.size("feature").alias("nodes")))
 

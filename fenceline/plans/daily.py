@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fenceline.functions.summary import side_by_side
 from fenceline.operators import incidents as inc
 from fenceline.operators.detections import forest_detections, tukey_detections
 from fenceline.operators.features import daily_features, feature_baseline
@@ -87,12 +88,11 @@ def run_stats(
     features: DataFrame, detections: DataFrame, run: DataFrame, existing: DataFrame | None, mode: str
 ) -> DataFrame:
     """One row of counts; fence outliers are counted per metric."""
-    one = F.lit(1).alias("run")
     detector = F.col("detector_type")
-    made = features.agg(F.count(F.lit(1)).alias("features_created")).select("*", one)
+    made = features.agg(F.count(F.lit(1)).alias("features_created"))
     flags = detections.agg(
         F.count_if((detector == "tukey") & F.col("is_outlier")).alias("tukey_outliers"),
         F.count_if((detector == "isolation_forest") & F.col("is_outlier")).alias("isolation_forest_outliers"),
-    ).select("*", one)
-    counts = inc.run_counts(run, existing).select("*", one)
-    return made.join(flags, "run").join(counts, "run").drop("run").withColumn("detection_mode", F.lit(mode))
+    )
+    counts = inc.run_counts(run, existing)
+    return side_by_side(made, flags, counts).withColumn("detection_mode", F.lit(mode))

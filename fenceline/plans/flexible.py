@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fenceline.functions.summary import side_by_side
 from fenceline.operators import flexible as flex
 from fenceline.operators import incidents as inc
 from fenceline.operators import ingest
@@ -45,13 +46,10 @@ def run_flexible_detection(
     else:
         created = run.join(existing.select("dedup_key"), "dedup_key", "left_anti")
         incidents = inc.merge_incidents(existing, run, now).drop("change")
-    one = F.lit(1).alias("run")
-    stats = (
-        rows.agg(F.count(F.lit(1)).alias("rows_analyzed"))
-        .select("*", one)
-        .join(detections.agg(F.count_if("is_outlier").alias("total_outliers")).select("*", one), "run")
-        .join(inc.run_counts(run, existing).select("*", one), "run")
-        .drop("run")
+    stats = side_by_side(
+        rows.agg(F.count(F.lit(1)).alias("rows_analyzed")),
+        detections.agg(F.count_if("is_outlier").alias("total_outliers")),
+        inc.run_counts(run, existing),
     )
     return FlexibleRun(detections, incidents, flex.creation_notes(created, schema, now), stats)
 
