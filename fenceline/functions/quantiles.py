@@ -129,7 +129,8 @@ def _narrowed(hist, key, value, probabilities, names, small_domain) -> DataFrame
         if not open_ranks:
             break
         bounds = F.broadcast(spark.createDataFrame(open_ranks, schema))
-        share = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        # Halved, so that the range of the widest doubles does not overflow; the ends always part.
+        share = (F.col(value) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
         inside = hist.join(bounds, key).filter(F.col(value).between(F.col("lo"), F.col("hi")))
         bins = inside.groupBy(
             key, "which", "rank", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")

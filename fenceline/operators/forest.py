@@ -28,6 +28,9 @@ EULER_GAMMA = 0.5772156649015329
 
 GLOBAL_SCOPE = "global"
 ROWS_PER_GROUP = 20_000
+# Tables with one small row per scope are broadcast while there are at most this many scopes (a few
+# megabytes); the rows are then never shuffled by scope. Beyond that adaptive execution joins them.
+BROADCAST_SCOPES = 100_000
 # A scope's trees are grown in this many groups of at most 256 rows per tree.
 TREE_BUNDLES = 10
 SCORE_BLOCK = 1e-5
@@ -105,7 +108,13 @@ def score_points(trees: pd.DataFrame, points: np.ndarray) -> np.ndarray:
     return -np.exp2(-(total / len(trees)) / scale) if scale > 0 else np.full(len(points), -1.0)
 
 
-def fit_forest(training: DataFrame, inputs, settings: DetectionSettings = DEFAULTS) -> DataFrame:
+def _per_scope(table: DataFrame, scope_count: int) -> DataFrame:
+    return F.broadcast(table) if scope_count <= BROADCAST_SCOPES else table
+
+
+def fit_forest(
+    training: DataFrame, inputs, scope_count: int, settings: DetectionSettings = DEFAULTS
+) -> DataFrame:
     """Trees per scope from rows with columns scope, row_key and the inputs.
 
     A row enters a tree when its hash ranks among the 256 smallest of its scope and tree. In a small
@@ -131,7 +140,7 @@ def fit_forest(training: DataFrame, inputs, settings: DetectionSettings = DEFAUL
     )
     order = Window.partitionBy("scope", "tree").orderBy("draw", "row_key")
     sample = (
-        training.join(counts, "scope")
+        training.join(_per_scope(counts, scope_count), "scope")
         .withColumn("share", share)
         .select("scope", "row_key", *inputs, F.inline(kept))
         .withColumn("rank", F.row_number().over(order))
@@ -152,7 +161,9 @@ def fit_forest(training: DataFrame, inputs, settings: DetectionSettings = DEFAUL
     return bundles.groupBy("scope", "bundle").applyInPandas(grow, TREES)
 
 
-def score_rows(rows: DataFrame, trees: DataFrame, inputs, rows_per_group: int = ROWS_PER_GROUP) -> DataFrame:
+def score_rows(
+    rows: DataFrame, trees: DataFrame, inputs, scope_count: int, rows_per_group: int = ROWS_PER_GROUP
+) -> DataFrame:
     """Add ``score`` to rows with columns scope, row_key and the inputs.
 
     A scope's rows are dealt by hash into groups of about ``rows_per_group``, and its trees (at most
@@ -160,10 +171,11 @@ def score_rows(rows: DataFrame, trees: DataFrame, inputs, rows_per_group: int =
     """
     inputs = list(inputs)
     parts = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("parts"))
-    dealt = rows.join(parts, "scope").withColumn("part", F.pmod(F.xxhash64("row_key"), F.col("parts")).cast("int")).drop("parts")
-    copies = trees.join(parts, "scope").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    ).drop("parts")
+    parts = _per_scope(parts, scope_count)
+    part = F.pmod(F.xxhash64("row_key"), F.col("parts")).cast("int")
+    dealt = rows.join(parts, "scope").withColumn("part", part).drop("parts")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    copies = trees.join(parts, "scope").withColumn("part", every).drop("parts")
     columns = [*rows.columns, "score"]
 
     def score(group, model):
@@ -185,16 +197,17 @@ def offsets(scored_training: DataFrame, contamination: float, block: float | Non
     return histogram_quantiles(hist, ["scope"], "score", "w", (contamination,), ("offset",), block).drop("n")
 
 
-def _scored(rows: DataFrame, training: DataFrame, trees: DataFrame, inputs, settings) -> DataFrame:
+def _scored(rows: DataFrame, training: DataFrame, trees: DataFrame, inputs, scope_count, settings) -> DataFrame:
     """Rows with ``anomaly_score`` (score minus the scope's offset) and ``is_anomaly``."""
     both = rows.withColumn("in_training", F.lit(False)).unionByName(
         training.withColumn("in_training", F.lit(True)), allowMissingColumns=True
     )
-    scored = materialize(score_rows(both, trees, inputs), "forest-scores")
-    limits = offsets(scored.filter("in_training"), settings.contamination)
+    scored = materialize(score_rows(both, trees, inputs, scope_count), "forest-scores")
+    trained = scored.filter("in_training")
+    limits = offsets(trained, settings.contamination, SCORE_BLOCK if trained.count() > SMALL_DOMAIN else None)
     return (
         scored.filter("not in_training")
-        .join(limits, "scope")
+        .join(_per_scope(limits, scope_count), "scope")
         .withColumn("anomaly_score", F.col("score") - F.col("offset"))
         .withColumn("is_anomaly", F.col("anomaly_score") < 0)
         .drop("in_training", "score", "offset", "scope_rows")
@@ -344,8 +357,9 @@ def forest_results(baseline: DataFrame, settings: DetectionSettings = DEFAULTS)
     """
     cuts = materialize(cutoffs(baseline, settings), "forest-cutoffs")
     inputs = forest_features(baseline)
+    scope_count = cuts.count()
     training = training_rows(inputs, cuts, settings)
-    trees = materialize(fit_forest(training, FEATURES, settings), "forest-trees")
+    trees = materialize(fit_forest(training, FEATURES, scope_count, settings), "forest-trees")
 
     carried = [f"{name}_{stat}" for name in REASON_FEATURES for stat in ("mean", "std")]
     rows = with_scope(
@@ -359,7 +373,7 @@ def forest_results(baseline: DataFrame, settings: DetectionSettings = DEFAULTS)
         ),
         cuts,
     ).withColumn("row_key", row_key())
-    scored = _scored(rows.filter("scope is not null"), training, trees, FEATURES, settings)
+    scored = _scored(rows.filter("scope is not null"), training, trees, FEATURES, scope_count, settings)
     unscored = (
         rows.filter("scope is null")
         .withColumn("anomaly_score", F.lit(0.0))
@@ -385,8 +399,8 @@ def single_scope_scores(
     """One model for the whole table: fit on all rows, then score and flag the same rows."""
     scoped = rows.withColumn("scope", F.lit(GLOBAL_SCOPE))
     training = scoped.select("scope", "row_key", *inputs)
-    trees = materialize(fit_forest(training, inputs, settings), "forest-trees")
-    scored = materialize(score_rows(scoped, trees, inputs), "forest-scores")
+    trees = materialize(fit_forest(training, inputs, 1, settings), "forest-trees")
+    scored = materialize(score_rows(scoped, trees, inputs, 1), "forest-scores")
     limit = offsets(scored, settings.contamination, SCORE_BLOCK if row_count > SMALL_DOMAIN else None)
     return (
         scored.join(F.broadcast(limit), "scope")  # one row

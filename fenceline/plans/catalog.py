@@ -479,7 +479,7 @@ def forest_model(spark, sf_dir):
     features = stored(spark, sf_dir, "features")
     cuts = materialize(forest.cutoffs(features), "forest-cutoffs")
     training = forest.training_rows(forest.forest_features(features), cuts)
-    trees = forest.fit_forest(training, forest.FEATURES)
+    trees = forest.fit_forest(training, forest.FEATURES, cuts.count())
     return flat(trees.select("scope", "tree", "sample_size", F.size("feature").alias("nodes")))
 
 

@@ -10,12 +10,18 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
-def read_csv(spark: SparkSession, path: str, infer_types: bool = True) -> DataFrame:
-    """Scan with header. Without ``infer_types`` all columns are text and no inference pass runs."""
+def read_csv(
+    spark: SparkSession, path: str, infer_types: bool = True, multi_line: bool = False
+) -> DataFrame:
+    """Scan with header. Without ``infer_types`` all columns are text and no inference pass runs.
+
+    ``multi_line`` allows line breaks inside quotes, but then a file cannot be split over tasks.
+    """
     return spark.read.csv(
         path,
         header=True,
         inferSchema=infer_types,
+        multiLine=multi_line,
         encoding=csv_encoding(spark, path),
         quote='"',
         escape='"',

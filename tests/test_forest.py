@@ -21,8 +21,8 @@ def points(spark, n=600, seed=0, scope="global"):
 
 
 def scores(rows, **kw):
-    trees = forest.fit_forest(rows, INPUTS)
-    return {r["row_key"]: r["score"] for r in forest.score_rows(rows, trees, INPUTS, **kw).collect()}
+    trees = forest.fit_forest(rows, INPUTS, 2)
+    return {r["row_key"]: r["score"] for r in forest.score_rows(rows, trees, INPUTS, 2, **kw).collect()}
 
 
 def test_share_and_extreme(spark):
@@ -42,27 +42,34 @@ def test_partitioning_groups_and_scaling_do_not_matter(spark):
 
 
 def test_trees_have_the_sample_size_and_depth(spark):
-    trees = forest.fit_forest(points(spark), INPUTS).toPandas()
+    trees = forest.fit_forest(points(spark), INPUTS, 1).toPandas()
     assert len(trees) == 100 and set(trees["sample_size"]) == {256}
     assert all(max(p) < 8 + forest.average_path(256) for p in trees["path"])
-    small = forest.fit_forest(points(spark, 40), INPUTS).toPandas()
+    small = forest.fit_forest(points(spark, 40), INPUTS, 1).toPandas()
     assert set(small["sample_size"]) == {40}
 
 
 def test_large_scope_next_to_small_ones(spark):
     """One scope holds most rows: its rows draw for one tree each, and its groups are split."""
     rows = points(spark, 60_000, 1, "hot").unionByName(points(spark, 150, 2, "cold"))
-    trees = forest.fit_forest(rows, INPUTS)
+    trees = forest.fit_forest(rows, INPUTS, 2)
     sizes = {(r["scope"], r["tree"]): r["sample_size"] for r in trees.select("scope", "tree", "sample_size").collect()}
     assert len(sizes) == 200 and {v for (s, _), v in sizes.items() if s == "hot"} == {256}
     assert {v for (s, _), v in sizes.items() if s == "cold"} == {150}
-    scored = forest.score_rows(rows, trees, INPUTS, rows_per_group=5_000)
+    scored = forest.score_rows(rows, trees, INPUTS, 2, rows_per_group=5_000)
     by = {r["scope"]: r for r in scored.groupBy("scope").agg(F.count("*").alias("n"), F.min("score").alias("low")).collect()}
     assert (by["hot"]["n"], by["cold"]["n"]) == (60_000, 150)
     extreme = scored.filter("row_key = 'hot-0'").first()["score"]
     assert extreme == by["hot"]["low"]
 
 
+def test_without_broadcast(spark, monkeypatch):
+    rows = points(spark, 900, 1, "x").unionByName(points(spark, 150, 2, "y"))
+    base = scores(rows)
+    monkeypatch.setattr(forest, "BROADCAST_SCOPES", 0)
+    assert scores(rows) == base
+
+
 def test_offsets_are_the_exact_percentile(spark):
     rng = np.random.default_rng(1)
     values = {s: -rng.random(n) for s, n in (("x", 1000), ("y", 123))}
@@ -127,5 +134,5 @@ def test_vector_fills_missing_with_zero(spark):
 
 def test_settings_reach_the_model(spark):
     settings = DetectionSettings(forest_trees=7, forest_sample=32)
-    trees = forest.fit_forest(points(spark), INPUTS, settings).toPandas()
+    trees = forest.fit_forest(points(spark), INPUTS, 1, settings).toPandas()
     assert len(trees) == 7 and set(trees["sample_size"]) == {32}
