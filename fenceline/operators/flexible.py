@@ -13,6 +13,13 @@ from fenceline.operators.ingest import DatasetSchema
 from fenceline.operators.tukey import QUARTILES, with_fences
 from fenceline.settings import DEFAULTS, DetectionSettings
 
+# Columns that only one of the two detectors fills.
+ONE_DETECTOR_ONLY = {
+    "reasons": "array<struct<feature:string,z_score:double,message:string>>",
+    "reason": "string",
+    "metric_name": "string",
+    "metric_order": "int",
+}
 # Text limits, list lengths and thresholds of the explanations.
 TOP_REASONS = 3
 MIN_REASON_Z = 2.0
@@ -181,7 +188,7 @@ def flexible_incidents(
     so an identifier that holds most outliers is never gathered. Rows without identifier make none.
     """
     outliers = detections.filter("is_outlier and identifier_key is not null")
-    for name, kind in (("reasons", "array<struct<feature:string,z_score:double,message:string>>"), ("reason", "string"), ("metric_name", "string"), ("metric_order", "int")):
+    for name, kind in ONE_DETECTOR_ONLY.items():
         if name not in outliers.columns:
             outliers = outliers.withColumn(name, F.lit(None).cast(kind))
     tukey, forest = F.col("detector_type") == "tukey", F.col("detector_type") == "isolation_forest"

@@ -10,7 +10,7 @@ from fenceline.operators import incidents as inc
 from fenceline.operators.detections import forest_detections, tukey_detections
 from fenceline.operators.features import daily_features, feature_baseline
 from fenceline.operators.forest import forest_results
-from fenceline.operators.reports import detection_mode, duplicate_keys
+from fenceline.operators.reports import detection_mode
 from fenceline.operators.tukey import tukey_results
 from fenceline.settings import DEFAULTS, DetectionSettings
 from fenceline.sources.shared import materialize
@@ -46,16 +46,18 @@ def run_detection(
     operators. Features, detections and flagged rows are written to the shared folder, since several
     outputs read them.
     """
-    repeated = duplicate_keys(raw).take(3)
-    if repeated:
-        raise DuplicateRows(f"(date, store, SKU) must be unique, but e.g. {repeated}")
-    mode = detection_mode(raw).first()
-    metrics = [m for m in mode["metrics"].split(",") if m]
-
     features = daily_features(raw, settings)
     if with_forest:  # same partitioning and order: one shuffle yields both
         features = feature_baseline(features, settings)
     features = materialize(features, "features")
+
+    # The features already sit next to their predecessor, so this needs no shuffle of its own.
+    repeated = features.filter("prev_day_number = day_number").select("date", "store_id", "sku_id").take(3)
+    if repeated:
+        raise DuplicateRows(f"(date, store, SKU) must be unique, but e.g. {repeated}")
+    mode = detection_mode(features).first()
+    metrics = [m for m in mode["metrics"].split(",") if m]
+
     parts = []
     if metrics:
         parts.append(tukey_detections(tukey_results(features, metrics, settings)))
