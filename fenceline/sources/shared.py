@@ -5,6 +5,7 @@ lineage, survives lost executors, and gives later branches column pruning and pu
 """
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,16 @@ def _fallback_dir(application_id: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or _fallback_dir(spark.sparkContext.applicationId)).rstrip("/")
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose tasks all run in the driver's own process may leave it unset and gets a temporary
+    folder; on a cluster the executors would each write to a disk of their own, so that is an error.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _fallback_dir(spark.sparkContext.applicationId)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
