@@ -4,20 +4,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import mixing, rules
+from fenceline.llm import convnet, dictionaries, mixing, rules, spots
 from fenceline.llm.common import table
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionaries.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convnet.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compression_quality": op1_compression_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_spot_fingerprints": op6_spot_fingerprints,
     "op7_mixing": op7_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
