@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import convnet, dictionaries, mixing, rules, spots
+from fenceline.llm import chat, convnet, dictionaries, mixing, packing, rules, spots
 from fenceline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionaries.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convnet.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,11 +32,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_control_case(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
+    "op3_hilbert_packing": op3_hilbert_packing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_spot_fingerprints": op6_spot_fingerprints,
     "op7_mixing": op7_mixing,
+    "op9_chat": op9_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
