@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import chat, convnet, dictionaries, mixing, packing, rules, spots
+from fenceline.llm import chat, convnet, dictionaries, lattice, mixing, packing, rules, spots
 from fenceline.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.document_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_control_case(table(spark, sf_dir, "conversations")))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_spot_fingerprints": op6_spot_fingerprints,
     "op7_mixing": op7_mixing,
+    "op8_lattice_scores": op8_lattice_scores,
     "op9_chat": op9_chat,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
