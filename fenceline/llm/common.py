@@ -91,7 +91,7 @@ def shingle_hashes(h: np.ndarray, n: int = 5) -> np.ndarray:
     if not len(h):
         return h
     k = min(n, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k) * np.uint64(0x9FB21C651E98DF25), dtype=np.uint64)
+    out = np.full(len(h) - k + 1, k * 0x9FB21C651E98DF25 % 2**64, dtype=np.uint64)
     for i in range(k):
         out = (out ^ h[i : len(h) - k + 1 + i]) * np.uint64(0xE7037ED1A0B428DB)
         out ^= out >> np.uint64(31)

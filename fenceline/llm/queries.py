@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import chat, convnet, dictionaries, lattice, mixing, packing, rules, spots
+from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, mixing, packing, rules, spots
 from fenceline.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_control_case(table(spark, sf_dir, "conversations")))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op3_hilbert_packing": op3_hilbert_packing,
@@ -49,5 +53,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_lattice_scores": op8_lattice_scores,
     "op9_chat": op9_chat,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
