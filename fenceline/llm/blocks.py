@@ -22,6 +22,7 @@ _ARROW = {
     "double": pa.float64(),
     "boolean": pa.bool_(),
     "binary": pa.binary(),
+    "string": pa.string(),
 }
 
 

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, mixing, packing, rules, spots
+from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, mixing, packing, repeats, rules, spots
 from fenceline.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionaries.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removals(table(spark, sf_dir, "documents"))
+
+
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
+    "op2_suffix_repeats": op2_suffix_repeats,
     "op3_hilbert_packing": op3_hilbert_packing,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
