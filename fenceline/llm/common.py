@@ -98,11 +98,11 @@ def shingle_hashes(h: np.ndarray, n: int = 5) -> np.ndarray:
     return finish(out)
 
 
-def blocks(ids, texts, most: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def blocks(ids, texts, most: int = 4_000_000, encoded: bool = False) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in runs of about ``most`` text bytes; a longer text is a run of its own."""
     out_ids, out, size = [], [], 0
     for i, t in zip(ids, texts):
-        t = b"" if t is None else t.encode()
+        t = (t if encoded else t.encode()) if t else b""
         if out and size + len(t) > most:
             yield out_ids, out
             out_ids, out, size = [], [], 0

@@ -49,6 +49,16 @@ def hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, bounds[1:], 0), bounds + np.arange(len(bounds))
 
 
+def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``hashes`` of many texts in parts, for bounded memory."""
+    parts, bounds = [], [np.zeros(1, dtype=np.int64)]
+    for _, some in common.blocks(texts, texts, 500_000, encoded=True):
+        h, b = hashes(some)
+        parts.append(h)
+        bounds.append(b[1:] + bounds[-1][-1])
+    return np.concatenate(parts), np.concatenate(bounds)
+
+
 @dataclass
 class Model:
     known: np.ndarray  # sorted hashes; entry 0 is the hash of no word
@@ -103,8 +113,9 @@ def _crosses(bounds: np.ndarray, t: int, n: int) -> np.ndarray:
 
 def _start(h: np.ndarray, bounds: np.ndarray, toxic: np.ndarray, rng) -> Model:
     """Embeddings begin with the log odds of a word among toxic texts, the rest is small noise."""
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    pairs = np.unique(owner.astype(np.uint64) << np.uint64(32) | h)
+    pairs = np.concatenate(
+        [np.unique(h[a:b]).astype(np.uint64) | np.uint64(i << 32) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    )
     word, label = (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), toxic[(pairs >> np.uint64(32)).astype(np.int64)]
     known, inverse, count = np.unique(word, return_inverse=True, return_counts=True)
     bad = np.bincount(inverse, weights=label, minlength=len(known))
@@ -202,13 +213,18 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     toxic = np.array(labels, dtype=float)
     if not len(texts):
         texts, toxic = [b""], np.zeros(1)
-    h, bounds = hashes(texts)
+    h, bounds = _hashed(texts)
     for_fit = np.arange(len(texts)) % 4 != 3
     chosen = np.repeat(for_fit, np.diff(bounds))
     model = _start(h[chosen], np.concatenate(([0], np.cumsum(np.diff(bounds)[for_fit]))), toxic[for_fit], rng)
     words = model.words(h)
     _fit(model, [words[bounds[i] : bounds[i + 1]] for i in np.flatnonzero(for_fit)], toxic[for_fit], rng)
-    z, spoken = model.raw(words, bounds), model.spoken(words, bounds)
+    z, spoken = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+    for first in range(0, len(texts), BATCH):
+        own = bounds[first : first + BATCH + 1]
+        part = words[own[0] : own[-1]]
+        z[first : first + BATCH] = model.raw(part, own - own[0])
+        spoken[first : first + BATCH] = model.spoken(part, own - own[0])
     held = ~for_fit
     if 0 < toxic[held].sum() < held.sum():
         everywhere = _best_threshold(z[held], toxic[held])
