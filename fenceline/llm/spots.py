@@ -15,6 +15,8 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenceline.sources.shared import materialize
+
 #: Frequent function words of English, German, French and Spanish.
 ANCHORS = (
     "the a an of and to in is that it for on was be with as this by from are "
@@ -104,28 +106,26 @@ def similar(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     return out.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "likeness")
 
 
-def with_next(docs: DataFrame, columns: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the row that follows by (doc_id, text), the first after the last.
+def with_next(docs: DataFrame, prepare, columns: list[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """``prepare`` of rows (doc_id, text), with ``next_<column>`` of the row that follows by (doc_id, text),
+    the first after the last.
 
     Ids are cut into blocks of equal width, about ``rows`` rows each where ids are spread evenly. The first
-    rows of each block are copied to the end of the block before, so one window per block sees them.
+    row of each block is copied to the end of the block before, so one window per block sees all it needs.
+    Only these rows, one per block, are looked at across blocks.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     low, high = low or 0, high or 0
     width = max(1, -(-(high - low + 1) * rows // max(n, 1)))
     block = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)).cast("long")
-    rows_in = docs.withColumn("_block", block)
-    # One row per block that has rows.
-    firsts = rows_in.groupBy("_block").agg(F.min("doc_id").alias("_first"))
-    order = Window.orderBy("_block")
+    rows_in = docs.select("doc_id", "text", block.alias("_block"))
+    firsts = rows_in.groupBy("_block").agg(F.min(F.struct("doc_id", "text")).alias("_first"))
+    firsts = materialize(firsts, "firsts")
     last = F.max("_block").over(Window.partitionBy())
-    firsts = firsts.select("_block", "_first", F.coalesce(F.lag("_block").over(order), last).alias("_before"))
-    ghosts = rows_in.alias("d").join(
-        firsts.alias("f"),
-        (F.col("d._block") == F.col("f._block")) & F.col("d.doc_id").eqNullSafe(F.col("f._first")),
-    )
-    ghosts = ghosts.select(*[F.col(f"d.{c}") for c in docs.columns], F.col("f._before").alias("_block"))
-    both = rows_in.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1)))
+    before = F.coalesce(F.lag("_block").over(Window.orderBy("_block")), last)
+    places = firsts.select("_block", before.alias("_before"))
+    ghosts = firsts.join(places, "_block").select("_first.doc_id", "_first.text", F.col("_before").alias("_block"))
+    both = prepare(rows_in).withColumn("_ghost", F.lit(0)).unionByName(prepare(ghosts).withColumn("_ghost", F.lit(1)))
     by = Window.partitionBy("_block").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), "text")
     return (
         both.withColumns({f"next_{c}": F.lead(c).over(by) for c in columns}).where("_ghost = 0").drop("_block", "_ghost")
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by as many code points from the next document's start."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("signs", signatures(F.col("text"))), ["text", "signs"])
+    rows = with_next(rows, lambda d: d.withColumn("signs", signatures(F.col("text"))), ["text", "signs"])
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(
