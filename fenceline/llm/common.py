@@ -98,6 +98,18 @@ def shingle_hashes(h: np.ndarray, n: int = 5) -> np.ndarray:
     return finish(out)
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts ``values``, where each distinct value begins in it, and the number of its group for
+    every value as given."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(values), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
 def blocks(ids, texts, most: int = 4_000_000, encoded: bool = False) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in runs of about ``most`` text bytes; a longer text is a run of its own."""
     out_ids, out, size = [], [], 0

@@ -99,8 +99,8 @@ def _shared(n: int):
         first = np.ones(len(grams), dtype=bool)
         first[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
         grams, owner = grams[first], owner[first]
-        _, inverse, counts = np.unique(grams, return_inverse=True, return_counts=True)
-        count = counts[inverse]
+        _, begins, number = common.grouped(grams)
+        count = np.diff(begins, append=len(grams))[number]
         keep = count > 1
         grams, owner, count = grams[keep], owner[keep], count[keep].astype(np.uint32)
         bucket = owner % n
@@ -223,6 +223,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, columns unchanged; one of repeated rows."""
-    kept = groups(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose id is the smallest of its group, columns unchanged; one of those that repeat
+    an id. Rows without an id cannot be told apart and all stay."""
+    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -28,8 +28,8 @@ from fenceline.sources.shared import materialize
 LENGTH, ANCHOR = 50, 16
 GRAMS = LENGTH - ANCHOR + 1
 LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
-#: Text bytes behind one fragment, and handled at once.
-FRAGMENT, PASS = 16_000_000, 1_000_000
+#: Text bytes behind one fragment, handled at once, and in one block.
+FRAGMENT, PASS, BLOCK = 12_000_000, 250_000, 8_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -100,11 +100,11 @@ def _send_anchors(n: int):
             found[0].append(_short(h))
             found[1].append(own[np.searchsorted(starts, at, "right") - 1])
         short, owner = map(np.concatenate, found)
-        values, inverse = np.unique(short, return_inverse=True)
-        low, high = np.full(len(values), _LAST), np.full(len(values), -_LAST - 1)
-        np.minimum.at(low, inverse, owner)
-        np.maximum.at(high, inverse, owner)
-        several = low < high
+        order, begins, _ = common.grouped(short)
+        values, owner = short[order[begins]], owner[order]
+        several = np.zeros(0, bool)
+        if len(values):
+            several = np.minimum.reduceat(owner, begins) < np.maximum.reduceat(owner, begins)
         edges = np.searchsorted(_fragment(values, n), np.arange(n + 1))
         for f in range(n):
             part = slice(edges[f], edges[f + 1])
@@ -126,12 +126,12 @@ def _unpack_anchors(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _shared_anchors(key, table):
     """The anchors of a fragment that several documents have, for each block that sent them."""
     sent = [_unpack_anchors(p.as_py()) for p in table.column("part")]
-    values, inverse, counts = np.unique(np.concatenate([v for v, _ in sent]), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    shared[inverse[np.concatenate([s for _, s in sent])]] = True
+    order, begins, number = common.grouped(np.concatenate([v for v, _ in sent]))
+    several = np.concatenate([s for _, s in sent])[order]
+    shared = (np.diff(begins, append=len(order)) > 1) | np.maximum.reduceat(several, begins)
     rows, at = [], 0
     for block, (v, _) in zip(table.column("block").to_pylist(), sent):
-        own = v[shared[inverse[at : at + len(v)]]]
+        own = v[shared[number[at : at + len(v)]]]
         at += len(v)
         if len(own):
             rows.append((block, -1, blocks.freeze(own)))
@@ -179,9 +179,9 @@ class _Contexts:
         h = np.zeros(len(matrix), np.uint64)
         for column in wide.view("<u8").T:
             h = common.finish(h ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        _, first, self.number = np.unique(h, return_index=True, return_inverse=True)
-        self.least = np.full(len(first), _LAST)
-        np.minimum.at(self.least, self.number, owner)
+        order, begins, self.number = common.grouped(h)
+        first = order[begins]
+        self.least = np.minimum.reduceat(owner[order], begins) if len(begins) else owner
         self.matrix, self.short = matrix[first], short[first]
         self.lengths = np.stack((self.left[first], self.right[first]), 1).astype(np.uint8)
 
@@ -318,7 +318,7 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def removed(docs: DataFrame, result, schema: str) -> DataFrame:
     """``result(doc_id, text, runs)``, a tuple under ``schema``, for every row of ``docs``; ``runs`` are the
     maximal runs of bytes that lie in a LENGTH-byte string which also starts in a smaller document."""
-    packed = blocks.pack(docs)
+    packed = blocks.pack(docs, BLOCK)
     n = max(1, -(-common.text_bytes(docs) // FRAGMENT))
     sent = packed.mapInArrow(blocks.per_row(_send_anchors(n), _TO_FRAGMENT), _TO_FRAGMENT)
     shared = materialize(sent.groupBy("fragment").applyInArrow(_shared_anchors, _TO_BLOCK), "anchors")
@@ -344,3 +344,23 @@ def removals(docs: DataFrame) -> DataFrame:
         return doc_id, len(text), taken, len(runs), hashlib.sha256(_kept(text, runs)).hexdigest()
 
     return removed(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the remaining text, in which a character that lost part of its bytes is left
+    out, and ``n_chars`` to match if there is one. Other columns, and texts that lose nothing, stay as they are."""
+
+    def left(doc_id, text, runs):
+        return doc_id, hashlib.md5(text).hexdigest(), _kept(text, runs).decode(errors="ignore"), len(runs)
+
+    found = removed(docs, left, "doc_id long, digest string, text string, n_spans long").where("n_spans > 0")
+    # Rows that repeat id and text lose the same, so one of them stands for all.
+    found = found.dropDuplicates(["doc_id", "digest"])
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    key = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.md5(F.col("_row.text").cast("binary")) == F.col("digest"))
+    joined = row.join(found.select("doc_id", "digest", "text"), key, "left")
+    text = F.coalesce(F.col("text"), F.col("_row.text"))
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[v.alias(c) for c, v in columns.items()])
