@@ -29,14 +29,20 @@ from fenceline.sources.shared import materialize
 
 WORDS = 5
 #: Text bytes behind one fragment of the hash range, and in one pass over texts.
-FRAGMENT, PASS = 16_000_000, 8_000_000
+FRAGMENT, PASS = 12_000_000, 6_000_000
 #: How often the classes of an n-gram are compared with a leader before all components meet.
 LEADERS = 2
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
-    h, bounds = common.word_hashes(texts)
-    return [np.unique(common.shingle_hashes(h[a:b], WORDS)) for a, b in zip(bounds[:-1], bounds[1:])]
+    """Sorted distinct n-gram hashes of each text."""
+    out = []
+    for _, some in common.blocks(texts, texts, 500_000, encoded=True):
+        h, bounds = common.word_hashes(some)
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            grams = np.sort(common.shingle_hashes(h[a:b], WORDS))
+            out.append(grams[np.append(True, grams[1:] != grams[:-1])] if len(grams) else grams)
+    return out
 
 
 def _class(grams: np.ndarray) -> int:
@@ -73,7 +79,8 @@ def _spread(n: int):
                 for f in range(n):
                     a, b = edges[f], edges[f + 1]
                     if a < b:
-                        own, counts = np.unique(owner[a:b], return_counts=True)
+                        begins = np.flatnonzero(np.append(True, owner[a + 1 : b] != owner[a : b - 1]))
+                        own, counts = owner[a:b][begins], np.diff(begins, append=b - a)
                         part = (keys[own], counts.astype(np.uint32), grams[a:b])
                         rows.append((f, pickle.dumps(part, 5)))
                 yield from blocks.chunks(rows, ["fragment", "part"])
