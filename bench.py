@@ -6,6 +6,7 @@ BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose da
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -46,6 +47,7 @@ def main():
         # Small test tables: keep several tasks per stage instead of one.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -11,8 +11,14 @@ SPREADSHEET_EPOCH = "1899-12-30"
 SECONDS_PER_DAY = 86_400
 DAY_FIRST = (
     "[d/M/yyyy][d-M-yyyy][d.M.yyyy][yyyy/M/d][yyyy.M.d]"
-    "[MMMM d, yyyy][MMMM d yyyy][MMM d, yyyy][MMM d yyyy][d MMMM yyyy][d MMM yyyy]"
+    "[MMMM d, yyyy][MMMM d yyyy][MMM d, yyyy][MMM d yyyy][d MMMM yyyy][d MMM yyyy][d-MMM-yyyy][MMM-d-yyyy]"
 )
+SHORT_YEAR = "[d/M/yy][d-M-yy][d.M.yy][d-MMM-yy][d MMM yy]"
+# Two-digit years from this one on belong to the century before.
+PIVOT = 69
+WEEKDAY = r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?\.?,? +"
+ORDINAL = r"(?i)\b(\d{1,2})(st|nd|rd|th)\b"
+COMPACT = r"^(19|20)\d{6}$"
 MONTH_FIRST = "[M/d/yyyy][M-d-yyyy][M.d.yyyy]"
 HAS_YEAR = r"\d{4}"
 TIME_OF_DAY = r"[T ]+\d{1,2}:\d{2}.*$"
@@ -37,22 +43,29 @@ def date_from_number(number: Column) -> Column:
 
 
 def date_from_text(text: Column) -> Column:
-    """ISO first, then day-first numeric forms, then month names; a time of day is ignored.
+    """ISO first, then day-first numeric forms, then month names; a time of day, a weekday's name and the
+    ending of an ordinal are ignored.
 
-    One formatter with optional parts reads all forms but ISO; only a month above 12 needs a second.
+    One formatter with optional parts reads all forms but ISO; a month above 12 and a two-digit year need
+    another.
     """
     trimmed = F.trim(text)
     day = F.when(trimmed.contains(":"), F.regexp_replace(trimmed, TIME_OF_DAY, "")).otherwise(trimmed)
+    day = F.regexp_replace(F.regexp_replace(day, WEEKDAY, ""), ORDINAL, "$1")
     iso = (F.substring(trimmed, 5, 1) == "-") & (F.length(trimmed) >= 8)
+    short = F.try_to_date(day, SHORT_YEAR)
+    short = F.when(F.year(short) % 100 >= PIVOT, F.add_months(short, -1200)).otherwise(short)
     return F.when(iso, trimmed.try_cast("date")).when(
         day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
-    )
+    ).when(day.rlike(r"[A-Za-z/.-]+ ?\d{2}$"), short)
 
 
 def parse_date(text: Column) -> Column:
-    """Date in text; NULL when blank or not a date."""
+    """Date in text; NULL when blank or not a date. Eight digits that are a calendar date are one."""
     number = to_number(F.trim(text))
-    return F.when(number.isNotNull(), date_from_number(number)).otherwise(date_from_text(text))
+    compact = F.when(F.trim(text).rlike(COMPACT), F.try_to_date(F.trim(text), "yyyyMMdd"))
+    by_number = F.coalesce(compact, date_from_number(number))
+    return F.when(number.isNotNull(), by_number).otherwise(date_from_text(text))
 
 
 def parse_typed_date(column: Column, dtype: str) -> Column:

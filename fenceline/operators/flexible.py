@@ -20,13 +20,12 @@ ONE_DETECTOR_ONLY = {
     "metric_name": "string",
     "metric_order": "int",
 }
-# Text limits, list lengths and thresholds of the explanations.
+# List lengths and thresholds of the explanations.
 TOP_REASONS = 3
 MIN_REASON_Z = 2.0
 Z_SMOOTHING = 1e-8
-DESCRIBED_OUTLIERS = 5
+DESCRIBED_FLAGS = 5
 DESCRIBED_REASONS = 2
-STORE_TEXT, HEADLINE_TEXT, KEY_TEXT = 50, 500, 8
 
 
 class NoMetrics(ValueError):
@@ -40,7 +39,7 @@ class NoRows(ValueError):
 def check(rows: DataFrame, schema: DatasetSchema) -> None:
     """Typed errors for the inputs that cannot be analysed."""
     if not schema.metrics:
-        raise NoMetrics("Please configure at least one metric column for anomaly detection")
+        raise NoMetrics(f"Dataset {schema.dataset_id} declares no metric to look at")
     if rows.isEmpty():
         raise NoRows(f"Dataset {schema.dataset_id} has no data rows")
 
@@ -60,13 +59,13 @@ def long_metrics(rows: DataFrame, schema: DatasetSchema, keep=("row_id", "date",
 
 
 def with_label(rows: DataFrame, schema: DatasetSchema) -> DataFrame:
-    """Add the readable identifier text, e.g. ``store=A, sku=7``; the key's start when all are empty."""
+    """Add the readable identifier text, e.g. ``store=A, sku=7``; the key when all are empty."""
     parts = [
         F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat(F.lit(f"{c}="), F.col(c)))
         for c in schema.identifiers
     ]
     text = F.concat_ws(", ", *parts) if parts else F.lit("")
-    return rows.withColumn("label", F.when(text != "", text).otherwise(F.left("identifier_key", F.lit(KEY_TEXT))))
+    return rows.withColumn("label", F.when(text != "", text).otherwise(F.col("identifier_key")))
 
 
 def flexible_tukey(rows: DataFrame, schema: DatasetSchema, settings: DetectionSettings = DEFAULTS) -> DataFrame:
@@ -182,19 +181,19 @@ def flexible_detections(tukey: DataFrame, forest: DataFrame | None) -> DataFrame
 def flexible_incidents(
     detections: DataFrame, schema: DatasetSchema, run_date: dt.date
 ) -> DataFrame:
-    """One incident per identifier with outliers, in the shape ``merge_incidents`` takes.
+    """One incident per identifier with flags, in the shape ``merge_incidents`` takes.
 
-    Counts use partial aggregation; the first five outliers are cut per map task before the shuffle,
-    so an identifier that holds most outliers is never gathered. Rows without identifier make none.
+    Counts use partial aggregation; the first five flags are cut per map task before the shuffle,
+    so an identifier that holds most flags is never gathered. Rows without identifier make none.
     """
-    outliers = detections.filter("is_outlier and identifier_key is not null")
+    flags = detections.filter("is_outlier and identifier_key is not null")
     for name, kind in ONE_DETECTOR_ONLY.items():
-        if name not in outliers.columns:
-            outliers = outliers.withColumn(name, F.lit(None).cast(kind))
+        if name not in flags.columns:
+            flags = flags.withColumn(name, F.lit(None).cast(kind))
     tukey, forest = F.col("detector_type") == "tukey", F.col("detector_type") == "isolation_forest"
-    totals = outliers.groupBy("identifier_key").agg(
+    totals = flags.groupBy("identifier_key").agg(
         F.min("date").alias("date"),
-        F.count(F.lit(1)).alias("outliers"),
+        F.count(F.lit(1)).alias("flags"),
         F.bool_or(tukey).alias("by_tukey"),
         F.bool_or(forest).alias("by_forest"),
         F.array_sort(F.collect_set("metric_name")).alias("metrics"),
@@ -207,9 +206,9 @@ def flexible_incidents(
         F.transform(F.slice("reasons", 1, DESCRIBED_REASONS), lambda r: r["message"])
     )
     first = (
-        outliers.select("identifier_key", "detector_type", "metric_order", "date", "row_id", told.alias("told"))
+        flags.select("identifier_key", "detector_type", "metric_order", "date", "row_id", told.alias("told"))
         .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= DESCRIBED_OUTLIERS)
+        .filter(F.col("rank") <= DESCRIBED_FLAGS)
         .groupBy("identifier_key")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "told"))).alias("first"))
     )
@@ -231,11 +230,11 @@ def flexible_incidents(
     made = {
         "dedup_key": key,
         "date": day,
-        "store_id": F.left("label", F.lit(STORE_TEXT)),
+        "store_id": F.col("label"),
         "dataset_id": F.lit(schema.dataset_id),
-        "headline": F.left(F.concat(about, F.lit(" for "), "label"), F.lit(HEADLINE_TEXT)),
+        "headline": F.concat(about, F.lit(" for "), "label"),
         "description": F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise("Multiple anomalies detected"),
-        "severity_score": F.least(20 + F.col("outliers") * 5 + F.size(detectors) * 15, F.lit(100)),
+        "severity_score": F.least(20 + F.col("flags") * 5 + F.size(detectors) * 15, F.lit(100)),
         "sku_count": F.lit(1),
         "estimated_impact": F.lit(0.0),
         "detectors_triggered": detectors,

@@ -7,10 +7,9 @@ from fenceline.functions.text import fixed, short_hash
 
 ROW = ["date", "store_id", "sku_id"]
 GROUP = ["date", "store_id"]
-# List lengths in a description and in the dedup key.
+# List lengths in a description.
 DESCRIBED_SKUS = 5
 DESCRIBED_FOREST_REASONS = 2
-KEYED_SKUS = 10
 
 
 def flagged_rows(detections: DataFrame, features: DataFrame) -> DataFrame:
@@ -70,10 +69,15 @@ def detector_list(by_tukey: Column, by_forest: Column) -> Column:
     )
 
 
-def dedup_key(date: Column, store: Column, first_skus: Column) -> Column:
-    """Hash of the week's Monday, the store and its first ten SKUs."""
+def sku_digest(sku: Column) -> Column:
+    """A set of SKUs as one number that map tasks can combine in any order: 60 hash bits each, by XOR."""
+    return F.bit_xor(F.conv(F.left(F.sha2(sku, 256), F.lit(15)), 16, 10).cast("bigint"))
+
+
+def dedup_key(date: Column, store: Column, skus: Column, digest: Column) -> Column:
+    """Hash of the week's Monday, the store and all its SKUs, as their number and digest."""
     week = F.date_format(F.trunc(date, "WEEK"), "yyyy-MM-dd")
-    return short_hash(F.concat_ws("_", week, store, F.array_join(first_skus, "_")))
+    return short_hash(F.concat_ws("_", week, store, skus.cast("string"), digest.cast("string")))
 
 
 def _first_headline() -> Column:
@@ -109,11 +113,13 @@ def _line() -> Column:
 def incident_groups(flagged: DataFrame) -> DataFrame:
     """One row per (date, store): score, headline, description and dedup key.
 
-    Totals use partial aggregation. The lists need only the first ten SKUs, which are cut per map
-    task before the shuffle (row_number with a limit), so no store-day is ever gathered whole.
+    Totals and the digest of all SKUs use partial aggregation. The description names only the first SKUs,
+    which are cut per map task before the shuffle (row_number with a limit), so no store-day is ever
+    gathered whole.
     """
     totals = flagged.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("sku_count"),
+        sku_digest(F.col("sku_id")).alias("sku_digest"),
         F.sum("impact").alias("estimated_impact"),
         F.bool_or("by_tukey").alias("by_tukey"),
         F.bool_or("by_forest").alias("by_forest"),
@@ -122,14 +128,13 @@ def incident_groups(flagged: DataFrame) -> DataFrame:
     order = Window.partitionBy(*GROUP).orderBy("sku_id")
     first = (
         flagged.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= KEYED_SKUS)
+        .filter(F.col("rank") <= DESCRIBED_SKUS)
         .select(*GROUP, "rank", "sku_id", _first_headline().alias("headline"), _line().alias("line"))
         .groupBy(*GROUP)
         .agg(F.array_sort(F.collect_list(F.struct("rank", "sku_id", "headline", "line"))).alias("first"))
     )
-    skus = F.transform("first", lambda s: s["sku_id"])
     lines = F.filter(
-        F.transform(F.slice("first", 1, DESCRIBED_SKUS), lambda s: s["line"]), lambda line: line.isNotNull()
+        F.transform("first", lambda s: s["line"]), lambda line: line.isNotNull()
     )
     more = F.when(
         F.col("sku_count") > DESCRIBED_SKUS,
@@ -148,7 +153,7 @@ def incident_groups(flagged: DataFrame) -> DataFrame:
         ).alias("severity_score"),
         F.when(F.col("sku_count") == 1, F.get("first", F.lit(0))["headline"]).otherwise(many).alias("headline"),
         F.when(text == "", F.lit("Multiple anomalies detected")).otherwise(text).alias("description"),
-        dedup_key(F.col("date"), F.col("store_id"), skus).alias("dedup_key"),
+        dedup_key(F.col("date"), F.col("store_id"), F.col("sku_count"), F.col("sku_digest")).alias("dedup_key"),
     )
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from fenceline.functions.parsing import clean_identifier, parse_typed_date, parse_typed_number
 from fenceline.functions.text import short_hash
 
-# The two row errors and how many are kept; a CSV data row is numbered from line 2.
+# The two row errors; a CSV data row is numbered from line 2.
 NO_IDENTIFIER = "All identifier columns are empty"
 NO_METRIC = "All metric columns are empty"
-KEPT_ERRORS = 50
 FIRST_DATA_LINE = 2
 
 
@@ -117,13 +116,10 @@ def valid_rows(cleaned: DataFrame) -> DataFrame:
     return cleaned.filter("is_valid").drop("is_valid", "errors")
 
 
-def row_errors(cleaned: DataFrame, row_index: str = "row_index", keep: int = KEPT_ERRORS) -> DataFrame:
-    """The first errors by line; a row can have two."""
-    return (
-        cleaned.filter("not is_valid")
-        .select((F.col(row_index) + FIRST_DATA_LINE).alias("row"), F.explode("errors").alias("error"))
-        .orderBy("row", "error")
-        .limit(keep)
+def row_errors(cleaned: DataFrame, row_index: str = "row_index") -> DataFrame:
+    """Every error with its line; a row can have two."""
+    return cleaned.filter("not is_valid").select(
+        (F.col(row_index) + FIRST_DATA_LINE).alias("row"), F.explode("errors").alias("error")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from fenceline.functions.parsing import date_from_text, to_number
 
 # Words that hint at a column's role (matched as substrings of the lower-case name),
-# accepted boolean texts, texts that count as blank, and sample sizes.
+# accepted boolean texts, texts that count as blank, and the number of sample values.
 DATE_WORDS = ["date", "time", "day", "month", "year", "created", "updated", "timestamp", "dt"]
 ID_WORDS = [
     "id", "code", "key", "name", "store", "product", "sku", "item",
@@ -21,9 +21,6 @@ METRIC_WORDS = [
 ]
 BOOLEAN_TEXTS = ["true", "false", "yes", "no", "y", "n", "1", "0", "t", "f", "on", "off"]
 BLANK_TEXTS = ["", "nan", "null", "none", "na"]
-SAMPLE_ROWS = 100
-NAMED_DATE_ROWS = 10
-UNNAMED_DATE_ROWS = 20
 SAMPLE_VALUES = 5
 
 WARNINGS = (
@@ -34,7 +31,7 @@ WARNINGS = (
 
 
 def _storage(dtype: str) -> str:
-    """Type that the storage type alone decides; empty for text, which is sampled."""
+    """Type that the storage type alone decides; empty for text, whose values decide."""
     if dtype in ("tinyint", "smallint", "int", "bigint"):
         return "integer"
     if dtype in ("float", "double") or dtype.startswith("decimal"):
@@ -136,16 +133,11 @@ def sample_values(long: DataFrame) -> DataFrame:
 
 
 def _text_evidence(long: DataFrame) -> DataFrame:
-    """What the first 100 non-null values of each text column look like.
+    """What the non-null values of each text column look like, over all rows.
 
-    The row limit is applied in the map tasks before the shuffle.
+    Partial aggregation; only the test of booleans keeps values, and those are among its few words.
     """
-    rank = F.row_number().over(Window.partitionBy("ordinal").orderBy("__order"))
-    sample = (
-        long.filter("storage = '' and value is not null")
-        .withColumn("rank", rank)
-        .filter(F.col("rank") <= SAMPLE_ROWS)
-    )
+    texts = long.filter("storage = '' and value is not null")
     word = F.lower(F.trim("value"))
     bare = F.regexp_replace(F.trim("value"), "[, ]", "")
     blank = bare.isin(*BLANK_TEXTS)
@@ -153,15 +145,10 @@ def _text_evidence(long: DataFrame) -> DataFrame:
     money = to_number(F.regexp_replace(bare, "[£$€]", ""))
     money_blank = F.regexp_replace(bare, "[£$€]", "").isin(*BLANK_TEXTS)
     day = date_from_text(F.col("value"))
-    first = F.col("rank") <= NAMED_DATE_ROWS
-    early = F.col("rank") <= UNNAMED_DATE_ROWS
-    return sample.groupBy("ordinal").agg(
-        F.count_if(first).alias("named_rows"),
-        F.count_if(first & day.isNotNull()).alias("named_dates"),
-        F.count_if(early).alias("unnamed_rows"),
-        F.count_if(early & F.year(day).between(1900, 2100)).alias("unnamed_dates"),
-        F.count_distinct(word).alias("words"),
-        F.bool_and(word.isin(*BOOLEAN_TEXTS)).alias("boolean_words"),
+    return texts.groupBy("ordinal").agg(
+        F.count_if(day.isNotNull()).alias("named_dates"),
+        F.count_if(F.year(day).between(1900, 2100)).alias("unnamed_dates"),
+        F.when(F.bool_and(word.isin(*BOOLEAN_TEXTS)), F.collect_set(F.when(word.isin(*BOOLEAN_TEXTS), word))).alias("words"),
         F.bool_and(blank | F.coalesce(whole == F.floor(whole), F.lit(False))).alias("integers"),
         F.bool_and(money_blank | money.isNotNull()).alias("numbers"),
         F.count_if(~money_blank & money.isNotNull()).alias("number_rows"),
@@ -172,15 +159,13 @@ def _text_evidence(long: DataFrame) -> DataFrame:
 def detect_types(long: DataFrame, counts: DataFrame) -> DataFrame:
     """Add ``detected_type``: the storage type, or for text the first test that passes."""
     named = _has_word(DATE_WORDS)
-    looks_dated = F.when(named, F.col("named_dates") * 2 >= F.col("named_rows")).otherwise(
-        F.col("unnamed_dates") * 2 >= F.col("unnamed_rows")
-    )
+    looks_dated = F.when(named, F.col("named_dates")).otherwise(F.col("unnamed_dates")) * 2 >= F.col("rows")
     filled = F.col("total_count") - F.col("null_count")
     kind = (
         F.when(filled == 0, "unknown")
         .when(F.col("storage") != "", F.col("storage"))
         .when(looks_dated, "date")
-        .when((F.col("words") <= 2) & F.col("boolean_words"), "boolean")
+        .when(F.size("words").between(1, 2), "boolean")
         .when(F.col("integers"), "integer")
         .when(F.col("numbers") & (F.col("number_rows") >= F.col("rows") * 0.8), "float")
         .when(F.col("unique_count") / filled < 0.5, "categorical")

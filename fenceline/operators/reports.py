@@ -269,7 +269,7 @@ def boxplot(
         F.transform(F.sort_array("points"), lambda p: p["value"]),
         lambda x: (x < F.col("lower_fence")) | (x > F.col("upper_fence")),
     )
-    return fenced.withColumn("outliers", outside).drop("points")
+    return fenced.withColumn("flags", outside).drop("points")
 
 
 def list_stores(raw: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from fenceline.settings import INCIDENT_STATUSES
 
 def _steps(incidents: DataFrame, changes: DataFrame) -> DataFrame:
     """Each change request of a known incident with the status and assignee just before it."""
-    asked = changes.withColumn("status", F.lower("status"))
+    allowed = F.col("status").isNull() | F.lower("status").isin(*INCIDENT_STATUSES)
+    asked = changes.filter(allowed).withColumn("status", F.lower("status"))
     before = last_known_before(
         asked, "incident_id", "changed_at", "change_id", ["status", "assignee"], "earlier_"
     )
@@ -28,7 +29,8 @@ def _steps(incidents: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def invalid_changes(changes: DataFrame) -> DataFrame:
-    """Requests that name a status outside the allowed list; reject a batch that has any."""
+    """Requests that name a status outside the allowed list. They are rejected: neither the incident nor the
+    audit trail changes by them."""
     return changes.filter(F.col("status").isNotNull() & ~F.lower("status").isin(*INCIDENT_STATUSES))
 
 

@@ -261,7 +261,7 @@ def run_stats(spark, sf_dir):
     features, results = stored(spark, sf_dir, "features"), stored(spark, sf_dir, "tukey")
     return side_by_side(
         features.agg(F.count(F.lit(1)).alias("features_created")),
-        results.agg(F.count_if("is_outlier").alias("tukey_outliers")),
+        results.agg(F.count_if("is_outlier").alias("tukey_flags")),
         inc.run_counts(stored(spark, sf_dir, "run")),
         rep.detection_mode(features).select("mode"),
     )
@@ -398,8 +398,8 @@ def timeseries(spark, sf_dir):
 @query
 def boxplot(spark, sf_dir):
     box = rep.boxplot(fixtures.raw_daily(spark, sf_dir), HALF_WAY, DEFAULTS, days=90)
-    told = F.array_join(F.transform("outliers", lambda x: x.cast("bigint").cast("string")), ",")
-    return flat(box.withColumn("outliers", told))
+    told = F.array_join(F.transform("flags", lambda x: x.cast("bigint").cast("string")), ",")
+    return flat(box.withColumn("flags", told))
 
 
 @query
@@ -528,7 +528,7 @@ def flexible_detections(spark, sf_dir):
     found = flex.flexible_detections(flex.flexible_tukey(_event_rows(spark, sf_dir), EVENTS), None)
     return flat(
         found.groupBy("date", "detector_type", "metric_name").agg(
-            F.count(F.lit(1)).alias("results"), F.count_if("is_outlier").alias("outliers")
+            F.count(F.lit(1)).alias("results"), F.count_if("is_outlier").alias("flags")
         )
     )
 

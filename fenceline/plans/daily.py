@@ -89,12 +89,12 @@ def run_detection(
 def run_stats(
     features: DataFrame, detections: DataFrame, run: DataFrame, existing: DataFrame | None, mode: str
 ) -> DataFrame:
-    """One row of counts; fence outliers are counted per metric."""
+    """One row of counts; fence flags are counted per metric."""
     detector = F.col("detector_type")
     made = features.agg(F.count(F.lit(1)).alias("features_created"))
     flags = detections.agg(
-        F.count_if((detector == "tukey") & F.col("is_outlier")).alias("tukey_outliers"),
-        F.count_if((detector == "isolation_forest") & F.col("is_outlier")).alias("isolation_forest_outliers"),
+        F.count_if((detector == "tukey") & F.col("is_outlier")).alias("tukey_flags"),
+        F.count_if((detector == "isolation_forest") & F.col("is_outlier")).alias("isolation_forest_flags"),
     )
     counts = inc.run_counts(run, existing)
     return side_by_side(made, flags, counts).withColumn("detection_mode", F.lit(mode))

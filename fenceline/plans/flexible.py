@@ -14,7 +14,7 @@ from fenceline.operators.ingest import DatasetSchema
 from fenceline.operators.profile import profile, suggest_schema
 from fenceline.settings import DEFAULTS, DetectionSettings
 from fenceline.sources import datasets
-from fenceline.sources.csv import read_csv
+from fenceline.sources.csv import read_csv, with_types
 from fenceline.sources.shared import materialize
 
 
@@ -48,7 +48,7 @@ def run_flexible_detection(
         incidents = inc.merge_incidents(existing, run, now).drop("change")
     stats = side_by_side(
         rows.agg(F.count(F.lit(1)).alias("rows_analyzed")),
-        detections.agg(F.count_if("is_outlier").alias("total_outliers")),
+        detections.agg(F.count_if("is_outlier").alias("total_flags")),
         inc.run_counts(run, existing),
     )
     return FlexibleRun(detections, incidents, flex.creation_notes(created, schema, now), stats)
@@ -63,9 +63,9 @@ class Analysis:
 
 def analyze_csv(spark: SparkSession, path: str) -> Analysis:
     """Profile, suggested roles and the first rows of a CSV file."""
-    df = read_csv(spark, path, infer_types=False)
-    columns = profile(df)
-    return Analysis(columns, suggest_schema(columns), df.limit(20))
+    df = ingest.with_row_index(read_csv(spark, path))
+    columns = profile(df, order_by="row_index")
+    return Analysis(columns, suggest_schema(columns), ingest.preview_rows(df, "row_index").drop("row_index"))
 
 
 @dataclass(frozen=True)
@@ -88,11 +88,13 @@ def upload(spark: SparkSession, registry: DataFrame, dataset_id: int, csv_path:
     cleaned = materialize(ingest.clean(ingest.with_row_index(source), schema), "cleaned")
     summary, errors = ingest.transform_summary(cleaned), ingest.row_errors(cleaned)
     packed = ingest.packed_rows(ingest.valid_rows(cleaned), schema)
+    # Row ids go on behind those of earlier uploads.
+    packed = packed.withColumn("row_id", F.col("row_id") + datasets.next_row_id(spark, rows_path, dataset_id))
     if packed.isEmpty():
-        raise NoValidRows(f"No valid rows after transformation: {errors.take(20)}")
+        raise NoValidRows(f"No valid rows after transformation: {errors.orderBy("row", "error").take(20)}")
     datasets.append_rows(packed, rows_path)
     registry = datasets.add_stats(registry, packed)
-    registry = datasets.store_analysis(registry, dataset_id, profile(source))
+    registry = datasets.store_analysis(registry, dataset_id, profile(with_types(source)))
     return Upload(registry, packed, summary, errors)
 
 

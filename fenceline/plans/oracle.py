@@ -1,5 +1,7 @@
 """The registered queries again as plain DuckDB SQL, for the side-by-side check."""
 
+from fenceline.operators.profile import BLANK_TEXTS, BOOLEAN_TEXTS, DATE_WORDS, ID_WORDS, METRIC_WORDS
+
 RAW = """
 raw_daily AS (
   SELECT date, store_id, sku_id, on_hand, sold, delivered, returned,
@@ -137,12 +139,12 @@ incident_group AS (
                + closeness * 10, 100) AS severity_score,
          CASE WHEN n = 1 THEN headline1 ELSE n || ' SKUs with anomalies in store ' || store_id END AS headline,
          told || CASE WHEN n > 5 THEN chr(10) || '• ...and ' || (n - 5) || ' more SKUs' ELSE '' END AS description,
-         left(sha256(CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) || '_' || store_id || '_' || skus), 32) AS dedup_key
+         left(sha256(CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) || '_' || store_id || '_' || n || '_' || skus), 32) AS dedup_key
   FROM (
     SELECT date, store_id, count(*) AS n, sum(impact) AS impact, sum(closeness) / sum(flags) AS closeness,
            max(CASE WHEN rank = 1 THEN headline END) AS headline1,
            string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) AS told,
-           string_agg(sku_id, '_' ORDER BY rank) FILTER (rank <= 10) AS skus
+           bit_xor(CAST('0x' || left(sha256(sku_id), 15) AS BIGINT)) AS skus
     FROM lines GROUP BY ALL
   )
 ),
@@ -298,18 +300,13 @@ def _cells(select: str, columns: list[str], order: str) -> str:
     return "cell AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def _contains(words: str) -> str:
-    return "(" + " OR ".join(f"contains(lower(column_name), '{w}')" for w in words.split()) + ")"
+def _contains(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(column_name), '{w}')" for w in words) + ")"
 
 
-ID_HINT = _contains(
-    "id code key name store product sku item customer user location branch region category department supplier vendor"
-)
-METRIC_HINT = _contains(
-    "amount total count qty quantity price cost value sales revenue profit stock inventory sold returned delivered units "
-    "volume weight score rating percent rate avg sum balance"
-)
-DATE_HINT = _contains("date time day month year created updated timestamp dt")
+ID_HINT, METRIC_HINT, DATE_HINT = map(_contains, (ID_WORDS, METRIC_WORDS, DATE_WORDS))
+BOOLEANS = ", ".join(f"'{w}'" for w in BOOLEAN_TEXTS)
+BLANKS = ", ".join(f"'{w}'" for w in BLANK_TEXTS)
 
 COUNTED = """,
 counted AS (
@@ -448,7 +445,7 @@ def oracle_sql() -> dict[str, str]:
     sql["run_stats"] = _with(
         FLAGGED,
         """SELECT (SELECT count(*) FROM features) AS features_created,
-               (SELECT count(*) FROM tukey WHERE is_outlier) AS tukey_outliers,
+               (SELECT count(*) FROM tukey WHERE is_outlier) AS tukey_flags,
                (SELECT count(*) FROM run) AS incidents_created,
                (SELECT CAST(sum(groups - 1) AS BIGINT) FROM run) AS incidents_updated, 'full' AS mode""",
     )
@@ -548,7 +545,7 @@ def oracle_sql() -> dict[str, str]:
         RAW + series.format(90, ""),
         """SELECT store_id, sku_id, metric, min, q1, median, q3, max, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence,
                q3 + 1.5 * (q3 - q1) AS upper_fence,
-               array_to_string(list_filter(v, lambda x: x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)), ',') AS outliers
+               array_to_string(list_filter(v, lambda x: x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)), ',') AS flags
         FROM (
           SELECT store_id, sku_id, metric, count(*) AS n, CAST(min(value) AS DOUBLE) AS min, quantile_cont(value, 0.25) AS q1,
                  quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, CAST(max(value) AS DOUBLE) AS max,
@@ -621,7 +618,7 @@ def oracle_sql() -> dict[str, str]:
     sql["flexible_detections"] = _with(
         EVENTS,
         """SELECT CAST(date AS VARCHAR) AS date, 'tukey' AS detector_type, metric_name, count(*) AS results,
-               count(*) FILTER (is_outlier) AS outliers FROM flex GROUP BY ALL""",
+               count(*) FILTER (is_outlier) AS flags FROM flex GROUP BY ALL""",
     )
     sql["flexible_incidents"] = _with(
         EVENTS
@@ -633,7 +630,7 @@ def oracle_sql() -> dict[str, str]:
           FROM flex WHERE is_outlier
         )""",
         """SELECT left(sha256('1_' || identifier_key || '_' || min(date)), 32) AS incident_id, CAST(min(date) AS VARCHAR) AS date,
-               left(any_value(label), 50) AS store_id, CAST(1 AS BIGINT) AS dataset_id, 'open' AS status,
+               any_value(label) AS store_id, CAST(1 AS BIGINT) AS dataset_id, 'open' AS status,
                CAST(least(35 + 5 * count(*), 100) AS DOUBLE) AS severity_score,
                'Anomalies in ' || string_agg(DISTINCT metric_name, ', ' ORDER BY metric_name) || ' for ' || any_value(label) AS headline,
                CAST(1 AS BIGINT) AS sku_count, CAST(0 AS DOUBLE) AS estimated_impact, 'tukey' AS detectors_triggered,
@@ -656,7 +653,7 @@ def oracle_sql() -> dict[str, str]:
     sql["row_errors"] = _with(
         ORDERS,
         """SELECT row_index + 2 AS row, 'All identifier columns are empty' AS error FROM keyed WHERE no_id
-        UNION ALL SELECT row_index + 2, 'All metric columns are empty' FROM keyed WHERE no_metric ORDER BY 1, 2 LIMIT 50""",
+        UNION ALL SELECT row_index + 2, 'All metric columns are empty' FROM keyed WHERE no_metric""",
     )
     sql["transform_summary"] = _with(
         ORDERS,
@@ -725,21 +722,19 @@ def oracle_sql() -> dict[str, str]:
         dirty
         + f""",
         evidence AS (
-          SELECT ordinal, count(*) AS rows, count(*) FILTER (rank <= 10) AS n10, count(day) FILTER (rank <= 10) AS d10,
-                 count(*) FILTER (rank <= 20) AS n20, count(day) FILTER (rank <= 20 AND year(day) BETWEEN 1900 AND 2100) AS d20,
+          SELECT ordinal, count(*) AS rows, count(day) AS named, count(day) FILTER (year(day) BETWEEN 1900 AND 2100) AS unnamed,
                  count(DISTINCT lower(trim(value))) AS words,
-                 bool_and(lower(trim(value)) IN ('true','false','yes','no','y','n','1','0','t','f','on','off')) AS bools,
-                 bool_and(bare IN ('', 'nan', 'null', 'none', 'na') OR coalesce(TRY_CAST(bare AS DOUBLE) = floor(TRY_CAST(bare AS DOUBLE)), false)) AS ints,
-                 bool_and(money IN ('', 'nan', 'null', 'none', 'na') OR TRY_CAST(money AS DOUBLE) IS NOT NULL) AS nums,
+                 bool_and(lower(trim(value)) IN ({BOOLEANS})) AS bools,
+                 bool_and(bare IN ({BLANKS}) OR coalesce(TRY_CAST(bare AS DOUBLE) = floor(TRY_CAST(bare AS DOUBLE)), false)) AS ints,
+                 bool_and(money IN ({BLANKS}) OR TRY_CAST(money AS DOUBLE) IS NOT NULL) AS nums,
                  count(TRY_CAST(money AS DOUBLE)) AS nnum
           FROM (
             SELECT *, coalesce(try_strptime(value, '%Y-%m-%d'), try_strptime(value, '%d/%m/%Y')) AS day,
-                   regexp_replace(value, '[, ]', '', 'g') AS bare, regexp_replace(value, '[, £$€]', '', 'g') AS money,
-                   row_number() OVER (PARTITION BY ordinal ORDER BY pos) AS rank
+                   regexp_replace(value, '[, ]', '', 'g') AS bare, regexp_replace(value, '[, £$€]', '', 'g') AS money
             FROM cell WHERE value IS NOT NULL
-          ) WHERE rank <= 100 GROUP BY ordinal
+          ) GROUP BY ordinal
         )""",
-        f"""SELECT column_name, CASE WHEN CASE WHEN {DATE_HINT} THEN d10 * 2 >= n10 ELSE d20 * 2 >= n20 END THEN 'date'
+        f"""SELECT column_name, CASE WHEN CASE WHEN {DATE_HINT} THEN named ELSE unnamed END * 2 >= rows THEN 'date'
                WHEN words <= 2 AND bools THEN 'boolean' WHEN ints THEN 'integer' WHEN nums AND nnum >= rows * 0.8 THEN 'float'
                WHEN uniques / (total - nulls) < 0.5 THEN 'categorical' ELSE 'text' END AS detected_type
         FROM counted JOIN evidence USING (ordinal)""",

@@ -1,28 +1,83 @@
 """CSV files with a header, in UTF-8 or else Latin-1."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Whole cells that stand for a missing value.
+MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+# The syntax of whole and other numbers and of truth values in a cell.
+WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+TRUTH = ["True", "False", "TRUE", "FALSE", "true", "false"]
+
+
+def _facts(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether some line has an odd number of quotes, so that a cell goes over lines."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    bad, broken = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8(line)), F.bool_or(quotes % 2 == 1)).first()
+    return ("ISO-8859-1" if bad else "UTF-8"), bool(broken)
+
 
 def csv_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line is not valid UTF-8; then every byte is taken as Latin-1."""
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
-    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
+    return _facts(spark, path)[0]
+
+
+def with_types(df: DataFrame) -> DataFrame:
+    """Text columns whose present cells are all whole numbers, numbers or truth values, as such.
+
+    All rows decide, in one aggregation; a column without values stays text.
+    """
+
+    def all_cells(test: Column) -> Column:
+        return F.coalesce(F.bool_and(test), F.lit(False))
+
+    tests = []
+    for i, (name, kind) in enumerate(df.dtypes):
+        if kind == "string":
+            c = F.col(f"`{name}`")
+            tests += [all_cells(c.rlike(WHOLE)).alias(f"i{i}"), all_cells(c.rlike(NUMBER)).alias(f"f{i}")]
+            tests.append(all_cells(c.isin(*TRUTH)).alias(f"b{i}"))
+    if not tests:
+        return df
+    found = df.agg(*tests).first().asDict()
+
+    def typed(i, name):
+        c = F.col(f"`{name}`")
+        for key, kind in (("i", "bigint"), ("f", "double"), ("b", "boolean")):
+            if found.get(f"{key}{i}"):
+                return F.trim(c).cast(kind).alias(name)
+        return c
+
+    return df.select(*[typed(i, name) for i, name in enumerate(df.columns)])
 
 
 def read_csv(
-    spark: SparkSession, path: str, infer_types: bool = True, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    infer_types: bool = True,
+    multi_line: bool | None = None,
+    missing: list[str] | None = None,
+    encoding: str | None = None,
 ) -> DataFrame:
-    """Scan with header. Without ``infer_types`` all columns are text and no inference pass runs.
+    """Scan with header. Without ``infer_types`` all columns are text.
 
-    ``multi_line`` allows line breaks inside quotes, but then a file cannot be split over tasks.
+    Cells equal to a word of ``missing`` (default MISSING) are NULL. ``multi_line`` allows line breaks inside
+    quotes, but then a file cannot be split over tasks; left out, the file itself decides, and switched off
+    for a file that has them it is an error. With ``multi_line`` and ``encoding`` given no extra pass runs.
     """
-    return spark.read.csv(
-        path,
-        header=True,
-        inferSchema=infer_types,
-        multiLine=multi_line,
-        encoding=csv_encoding(spark, path),
-        quote='"',
-        escape='"',
-    )
+    if multi_line is None or encoding is None or not multi_line:
+        found, broken = _facts(spark, path)
+        encoding = encoding or found
+        if broken and multi_line is False:
+            raise ValueError(f"{path} has line breaks inside quotes; read it with multi_line")
+        multi_line = broken
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, encoding=encoding, quote='"', escape='"')
+    words = MISSING if missing is None else missing
+    df = df.select(*[F.when(~F.col(f"`{c}`").isin(*words), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return with_types(df) if infer_types else df
+

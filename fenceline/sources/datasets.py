@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,18 @@ def delete_children(children: DataFrame, parents: DataFrame, key: str = "inciden
     return children.join(parents.select(key), key, "left_anti")
 
 
+def next_row_id(spark: SparkSession, path: str, dataset_id: int) -> int:
+    """The first row id that no stored row of the dataset has; 0 where nothing is stored yet."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    highest = stored.filter(F.col("dataset_id") == dataset_id).agg(F.max("row_id")).first()[0]
+    return 0 if highest is None else highest + 1
+
+
 def append_rows(packed: DataFrame, path: str) -> None:
     packed.write.mode("append").partitionBy("dataset_id").parquet(path)
 

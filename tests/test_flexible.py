@@ -16,7 +16,7 @@ SCHEMA = DatasetSchema(3, "sensors", "date", ["site", "unit"], ["temp", "load",
 
 
 def sensor_rows(spark, n=400):
-    """One site holds most rows and most outliers; some rows lack identifiers or dates."""
+    """One site holds most rows and most flags; some rows lack identifiers or dates."""
     rng = np.random.default_rng(2)
     rows = []
     for i in range(n):

@@ -75,7 +75,7 @@ def test_whole_run_is_repeatable(spark):
     stats = first.stats.first()
     assert stats["features_created"] == len(daily_rows(11)) and stats["detection_mode"] == "full"
     assert stats["incidents_created"] == first.incidents.count() == first.notes.count() > 0
-    assert stats["isolation_forest_outliers"] > 0
+    assert stats["isolation_forest_flags"] > 0
     shares = first.items.groupBy("incident_id").agg(F.sum("contribution_score").alias("s")).collect()
     assert all(r["s"] == pytest.approx(1.0) or r["s"] == 0 for r in shares)
     ids = first.items.select(F.explode("detection_result_ids").alias("detection_id"))
