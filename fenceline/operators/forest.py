@@ -27,7 +27,10 @@ MIN_REASON_Z = 1.5
 EULER_GAMMA = 0.5772156649015329
 
 GLOBAL_SCOPE = "global"
-ROWS_PER_GROUP = 20_000
+#: Trees of up to this many bytes in all are sent to every task, and rows are scored where they are. Beyond
+#: it rows meet a copy of their scope's trees (about one megabyte) in groups of so many rows.
+TREE_BYTES = 64_000_000
+ROWS_PER_GROUP = 500_000
 # Tables with one small row per scope are broadcast while there are at most this many scopes (a few
 # megabytes); the rows are then never shuffled by scope. Beyond that adaptive execution joins them.
 BROADCAST_SCOPES = 100_000
@@ -117,31 +120,54 @@ def fit_forest(
 ) -> DataFrame:
     """Trees per scope from rows with columns scope, row_key and the inputs.
 
-    A row enters a tree when its hash ranks among the 256 smallest of its scope and tree. In a small
-    scope every row draws for every tree. In a large one a second hash first assigns the row to a
-    single tree, so it costs two hashes instead of a hundred and samples do not overlap. A generous
-    threshold drops nearly all rows before anything is shuffled; the rank makes the sample exact,
-    repeatable and independent of partitioning.
+    A row enters a tree when its hash ranks among the 256 smallest of those that were dealt to the tree.
+    How many trees a row is dealt to is binomial: one hash, read through the inverse of its distribution,
+    says how many, and only rows with one or more order the trees by further hashes to say which. The share
+    leaves somewhat more rows per tree than it needs, so nearly all rows of a large scope are dropped by the
+    one hash before anything is shuffled; the rank makes the sample exact, repeatable and independent of
+    partitioning.
     """
     size, seed, tree_count = settings.forest_sample, settings.forest_seed, settings.forest_trees
     wanted = size * 1.5 + 64
     counts = training.groupBy("scope").agg(F.count(F.lit(1)).alias("scope_rows"))
-    large = F.col("scope_rows") >= tree_count * wanted
-    share = F.least(F.when(large, tree_count * wanted).otherwise(wanted) / F.col("scope_rows"), F.lit(1.0))
+    share = F.least(wanted / F.col("scope_rows"), F.lit(1.0))
+    numbers = F.sequence(F.lit(0), F.lit(tree_count - 1))
 
     def draw(tree):
         return F.struct(tree.alias("tree"), F.xxhash64(F.lit(seed), "scope", tree, "row_key").alias("draw"))
 
-    one = F.pmod(F.xxhash64(F.lit(seed + 1), "scope", "row_key"), F.lit(tree_count)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.lit(tree_count - 1)), draw)
-    kept = F.filter(
-        F.when(large, F.array(draw(one))).otherwise(every),
-        lambda d: d["draw"] / F.lit(2.0**63) <= F.col("share") * 2 - 1,
+    # Uniform in (0, 1); the number of trees is the first k at which the binomial distribution reaches it.
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "scope", "row_key"), 11) + 0.5) / float(2**53)
+    odds = F.col("share") / (1 - F.col("share"))
+
+    def step(state, k):
+        mass = state["mass"] * (tree_count - k) / (k + 1) * odds
+        more = F.col("uniform") > state["below"]
+        return F.struct(
+            (state["k"] + F.when(more, 1).otherwise(0)).alias("k"),
+            mass.alias("mass"),
+            (state["below"] + mass).alias("below"),
+        )
+
+    none = F.pow(1 - F.col("share"), F.lit(float(tree_count)))
+    start = F.struct(F.lit(0).alias("k"), none.alias("mass"), none.alias("below"))
+    trees_of = (
+        F.when(F.col("share") >= 1, tree_count)
+        .when(F.col("uniform") <= none, 0)
+        .otherwise(F.aggregate(numbers, start, step, lambda state: state["k"]))
+    )
+    by_hash = F.array_sort(
+        F.transform(numbers, lambda t: F.struct(F.xxhash64(F.lit(seed + 2), "scope", t, "row_key").alias("h"), t.alias("t")))
+    )
+    kept = F.when(
+        F.col("dealt") > 0, F.transform(F.slice(by_hash, F.lit(1), F.col("dealt")), lambda d: draw(d["t"]))
     )
     order = Window.partitionBy("scope", "tree").orderBy("draw", "row_key")
     sample = (
         training.join(_per_scope(counts, scope_count), "scope")
         .withColumn("share", share)
+        .withColumn("uniform", uniform)
+        .withColumn("dealt", trees_of)
         .select("scope", "row_key", *inputs, F.inline(kept))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= size)
@@ -166,17 +192,36 @@ def score_rows(
 ) -> DataFrame:
     """Add ``score`` to rows with columns scope, row_key and the inputs.
 
-    A scope's rows are dealt by hash into groups of about ``rows_per_group``, and its trees (at most
-    about one megabyte) are copied to each group, so no scope is gathered whole in one task.
+    Trees within TREE_BYTES go to every task and no row is shuffled. Otherwise a scope's rows are dealt by
+    hash into groups of about ``rows_per_group``, and its trees are copied to each group, so no scope is
+    gathered whole in one task. ``trees`` is stored; both ways give the same scores.
     """
     inputs = list(inputs)
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    columns = [*rows.columns, "score"]
+    # A node takes 28 bytes in the five arrays.
+    size = trees.agg(F.coalesce(F.sum(28 * F.size("feature") + 64), F.lit(0))).first()[0]
+    if size <= TREE_BYTES:
+        models = trees.toPandas()  # TREE_BYTES at most
+        by_scope = {scope: model.sort_values("tree") for scope, model in models.groupby("scope")}
+        sent = rows.sparkSession.sparkContext.broadcast(by_scope)
+
+        def score_here(batches):
+            for batch in batches:
+                scores = np.full(len(batch), np.nan)
+                for scope, at in batch.groupby("scope").indices.items():
+                    if scope in sent.value:
+                        scores[at] = score_points(sent.value[scope], batch[inputs].to_numpy(dtype=float)[at])
+                out = batch.assign(score=scores)
+                yield out[~np.isnan(scores)][columns]
+
+        return rows.mapInPandas(score_here, schema)
     parts = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / rows_per_group).cast("int").alias("parts"))
     parts = _per_scope(parts, scope_count)
     part = F.pmod(F.xxhash64("row_key"), F.col("parts")).cast("int")
     dealt = rows.join(parts, "scope").withColumn("part", part).drop("parts")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     copies = trees.join(parts, "scope").withColumn("part", every).drop("parts")
-    columns = [*rows.columns, "score"]
 
     def score(group, model):
         if group.empty or model.empty:
@@ -184,7 +229,6 @@ def score_rows(
         points = group[inputs].to_numpy(dtype=float)
         return group.assign(score=score_points(model.sort_values("tree"), points))[columns]
 
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
     return dealt.groupBy("scope", "part").cogroup(copies.groupBy("scope", "part")).applyInPandas(score, schema)
 
 
