@@ -22,6 +22,7 @@ from fenceline.operators import tukey
 from fenceline.operators import workflow as work
 from fenceline.operators.detections import tukey_detections
 from fenceline.plans import fixtures
+from fenceline.plans.flexible import analyze_csv
 from fenceline.settings import DEFAULTS
 from fenceline.sources import datasets
 from fenceline.sources.csv import read_csv
@@ -355,6 +356,12 @@ def audit_notes(spark, sf_dir):
     return flat(notes.select(*columns).unionByName(said.select(*columns)))
 
 
+@query
+def rejected_changes(spark, sf_dir):
+    table = stored(spark, sf_dir, "incidents")
+    return work.invalid_changes(_change_log(table)).select("incident_id", F.col("change_id").cast("bigint").alias("change_id"), "status")
+
+
 def _change_log(table):
     """Three requests per incident an hour and a half apart, derived from the digits of its id."""
 
@@ -366,6 +373,7 @@ def _change_log(table):
             F.when(digit(number + 1).isin(list("0123")), "Investigating")
             .when(digit(number + 1).isin(list("4567")), "resolved")
             .when(digit(number + 1).isin(list("89")), "open")
+            .when(digit(number + 1) == "f", "bogus")
         )
         assignee = F.when(digit(number + 4).isin(list("0123")), F.concat(F.lit("user-"), digit(number + 7))).when(
             digit(number + 4) == "4", F.lit("")
@@ -572,6 +580,22 @@ def csv_scan(spark, sf_dir):
     return flat(scanned.select("row_index", "order_date", "priority", "status", "total"))
 
 
+@query
+def csv_profile(spark, sf_dir):
+    """Orders as a CSV with missing-value words, 0/1, numbers and quoted line breaks, read and profiled."""
+    path = new_path(spark, "profile-csv")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        customer.alias("customer"),
+        F.when(customer % 7 == 0, "NA").otherwise((key * 3).cast("string")).alias("quantity"),
+        (key % 2).alias("urgent"),
+        F.when(key % 3 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("total"),
+        F.when(key % 5 == 0, F.concat(F.lit("two\nlines "), key)).otherwise(F.concat(F.lit("plain "), key)).alias("remark"),
+    ).write.csv(path, header=True, quote='"', escape='"')
+    found = analyze_csv(spark, path).profile
+    return found.select("column_name", "detected_type", "total_count", "null_count", "unique_count")
+
+
 @query
 def preview_rows(spark, sf_dir):
     return flat(ingest.preview_rows(fixtures.dirty_orders(spark, sf_dir), "row_index"))

@@ -354,7 +354,7 @@ request AS (
          CASE WHEN dedup_key[i + 4] IN ('0', '1', '2', '3') THEN 'user-' || dedup_key[i + 7]
               WHEN dedup_key[i + 4] = '4' THEN '' END AS new_assignee,
          CASE WHEN dedup_key[i + 10] = '0' THEN 'checked' END AS new_reason
-  FROM incident, (VALUES (1), (2), (3)) v(i)
+  FROM incident, (VALUES (1), (2), (3)) v(i) WHERE dedup_key[i + 1] <> 'f'
 ),
 step AS (
   SELECT *, coalesce(last_value(new_status IGNORE NULLS) OVER w, start_status) AS old_status,
@@ -638,6 +638,22 @@ def oracle_sql() -> dict[str, str]:
         FROM flagged GROUP BY identifier_key""",
     )
     sql["csv_scan"] = _with(ORDERS, "SELECT row_index, order_date, priority, status, total FROM dirty")
+    sql["rejected_changes"] = _with(
+        FLAGGED,
+        """SELECT dedup_key AS incident_id, CAST(i AS BIGINT) AS change_id, 'bogus' AS status
+        FROM incident, (VALUES (1), (2), (3)) v(i) WHERE dedup_key[i + 1] = 'f'""",
+    )
+    sql["csv_profile"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS column_name, '{kind}' AS detected_type, count(*) AS total_count, "
+        f"count(*) - count(v) AS null_count, count(DISTINCT v) AS unique_count FROM (SELECT {value} AS v FROM orders)"
+        for name, kind, value in (
+            ("customer", "integer", "o_custkey"),
+            ("quantity", "integer", "CASE WHEN o_custkey % 7 <> 0 THEN o_orderkey * 3 END"),
+            ("urgent", "integer", "o_orderkey % 2"),
+            ("total", "float", "CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END"),
+            ("remark", "text", "o_orderkey"),
+        )
+    )
     sql["preview_rows"] = _with(ORDERS, "SELECT * FROM dirty ORDER BY row_index LIMIT 20")
     sql["parse_dates"] = _with(
         ORDERS, "SELECT row_index, order_date, CAST(date AS VARCHAR) AS parsed FROM dirty JOIN parsed USING (row_index)"
