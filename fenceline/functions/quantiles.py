@@ -96,17 +96,12 @@ def exact_quantiles(
     """Exact quantiles of a double column for a few large groups (one per metric, say).
 
     Equal values are counted before anything is ordered, so a value that fills a third of the table
-    is one row. While a group has few distinct values its histogram is ordered directly. Beyond that
-    the ranks are narrowed: each pass counts equal-width bins between the current bounds, keeps the
-    bin that holds the rank, and stops when the bin is small. The driver sees only the bounds.
+    is one row. The ranks are narrowed: each pass counts equal-width bins between the current bounds,
+    keeps the bin that holds the rank, and stops when ``small_domain`` or fewer distinct values are left.
+    The driver sees only the bounds.
     """
     present = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None))).filter(F.col(value).isNotNull())
     hist = present.groupBy(key, value).agg(F.count(F.lit(1)).alias("__w"))
-    widest = (
-        present.groupBy(key).agg(F.approx_count_distinct(value).alias("d")).agg(F.max("d")).first()[0] or 0
-    )
-    if widest <= small_domain:
-        return histogram_quantiles(hist, [key], value, "__w", probabilities, names)
     return _narrowed(materialize(hist, "values"), key, value, probabilities, names, small_domain)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fenceline.functions.quantiles import SMALL_DOMAIN, histogram_quantiles
+from fenceline.functions.quantiles import histogram_quantiles
 from fenceline.functions.text import fixed
 from fenceline.operators.features import REASON_FEATURES
 from fenceline.settings import DEFAULTS, DetectionSettings
@@ -248,7 +248,7 @@ def _scored(rows: DataFrame, training: DataFrame, trees: DataFrame, inputs, scop
     )
     scored = materialize(score_rows(both, trees, inputs, scope_count), "forest-scores")
     trained = scored.filter("in_training")
-    limits = offsets(trained, settings.contamination, SCORE_BLOCK if trained.count() > SMALL_DOMAIN else None)
+    limits = offsets(trained, settings.contamination)
     return (
         scored.filter("not in_training")
         .join(_per_scope(limits, scope_count), "scope")
@@ -445,7 +445,7 @@ def single_scope_scores(
     training = scoped.select("scope", "row_key", *inputs)
     trees = materialize(fit_forest(training, inputs, 1, settings), "forest-trees")
     scored = materialize(score_rows(scoped, trees, inputs, 1), "forest-scores")
-    limit = offsets(scored, settings.contamination, SCORE_BLOCK if row_count > SMALL_DOMAIN else None)
+    limit = offsets(scored, settings.contamination)
     return (
         scored.join(F.broadcast(limit), "scope")  # one row
         .withColumn("anomaly_score", F.col("score") - F.col("offset"))

@@ -9,17 +9,13 @@ lie inside the (one day longer) window.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fenceline.functions.quantiles import SMALL_DOMAIN, array_quantile, histogram_quantiles
+from fenceline.functions.quantiles import array_quantile, histogram_quantiles
 from fenceline.functions.text import fixed
 from fenceline.settings import DEFAULTS, DETECTION_METRICS, DetectionSettings
 from fenceline.sources.shared import materialize
 
 QUARTILES = (0.25, 0.75)
-# Short targets up to this number are handled by broadcasting their windows
-# (at most 3 levels x 28 days x this many small rows); more of them are joined by shuffle.
-FEW_TARGETS = 10_000
-# Width of a value block where the values span more than SMALL_DOMAIN whole numbers: a 33-bit
-# change then has at most 2^17 blocks of 2^16 values.
+# Width of a value block: a 33-bit change then has at most 2^17 blocks of 2^16 values.
 BLOCK = 65_536
 FALLBACK_LABELS = {1: "store", 2: "sku", 3: "global"}
 
@@ -79,7 +75,6 @@ def tukey_baselines(
     features: DataFrame,
     metrics=DETECTION_METRICS,
     settings: DetectionSettings = DEFAULTS,
-    few_targets: int = FEW_TARGETS,
 ) -> DataFrame:
     """Every target with the first baseline level that has enough values.
 
@@ -94,17 +89,9 @@ def tukey_baselines(
     targets = observed.filter("is_target").select(
         "date", "store_id", "sku_id", "day_number", "metric_name", "value", "n", "q1", "q3"
     )
-    facts = observed.agg(
-        F.count_if(F.col("is_target") & ~enough).alias("short"),
-        (F.max("value") - F.min("value")).alias("spread"),
-    ).first()
     own = targets.filter(enough).withColumn("level", F.lit(0)).drop("day_number")
-    if not facts["short"]:
-        return own
     short = targets.filter(~enough).drop("n", "q1", "q3")
-    wide = (facts["spread"] or 0) > SMALL_DOMAIN
-    solve = _few_targets if facts["short"] <= few_targets else _many_targets
-    return own.unionByName(solve(short, observed, settings, wide).drop("level_key", "day_number"))
+    return own.unionByName(_short_targets(short, observed, settings).drop("level_key", "day_number"))
 
 
 def _with_levels(df: DataFrame) -> DataFrame:
@@ -119,36 +106,11 @@ LEVEL_KEYS = ["metric_name", "level", "level_key"]
 TARGET = ["date", "store_id", "sku_id", "day_number", "metric_name", "value"]
 
 
-def _few_targets(short: DataFrame, observed: DataFrame, settings: DetectionSettings, wide: bool) -> DataFrame:
-    """All three levels at once; each target keeps the first with enough values."""
-    candidates = _with_levels(short)
-    needed = candidates.select(*LEVEL_KEYS, "day_number").distinct()
-    sides = F.struct("level", "n", "q1", "q3")
-    enough = F.col("n") >= settings.min_samples
-    return (
-        candidates.join(
-            _coarse_quartiles(observed, needed, settings, few=True, wide=wide), [*LEVEL_KEYS, "day_number"], "left"
-        )
-        .groupBy(*TARGET)
-        .agg(
-            F.min(F.when(enough, sides)).alias("chosen"),
-            F.max(F.when(F.col("level") == 3, F.col("n"))).alias("global_n"),
-        )
-        .select(
-            *TARGET,
-            "chosen.level",
-            F.coalesce("chosen.n", "global_n", F.lit(0)).alias("n"),
-            "chosen.q1",
-            "chosen.q3",
-        )
-    )
-
-
-def _many_targets(short: DataFrame, observed: DataFrame, settings: DetectionSettings, wide: bool) -> DataFrame:
+def _short_targets(short: DataFrame, observed: DataFrame, settings: DetectionSettings) -> DataFrame:
     """Level from counts first, then quartiles only for the (level, key, day) that were chosen."""
     choice = materialize(_choose_level(short, observed, settings), "baseline-levels")
     needed = choice.filter("level is not null").select(*LEVEL_KEYS, "day_number").distinct()
-    quartiles = _coarse_quartiles(observed, needed, settings, few=False, wide=wide)
+    quartiles = _coarse_quartiles(observed, needed, settings)
     return (
         choice.join(quartiles, [*LEVEL_KEYS, "day_number"], "left")
         .withColumn("n", F.coalesce("n", "global_n"))
@@ -197,7 +159,7 @@ def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSett
     )
 
 
-def _coarse_quartiles(observed, needed, settings, few: bool, wide: bool) -> DataFrame:
+def _coarse_quartiles(observed, needed, settings) -> DataFrame:
     """Quartiles per needed (metric, level, key, day) from counted values."""
     keys = LEVEL_KEYS
     days = needed.select(
@@ -208,9 +170,7 @@ def _coarse_quartiles(observed, needed, settings, few: bool, wide: bool) -> Data
         ).alias("day_number"),
     )
     values = _with_levels(observed).select(*keys, "day_number", "reach", "value")
-    if few:
-        days = F.broadcast(days)
-        values = values.join(F.broadcast(days.select(*keys, "day_number").distinct()), [*keys, "day_number"], "left_semi")
+    values = values.join(days.select(*keys, "day_number").distinct(), [*keys, "day_number"], "left_semi")
     # Count equal values of a day before repeating them for the target days they reach.
     counted = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("w"))
     hist = (
@@ -219,7 +179,7 @@ def _coarse_quartiles(observed, needed, settings, few: bool, wide: bool) -> Data
         .groupBy(*keys, "target_day", "value")
         .agg(F.sum("w").alias("w"))
     )
-    found = histogram_quantiles(hist, [*keys, "target_day"], "value", "w", QUARTILES, ("q1", "q3"), BLOCK if wide else None)
+    found = histogram_quantiles(hist, [*keys, "target_day"], "value", "w", QUARTILES, ("q1", "q3"), BLOCK)
     return found.withColumnRenamed("target_day", "day_number")
 
 
@@ -227,10 +187,9 @@ def tukey_results(
     features: DataFrame,
     metrics=DETECTION_METRICS,
     settings: DetectionSettings = DEFAULTS,
-    few_targets: int = FEW_TARGETS,
 ) -> DataFrame:
     """Fences, signed distance and flag for every target."""
-    base = tukey_baselines(features, metrics, settings, few_targets)
+    base = tukey_baselines(features, metrics, settings)
     known = F.col("level").isNotNull()
     label = F.when(F.col("level").isNull(), F.lit("insufficient_data"))
     for level, name in FALLBACK_LABELS.items():

@@ -74,12 +74,12 @@ def as_dict(results):
     }
 
 
-@pytest.mark.parametrize("few_targets, domain", [(10_000, 1_000_000), (0, 1_000_000), (0, 1), (10_000, 1)])
-def test_fallback_matches_definition(spark, monkeypatch, few_targets, domain):
-    monkeypatch.setattr(tukey, "SMALL_DOMAIN", domain)
+@pytest.mark.parametrize("block", [65_536, 8])
+def test_fallback_matches_definition(spark, monkeypatch, block):
+    monkeypatch.setattr(tukey, "BLOCK", block)
     rows = daily_rows()
     features = daily_features(spark.createDataFrame(rows, RAW))
-    got = as_dict(tukey.tukey_results(features, few_targets=few_targets))
+    got = as_dict(tukey.tukey_results(features))
     want = brute_force(rows)
     assert {v[1] for v in want.values()} == {None, "store", "sku", "global", "insufficient_data"}
     assert got == want
