@@ -29,7 +29,7 @@ LENGTH, ANCHOR = 50, 16
 GRAMS = LENGTH - ANCHOR + 1
 LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
 #: Text bytes behind one fragment, handled at once, and in one block.
-FRAGMENT, PASS, BLOCK = 12_000_000, 250_000, 8_000_000
+FRAGMENT, PASS, BLOCK = 12_000_000, 250_000, 4_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -158,15 +158,20 @@ class _Contexts:
                 at, h = at[:0], h[:0]
             k = np.searchsorted(starts, at, "right") - 1
             begin, end = starts[k], np.append(starts[1:], len(raw))[k]
-            span = at[:, None] + np.arange(-LEFT, RIGHT)
-            inside = (span >= begin[:, None]) & (span < end[:, None])
-            matrix.append(np.where(inside, raw[np.clip(span, 0, max(len(raw) - 1, 0))] if len(raw) else 0, 0).astype(np.uint8))
+            before, after = np.minimum(LEFT, at - begin), np.minimum(RIGHT, end - at)
+            padded = np.concatenate((np.zeros(LEFT, np.uint8), raw, np.zeros(RIGHT, np.uint8)))
+            rows = np.lib.stride_tricks.sliding_window_view(padded, LEFT + RIGHT)[at]
+            # Bytes of neighbouring texts do not belong to a context.
+            place = np.arange(LEFT + RIGHT, dtype=np.int16)
+            rows *= place >= (LEFT - before).astype(np.int16)[:, None]
+            rows *= place < (LEFT + after).astype(np.int16)[:, None]
+            matrix.append(rows)
             text.append(first + k)
             position.append(at - begin)
             owner.append(own[k])
             short.append(h)
-            left.append(np.minimum(LEFT, at - begin))
-            right.append(np.minimum(RIGHT, end - at))
+            left.append(before)
+            right.append(after)
         if not text:
             text = position = owner = left = right = [np.zeros(0, np.int64)]
             short, matrix = [np.zeros(0, np.uint64)], [np.zeros((0, LEFT + RIGHT), np.uint8)]
