@@ -1,5 +1,6 @@
 """Helpers shared by the corpus operators."""
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +14,17 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
+def _give_back() -> None:
+    """Let arrays over 1 MB go back to the system when freed: Python workers live on between tasks, and the
+    C library otherwise keeps what earlier groups needed. Does nothing where it has no such setting."""
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if set_option:
+        set_option(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+_give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
