@@ -7,8 +7,9 @@ set is cut at the borders of that order. Two classes are compared if they share
 that the threshold allows to differ. Per fragment the overlap is counted separately and summed per pair.
 
 A frequent n-gram's classes are not all paired: they are first compared with a few leaders, and only classes
-that are then in different components meet each other. Links between texts of one component are found through
-others, so none is lost to the components.
+that are then in different components meet each other. A pair that is never compared is in one component
+already, so no component is lost. Pairs also have to fit: by size, and by what can follow their n-gram in the
+global order.
 
 A text without words (null, empty) has the empty set and is linked with nothing. A null id counts as larger
 than all others. Repeated rows are copies of each other. An empty table gives an empty result. Only
@@ -20,7 +21,7 @@ import pickle
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenceline.llm import blocks, common
@@ -30,8 +31,9 @@ from fenceline.sources.shared import materialize
 WORDS = 5
 #: Text bytes behind one fragment of the hash range, and in one pass over texts.
 FRAGMENT, PASS = 12_000_000, 6_000_000
-#: How often the classes of an n-gram are compared with a leader before all components meet.
-LEADERS = 2
+#: The classes of an n-gram are compared with so many leaders, in so many rounds with others, before all
+#: that are still apart meet.
+LEADERS, ROUNDS = 8, 2
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -123,11 +125,12 @@ def _shared(n: int):
     return run
 
 
-_CUT = "cls long, n long, first array<long>, fragments array<int>, grams array<array<long>>"
+_CUT = "cls long, n long, alone long, first array<long>, fragments array<int>, grams array<array<long>>"
 _CUT_ARROW = pa.schema(
     [
         ("cls", pa.int64()),
         ("n", pa.int64()),
+        ("alone", pa.int64()),
         ("first", pa.list_(pa.int64())),
         ("fragments", pa.list_(pa.int32())),
         ("grams", pa.list_(pa.list_(pa.int64()))),
@@ -137,7 +140,8 @@ _CUT_ARROW = pa.schema(
 
 def _cut(key, parts, classes):
     """Classes that share enough, their n-grams in the global order (how many classes have it, as a power of
-    two, then hash) and cut into its fragments; ``first``: those that may lead to a partner."""
+    two, then hash) and cut into its fragments; ``first``: those that may lead to a partner; ``alone``: how many
+    no other class has."""
     found = [blocks.thaw(p.as_py()) for p in parts.column("part")]
     rows = []
     if found:
@@ -146,26 +150,32 @@ def _cut(key, parts, classes):
         level = np.ceil(np.log2(count)).astype(np.int64)
         order = np.lexsort((grams, level, owner))
         owner, grams = owner[order], grams[order]
-        fragment = level[order] * 4 + (grams >> np.uint64(62)).astype(np.int64)
+        # Fragments of the global order: levels 1 to 3 in two halves by hash, then all frequent n-grams.
+        fragment = np.where(level[order] < 4, level[order] * 2 + (grams >> np.uint64(63)).astype(np.int64), 8)
+        borders = np.append(True, (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1]))
         keys, starts = np.unique(owner, return_index=True)
         for cls, a, b in zip(keys.tolist(), starts, np.append(starts[1:], len(owner))):
             n = size[cls]
             needed = -(-4 * n // 5)
             # An n-gram that no other class has comes before all shared ones.
-            leading = (n - needed + 1) - (n - (b - a))
+            alone = n - int(b - a)
+            leading = (n - needed + 1) - alone
             if leading <= 0:
                 continue
             own, at = grams[a:b].view(np.int64), fragment[a:b]
-            borders = np.flatnonzero(np.diff(at)) + 1
-            cuts = np.split(own, borders)
-            rows.append((cls, n, own[:leading], at[np.concatenate(([0], borders))].astype(np.int32), cuts))
+            begins = np.flatnonzero(borders[a:b])
+            rows.append((cls, n, alone, own[:leading], at[begins].astype(np.int32), np.split(own, begins[1:])))
     columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in _CUT_ARROW]
     arrays = [pa.array(c, f.type) for c, f in zip(columns, _CUT_ARROW)]
     return pa.Table.from_arrays(arrays, schema=_CUT_ARROW)
 
 
-def _fits(a: str, b: str):
-    return (5 * F.least(a, b) >= 4 * F.greatest(a, b)) & (F.col(a) > 0)
+def _fits() -> Column:
+    """Whether sets a and b can link through an n-gram at places p_a and p_b of their orders, if they share
+    none before it: by their sizes, and by how many n-grams follow in each."""
+    sizes = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
+    follow = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    return sizes & (9 * (1 + follow) >= 4 * (F.col("n_a") + F.col("n_b")))
 
 
 def verified(pairs: DataFrame, cut: DataFrame) -> DataFrame:
@@ -181,31 +191,46 @@ def verified(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return overlap.where("100 * overlap >= 80 * (n_a + n_b - overlap)").select("a", "b")
 
 
+def _postings(cut: DataFrame) -> DataFrame:
+    """(gram, cls, n, p) of the n-grams that lead to partners and that two classes at least have there."""
+    at = cut.select("cls", "n", "alone", F.posexplode("first").alias("i", "gram"))
+    post = materialize(at.select("gram", "cls", "n", (F.col("alone") + F.col("i") + 1).alias("p")), "postings")
+    sizes = post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
+    return materialize(post.join(sizes, "gram").drop("m"), "postings")
+
+
+def _labelled(post: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with the component of each class, of n-grams whose classes are in several components."""
+    if labels is None:
+        return post.withColumn("label", F.col("cls"))
+    found = post.join(labels, post["cls"] == labels["node"], "left").drop("node")
+    found = materialize(found.withColumn("label", F.coalesce("label", "cls")), "postings")
+    apart = found.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return found.join(apart.select("gram"), "gram")
+
+
+def _pairs(some: DataFrame, others: DataFrame) -> DataFrame:
+    columns = ("gram", "cls", "n", "p", "label")
+    a = some.select(*columns).toDF("gram", "a", "n_a", "p_a", "label_a")
+    b = others.select(*columns).toDF("gram", "b", "n_b", "p_b", "label_b")
+    met = a.join(b, (a["gram"] == b["gram"]) & (F.col("label_a") != F.col("label_b")) & _fits())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def links(cut: DataFrame) -> DataFrame:
     """(cls, label) of the components of all linked classes."""
-    post = materialize(cut.select("cls", "n", F.explode("first").alias("gram")), "postings")
-    sizes = post.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
-    post = materialize(post.join(sizes, "gram").drop("m"), "postings")
-    found = None
-    for leader in range(LEADERS):
-        heads = post.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cls", F.lit(leader)), "cls", "n")).alias("h"))
-        pairs = post.join(heads.select("gram", F.col("h.cls").alias("head"), F.col("h.n").alias("n_head")), "gram")
-        pairs = pairs.where(_fits("n", "n_head") & (F.col("cls") != F.col("head")))
-        pairs = pairs.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
-        new = materialize(verified(pairs, cut), "links")
+    post, found, labels = _postings(cut), None, None
+    for round_ in range(ROUNDS + 1):
+        open_ = _labelled(post, labels)
+        if round_ < ROUNDS:
+            order = Window.partitionBy("gram").orderBy(F.xxhash64("cls", F.lit(round_)), "cls")
+            heads = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS)
+        else:
+            heads = open_
+        new = materialize(verified(_pairs(heads, open_), cut), "links")
         found = new if found is None else found.unionByName(new)
-    labels = components(found)
-    # What is in one component already needs no more links; the rest of an n-gram's classes meet all others.
-    labelled = post.join(labels, post["cls"] == labels["node"], "left").select(
-        "gram", "cls", "n", F.coalesce("label", "cls").alias("label")
-    )
-    labelled = materialize(labelled, "postings")
-    open_ = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    labelled = labelled.join(open_.select("gram"), "gram")
-    a, b = labelled.toDF("gram", "a", "n_a", "label_a"), labelled.toDF("gram", "b", "n_b", "label_b")
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _fits("n_a", "n_b"))
-    found = found.unionByName(materialize(verified(pairs.select("a", "b").distinct(), cut), "links"))
-    return components(found)
+        labels = components(found)
+    return labels
 
 
 def groups(docs: DataFrame) -> DataFrame:
