@@ -28,6 +28,8 @@ from fenceline.sources.shared import materialize
 LENGTH, ANCHOR = 50, 16
 GRAMS = LENGTH - ANCHOR + 1
 LEFT, RIGHT = LENGTH - ANCHOR, LENGTH
+#: Contexts sorted at once.
+SHARE = 30_000
 #: Text bytes behind one fragment, handled at once, and in one block.
 FRAGMENT, PASS, BLOCK = 12_000_000, 250_000, 4_000_000
 _LAST = np.iinfo(np.int64).max
@@ -266,9 +268,25 @@ def _find_repeats(key, table):
     """Per block and context: its smallest document anywhere, and how far to the left and right of the anchor
     it repeats a context whose smallest document is smaller still."""
     sent = [blocks.thaw(p.as_py()) for p in table.column("part")]
-    matrix = np.concatenate([m for m, _, _ in sent])
-    lengths = np.concatenate([x for _, x, _ in sent])
-    least = np.concatenate([x for _, _, x in sent])
+    counts = [len(x) for _, _, x in sent]
+    matrix, lengths, least = (np.concatenate(c) for c in zip(*sent))
+    del sent
+    smallest, reach = np.empty(len(matrix), np.int64), np.zeros((len(matrix), 2), np.uint8)
+    # Contexts of one anchor are in one share; shares are small whatever a fragment has gathered.
+    share = common.finish(np.ascontiguousarray(matrix[:, LEFT : LEFT + 8]).view("<u8")[:, 0])
+    share %= np.uint64(1 + len(matrix) // SHARE)
+    order = np.argsort(share, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+        smallest[own], reach[own] = _repeats_of(matrix[own], lengths[own], least[own])
+    rows, at = [], 0
+    for block, n in zip(table.column("block").to_pylist(), counts):
+        rows.append((block, key[0].as_py(), blocks.freeze((smallest[at : at + n], reach[at : at + n]))))
+        at += n
+    return blocks.batch_of(_TO_BLOCK, [list(c) for c in zip(*rows)])
+
+
+def _repeats_of(matrix: np.ndarray, lengths: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: its smallest document, and how far it repeats one of a smaller document."""
     left, right = matrix[:, :LEFT][:, ::-1], matrix[:, LEFT:]
     wide = np.zeros((len(matrix), 104), np.uint8)
     wide[:, :RIGHT], wide[:, 56 : 56 + LEFT], wide[:, 96:98] = right, left, lengths
@@ -280,15 +298,11 @@ def _find_repeats(key, table):
     first = order[new]
     smallest = np.minimum.reduceat(least[order], np.flatnonzero(new))
     reach = np.zeros((len(first), 2), np.uint8)
-    for more, depth, members in maximal_repeats(left[first], lengths[first, 0].astype(int), right[first], lengths[first, 1].astype(int)):
+    sides = left[first], lengths[first, 0].astype(int), right[first], lengths[first, 1].astype(int)
+    for more, depth, members in maximal_repeats(*sides):
         behind = members[smallest[members] > smallest[members].min()]
         reach[behind] = np.maximum(reach[behind], (more, depth))
-    rows, at = [], 0
-    for block, (_, own, _) in zip(table.column("block").to_pylist(), sent):
-        n = number[at : at + len(own)]
-        at += len(own)
-        rows.append((block, key[0].as_py(), blocks.freeze((smallest[n], reach[n]))))
-    return blocks.batch_of(_TO_BLOCK, [list(c) for c in zip(*rows)])
+    return smallest[number], reach[number]
 
 
 def _spans(ids: list, texts: list[bytes], parts: list[tuple[int, bytes]], n: int) -> list[list[tuple[int, int]]]:
