@@ -46,10 +46,9 @@ def run_detection(
     operators. Features, detections and flagged rows are written to the shared folder, since several
     outputs read them.
     """
-    features = daily_features(raw, settings)
-    if with_forest:  # same partitioning and order: one shuffle yields both
-        features = feature_baseline(features, settings)
-    features = materialize(features, "features")
+    features = materialize(daily_features(raw, settings), "features")
+    if with_forest:  # reads the features twice, so they are stored first
+        features = materialize(feature_baseline(features, settings), "feature-baselines")
 
     # The features already sit next to their predecessor, so this needs no shuffle of its own.
     repeated = features.filter("prev_day_number = day_number").select("date", "store_id", "sku_id").take(3)
