@@ -72,4 +72,4 @@ def test_without_repeats_keeps_columns_and_valid_text(spark):
     out = repeats.without_repeats(docs)
     assert out.columns == docs.columns
     got = sorted((r["doc_id"], r["text"] or "") for r in out.collect())
-    assert got == [(1, passage + " one"), (2, "two  x"), (2, "two  x"), (3, "")]
+    assert got == [(1, passage + " one"), (2, "two x"), (2, "two x"), (3, "")]
