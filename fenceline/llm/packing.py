@@ -23,6 +23,8 @@ from fenceline.sources.shared import materialize
 LENGTH = 1024
 END = 0
 DIMENSIONS, BITS = 3, 10
+#: Documents encoded before their ids leave the worker.
+ROWS = 256
 #: Fixed random directions of hashed ids.
 _DIRECTIONS = np.random.default_rng(3).normal(0, 1, (4096, DIMENSIONS)).astype(np.float32)
 
@@ -61,13 +63,17 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def _encoded(name: str):
     def run(batches):
-        for batch in batches:
-            encoded = [tokens.encode(t or "", name) for t in batch.column(1).to_pylist()]
-            ids = [np.append(np.frombuffer(e, "<u4"), np.uint32(END)) for e in encoded]
-            keys = hilbert(np.array([project(x) for x in ids]).reshape(-1, DIMENSIONS))
-            # Ids of this vocabulary fit 16 bits.
-            packed = pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), packed], ["doc_id", "key", "ids"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                points, packed = [], []
+                for text in batch.column(1):
+                    ids = np.append(np.frombuffer(tokens.encode(text.as_py() or "", name), "<u4"), np.uint32(END))
+                    points.append(project(ids))
+                    packed.append(ids.astype("<u2").tobytes())  # ids of this vocabulary fit 16 bits
+                keys = pa.array(hilbert(np.array(points)))
+                arrays = [batch.column(0), keys, pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "ids"])
 
     return run
 
@@ -121,6 +127,8 @@ def _cut(batches):
                 start, offset = start + n, offset + n
                 if offset == LENGTH:
                     flush()
+            if len(columns[0]) >= 4096:
+                yield batch_out()
         yield batch_out()
     left, waiting, size = waiting, [], 0
     total = offset

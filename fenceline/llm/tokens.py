@@ -13,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Parts remembered per Python worker; at this number the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Longer parts are encoded but not remembered.
 LONGEST = 64
 
@@ -41,18 +41,23 @@ def _ranks(name: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def _tokenizer(name: str) -> Tokenizer:
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+    return tokenizer
+
+
 @functools.cache
 def _parts(name: str) -> _Parts:
     """``name`` without its ending; the same vocabulary is stored for two libraries."""
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
     by_ranks = _ranks(f"{name}.tiktoken")
 
     def encode(part: str) -> list[int]:
         # Both libraries give the same ids; the second is faster where their Unicode tables cannot differ.
         if part.isascii() or max(part) < "ɐ":
             return by_ranks.encode_ordinary(part)
-        return tokenizer.encode(part, add_special_tokens=False).ids
+        return _tokenizer(f"{name}.json").encode(part, add_special_tokens=False).ids
 
     return _Parts(encode)
 
