@@ -88,7 +88,8 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def _fragment(short: np.ndarray, n: int) -> np.ndarray:
-    return ((short >> np.uint64(16)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    """Anchors are the smallest hashes of their windows, so they are mixed again before they are dealt."""
+    return ((common.finish(short) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
 def _send_anchors(n: int):
@@ -107,10 +108,12 @@ def _send_anchors(n: int):
         several = np.zeros(0, bool)
         if len(values):
             several = np.minimum.reduceat(owner, begins) < np.maximum.reduceat(owner, begins)
-        edges = np.searchsorted(_fragment(values, n), np.arange(n + 1))
+        fragment = _fragment(values, n)
+        dealt = np.argsort(fragment, kind="stable")
+        edges = np.searchsorted(fragment[dealt], np.arange(n + 1))
         for f in range(n):
-            part = slice(edges[f], edges[f + 1])
-            if edges[f] < edges[f + 1]:
+            part = dealt[edges[f] : edges[f + 1]]
+            if len(part):
                 steps = np.diff(values[part], prepend=np.uint64(0))
                 small = steps.astype(np.uint32) if steps[1:].max(initial=0) < 2**32 else steps
                 small = (steps[0], small[1:]) if len(steps) else (np.uint64(0), small)
