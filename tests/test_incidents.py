@@ -38,14 +38,35 @@ def test_groups(spark):
     assert len(lines) == 6 and lines[-1] == "• ...and 495 more SKUs"
     assert lines[0] == "• k000: sold 10.0 above normal range; delta_on_hand 100.0 below normal range; price is 2.0 std above average"
     assert big["detectors_triggered"] == ["isolation_forest", "tukey"]
-    skus = "_".join(f"k{i:03d}" for i in range(10))
-    assert big["dedup_key"] == hashlib.sha256(f"2024-01-01_B_{skus}".encode()).hexdigest()[:32]
+    digest = 0
+    for i in range(500):
+        digest ^= int(hashlib.sha256(f"k{i:03d}".encode()).hexdigest()[:15], 16)
+    assert big["dedup_key"] == hashlib.sha256(f"2024-01-01_B_500_{digest}".encode()).hexdigest()[:32]
     forest = by[TUE, "C"]
     assert forest["headline"] == "sold anomaly for k9" and forest["description"] == "• k9: m1; m2"
     assert forest["severity_score"] == 25.0
     assert by[TUE, "A"]["headline"] == "Inventory anomaly for k1"
 
 
+def test_store_days_that_differ_late_are_two_incidents(spark):
+    rows = [(day, "D", f"k{i:02d}", 9.0, None, True, False, None, 1.0, 0.1, 1) for day, n in ((MON, 11), (TUE, 12)) for i in range(n) if i != 10 or day == TUE]
+    groups = inc.incident_groups(spark.createDataFrame(rows, FLAGGED))
+    assert inc.run_incidents(groups).count() == 2
+
+
+def test_unknown_status_is_rejected(spark):
+    incidents = inc.new_incidents(inc.run_incidents(inc.incident_groups(flagged(spark))), F.lit(NOW)).cache()
+    first = incidents.first()["incident_id"]
+    changes = spark.createDataFrame(
+        [(first, 1, NOW, "bogus", "someone", None), (first, 2, NOW, "resolved", None, None)],
+        "incident_id string, change_id int, changed_at timestamp, status string, assignee string, resolution_reason string",
+    )
+    after = work.apply_changes(incidents, changes).filter(F.col("incident_id") == first).first()
+    assert after["status"] == "resolved" and after["assignee"] is None
+    assert [r["change_id"] for r in work.invalid_changes(changes).collect()] == [1]
+    assert {r["change_id"] for r in work.audit_notes(incidents, changes).collect()} == {2}
+
+
 def test_earliest_creates_and_latest_scores(spark):
     run = inc.run_incidents(inc.incident_groups(flagged(spark))).cache()
     a = run.filter("store_id = 'A'").collect()
