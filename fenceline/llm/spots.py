@@ -2,9 +2,13 @@
 
 A text is lower-cased and cut at everything that is neither letter nor digit. Every common word (anchor)
 starts a chain of the content words after it, common words skipped; a chain's hash is a signature and the
-set of signatures is the fingerprint. A text without a chain has one signature, the hash of its whole word
-sequence, so equal texts always have equal fingerprints. Sets are compared by Jaccard: where the sizes alone
-bound the likeness below a threshold the sets are not looked at, and a join partitions them by size.
+set of signatures is the fingerprint. The anchors are the words that most documents of the table have. Where
+``GAP`` words in a row hold no anchor, or nothing but anchors, the next word starts a chain too, so texts in
+rare languages, word lists and code have as many signatures as their length gives and an edit changes only
+those near it. A text in which all this finds no chain has the chains of its consecutive words, and one of
+fewer words than a chain the hash of what it has. Equal texts always have equal fingerprints. Sets are
+compared by Jaccard: where the sizes alone bound the likeness below a threshold the sets are not looked at,
+and a join partitions them by size.
 
 A null text counts as empty; all empty texts share one fingerprint. A null id comes before all others.
 Rows that repeat an id are ordered by text. An empty table gives an empty result.
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fenceline.sources.shared import materialize
 
-#: Frequent function words of English, German, French and Spanish.
+#: Where no table is at hand: frequent function words of English, German, French and Spanish.
 ANCHORS = (
     "the a an of and to in is that it for on was be with as this by from are "
     "der die das und von mit den dem ein eine ist im zu auf nicht sich des für als auch "
@@ -26,36 +30,61 @@ ANCHORS = (
 ).split()
 #: Content words of a chain, and the step from one to the next.
 CHAIN, STEP = 2, 1
+#: How many words of a table are anchors, and the words in a row without a chain of their own.
+COMMON, GAP = 128, 16
 #: Rows that share one window of neighbouring ids.
 BLOCK_ROWS = 4096
 
 
-def signatures(text: Column) -> Column:
+def _words(text: Column) -> Column:
+    """The words of a text in order; one empty string for a text without words."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+
+
+def common_words(docs: DataFrame) -> list[str]:
+    """The words that most documents have, ``COMMON`` at most, ties by word; none that only one document has."""
+    seen = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("word <> ''")
+    counts = seen.groupBy("word").agg(F.count("*").alias("df")).where("df > 1")
+    return [r["word"] for r in counts.orderBy(F.desc("df"), "word").limit(COMMON).collect()]
+
+
+def signatures(text: Column, anchors=ANCHORS) -> Column:
     """The sorted distinct 32-bit signatures of a text, as array<int>."""
-    anchors = sorted(set(ANCHORS))
-    cut = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
+    anchors = sorted(set(anchors))
+    span = (CHAIN - 1) * STEP
+
+    def chain(words: Column, first: Column) -> Column:
+        taken = [F.get(words, first + j * STEP) for j in range(CHAIN)]
+        return F.when(taken[-1].isNotNull(), F.hash(*taken))
 
     # Bound to names by nested single-element transforms, so that each array is made once per text.
     def of_words(w: Column) -> Column:
         content = F.filter(w, lambda x: (x != "") & ~x.isin(anchors))
         at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
-        # Empty strings stand only at the ends, so the k-th anchor at i has i - k other entries before it.
-        lead = F.when(F.element_at(w, 1) == "", 1).otherwise(0)
-        return F.struct(w.alias("w"), content.alias("c"), at.alias("a"), lead.alias("lead"))
+        return F.struct(w.alias("w"), content.alias("c"), at.alias("a"))
 
     def of_parts(p: Column) -> Column:
-        def chain(i: Column, k: Column) -> Column:
-            first = i - k - p["lead"]
-            taken = [F.get(p["c"], first + j * STEP) for j in range(CHAIN)]
-            return F.when(taken[-1].isNotNull(), F.hash(*taken))
+        # The k-th anchor at i has i - k content words before it.
+        def at_anchor(i: Column, k: Column) -> Column:
+            crowded = F.get(p["a"], k + GAP) == i + GAP
+            return F.when(crowded, chain(p["w"], i)).otherwise(chain(p["c"], i - k))
+
+        def before_anchor(i: Column, k: Column) -> Column:
+            begin = F.coalesce(F.get(p["a"], k - 1) + 1, F.lit(0)) + GAP
+            starts = F.when(begin < i, F.sequence(begin, i - 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda j: chain(p["c"], j - k))
 
-        return F.struct(F.array_distinct(F.array_compact(F.transform(p["a"], chain))).alias("s"), p["w"].alias("w"))
+        lonely = F.flatten(F.transform(F.array_append(p["a"], F.size(p["w"])), before_anchor))
+        found = F.concat(F.transform(p["a"], at_anchor), lonely)
+        return F.struct(F.array_distinct(F.array_compact(found)).alias("s"), p["w"].alias("w"))
 
     def of_spots(q: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(q["w"]) - 1 - span), lambda i: chain(q["w"], i))
         whole = F.array(F.hash(F.array_join(q["w"], " ")))
-        return F.sort_array(F.when(F.size(q["s"]) > 0, q["s"]).otherwise(whole))
+        few = F.when(F.size(q["w"]) > span, F.array_distinct(every)).otherwise(whole)
+        return F.sort_array(F.when(F.size(q["s"]) > 0, q["s"]).otherwise(few))
 
-    return F.element_at(F.transform(F.transform(F.transform(F.array(cut), of_words), of_parts), of_spots), 1)
+    return F.element_at(F.transform(F.transform(F.transform(F.array(_words(text)), of_words), of_parts), of_spots), 1)
 
 
 def fingerprint(signs: Column) -> Column:
@@ -80,8 +109,9 @@ def similar(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     Sets are partitioned by size so that a set meets only its own and the next partition. Within these, two
     sets meet if they share one of their rarest signatures, as few as the threshold allows to differ.
     """
+    anchors = common_words(docs)
     classes = (
-        docs.select("doc_id", signatures(F.col("text")).alias("signs"))
+        docs.select("doc_id", signatures(F.col("text"), anchors).alias("signs"))
         .groupBy("signs")
         .agg(F.min("doc_id").alias("id"))
         .withColumn("n", F.size("signs"))
@@ -137,13 +167,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter replaced by as many code points from the next document's start."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, lambda d: d.withColumn("signs", signatures(F.col("text"))), ["text", "signs"])
+    anchors = common_words(rows)
+    rows = with_next(rows, lambda d: d.withColumn("signs", signatures(F.col("text"), anchors)), ["text", "signs"])
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring("next_text", F.lit(1), quarter)
     )
-    rows = rows.withColumn("edited", edited).withColumn("edited_signs", signatures(F.col("edited")))
+    rows = rows.withColumn("edited", edited).withColumn("edited_signs", signatures(F.col("edited"), anchors))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -54,3 +54,27 @@ def test_empty_and_single(spark):
     assert spots.fingerprints(frame(spark, []).limit(0)).count() == 0
     one = spots.fingerprints(frame(spark, [(7, "the cat sat")])).first()
     assert one["near_next"] == 1.0
+
+
+def test_texts_without_fixed_anchors_keep_their_near_copies(spark):
+    # Documents 1 and 2 are in a language that one more document of the table has; 4 follows with other words.
+    text = " ".join(f"muž{i % 7} žena{i} dům" for i in range(40))
+    english = " ".join(f"the cat{i} sat{i} on" for i in range(40))
+    rows = [(1, text), (2, text + " konec"), (4, english), (5, " ".join(f"w{i}" for i in range(60))), (6, english)]
+    by_id = {r["doc_id"]: r for r in spots.fingerprints(frame(spark, rows)).collect()}
+    assert by_id[1]["near_next"] > 0.9
+    assert by_id[1]["near_edited"] > 0.5 and by_id[2]["near_edited"] > 0.4
+    # Numbered words that no other document has, edited with anchored words.
+    assert by_id[5]["near_edited"] > 0.3
+
+
+def test_long_runs_with_and_without_anchors_have_their_own_chains(spark):
+    plain = " ".join(f"w{i}" for i in range(100))
+    common = " ".join(["the of and to in is that it for on"] * 9 + ["der die das und von mit den dem ein eine"] * 3)
+    rows = spark.createDataFrame([(plain, plain + " the x y"), (common, common + " x y")], "a string, b string")
+    j = spots.likeness(spots.signatures(rows["a"]), spots.signatures(rows["b"]))
+    assert all(r["j"] > 0.6 for r in rows.select(j.alias("j")).collect())
+
+
+def test_anchors_are_the_most_common_words(spark):
+    assert spots.common_words(frame(spark, [(1, "b a c"), (2, "A, b"), (3, "b d d"), (4, None)])) == ["b", "a"]
