@@ -23,6 +23,8 @@ SHARE = 1.5
 REPEATS = 2
 #: Each level splits a bucket into 2^BITS; LEVELS * BITS bits of the hash are used.
 BITS, LEVELS = 10, 4
+#: Further levels, by a hash of the row, where rows are repeated.
+ROW_LEVELS = 2
 
 
 def hash60(doc_id: Column) -> Column:
@@ -56,12 +58,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     return per.select("source", "source_size", target.alias("target"))
 
 
-def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(sized: DataFrame, budgets: DataFrame, levels: int = LEVELS) -> DataFrame:
     """For each source of ``budgets`` (source, extra): the bucket at which the running words of
     ``sized`` (source, code, size) pass ``extra``, and the words left for that bucket."""
     found = budgets.select("source", F.lit(0).cast("long").alias("prefix"), F.col("extra").alias("left"))
-    for level in range(1, LEVELS + 1):
-        shift = BITS * (LEVELS - level)
+    for level in range(1, levels + 1):
+        shift = BITS * (levels - level)
         here, above = F.shiftright("code", shift), F.shiftright("code", shift + BITS)
         inside = sized.alias("s").join(
             found.alias("f"), F.col("s.source").eqNullSafe(F.col("f.source")) & (above == F.col("f.prefix"))
@@ -80,16 +82,12 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target and taken for every row of ``docs``."""
-    size = F.coalesce(F.regexp_count("text", F.lit(f"[^{common.SPACE}]+")), F.lit(0)).cast("long")
-    hashed = hash60(F.col("doc_id"))
-    sized = materialize(
-        docs.select(
-            "doc_id", "source", size.alias("size"), hashed.alias("h"), F.shiftright(hashed, 60 - BITS * LEVELS).alias("code")
-        ),
-        "sizes",
-    )
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(f"[^{common.SPACE}]+")), F.lit(0)).cast("long")
+
+
+def _taken(sized: DataFrame, weights, share: float, repeats: int, levels: int = LEVELS) -> DataFrame:
+    """``sized`` (source, size, code of ``levels`` * BITS bits, h, ...) with source_size, target and taken."""
     words = F.round("target").cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
     targets = materialize(
@@ -98,7 +96,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
         .withColumn("extra", words - F.col("rounds") * F.col("source_size")),
         "targets",
     )
-    edges = thresholds(sized, targets.where("extra > 0").select("source", "extra"))
+    edges = thresholds(sized, targets.where("extra > 0").select("source", "extra"), levels)
     plan = targets.alias("t").join(edges.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
     plan = plan.select("t.*", "e.prefix", "e.left")
     rows = sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
@@ -110,21 +108,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     rest = rows.where("prefix IS NULL OR code <> prefix").withColumn(
         "extra", F.when(F.col("code") < F.col("prefix"), F.col("size")).otherwise(0)
     )
-    columns = ("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("extra")).alias("taken"))
+    kept = [F.col(c) for c in sized.columns if c not in ("source", "h", "code")]
+    columns = (*kept, "source_size", "target", (F.col("rounds") * F.col("size") + F.col("extra")).alias("taken"))
     return rest.select(*columns).unionByName(edge.select(*columns))
 
 
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every row of ``docs``."""
+    hashed = hash60(F.col("doc_id"))
+    code = F.shiftright(hashed, 60 - BITS * LEVELS)
+    sized = docs.select("doc_id", "source", _size().alias("size"), hashed.alias("h"), code.alias("code"))
+    return _taken(materialize(sized, "sizes"), weights, share, repeats)
+
+
 def repeated(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; one taken in part stays if that is half or more.
 
-    Rows without words count for nothing and are kept once."""
-    taken = mix(docs, weights, share, repeats).groupBy("doc_id").agg(
-        F.sum("taken").alias("_taken"), F.sum("size").alias("_size")
-    )
-    row = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    copies = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size") + 0.5)).otherwise(1).cast("int")
-    joined = row.join(taken, F.col("_id").eqNullSafe(F.col("doc_id")))
-    return joined.select("_row", F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select("_row.*")
+    Each row counts on its own. Rows are in the order of their id's hash as in ``mix``, and those that repeat
+    an id or have none in that of a hash of the row, so a source keeps its share of them whatever the others
+    keep. Rows without words count for nothing and are kept once."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    own = F.xxhash64("text", *columns)
+    # 40 bits of the id's hash and 20 of the row's, so that one id's rows are split like those of many.
+    low = BITS * ROW_LEVELS
+    code = F.shiftleft(F.shiftright(hash60(F.col("doc_id")), 60 - BITS * LEVELS), low) + own.bitwiseAND((1 << low) - 1)
+    sized = docs.select(F.struct(*columns).alias("_row"), "source", _size().alias("size"), own.alias("h"), code.alias("code"))
+    taken = _taken(materialize(sized, "sizes"), weights, share, repeats, LEVELS + ROW_LEVELS)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select("_row.*")
 
 
 SQL = r"""

@@ -39,3 +39,24 @@ def test_repeated_rows_keep_columns(spark):
     out = mixing.repeated(docs)
     assert out.columns == docs.columns
     assert 50 <= out.where("text IS NOT NULL").count() <= 70 and out.where("text IS NULL").count() == 1
+
+
+def test_rows_without_an_id_or_with_one_id_meet_the_target_of_each_source(spark):
+    # With weights 3, 1, 2 source a is doubled, b keeps 3/4 of its rows and c one and a half times as many.
+    def kept(ids):
+        rows = [(ids(i), f"t{i} b c d", "abc"[i % 3]) for i in range(600)]
+        want = {r["source"]: r["target"] for r in mixing.source_targets(
+            spark.createDataFrame([(s, 4) for _, _, s in rows], "source string, size long")).collect()}
+        got = {r["source"]: 4 * r["count"] for r in mixing.repeated(frame(spark, rows)).groupBy("source").count().collect()}
+        assert all(abs(got[s] - want[s]) <= 4 for s in "abc"), (got, want)
+
+    kept(lambda i: None)
+    kept(lambda i: 7)
+    kept(lambda i: i)
+
+
+def test_repeated_takes_unique_ids_as_the_mix_does(spark):
+    docs = frame(spark, [(i, "a b c d " * (i % 5 + 1), "xyz"[i % 3]) for i in range(100)])
+    want = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix(docs).collect()}
+    got = {r["doc_id"]: r["count"] for r in mixing.repeated(docs).groupBy("doc_id").count().collect()}
+    assert got == {i: n for i, n in want.items() if n}
