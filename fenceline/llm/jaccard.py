@@ -16,6 +16,7 @@ than all others. Repeated rows are copies of each other. An empty table gives an
 ``doc_id`` and ``text`` are read.
 """
 
+import hashlib
 import pickle
 
 import numpy as np
@@ -51,14 +52,23 @@ def _class(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - 2**63
 
 
-def _members(batches):
-    for batch in batches:
-        for ids, texts in common.blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), PASS):
-            sets = _sets(texts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([_class(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64())],
-                ["doc_id", "cls", "n"],
-            )
+def _members(digests: bool):
+    """Class and number of n-grams of each row, with the MD5 of its text if ``digests``."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, texts in common.blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), PASS):
+                sets = _sets(texts)
+                out = {
+                    "doc_id": pa.array(ids, pa.int64()),
+                    "cls": pa.array([_class(s) for s in sets]),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
+                }
+                if digests:
+                    out["digest"] = pa.array([hashlib.md5(t).hexdigest() for t in texts])
+                yield pa.RecordBatch.from_pydict(out)
+
+    return run
 
 
 def _spread(n: int):
@@ -233,11 +243,13 @@ def links(cut: DataFrame) -> DataFrame:
     return labels
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs``."""
+def _grouped(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """doc_id, cls, n and, if ``digests``, digest for every row of ``docs``, with the smallest id of its
+    component and the component's own key ``label``; both are null without words."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     n = max(1, -(-common.text_bytes(docs) // FRAGMENT))
-    members = materialize(rows.mapInArrow(_members, "doc_id long, cls long, n long"), "members")
+    schema = "doc_id long, cls long, n long" + (", digest string" if digests else "")
+    members = materialize(rows.mapInArrow(_members(digests), schema), "members")
     classes = members.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"))
     classes = materialize(classes, "classes")
     spread = rows.mapInArrow(_spread(n), "fragment long, part binary")
@@ -247,16 +259,34 @@ def groups(docs: DataFrame) -> DataFrame:
     labels = links(cut)
     linked = labels.join(classes, labels["node"] == classes["cls"])
     least = linked.groupBy("label").agg(F.min("id").alias("component"))
-    linked = linked.join(least, "label").select("cls", "component")
-    by_class = classes.join(linked, "cls", "left").select("cls", F.coalesce("component", "id").alias("component"))
-    joined = members.join(by_class, "cls", "left")
+    linked = linked.join(least, "label").select("cls", "label", "component")
+    by_class = classes.join(linked, "cls", "left").select(
+        "cls", F.coalesce("label", "cls").alias("label"), F.coalesce("component", "id").alias("component")
+    )
+    return members.join(by_class, "cls", "left")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id for every row of ``docs``."""
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group, columns unchanged; one of those that repeat
-    an id. Rows without an id cannot be told apart and all stay."""
-    kept = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of ``docs`` for each group, columns unchanged: the one of smallest id, then of smallest text
+    digest. Rows that repeat an id belong to the groups of their own texts. Of a group's rows without an id one
+    stays as well, that of smallest digest. Texts without words are in no group: those with an id stay once for
+    each id, those without all stay."""
+    found = _grouped(docs, digests=True)
+    first = F.min(F.struct("doc_id", "digest")).alias("one")
+    kept = found.where("n > 0").groupBy("label", F.col("doc_id").isNull()).agg(first).select("one.doc_id", "one.digest")
+    empty = found.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "digest").groupBy("doc_id")
+    kept = kept.unionByName(empty.agg(F.min("digest").alias("digest"))).toDF("_id", "_digest").distinct()
+    text = F.coalesce("text", F.lit(""))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_digest"))
+    one = docs.withColumn("_own", F.col("doc_id").cast("long")).join(kept, same, "left_semi")
+    # Rows of the same id and text are copies of each other.
+    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
+    one = one.groupBy("_own", F.md5(text.cast("binary")).alias("_text")).agg(row).select("_row.*")
+    bare = docs.where(F.col("doc_id").isNull() & ~text.rlike(f"[^{common.SPACE}]"))
+    return one.unionByName(bare)

@@ -56,3 +56,16 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     labels = {r["node"]: r["label"] for r in graph.components(edges).collect()}
     assert labels == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_of_each_keeps_texts_of_repeated_and_missing_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(3, a), (5, a), (5, b), (5, c), (None, a), (None, d), (None, d + " e"), (None, None), (None, " "), (8, ""), (8, None)]
+    out = sorted((repr(r["doc_id"]), r["text"] or "") for r in jaccard.one_of_each(frame(spark, rows + [(5, b)])).collect())
+    texts = [(i, t) for i, t in out if t.strip()]
+    assert texts[:3] == [("3", a), ("5", b), ("5", c)]
+    assert texts[3] == ("None", a)
+    assert len(texts) == 5 and texts[4][0] == "None" and texts[4][1] in (d, d + " e")
+    assert sorted(i for i, t in out if not t.strip()) == ["8", "None", "None"]
+    again = jaccard.one_of_each(frame(spark, rows[::-1])).collect()
+    assert sorted((repr(r["doc_id"]), r["text"] or "") for r in again) == out
