@@ -24,6 +24,8 @@ from fenceline.llm import common
 #: Labelled rows per label that teach the model, and the largest text among them in bytes.
 SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 65_536
+#: Random 1 KB pieces of the sample that train each dictionary; text of the sample beyond them is left out.
+SAMPLE_PIECES = 6000
 PIECE = 256
 DICTIONARY = 131_072
 LEVEL = 3
@@ -76,7 +78,7 @@ def differences(texts: list[bytes], good: bytes, bad: bytes) -> np.ndarray:
 
 def _dictionary(texts: list[bytes]) -> bytes:
     pieces = [t[i : i + 1024] for t in map(marked, texts) for i in range(0, len(t), 1024)]
-    order = np.random.default_rng(0).permutation(len(pieces))[:6000]
+    order = np.random.default_rng(0).permutation(len(pieces))[:SAMPLE_PIECES]
     pieces = [pieces[i] for i in order]
     size = min(DICTIONARY, sum(map(len, pieces)) // 8)
     try:
