@@ -29,6 +29,11 @@ ROWS = 256
 _DIRECTIONS = np.random.default_rng(3).normal(0, 1, (4096, DIMENSIONS)).astype(np.float32)
 
 
+def document_ids(text: str | None, name: str) -> np.ndarray:
+    """The ids of a whole document and the end id; a special token's string in it is that token."""
+    return np.append(np.frombuffer(tokens.encode(text or "", name, special=True), "<u4"), np.uint32(END))
+
+
 def project(ids: np.ndarray) -> np.ndarray:
     """A document's point: the mean direction of its hashed ids, stretched and pressed into (0, 1)."""
     slots = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)
@@ -68,9 +73,11 @@ def _encoded(name: str):
                 batch = whole.slice(first, ROWS)
                 points, packed = [], []
                 for text in batch.column(1):
-                    ids = np.append(np.frombuffer(tokens.encode(text.as_py() or "", name), "<u4"), np.uint32(END))
+                    ids = document_ids(text.as_py(), name)
+                    if ids.max() >= 1 << 16:
+                        raise ValueError(f"ids of {name} do not fit 16 bits")
                     points.append(project(ids))
-                    packed.append(ids.astype("<u2").tobytes())  # ids of this vocabulary fit 16 bits
+                    packed.append(ids.astype("<u2").tobytes())
                 keys = pa.array(hilbert(np.array(points)))
                 arrays = [batch.column(0), keys, pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "key", "ids"])

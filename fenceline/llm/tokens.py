@@ -1,37 +1,28 @@
-"""Token ids of a public byte-level vocabulary, cached by word.
+"""Token ids of a public byte-level vocabulary, whole texts at once.
 
-Between two characters that are not white space a single space always begins a new piece of the vocabulary's
-split pattern, so a text may be cut there and every part encoded, and remembered, on its own.
+Two installed libraries read the same vocabulary. The faster one encodes every text whose characters both
+classify alike; only stretches with other characters go to the slower one. A single space between two
+characters that are not white space always begins a new piece of the vocabulary's split pattern, so a text may
+be cut there, and only there, without changing an id.
 """
 
 import base64
 import functools
+import re
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Parts remembered per Python worker; at this number the memory starts anew.
-REMEMBERED = 120_000
-#: Longer parts are encoded but not remembered.
-LONGEST = 64
-
-
-class _Parts(dict):
-    """Part of a text -> its ids as little-endian unsigned 32-bit integers."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, part: str) -> bytes:
-        ids = np.array(self.encode(part), dtype="<u4").tobytes()
-        if len(part) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[part] = ids
-        return ids
+#: Longer texts are encoded in stretches of about this many characters.
+STRETCH = 200_000
+#: From this character on the libraries' Unicode tables may differ.
+HIGH = "ɐ"
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 @functools.cache
@@ -48,49 +39,40 @@ def _tokenizer(name: str) -> Tokenizer:
     return tokenizer
 
 
-@functools.cache
-def _parts(name: str) -> _Parts:
-    """``name`` without its ending; the same vocabulary is stored for two libraries."""
-    by_ranks = _ranks(f"{name}.tiktoken")
+def _stretches(text: str) -> Iterator[str]:
+    """A long text cut where that changes no id."""
+    at = 0
+    while len(text) - at > STRETCH and (cut := _CUT.search(text, at + STRETCH)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
-    def encode(part: str) -> list[int]:
-        # Both libraries give the same ids; the second is faster where their Unicode tables cannot differ.
-        if part.isascii() or max(part) < "ɐ":
-            return by_ranks.encode_ordinary(part)
-        return _tokenizer(f"{name}.json").encode(part, add_special_tokens=False).ids
 
-    return _Parts(encode)
+def _ids(text: str, name: str) -> Iterator[list[int]]:
+    for stretch in _stretches(text):
+        if stretch.isascii() or max(stretch) < HIGH:
+            yield _ranks(f"{name}.tiktoken").encode_ordinary(stretch)
+            continue
+        for high, parts in groupby(_CUT.split(stretch), lambda part: bool(part) and max(part) >= HIGH):
+            run = "".join(parts)
+            if high:
+                yield _tokenizer(f"{name}.json").encode(run, add_special_tokens=False).ids
+            else:
+                yield _ranks(f"{name}.tiktoken").encode_ordinary(run)
 
 
-def encode(text: str, name: str = "byte_bpe_50k") -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers."""
+def encode(text: str, name: str = "byte_bpe_50k", special: bool = False) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit integers. ``name`` is the vocabulary's file without its
+    ending. The special token's string is ordinary text, or with ``special`` its own id."""
     if not text:
         return b""
-    known = _parts(name)
-    first, *rest = text.split(" ")
-    if not rest:
-        return known[first]
-    # A part that begins or ends with white space, or is empty, stays with its neighbours.
-    if "" in rest or not first or not _plain(text):
-        return b"".join(known[p] for p in _joined(first, rest))
-    return b"".join([known[first], *[known[" " + p] for p in rest]])
-
-
-def _plain(text: str) -> bool:
-    return not any(w in text for w in (" \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")) and (
-        text.isascii() or not any(c.isspace() and c not in " \n" for c in set(text))
-    )
-
-
-def _joined(first: str, rest: list[str]) -> list[str]:
-    out = [first]
-    for p in rest:
-        before = out[-1]
-        if p and not p[0].isspace() and before and not before[-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] = before + " " + p
-    return out
+    out = []
+    for k, part in enumerate(text.split(SPECIAL) if special else [text]):
+        if k:
+            out.append([SPECIAL_ID])
+        if part:
+            out += _ids(part, name)
+    return b"".join(np.array(ids, dtype="<u4").tobytes() for ids in out)
 
 
 def decode(ids: np.ndarray, name: str = "byte_bpe_50k") -> str:

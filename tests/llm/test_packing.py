@@ -16,11 +16,13 @@ def tokenizer():
     return t
 
 
-def test_cached_ids_equal_the_tokenizer():
-    t, rng = tokenizer(), random.Random(1)
-    parts = [" ", "  ", "\n", "the", "\t", "é", "1", "!", "\xa0", "don't", "日本", "😀", " ", "<|endoftext|>", "\x85", "\x1c", "\r\n"]
+def test_ids_equal_the_tokenizer(monkeypatch):
+    t, raw, rng = tokenizer(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    monkeypatch.setattr(tokens, "STRETCH", 20)
+    parts = [" ", "  ", "\n", "the", "\t", "é", "1", "!", "\xa0", "don't", "日本", "😀", " ", "<|endoftext|>", "ɐ", "　", "\x85", "\x1c", "\r\n"]
     for _ in range(3000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert np.frombuffer(tokens.encode(text, special=True), "<u4").tolist() == raw.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(tokens.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
@@ -32,8 +34,8 @@ def test_hilbert_neighbours_are_adjacent():
 
 
 def test_every_id_once_without_padding(spark):
-    rows = [(i, t) for i, t in awkward() if t is None or "\x00" not in t] + [(500, "hello world " * 4000)]
-    pieces, t = packing.pack(frame(spark, rows)).collect(), tokenizer()
+    rows = [(i, t) for i, t in awkward() if t is None or "\x00" not in t] + [(500, "hello world " * 4000), (501, "a <|endoftext|> b")]
+    pieces, t = packing.pack(frame(spark, rows)).collect(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     sequences, docs = defaultdict(list), defaultdict(list)
     for p in pieces:
         sequences[p["sequence_id"]].append(p)
