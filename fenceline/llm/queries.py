@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, mixing, packing, repeats, rules, spots
+from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, mixing, packing, patterns, repeats, rules, spots
 from fenceline.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
     "op2_suffix_repeats": op2_suffix_repeats,
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_scores": op8_lattice_scores,
     "op9_chat": op9_chat,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL}
