@@ -45,7 +45,7 @@ def compare(spark, con, name, sf_dir):
     expected = con.execute(sql).fetchall()
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}", len(rows), seconds
-    names = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
     wrong = [(c, k, kinds[c]) for c, k in df.dtypes if names.get(k) != kinds[c]]
     got, want = canonical(df.columns, rows), canonical(columns, expected)
     if len(got) != len(want):
