@@ -80,12 +80,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = True, breaks: np.ndarray = _SPACES) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and where each text's words begin (one more
-    entry than texts). ``lower`` folds A-Z. A word never crosses texts."""
+    entry than texts). ``lower`` folds A-Z; ``breaks`` says which bytes part words, the blank among them. A word
+    never crosses texts."""
     joined = b" ".join(texts) + b" "
     raw = np.frombuffer(joined, dtype=np.uint8)
-    space = _SPACES[raw]
+    space = breaks[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     limits = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))

@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, manifest, mixing, packing, patterns, repeats, rules, spots
+from fenceline.llm import chat, convnet, dictionaries, jaccard, lattice, manifest, mixing, packing, patterns, repeats, rules, search, spots
 from fenceline.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op11_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proofs(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_scores": op8_lattice_scores,
     "op9_chat": op9_chat,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_pair_bound_search": op11_pair_bound_search,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_pattern_packing": op13_pattern_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL, "op12_merkle_manifest": manifest.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": mixing.SQL,
+    "op11_pair_bound_search": search.SQL,
+    "op12_merkle_manifest": manifest.SQL,
+}
