@@ -166,6 +166,27 @@ def dataset_page(
     )
 
 
+def dataset_cursor(page: DataFrame) -> tuple | None:
+    """Place of the last row of a page in the order of pages; None for an empty page."""
+    last = page.orderBy(F.asc_nulls_last("date"), F.desc("row_id")).select("date", "row_id").first()
+    return tuple(last) if last else None
+
+
+def dataset_page_after(
+    rows: DataFrame, cursor: tuple | None, limit: int = 100, identifier=None, date_from=None, date_to=None
+) -> DataFrame:
+    """The rows behind a place, however deep; ``None`` is the place before all."""
+    rows = filter_rows(rows, identifier, date_from, date_to)
+    if cursor:
+        date, row_id = cursor
+        if date is None:
+            rows = rows.filter(F.col("date").isNotNull() | (F.col("row_id") > row_id))
+        else:
+            same_day = (F.col("date") == F.lit(date)) & (F.col("row_id") > row_id)
+            rows = rows.filter(F.col("date") <= F.lit(date)).filter((F.col("date") < F.lit(date)) | same_day)
+    return rows.orderBy(F.desc_nulls_first("date"), "row_id").limit(limit)
+
+
 def filter_rows(rows: DataFrame, identifier=None, date_from=None, date_to=None) -> DataFrame:
     if identifier:
         rows = rows.filter(F.col("identifier_key") == identifier)

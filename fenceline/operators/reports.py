@@ -52,6 +52,25 @@ def incident_page(incidents: DataFrame, page: int = 1, page_size: int = 20, **fi
     )
 
 
+def page_cursor(page: DataFrame) -> tuple | None:
+    """Place of the last incident of a page in the order of pages; None for an empty page."""
+    last = page.orderBy("severity_score", "date", F.desc("incident_id")).select("severity_score", "date", "incident_id").first()
+    return tuple(last) if last else None
+
+
+def incident_page_after(incidents: DataFrame, cursor: tuple | None, page_size: int = 20, **filters) -> DataFrame:
+    """The incidents behind a place, however deep: what lies before it is filtered in the scan, and only one page of each
+    task is sorted and sent on. ``None`` is the place before all."""
+    rows = filter_incidents(incidents, **filters)
+    if cursor:
+        severity, date, incident_id = (F.lit(v) for v in cursor)
+        same_day = (F.col("date") == date) & (F.col("incident_id") > incident_id)
+        same_severity = (F.col("severity_score") == severity) & ((F.col("date") < date) | same_day)
+        # The first condition alone reaches the scan.
+        rows = rows.filter(F.col("severity_score") <= severity).filter((F.col("severity_score") < severity) | same_severity)
+    return rows.orderBy(F.desc("severity_score"), F.desc("date"), "incident_id").limit(page_size)
+
+
 def page_totals(rows: DataFrame, page_size: int) -> DataFrame:
     total = F.count(F.lit(1))
     return rows.agg(total.alias("total"), F.ceil(total / page_size).alias("pages"))

@@ -20,13 +20,15 @@ from fenceline.operators import profile as prof
 from fenceline.operators import reports as rep
 from fenceline.operators import tukey
 from fenceline.operators import workflow as work
-from fenceline.operators.detections import tukey_detections
+from fenceline.operators.detections import forest_detections, tukey_detections
 from fenceline.plans import fixtures
+from fenceline.plans.daily import run_range, store_run
 from fenceline.plans.flexible import analyze_csv
 from fenceline.settings import DEFAULTS
 from fenceline.sources import datasets
 from fenceline.sources.csv import read_csv
 from fenceline.sources.shared import materialize, new_path
+from fenceline.sources.versioned import VersionedTables
 
 QUERIES = {}
 HALF_WAY = dt.date(1998, 6, 30)
@@ -224,6 +226,84 @@ def incidents(spark, sf_dir):
     )
 
 
+def _planted_forest(features):
+    """Results in the shape of the forest's: which rows are flagged, and why, follows from their values."""
+    told = F.struct(
+        F.lit("price").alias("feature"),
+        F.lit(2.0).alias("z_score"),
+        F.lit("price is 2.0 std above average").alias("message"),
+        F.col("price").alias("value"),
+        F.lit(1.0).alias("mean"),
+    )
+    return features.filter((F.col("sold") + F.col("day_number")) % 50 == 0).select(
+        "date",
+        "store_id",
+        "sku_id",
+        F.lit(-0.1).alias("anomaly_score"),
+        F.lit(True).alias("is_anomaly"),
+        F.lit(DEFAULTS.contamination).alias("threshold_used"),
+        F.when(F.col("sold") % 2 == 0, F.array(told)).otherwise(F.slice(F.array(told), 1, 0)).alias("reasons"),
+        F.lit("global").alias("fallback_used"),
+    )
+
+
+@query
+def incidents_both_detectors(spark, sf_dir):
+    """From daily rows to incidents of fences and (planted) forest flags."""
+    features = stored(spark, sf_dir, "features")
+    both = tukey_detections(stored(spark, sf_dir, "tukey")).unionByName(forest_detections(_planted_forest(features)))
+    detections = materialize(both, "detections")
+    flagged = materialize(inc.flagged_rows(detections, features), "flagged")
+    run = materialize(inc.run_incidents(inc.incident_groups(flagged)), "run")
+    items = inc.incident_items(run, flagged, detections).groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("items"), F.sum(F.size("detection_result_ids")).alias("item_detections")
+    )
+    made = inc.new_incidents(run, as_of()).join(items, "incident_id")
+    return flat(
+        made.select(
+            "incident_id",
+            "date",
+            "store_id",
+            "severity_score",
+            "headline",
+            "description",
+            "sku_count",
+            "estimated_impact",
+            F.array_join("detectors_triggered", ",").alias("detectors_triggered"),
+            "items",
+            "item_detections",
+        ),
+        4,
+    )
+
+
+RERUN = (dt.date(1998, 3, 1), dt.date(1998, 6, 30))
+
+
+@query
+def versioned_rerun(spark, sf_dir):
+    """Detections per month before and after a span was run again without the 7th and 8th of its months."""
+    tables = VersionedTables(spark, new_path(spark, "versioned"))
+    raw = materialize(fixtures.raw_daily(spark, sf_dir), "raw")
+    everything = (dt.date(1980, 1, 1), dt.date(2020, 12, 31))
+    store_run(tables, run_range(tables, raw, as_of(), *everything), *everything)
+    again = raw.filter(~F.dayofmonth("date").isin(7, 8))
+    store_run(tables, run_range(tables, again, as_of(), *RERUN), *RERUN)
+    versions = [tables.read("detections", version=v).withColumn("version", F.lit(v)) for v in (1, 2)]
+    month = F.date_format("date", "yyyy-MM")
+    return flat(
+        versions[0]
+        .unionByName(versions[1])
+        .groupBy("version", month.alias("month"), "metric_name")
+        .agg(
+            F.count(F.lit(1)).alias("results"),
+            F.countDistinct("date").alias("dates"),
+            F.count_if("is_outlier").alias("flagged"),
+            F.sum("sample_size").alias("sample_size"),
+        )
+    )
+
+
 @query
 def incident_merge(spark, sf_dir):
     """A rerun meets a table that holds the older half of the incidents."""
@@ -285,6 +365,15 @@ def incident_list(spark, sf_dir):
     return flat(page.select("incident_id", "date", "store_id", "status", "severity_score", "headline"), 4)
 
 
+@query
+def incident_list_next(spark, sf_dir):
+    """The page behind the last incident of the page before, found by its place and not by counting."""
+    table, wanted = stored(spark, sf_dir, "incidents"), {"status": "open", "min_severity": 40}
+    last = rep.page_cursor(rep.incident_page(table, page=1, page_size=20, **wanted))
+    page = rep.incident_page_after(table, last, page_size=20, **wanted)
+    return flat(page.select("incident_id", "date", "store_id", "severity_score"), 4)
+
+
 @query
 def incident_total(spark, sf_dir):
     rows = rep.filter_incidents(stored(spark, sf_dir, "incidents"), status="open", min_severity=40)
@@ -483,20 +572,45 @@ def forest_reasons(spark, sf_dir):
 
 @query
 def forest_model(spark, sf_dir):
-    """Size of every tree of every scope."""
+    """Sample of every tree of every scope, and whether its nodes make a binary tree over it."""
     features = stored(spark, sf_dir, "features")
     cuts = materialize(forest.cutoffs(features), "forest-cutoffs")
     training = forest.training_rows(forest.forest_features(features), cuts)
     trees = forest.fit_forest(training, forest.FEATURES, cuts.count())
-    return flat(trees.select("scope", "tree", "sample_size", F.size("feature").alias("nodes")))
+    nodes = F.size("feature")
+    # Every split has two sides, and no leaf is empty.
+    whole = (nodes % 2 == 1) & (nodes <= 2 * F.col("sample_size") - 1)
+    return flat(trees.select("scope", "tree", "sample_size", whole.alias("whole")))
 
 
 @query
 def forest_results(spark, sf_dir):
     baseline = materialize(_baseline(spark, sf_dir), "feature-baseline")  # carries the features too
     results = forest.forest_results(baseline)
-    told = F.array_join(F.transform("reasons", lambda r: r["message"]), "; ")
-    return flat(results.withColumn("reasons", told), 9)
+    score, label = F.col("anomaly_score"), F.coalesce("fallback_used", F.lit("store"))
+    fits = score.between(-1, 1) & (F.col("is_anomaly") == (score < 0))
+    return flat(
+        results.select(
+            "date",
+            "store_id",
+            "sku_id",
+            fits.alias("score_fits"),
+            "threshold_used",
+            F.array_join(F.transform("reasons", lambda r: r["feature"]), ",").alias("reasons"),
+            label.alias("fallback_used"),
+        )
+    )
+
+
+@query
+def forest_shares(spark, sf_dir):
+    """How many rows each kind of model judges; the flagged share stays near the expected one."""
+    results = forest.forest_results(materialize(_baseline(spark, sf_dir), "feature-baseline"))
+    share = F.count_if("is_anomaly") / F.count(F.lit(1))
+    none, low, high = F.col("label") == "insufficient_data", DEFAULTS.contamination / 10, DEFAULTS.contamination * 4
+    fits = F.when(none, F.col("share") == 0).otherwise(F.col("share").between(low, high))
+    labelled = results.groupBy(F.coalesce("fallback_used", F.lit("store")).alias("label"))
+    return labelled.agg(F.count(F.lit(1)).alias("rows"), share.alias("share")).select("label", "rows", fits.alias("share_fits"))
 
 
 # --- flexible tables -------------------------------------------------------------------------------
@@ -525,9 +639,18 @@ def flexible_zscores(spark, sf_dir):
 
 @query
 def flexible_forest(spark, sf_dir):
-    found = flex.flexible_forest(_event_rows(spark, sf_dir), EVENTS)
-    told = F.array_join(F.transform("reasons", lambda r: r["message"]), "; ")
-    return flat(found.withColumn("reasons", told), 9)
+    """Every complete row with its score checked; at most the expected share is flagged, and only those have reasons."""
+    found = materialize(flex.flexible_forest(_event_rows(spark, sf_dir), EVENTS), "flexible-forest")
+    share = found.agg(F.count_if("is_outlier") / F.count(F.lit(1))).first()[0]
+    most = DEFAULTS.contamination
+    score = F.col("anomaly_score")
+    fits = score.between(-1, 1) & (F.col("is_outlier") == (score < 0)) & ((F.size("reasons") == 0) | F.col("is_outlier"))
+    return flat(
+        found.select(
+            "row_id", "date", "identifier_key", "label", "detector_type", fits.alias("score_fits"),
+            F.lit(most / 2 <= share <= most).alias("share_fits"),
+        )
+    )
 
 
 @query
@@ -541,6 +664,36 @@ def flexible_detections(spark, sf_dir):
     )
 
 
+@query
+def flexible_incidents_both(spark, sf_dir):
+    """Incidents of fences and (planted) forest flags, one per identifier."""
+    rows = _event_rows(spark, sf_dir)
+    reason = F.struct(F.lit("k").alias("feature"), F.lit(3.0).alias("z_score"), F.lit("k is 3.0 standard deviations from mean").alias("message"))
+    planted = flex.with_label(rows, EVENTS).filter("value is not null and k is not null and row_id % 40 < 3").select(
+        "row_id",
+        "date",
+        "identifier_key",
+        "label",
+        F.lit("isolation_forest").alias("detector_type"),
+        F.lit(-0.1).alias("anomaly_score"),
+        (F.col("row_id") % 40 < 2).alias("is_outlier"),
+        F.when(F.col("row_id") % 40 == 0, F.array(reason)).otherwise(F.slice(F.array(reason), 1, 0)).alias("reasons"),
+    )
+    both = materialize(flex.flexible_detections(flex.flexible_tukey(rows, EVENTS), planted), "flexible-detections")
+    run = flex.flexible_incidents(both, EVENTS, AS_OF.date())
+    return flat(
+        inc.new_incidents(run, as_of()).select(
+            "incident_id",
+            "date",
+            "store_id",
+            "severity_score",
+            "headline",
+            F.array_join(F.array_sort("detectors_triggered"), ",").alias("detectors_triggered"),
+            F.regexp_replace("description", r"\[[^\]]*\]", "").alias("description"),
+        )
+    )
+
+
 @query
 def flexible_incidents(spark, sf_dir):
     tukey_only = materialize(flex.flexible_tukey(_event_rows(spark, sf_dir), EVENTS), "flexible-detections")
@@ -648,7 +801,7 @@ def _shown(packed):
 
 @query
 def packed_rows(spark, sf_dir):
-    return flat(_shown(_packed_orders(spark, sf_dir).drop("metrics")))
+    return flat(_shown(_packed_orders(spark, sf_dir)))
 
 
 @query
@@ -659,6 +812,15 @@ def dataset_page(spark, sf_dir):
     return flat(page.select("row_id", "date", "identifier_key"))
 
 
+@query
+def dataset_page_next(spark, sf_dir):
+    """The rows behind the 75th, found by its place."""
+    rows, wanted = materialize(_packed_orders(spark, sf_dir), "packed"), {"date_to": dt.date(1998, 1, 1)}
+    last = ingest.dataset_cursor(ingest.dataset_page(rows, limit=75, **wanted))
+    page = ingest.dataset_page_after(rows, last, limit=50, **wanted)
+    return flat(page.select("row_id", "date", "identifier_key"))
+
+
 @query
 def unique_identifiers(spark, sf_dir):
     return flat(_shown(ingest.unique_identifiers(_packed_events(spark, sf_dir))))

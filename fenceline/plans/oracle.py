@@ -291,6 +291,82 @@ keyed AS (
 )"""
 
 
+# Both detectors: planted forest flags beside the fences.
+BOTH = (
+    TUKEY
+    + """,
+planted AS (
+  SELECT date, store_id, sku_id, CASE WHEN sold % 2 = 0 THEN 'price is 2.0 std above average' END AS told
+  FROM features WHERE (sold + (date - DATE '1970-01-01')) % 50 = 0
+),
+fenced AS (
+  SELECT date, store_id, sku_id,
+         max(CASE WHEN metric_name = 'sold' THEN outlier_distance END) AS sold_distance,
+         max(CASE WHEN metric_name = 'delta_on_hand' THEN outlier_distance END) AS delta_distance,
+         sum(least(abs(outlier_distance) / 50, 1)) AS closeness, count(*) AS flags
+  FROM tukey WHERE is_outlier GROUP BY ALL
+),
+flagged AS (
+  SELECT date, store_id, sku_id, sold_distance, delta_distance, coalesce(closeness, 0) AS closeness,
+         coalesce(flags, 0) AS flags, flags IS NOT NULL AS by_tukey, p.date IS NOT NULL AS by_forest, told,
+         greatest(abs(coalesce(f.sold, 0) * f.price), abs(coalesce(f.delta_on_hand, 0) * f.price)) AS impact
+  FROM fenced FULL JOIN planted p USING (date, store_id, sku_id) JOIN features f USING (date, store_id, sku_id)
+),
+lines AS (
+  SELECT *, row_number() OVER (PARTITION BY date, store_id ORDER BY sku_id) AS rank,
+         CASE WHEN sold_distance IS NOT NULL THEN 'Unusual sales for ' WHEN delta_distance IS NOT NULL THEN 'Inventory anomaly for '
+              WHEN told IS NOT NULL THEN 'price anomaly for ' ELSE 'Anomaly detected for ' END || sku_id AS headline,
+         CASE WHEN coalesce(sold_distance, delta_distance) IS NOT NULL OR told IS NOT NULL THEN
+         '• ' || sku_id || ': ' || concat_ws('; ',
+            CASE WHEN sold_distance IS NOT NULL THEN 'sold ' || printf('%.1f', abs(sold_distance))
+                 || CASE WHEN sold_distance > 0 THEN ' above' ELSE ' below' END || ' normal range' END,
+            CASE WHEN delta_distance IS NOT NULL THEN 'delta_on_hand ' || printf('%.1f', abs(delta_distance))
+                 || CASE WHEN delta_distance > 0 THEN ' above' ELSE ' below' END || ' normal range' END, told) END AS line
+  FROM flagged
+),
+incident_group AS (
+  SELECT date, store_id, n AS sku_count, impact AS estimated_impact,
+         concat_ws(',', CASE WHEN by_forest THEN 'isolation_forest' END, CASE WHEN by_tukey THEN 'tukey' END) AS detectors,
+         least(20 * (by_forest::INT + by_tukey::INT) + least(n * 5, 20)
+               + CASE WHEN impact > 0 THEN least(log10(impact + 1) * 5, 30) ELSE 0 END + coalesce(closeness, 0) * 10, 100) AS severity_score,
+         CASE WHEN n = 1 THEN headline1 ELSE n || ' SKUs with anomalies in store ' || store_id END AS headline,
+         coalesce(nullif(concat_ws(chr(10), told, CASE WHEN n > 5 THEN '• ...and ' || (n - 5) || ' more SKUs' END), ''),
+                  'Multiple anomalies detected') AS description,
+         left(sha256(CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) || '_' || store_id || '_' || n || '_' || skus), 32) AS dedup_key
+  FROM (
+    SELECT date, store_id, count(*) AS n, sum(impact) AS impact, sum(closeness) / nullif(sum(flags), 0) AS closeness,
+           bool_or(by_tukey) AS by_tukey, bool_or(by_forest) AS by_forest,
+           max(CASE WHEN rank = 1 THEN headline END) AS headline1,
+           string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) AS told,
+           bit_xor(CAST('0x' || left(sha256(sku_id), 15) AS BIGINT)) AS skus
+    FROM lines GROUP BY ALL
+  )
+),
+run AS (
+  SELECT dedup_key, min(date) AS date, any_value(store_id) AS store_id,
+         arg_min(headline, date) AS headline, arg_min(description, date) AS description,
+         arg_max(severity_score, date) AS severity_score, arg_max(estimated_impact, date) AS estimated_impact,
+         arg_max(sku_count, date) AS sku_count, arg_max(detectors, date) AS detectors
+  FROM incident_group GROUP BY dedup_key
+),
+item AS (
+  SELECT r.dedup_key, count(DISTINCT f.sku_id) AS items, count(*) AS item_detections
+  FROM run r JOIN flagged f USING (date, store_id)
+  JOIN (SELECT date, store_id, sku_id FROM tukey UNION ALL SELECT date, store_id, sku_id FROM planted) d
+    ON d.date = f.date AND d.store_id = f.store_id AND d.sku_id = f.sku_id
+  GROUP BY ALL
+)"""
+)
+
+# A span that ran again on rows without two days of each month.
+RERUN = "BETWEEN DATE '1998-03-01' AND DATE '1998-06-30'"
+AGAIN = TUKEY.replace(
+    "FROM lineitem GROUP BY 1, 2, 3",
+    f"""FROM lineitem WHERE NOT (CAST(l_shipdate AS DATE) {RERUN} AND day(CAST(l_shipdate AS DATE)) IN (7, 8))
+    GROUP BY 1, 2, 3""",
+)
+
+
 def _cells(select: str, columns: list[str], order: str) -> str:
     """(ordinal, column_name, value, pos) of the text of some columns."""
     parts = [
@@ -425,6 +501,18 @@ def oracle_sql() -> dict[str, str]:
                headline, description, sku_count, round(estimated_impact, 4) AS estimated_impact,
                'tukey' AS detectors_triggered FROM run""",
     )
+    sql["incidents_both_detectors"] = _with(
+        BOTH,
+        f"""SELECT dedup_key AS incident_id, {day}, round(severity_score, 4) AS severity_score, headline, description, sku_count,
+               round(estimated_impact, 4) AS estimated_impact, detectors AS detectors_triggered, items, item_detections
+        FROM run JOIN item USING (dedup_key)""",
+    )
+    counts = """SELECT CAST({} AS BIGINT) AS version, strftime(date, '%Y-%m') AS month, metric_name, count(*) AS results,
+               count(DISTINCT date) AS dates, count(*) FILTER (is_outlier) AS flagged,
+               CAST(sum(sample_size) AS BIGINT) AS sample_size FROM {} GROUP BY ALL"""
+    old, new = (_with(c, "SELECT date, metric_name, is_outlier, sample_size FROM tukey") for c in (TUKEY, AGAIN))
+    after = f"(SELECT * FROM ({old}) WHERE NOT date {RERUN} UNION ALL SELECT * FROM ({new}) WHERE date {RERUN})"
+    sql["versioned_rerun"] = counts.format(1, f"({old})") + " UNION ALL " + counts.format(2, after)
     sql["incident_merge"] = _with(
         FLAGGED,
         """SELECT dedup_key AS incident_id, CAST(date AS VARCHAR) AS date,
@@ -456,6 +544,12 @@ def oracle_sql() -> dict[str, str]:
               AND date BETWEEN DATE '1996-01-01' AND DATE '2001-06-30'
               ORDER BY severity_score DESC, date DESC, dedup_key LIMIT 20 OFFSET 20)""",
     )
+    sql["incident_list_next"] = _with(
+        FLAGGED,
+        f"""SELECT dedup_key AS incident_id, {day}, round(severity_score, 4) AS severity_score
+        FROM (SELECT * FROM incident WHERE status = 'open' AND severity_score >= 40
+              ORDER BY severity_score DESC, date DESC, dedup_key LIMIT 20 OFFSET 20)""",
+    )
     sql["incident_total"] = _with(
         FLAGGED,
         """SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages
@@ -602,6 +696,29 @@ def oracle_sql() -> dict[str, str]:
         FROM (SELECT *, row_number() OVER (PARTITION BY date, store_id, sku_id ORDER BY round(abs(z), 9) DESC, i) AS rank FROM ({zs}))
         WHERE rank <= 3 AND round(abs(z), 9) > 1.5""",
     )
+    in_scope = """FROM features f LEFT JOIN cutoff s ON s.scope = 'store:' || f.store_id
+        LEFT JOIN (SELECT cutoff AS everybody FROM cutoff WHERE scope = 'global') ON true"""
+    label = """CASE WHEN f.date >= s.cutoff THEN 'store' WHEN f.date >= everybody THEN 'global' ELSE 'insufficient_data' END"""
+    sql["forest_model"] = _with(
+        SCOPES,
+        """SELECT scope, CAST(tree AS BIGINT) AS tree, CAST(least(training_rows, 256) AS BIGINT) AS sample_size, true AS whole
+        FROM cutoff c JOIN training t ON t.scope = c.scope AND t.date = c.cutoff, range(100) r(tree)""".replace("SELECT scope", "SELECT c.scope"),
+    )
+    sql["forest_results"] = _with(
+        BASELINE + SCOPES.removeprefix(FEATURES),
+        f"""SELECT CAST(f.date AS VARCHAR) AS date, f.store_id, f.sku_id, true AS score_fits, CAST(0.05 AS DOUBLE) AS threshold_used,
+               {label} AS fallback_used, CASE WHEN {label} = 'insufficient_data' THEN '' ELSE coalesce(told, '') END AS reasons
+        {in_scope} LEFT JOIN (
+          SELECT date, store_id, sku_id, string_agg(feature, ',' ORDER BY rank) AS told
+          FROM (SELECT *, row_number() OVER (PARTITION BY date, store_id, sku_id ORDER BY round(abs(z), 9) DESC, i) AS rank FROM ({zs}))
+          WHERE rank <= 3 AND round(abs(z), 9) > 1.5 GROUP BY ALL) r ON r.date = f.date AND r.store_id = f.store_id AND r.sku_id = f.sku_id""",
+    )
+    sql["forest_shares"] = _with(SCOPES, f"SELECT {label} AS label, count(*) AS rows, true AS share_fits {in_scope} GROUP BY ALL")
+    sql["flexible_forest"] = _with(
+        EVENTS,
+        """SELECT row_id, CAST(date AS VARCHAR) AS date, identifier_key, label, 'isolation_forest' AS detector_type,
+               true AS score_fits, true AS share_fits FROM event WHERE value IS NOT NULL AND k IS NOT NULL""",
+    )
     sql["flexible_tukey"] = _with(
         EVENTS,
         """SELECT row_id, CAST(date AS VARCHAR) AS date, identifier_key, label, metric_name, round(actual_value, 6) AS actual_value,
@@ -637,6 +754,33 @@ def oracle_sql() -> dict[str, str]:
                string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) AS description
         FROM flagged GROUP BY identifier_key""",
     )
+    sql["flexible_incidents_both"] = _with(
+        EVENTS
+        + """,
+        flag AS (
+          SELECT row_id, date, identifier_key, label, metric_order, metric_name, true AS by_tukey,
+                 '• ' || metric_name || ' value ' || printf('%.2f', actual_value) || ' is '
+                 || CASE WHEN actual_value < lower_fence THEN 'below' ELSE 'above' END || ' normal range ' AS line
+          FROM flex WHERE is_outlier
+          UNION ALL
+          SELECT row_id, date, identifier_key, label, NULL, NULL, false,
+                 CASE WHEN row_id % 40 = 0 THEN '• k is 3.0 standard deviations from mean' END
+          FROM event WHERE value IS NOT NULL AND k IS NOT NULL AND row_id % 40 < 2
+        ),
+        ordered_flag AS (
+          SELECT *, row_number() OVER (PARTITION BY identifier_key ORDER BY by_tukey DESC, metric_order NULLS LAST, date NULLS LAST, row_id) AS rank
+          FROM flag
+        )""",
+        """SELECT left(sha256('1_' || identifier_key || '_' || min(date)), 32) AS incident_id, CAST(min(date) AS VARCHAR) AS date,
+               any_value(label) AS store_id,
+               CAST(least(20 + 15 * count(DISTINCT by_tukey) + 5 * count(*), 100) AS DOUBLE) AS severity_score,
+               CASE WHEN count(metric_name) > 0 THEN 'Anomalies in ' || string_agg(DISTINCT metric_name, ', ' ORDER BY metric_name)
+                    ELSE 'Anomalies detected' END || ' for ' || any_value(label) AS headline,
+               concat_ws(',', CASE WHEN bool_or(NOT by_tukey) THEN 'isolation_forest' END, CASE WHEN bool_or(by_tukey) THEN 'tukey' END)
+                 AS detectors_triggered,
+               coalesce(string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5), 'Multiple anomalies detected') AS description
+        FROM ordered_flag GROUP BY identifier_key""",
+    )
     sql["csv_scan"] = _with(ORDERS, "SELECT row_index, order_date, priority, status, total FROM dirty")
     sql["rejected_changes"] = _with(
         FLAGGED,
@@ -681,7 +825,7 @@ def oracle_sql() -> dict[str, str]:
         ORDERS,
         """SELECT CAST(2 AS BIGINT) AS dataset_id, row_index AS row_id, CAST(date AS VARCHAR) AS date,
                '{' || concat_ws(',', '"customer":"' || customer || '"', '"priority":"' || priority || '"') || '}' AS identifiers,
-               '{"status":"' || status || '"}' AS attributes, identifier_key
+               '{"total":' || CAST(total AS VARCHAR) || '}' AS metrics, '{"status":"' || status || '"}' AS attributes, identifier_key
         FROM keyed WHERE NOT no_id AND NOT no_metric""",
     )
     sql["dataset_page"] = _with(
@@ -689,6 +833,11 @@ def oracle_sql() -> dict[str, str]:
         """SELECT row_index AS row_id, CAST(date AS VARCHAR) AS date, identifier_key FROM keyed
         WHERE NOT no_id AND NOT no_metric AND date <= DATE '1998-01-01' ORDER BY keyed.date DESC, row_index LIMIT 50 OFFSET 25""",
     )
+    sql["dataset_page_next"] = _with(
+        ORDERS,
+        """SELECT row_index AS row_id, CAST(date AS VARCHAR) AS date, identifier_key FROM keyed
+        WHERE NOT no_id AND NOT no_metric AND date <= DATE '1998-01-01' ORDER BY keyed.date DESC, row_index LIMIT 50 OFFSET 75""",
+    )
     sql["unique_identifiers"] = _with(
         EVENTS,
         """SELECT identifier_key, '{"event_type":"' || event_type || '","user_id":"' || user_id || '"}' AS identifiers,

@@ -41,3 +41,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path, by the library that Spark itself reads and writes with."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds; a path that is not there is no error."""
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a path."""
+    system, where = _file_system(spark, path)
+    if not system.exists(where):
+        return []
+    return sorted(s.getPath().toString() for s in system.listStatus(where) if s.isDirectory())
