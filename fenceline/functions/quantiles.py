@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from fenceline.sources.shared import materialize
 
+#: Distinct values that are ordered in one piece; values sampled to find splitters.
 SMALL_DOMAIN = 1_000_000
-BINS = 4096
+SAMPLE = 4096
 
 
 def interpolate(low: Column, high: Column, fraction: Column) -> Column:
@@ -90,64 +91,92 @@ def _blocks_hit(hist, keys, value, weight, probabilities, block) -> DataFrame:
     return blocked.join(chosen, [*keys, "__block"])
 
 
+def splitter_quantiles(
+    hist: DataFrame, keys: list[str], value: str, weight: str, probabilities, names, most: int = SMALL_DOMAIN, sample: int = SAMPLE
+) -> DataFrame:
+    """Quantiles per group of a stored (value, weight) histogram with one row per distinct value, however many.
+
+    Columns out: keys, ``n`` and one column per name. For every wanted rank there is a bracket of values that holds it.
+    While a bracket has more than ``most`` distinct values, about ``sample`` of them, picked by hash, give two splitters
+    around the place where the rank is expected; what lies below, between and above them is counted exactly, and
+    the part that holds the rank is the next bracket. Every other round takes the sample's middle value for both, so
+    that brackets shrink even where one value has most of the weight. Then only brackets are ordered, so no window ever has more than
+    ``most`` rows. Brackets are rows of a table; the driver only sees the size of the largest.
+    """
+    totals = hist.groupBy(*keys).agg(
+        F.sum(weight).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__d")
+    )
+    ranks = [
+        F.struct(F.lit(f"{side}{i}").alias("__which"), _rank(F.col("__n"), p, side).cast("bigint").alias("__rank"))
+        for i, p in enumerate(probabilities)
+        for side in ("low", "high")
+    ]
+    columns = [*keys, "__n", "__which", "__rank", "__w", "__lo", "__hi", "__d"]
+    open_ = totals.withColumn("__w", F.col("__n")).select("*", F.inline(F.array(*ranks))).select(*columns)
+    open_, seed = materialize(open_, "brackets"), 0
+    while (open_.agg(F.coalesce(F.max("__d"), F.lit(0))).first()[0]) > most:
+        seed += 1
+        narrow, wide = open_.filter(F.col("__d") <= most), open_.filter(F.col("__d") > most)
+        open_ = materialize(narrow.unionByName(_split(hist, wide, keys, value, weight, sample, seed).select(*columns)), "brackets")
+    running = Window.partitionBy(*keys, "__which").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    held = hist.join(open_, keys).filter(F.col(value).between(F.col("__lo"), F.col("__hi")))
+    upto = F.col("__upto")
+    last = held.withColumn("__upto", F.sum(weight).over(running)).filter(
+        (upto > F.col("__rank")) & (upto - F.col(weight) <= F.col("__rank"))
+    )
+    labels = [f"{side}{i}" for i in range(len(probabilities)) for side in ("low", "high")]
+    picked = last.groupBy(*keys).agg(
+        F.max("__n").alias("n"),
+        *[F.max(F.when(F.col("__which") == label, F.col(value))).cast("double").alias(f"__{label}") for label in labels],
+    )
+    found = _from_ranks(F.col("n"), probabilities, lambda i, side: F.col(f"__{side}{i}"))
+    return picked.select(*keys, "n", *[q.alias(name) for q, name in zip(found, names)])
+
+
+def _split(hist, wide, keys, value, weight, sample, seed) -> DataFrame:
+    """The parts of wide brackets that hold their ranks."""
+    group = [*keys, "__which"]
+    inside = hist.join(wide, keys).filter(F.col(value).between(F.col("__lo"), F.col("__hi")))
+    every = F.greatest(F.ceil(F.col("__d") / sample), F.lit(1))
+    picked = inside.filter(F.pmod(F.xxhash64(F.lit(seed), value), every) == 0)
+    ordered = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
+    # Where a value lies in the sample, as a share of its weight, against where the rank lies in the bracket.
+    place = F.sum(weight).over(ordered) / F.sum(weight).over(whole)
+    wanted, margin = F.col("__rank") / F.col("__w"), 3 / sample**0.5
+    if seed % 2:
+        placed = picked.withColumn("__place", place).withColumn("__wanted", wanted)
+        splitters = placed.groupBy(*group).agg(
+            F.max(F.when(F.col("__place") <= F.col("__wanted") - margin, F.col(value))).alias("__a"),
+            F.min(F.when(F.col("__place") >= F.col("__wanted") + margin, F.col(value))).alias("__b"),
+        )
+    else:
+        middle = F.sort_array(F.collect_list(value))  # about ``sample`` values
+        middle = F.get(middle, F.floor(F.size(middle) / 2).cast("int"))
+        splitters = picked.groupBy(*group).agg(middle.alias("__a")).withColumn("__b", F.col("__a"))
+    cut = wide.join(splitters, group, "left").withColumns(
+        {"__a": F.coalesce("__a", "__lo"), "__b": F.coalesce("__b", "__hi")}
+    )
+    v = F.col(value)
+    part = F.when(v < F.col("__a"), 0).when(v <= F.col("__b"), 1).otherwise(2)
+    within = hist.join(cut, keys).filter(v.between(F.col("__lo"), F.col("__hi"))).withColumn("__part", part)
+    counts = within.groupBy(*group, "__n", "__rank", "__part").agg(
+        F.sum(weight).alias("__w"), F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__d")
+    )
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__w").over(before), F.lit(0)))
+    rank = F.col("__rank") - F.col("__before")
+    return counts.filter((rank >= 0) & (rank < F.col("__w"))).withColumn("__rank", rank)
+
+
 def exact_quantiles(
     df: DataFrame, key: str, value: str, probabilities, names, small_domain: int = SMALL_DOMAIN
 ) -> DataFrame:
     """Exact quantiles of a double column for a few large groups (one per metric, say).
 
-    Equal values are counted before anything is ordered, so a value that fills a third of the table
-    is one row. The ranks are narrowed: each pass counts equal-width bins between the current bounds,
-    keeps the bin that holds the rank, and stops when ``small_domain`` or fewer distinct values are left.
-    The driver sees only the bounds.
+    Equal values are counted before anything is ordered, so a value that fills a third of the table is one row;
+    ``small_domain`` is the most distinct values that are ordered in one piece.
     """
     present = df.withColumn(value, F.nanvl(F.col(value).cast("double"), F.lit(None))).filter(F.col(value).isNotNull())
-    hist = present.groupBy(key, value).agg(F.count(F.lit(1)).alias("__w"))
-    return _narrowed(materialize(hist, "values"), key, value, probabilities, names, small_domain)
-
-
-def _narrowed(hist, key, value, probabilities, names, small_domain) -> DataFrame:
-    spark = hist.sparkSession
-    groups = hist.groupBy(key).agg(
-        F.sum("__w").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("d")
-    )
-    open_ranks, done = [], []
-    for g in groups.collect():  # one row per group: the caller's metrics
-        for p in probabilities:
-            below = int((g["n"] - 1) * p // 1)
-            for side, rank in (("low", below), ("high", min(below + 1, g["n"] - 1))):
-                open_ranks.append((g[key], f"{p}|{side}", rank, g["lo"], g["hi"], g["d"]))
-    totals = groups.select(key, "n")
-    schema = f"{key} {dict(hist.dtypes)[key]}, which string, rank bigint, lo double, hi double, d bigint"
-    while True:
-        done += [r for r in open_ranks if r[5] <= small_domain or r[3] == r[4]]
-        open_ranks = [r for r in open_ranks if r[5] > small_domain and r[3] != r[4]]
-        if not open_ranks:
-            break
-        bounds = F.broadcast(spark.createDataFrame(open_ranks, schema))
-        # Halved, so that the range of the widest doubles does not overflow; the ends always part.
-        share = (F.col(value) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-        inside = hist.join(bounds, key).filter(F.col(value).between(F.col("lo"), F.col("hi")))
-        bins = inside.groupBy(
-            key, "which", "rank", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")
-        ).agg(F.sum("__w").alias("w"), F.min(value).alias("blo"), F.max(value).alias("bhi"), F.count(F.lit(1)).alias("d"))
-        running = Window.partitionBy(key, "which").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        bins = bins.withColumn("upto", F.sum("w").over(running))
-        holds = (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("w") <= F.col("rank"))
-        open_ranks = [
-            (r[key], r["which"], r["rank"] - (r["upto"] - r["w"]), r["blo"], r["bhi"], r["d"])
-            for r in bins.filter(holds).collect()  # one row per open rank
-        ]
-    bounds = F.broadcast(spark.createDataFrame(done, schema))
-    running = Window.partitionBy(key, "which").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    last = (
-        hist.join(bounds, key)
-        .filter(F.col(value).between(F.col("lo"), F.col("hi")))
-        .withColumn("upto", F.sum("__w").over(running))
-        .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("__w") <= F.col("rank")))
-    )
-    labels = {(i, side): f"{p}|{side}" for i, p in enumerate(probabilities) for side in ("low", "high")}
-    picked = last.groupBy(key).agg(
-        *[F.max(F.when(F.col("which") == label, F.col(value))).alias(f"__{side}{i}") for (i, side), label in labels.items()]
-    ).join(totals, key)
-    found = _from_ranks(F.col("n"), probabilities, lambda i, side: F.col(f"__{side}{i}"))
-    return picked.select(key, "n", *[q.alias(name) for q, name in zip(found, names)])
+    hist = present.groupBy(key, value).agg(F.count(F.lit(1)).alias("__weight"))
+    return splitter_quantiles(materialize(hist, "values"), [key], value, "__weight", probabilities, names, small_domain)

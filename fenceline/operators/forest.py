@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fenceline.functions.quantiles import histogram_quantiles
+from fenceline.functions.quantiles import SMALL_DOMAIN, splitter_quantiles
 from fenceline.functions.text import fixed
 from fenceline.operators.features import REASON_FEATURES
 from fenceline.settings import DEFAULTS, DetectionSettings
@@ -36,7 +36,6 @@ ROWS_PER_GROUP = 500_000
 BROADCAST_SCOPES = 100_000
 # A scope's trees are grown in this many groups of at most 256 rows per tree.
 TREE_BUNDLES = 10
-SCORE_BLOCK = 1e-5
 TREES = (
     "scope string, tree int, sample_size int, feature array<int>, threshold array<double>, "
     "left array<int>, right array<int>, path array<double>"
@@ -232,13 +231,13 @@ def score_rows(
     return dealt.groupBy("scope", "part").cogroup(copies.groupBy("scope", "part")).applyInPandas(score, schema)
 
 
-def offsets(scored_training: DataFrame, contamination: float, block: float | None = SCORE_BLOCK) -> DataFrame:
+def offsets(scored_training: DataFrame, contamination: float, most: int = SMALL_DOMAIN) -> DataFrame:
     """Per scope, the score below which the contamination share of the training rows lies.
 
-    Without ``block`` the distinct scores of a scope are ordered in one piece.
+    Never more than ``most`` distinct scores are ordered in one piece, however large a scope is.
     """
-    hist = scored_training.groupBy("scope", "score").agg(F.count(F.lit(1)).alias("w"))
-    return histogram_quantiles(hist, ["scope"], "score", "w", (contamination,), ("offset",), block).drop("n")
+    hist = materialize(scored_training.groupBy("scope", "score").agg(F.count(F.lit(1)).alias("w")), "scores")
+    return splitter_quantiles(hist, ["scope"], "score", "w", (contamination,), ("offset",), most).drop("n")
 
 
 def _scored(rows: DataFrame, training: DataFrame, trees: DataFrame, inputs, scope_count, settings) -> DataFrame:
@@ -437,6 +436,13 @@ def forest_results(baseline: DataFrame, settings: DetectionSettings = DEFAULTS)
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows round-robin where a scan has fewer partitions than there are cores (a small or unsplittable input), so
+    that scoring, which is work for the processor, does not run in a few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def single_scope_scores(
     rows: DataFrame, inputs, row_count: int, settings: DetectionSettings = DEFAULTS
 ) -> DataFrame:
@@ -444,7 +450,7 @@ def single_scope_scores(
     scoped = rows.withColumn("scope", F.lit(GLOBAL_SCOPE))
     training = scoped.select("scope", "row_key", *inputs)
     trees = materialize(fit_forest(training, inputs, 1, settings), "forest-trees")
-    scored = materialize(score_rows(scoped, trees, inputs, 1), "forest-scores")
+    scored = materialize(score_rows(spread(scoped), trees, inputs, 1), "forest-scores")
     limit = offsets(scored, settings.contamination)
     return (
         scored.join(F.broadcast(limit), "scope")  # one row

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fenceline.functions.quantiles import array_quantile, exact_quantiles, histogram_quantiles
+from fenceline.functions.quantiles import array_quantile, exact_quantiles, histogram_quantiles, splitter_quantiles
 from fenceline.operators.tukey import with_fences
 
 PROBS, NAMES = (0.25, 0.5, 0.75), ("a", "b", "c")
@@ -82,3 +82,34 @@ def test_histogram_quantiles_in_blocks(spark, block):
     got = {r["g"]: r for r in histogram_quantiles(hist, ["g"], "v", "w", PROBS, NAMES, block).collect()}
     for g, vs in values.items():
         assert [got[g][c] for c in NAMES] == [float(np.percentile(vs, 100 * p)) for p in PROBS]
+
+
+def test_splitters_bound_every_window(spark, tmp_path, monkeypatch):
+    """Groups of very different size, heavy values and ties at the ranks; brackets shrink to 400 values at most."""
+    from fenceline.functions import quantiles
+
+    rng = np.random.default_rng(8)
+    values = {
+        "one": np.array([4]),
+        "same": np.full(500, -3),
+        "small": rng.integers(0, 20, 25),
+        "wide": rng.integers(-(2**40), 2**40, 6000),
+        "heavy": np.concatenate([rng.integers(0, 3000, 3000), np.full(4000, 77), np.full(3000, 2999)]),
+    }
+    df = spark.createDataFrame([(g, int(v)) for g, vs in values.items() for v in vs], "g string, v bigint")
+    df.groupBy("g", "v").agg(F.count("*").alias("w")).write.parquet(str(tmp_path / "hist"))
+    sizes, keep = [], quantiles.materialize
+
+    def watched(table, label):
+        out = keep(table, label)
+        sizes.append(out.agg(F.max("__d")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "materialize", watched)
+    hist = spark.read.parquet(str(tmp_path / "hist"))
+    probs = (0.0, 0.05, 0.25, 0.5, 0.99, 1.0)
+    got = {r["g"]: r for r in splitter_quantiles(hist, ["g"], "v", "w", probs, "abcdef", most=400, sample=150).collect()}
+    assert len(sizes) > 2 and sizes[-1] <= 400
+    for g, vs in values.items():
+        assert got[g]["n"] == len(vs)
+        assert [got[g][c] for c in "abcdef"] == pytest.approx([float(np.percentile(vs, 100 * p)) for p in probs], rel=1e-12)
