@@ -4,6 +4,7 @@ A long plan that several branches read is written once as parquet and read back.
 lineage, survives lost executors, and gives later branches column pruning and pushed filters.
 """
 
+import contextlib
 import functools
 import re
 import tempfile
@@ -30,9 +31,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback_dir(spark.sparkContext.applicationId)
 
 
+#: Folders handed out so far, by application.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/fenceline-{app}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/fenceline-{app}/{label}-{uuid.uuid4().hex[:12]}"
+    _HANDED_OUT.setdefault(app, []).append(path)
+    return path
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession):
+    """Intermediate tables of the block are removed at its end, but for those added to the list that it is given."""
+    handed_out = _HANDED_OUT.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(handed_out), []
+    try:
+        yield kept
+    finally:
+        for path in handed_out[before:]:
+            if path not in kept:
+                remove(spark, path)
+        handed_out[before:] = kept
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
