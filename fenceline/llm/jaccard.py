@@ -8,8 +8,10 @@ that the threshold allows to differ. Per fragment the overlap is counted separat
 
 A frequent n-gram's classes are not all paired: they are first compared with a few leaders, and only classes
 that are then in different components meet each other. A pair that is never compared is in one component
-already, so no component is lost. Pairs also have to fit: by size, and by what can follow their n-gram in the
-global order.
+already, so no component is lost. Pairs also have to fit: by size, by what can follow their n-gram in the
+global order, and, where all meet, by bitmaps of their sets: bits in which two maps differ, and n-grams that no other
+class has, are members of one set alone, and sets that link have few of those. Longer leads, keyed by several
+n-grams, were measured and do not tell such classes apart: texts around one passage share them all.
 
 A text without words (null, empty) has the empty set and is linked with nothing. A null id counts as larger
 than all others. Repeated rows are copies of each other. An empty table gives an empty result. Only
@@ -18,6 +20,7 @@ than all others. Repeated rows are copies of each other. An empty table gives an
 
 import hashlib
 import pickle
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ FRAGMENT, PASS = 12_000_000, 6_000_000
 #: The classes of an n-gram are compared with so many leaders, in so many rounds with others, before all
 #: that are still apart meet.
 LEADERS, ROUNDS = 8, 2
+#: 64-bit words of a set's bitmap.
+BITMAP = 8
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -135,23 +140,32 @@ def _shared(n: int):
     return run
 
 
-_CUT = "cls long, n long, alone long, first array<long>, fragments array<int>, grams array<array<long>>"
+_CUT = "cls long, n long, alone long, first array<long>, bits array<long>, fragments array<int>, grams array<array<long>>"
 _CUT_ARROW = pa.schema(
     [
         ("cls", pa.int64()),
         ("n", pa.int64()),
         ("alone", pa.int64()),
         ("first", pa.list_(pa.int64())),
+        ("bits", pa.list_(pa.int64())),
         ("fragments", pa.list_(pa.int32())),
         ("grams", pa.list_(pa.list_(pa.int64()))),
     ]
 )
 
 
+def _bitmap(grams: np.ndarray) -> np.ndarray:
+    """A bit for each n-gram; its place is the top bits of the mixed hash."""
+    place = (grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (64 * BITMAP - 1).bit_length())
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[place.astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _cut(key, parts, classes):
     """Classes that share enough, their n-grams in the global order (how many classes have it, as a power of
     two, then hash) and cut into its fragments; ``first``: those that may lead to a partner; ``alone``: how many
-    no other class has."""
+    no other class has; ``bits``: a bitmap of the shared ones."""
     found = [blocks.thaw(p.as_py()) for p in parts.column("part")]
     rows = []
     if found:
@@ -174,7 +188,7 @@ def _cut(key, parts, classes):
                 continue
             own, at = grams[a:b].view(np.int64), fragment[a:b]
             begins = np.flatnonzero(borders[a:b])
-            rows.append((cls, n, alone, own[:leading], at[begins].astype(np.int32), np.split(own, begins[1:])))
+            rows.append((cls, n, alone, own[:leading], _bitmap(grams[a:b]), at[begins].astype(np.int32), np.split(own, begins[1:])))
     columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in _CUT_ARROW]
     arrays = [pa.array(c, f.type) for c, f in zip(columns, _CUT_ARROW)]
     return pa.Table.from_arrays(arrays, schema=_CUT_ARROW)
@@ -219,12 +233,22 @@ def _labelled(post: DataFrame, labels: DataFrame | None) -> DataFrame:
     return found.join(apart.select("gram"), "gram")
 
 
-def _pairs(some: DataFrame, others: DataFrame) -> DataFrame:
-    columns = ("gram", "cls", "n", "p", "label")
-    a = some.select(*columns).toDF("gram", "a", "n_a", "p_a", "label_a")
-    b = others.select(*columns).toDF("gram", "b", "n_b", "p_b", "label_b")
-    met = a.join(b, (a["gram"] == b["gram"]) & (F.col("label_a") != F.col("label_b")) & _fits())
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pairs(some: DataFrame, others: DataFrame, mapped: bool = False) -> DataFrame:
+    columns = ["gram", "cls", "n", "p", "label"] + ["alone", "bits"] * mapped
+    a = some.select(*[F.col(c).alias(c if c == "gram" else f"{c}_a") for c in columns])
+    b = others.select(*[F.col(c).alias(c if c == "gram" else f"{c}_b") for c in columns])
+    fits = (F.col("label_a") != F.col("label_b")) & _fits()
+    if mapped:  # either order is the same pair
+        fits &= (F.col("cls_a") < F.col("cls_b")) & _may_link()
+    met = a.join(b, (a["gram"] == b["gram"]) & fits)
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+
+
+def _may_link() -> Column:
+    """Whether few enough n-grams are known to be in one of sets a and b alone: those that no other class has, and one at
+    least for each bit that differs. Sets of which 0.8 of the union is shared have a ninth of their sizes' sum at most."""
+    differ = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(BITMAP)]
+    return 9 * (F.col("alone_a") + F.col("alone_b") + reduce(Column.__add__, differ)) <= F.col("n_a") + F.col("n_b")
 
 
 def links(cut: DataFrame) -> DataFrame:
@@ -235,9 +259,11 @@ def links(cut: DataFrame) -> DataFrame:
         if round_ < ROUNDS:
             order = Window.partitionBy("gram").orderBy(F.xxhash64("cls", F.lit(round_)), "cls")
             heads = open_.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS)
+            pairs = _pairs(heads, open_)
         else:
-            heads = open_
-        new = materialize(verified(_pairs(heads, open_), cut), "links")
+            mapped = materialize(open_.join(cut.select("cls", "alone", "bits"), "cls"), "apart")
+            pairs = _pairs(mapped, mapped, mapped=True)
+        new = materialize(verified(pairs, cut), "links")
         found = new if found is None else found.unionByName(new)
         labels = components(found)
     return labels
@@ -273,20 +299,25 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group, columns unchanged: the one of smallest id, then of smallest text
-    digest. Rows that repeat an id belong to the groups of their own texts. Of a group's rows without an id one
-    stays as well, that of smallest digest. Texts without words are in no group: those with an id stay once for
-    each id, those without all stay."""
+    """One row of ``docs`` for each group, columns unchanged: the one of smallest id, then of smallest digest of text and
+    row; rows without an id come last, and leave if their group has one with an id. Rows that repeat an id belong
+    to the groups of their own texts. Texts without words are in no group: those with an id stay once for each id,
+    those without all stay. Columns may have any names and types."""
     found = _grouped(docs, digests=True)
-    first = F.min(F.struct("doc_id", "digest")).alias("one")
-    kept = found.where("n > 0").groupBy("label", F.col("doc_id").isNull()).agg(first).select("one.doc_id", "one.digest")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("one")
+    kept = found.where("n > 0").groupBy("label").agg(first).select("one.doc_id", "one.digest")
     empty = found.where("n = 0 AND doc_id IS NOT NULL").select("doc_id", "digest").groupBy("doc_id")
-    kept = kept.unionByName(empty.agg(F.min("digest").alias("digest"))).toDF("_id", "_digest").distinct()
+    kept = kept.unionByName(empty.agg(F.min("digest").alias("digest"))).distinct()
+    # The row travels as one value, so that no name of its columns can clash.
     text = F.coalesce("text", F.lit(""))
-    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.md5(text.cast("binary")) == F.col("_digest"))
-    one = docs.withColumn("_own", F.col("doc_id").cast("long")).join(kept, same, "left_semi")
-    # Rows of the same id and text are copies of each other.
-    row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row")
-    one = one.groupBy("_own", F.md5(text.cast("binary")).alias("_text")).agg(row).select("_row.*")
-    bare = docs.where(F.col("doc_id").isNull() & ~text.rlike(f"[^{common.SPACE}]"))
-    return one.unionByName(bare)
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("own"),
+        F.md5(text.cast("binary")).alias("digest"),
+        (F.col("doc_id").isNull() & ~text.rlike(f"[^{common.SPACE}]")).alias("bare"),
+    )
+    same = packed["own"].eqNullSafe(kept["doc_id"]) & (packed["digest"] == kept["digest"])
+    one = packed.where(~F.col("bare")).join(kept, same, "left_semi")
+    # Rows of the same id and text are copies of each other; which stays follows from the rest of the row.
+    one = one.groupBy("own", "digest").agg(F.min_by("row", F.to_json(F.struct("row"))).alias("row"))
+    return one.select("row").unionByName(packed.where("bare").select("row")).select("row.*")

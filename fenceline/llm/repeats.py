@@ -18,8 +18,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fenceline.llm import blocks, common
 from fenceline.sources.shared import materialize
@@ -337,27 +340,30 @@ def _kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def removed(docs: DataFrame, result, schema: str) -> DataFrame:
-    """``result(doc_id, text, runs)``, a tuple under ``schema``, for every row of ``docs``; ``runs`` are the
-    maximal runs of bytes that lie in a LENGTH-byte string which also starts in a smaller document."""
-    packed = blocks.pack(docs, BLOCK)
-    n = max(1, -(-common.text_bytes(docs) // FRAGMENT))
-    sent = packed.mapInArrow(blocks.per_row(_send_anchors(n), _TO_FRAGMENT), _TO_FRAGMENT)
+def removed(packed: DataFrame, size: int, result, schema: str | StructType) -> DataFrame:
+    """``result(block row, ids, texts, spans)``, a table under ``schema``, for every block of ``packed``, ``size`` bytes of
+    text in all; the spans of a text are the maximal runs of bytes that lie in a LENGTH-byte string which also starts in
+    a smaller document."""
+    n = max(1, -(-size // FRAGMENT))
+    texts_only = packed.select("block", "payload")
+    sent = texts_only.mapInArrow(blocks.per_row(_send_anchors(n), _TO_FRAGMENT), _TO_FRAGMENT)
     shared = materialize(sent.groupBy("fragment").applyInArrow(_shared_anchors, _TO_BLOCK), "anchors")
-    contexts = packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(n), _TO_FRAGMENT)
+    contexts = texts_only.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_contexts(n), _TO_FRAGMENT)
     found = contexts.groupBy("fragment").applyInArrow(_find_repeats, _TO_BLOCK)
 
     def cut(key, block, parts):
         if not block.num_rows:
-            return blocks.batch_of(schema, [[] for _ in schema.split(", ")])
+            return result(None, [], [], [])
         ids, texts = blocks.thaw(block.column("payload")[0].as_py())
-        spans = _spans(ids, texts, _parts(parts), n)
-        return blocks.batch_of(schema, [list(c) for c in zip(*map(result, ids, texts, spans))])
+        return result(block, ids, texts, _spans(ids, texts, _parts(parts), n))
 
     answers = shared.unionByName(found)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, schema)
 
 
+_REMOVALS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
 
@@ -365,24 +371,73 @@ def removals(docs: DataFrame) -> DataFrame:
         taken = sum(b - a for a, b in runs)
         return doc_id, len(text), taken, len(runs), hashlib.sha256(_kept(text, runs)).hexdigest()
 
-    return removed(docs, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def result(block, ids, texts, spans):
+        rows = [digest(*row) for row in zip(ids, texts, spans)]
+        return blocks.batch_of(_REMOVALS, [list(c) for c in zip(*rows)] if rows else [[] for _ in range(5)])
+
+    return removed(blocks.pack(docs, BLOCK), common.text_bytes(docs), result, _REMOVALS)
+
+
+def _pack_rows(docs: DataFrame) -> DataFrame:
+    """Blocks of texts together with the other columns of their rows, as they are."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    columns = [F.col("doc_id").cast("long").alias("key"), F.col("text").cast("binary").alias("bytes"), others.alias("rest")]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        ids, texts, rests, held = [], [], [], 0
+
+        def out():
+            rest, sink = pa.chunked_array(rests), pa.BufferOutputStream()
+            empty = pa.array([t is None for t in texts])
+            table = pa.table({"rest": rest, "none": empty})
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table)
+            payload = blocks.freeze((ids, [t or b"" for t in texts]))
+            arrays = [pa.array([block]), pa.array([payload], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["block", "payload", "rows"])
+
+        for batch in batches:
+            begin = 0
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                t = t.as_buffer().to_pybytes() if t.is_valid else None
+                if ids and held + len(t or b"") > BLOCK:
+                    if k > begin:
+                        rests.append(batch.column(2).slice(begin, k - begin))
+                    yield out()
+                    block, ids, texts, rests, held, begin = block + 1, [], [], [], 0, k
+                ids.append(i)
+                texts.append(t)
+                held += len(t or b"")
+            if batch.num_rows > begin:
+                rests.append(batch.column(2).slice(begin))
+        if ids:
+            yield out()
+
+    return materialize(docs.select(*columns).mapInArrow(run, "block long, payload binary, rows binary"), "blocks")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the remaining text, in which a character that lost part of its bytes is left
-    out, and ``n_chars`` to match if there is one. Other columns, and texts that lose nothing, stay as they are."""
-
-    def left(doc_id, text, runs):
-        return doc_id, hashlib.md5(text).hexdigest(), _kept(text, runs).decode(errors="ignore"), len(runs)
-
-    found = removed(docs, left, "doc_id long, digest string, text string, n_spans long").where("n_spans > 0")
-    # Rows that repeat id and text lose the same, so one of them stands for all.
-    found = found.dropDuplicates(["doc_id", "digest"])
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    key = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.md5(F.col("_row.text").cast("binary")) == F.col("digest"))
-    joined = row.join(found.select("doc_id", "digest", "text"), key, "left")
-    text = F.coalesce(F.col("text"), F.col("_row.text"))
-    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": text}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[v.alias(c) for c, v in columns.items()])
+    out, and ``n_chars`` to match if there is one. Other columns, and texts that lose nothing, stay as they are.
+
+    Blocks carry whole rows, so the last pass gives finished rows and nothing is joined afterwards."""
+    names, n_chars = docs.columns, dict(docs.dtypes).get("n_chars")
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "double": pa.float64(), "string": pa.string()}
+
+    def result(block, ids, texts, spans):
+        if block is None:
+            return to_arrow_schema(docs_schema).empty_table()
+        table = pa.ipc.open_stream(block.column("rows")[0].as_buffer()).read_all()
+        rest, none = table.column("rest").combine_chunks(), table.column("none").to_pylist()
+        kept = [None if gone else _kept(t, runs).decode(errors="ignore") for t, runs, gone in zip(texts, spans, none)]
+        columns = dict(zip([c for c in names if c != "text"], rest.flatten())) | {"text": pa.array(kept, pa.string())}
+        if n_chars in arrow:
+            sizes = pa.array([None if t is None else len(t) for t in kept], pa.int64())
+            columns["n_chars"] = sizes.cast(arrow[n_chars])
+        return pa.table([columns[c] for c in names], names)
+
+    docs_schema = docs.schema
+    return removed(_pack_rows(docs), common.text_bytes(docs), result, docs_schema)

@@ -24,4 +24,20 @@ def test_stages_take_effect(spark):
 
 def test_one_query_per_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
+
+
+def test_nothing_is_left_but_the_result(spark, tmp_path):
+    import os
+
+    from fenceline.sources import shared
+
+    docs = tmp_path / "documents.parquet"
+    spark.read.parquet(f"{SF}/documents.parquet").limit(60).write.parquet(str(docs))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = os.path.dirname(shared.new_path(spark, "x"))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("packing-")

@@ -73,3 +73,20 @@ def test_without_repeats_keeps_columns_and_valid_text(spark):
     assert out.columns == docs.columns
     got = sorted((r["doc_id"], r["text"] or "") for r in out.collect())
     assert got == [(1, passage + " one"), (2, "two x"), (2, "two x"), (3, "")]
+
+
+def test_without_repeats_keeps_columns_of_any_name_and_type(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 300)
+    schema = "block long, text string, doc_id int, rest map<string,array<int>>, key timestamp, rows struct<a:string,b:date>, n_chars int"
+    passage = "a passage that two documents have, of more than fifty bytes " * 2
+    rows = [(k, f"{passage} tail {k}" if k % 2 else None if k % 4 else f"own {k}", k, {"x": [k, None]}, None, ("s", None), 5) for k in range(20)]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    out = repeats.without_repeats(docs)
+    assert out.schema == docs.schema
+    got = {r["doc_id"]: r for r in out.collect()}
+    for r in rows:
+        text = r[1] if r[2] == 1 or not r[1] or "own" in r[1] else got[r[2]]["text"]
+        assert got[r[2]]["text"] == text and got[r[2]]["n_chars"] == (None if text is None else len(text))
+        assert tuple(got[r[2]])[3:6] == (r[3], None, ("s", None)) and got[r[2]]["block"] == r[0]
+    assert all(len(got[k]["text"]) < 10 for k in range(3, 20, 2))
+    assert repeats.without_repeats(docs.limit(0)).count() == 0
