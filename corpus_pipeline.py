@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from fenceline.llm import jaccard, mixing, packing, repeats, rules  # noqa: E402
-from fenceline.sources.shared import materialize  # noqa: E402
+from fenceline.sources.shared import new_path, passing, remove  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,8 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result is written and read again before the next. What a stage wrote besides its
+    result goes when that is written, and a result goes when the next one is; the last stays for the caller."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with passing(spark) as kept:
+            result = stage(spark, docs, sf_dir)
+            path = new_path(spark, name)
+            result.write.parquet(path)
+            kept.append(path)
+        if last:
+            remove(spark, last)
+        docs, last = spark.read.schema(result.schema).parquet(path), path
     return docs
