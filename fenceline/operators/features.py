@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fenceline.settings import DEFAULTS, DetectionSettings
 
+# The features that reasons name, and the rows a pair needs for a baseline of its own.
 REASON_FEATURES = ("sold", "delivered", "returned", "delta_on_hand", "price")
 MIN_PAIR_ROWS = 5
 

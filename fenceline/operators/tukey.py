@@ -1,4 +1,4 @@
-"""Outliers by interquartile fences over a rolling baseline, with fallback to coarser groups.
+"""Unusual values by interquartile fences over a rolling baseline, with fallback to coarser groups.
 
 A value is tested against the 28 days before it: the pair's own values if there are ten, else the
 store's, else the SKU's, else everybody's. ``delta_on_hand`` is tested only when the pair has a row
