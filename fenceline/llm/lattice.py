@@ -10,12 +10,16 @@ Documents are stored in blocks. Each block sends its distinct words with their t
 fragments; a fragment adds the counts up, scores each word once, and sends both back to the blocks that have
 it. Nothing larger than the fixed vocabulary reaches the driver.
 
+Words of any length are summed over whole; long ones walk their lattice in blocks of positions.
+
 A null or empty text is the end token alone. A null id counts as training. Repeated rows count each. An empty
 table gives an empty result. Only ``doc_id`` and ``text`` are read.
 """
 
 import functools
+import math
 import zlib
+from array import array
 from collections import defaultdict
 from itertools import count
 
@@ -34,6 +38,9 @@ STEPS = 3
 #: Added to the expected count of each piece.
 SMOOTHING = 0.5
 LONGEST_PIECE = 16
+#: Words of more bytes are walked one by one, so many positions at a time; memory stays a few dozen bytes a byte.
+LONG_WORD = 2000
+POSITIONS = 50_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,9 +97,9 @@ def _lattice(words: np.ndarray, vocab: Vocabulary):
 
 
 def _by_length(words: list[bytes]):
-    """Positions and byte matrix of words of equal length, in batches of bounded size."""
+    """Positions and byte matrix of words of equal length, in batches of bounded size; long words are left out."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    for length in np.unique(lengths):
+    for length in np.unique(lengths[lengths <= LONG_WORD]):
         where = np.flatnonzero(lengths == length)
         most = max(1, 1_500_000 // int((length + 1) * min(length + 1, LONGEST_PIECE)))
         for first in range(0, len(where), most):
@@ -110,12 +117,68 @@ def _forward(lattice: dict, logs: np.ndarray, n: int, length: int) -> list[np.nd
     return alpha
 
 
+def _long(words: list[bytes]):
+    """Position and bytes, behind one space, of each long word."""
+    for at, word in enumerate(words):
+        if len(word) > LONG_WORD:
+            yield at, np.frombuffer(b" " + word, np.uint8).astype(np.uint64)
+
+
+def _arcs(word: np.ndarray, vocab: Vocabulary, first: int):
+    """Start, size and piece of every arc of one word from the starts ``first`` to ``first + POSITIONS``, by start."""
+    last = min(first + POSITIONS, len(word))
+    hashes, found = np.zeros(last - first, dtype=np.uint64), []
+    for size in range(1, LONGEST_PIECE + 1):
+        starts = np.arange(first, min(last, len(word) - size + 1))
+        hashes = hashes[: len(starts)] * _BASE + word[starts + size - 1] + np.uint64(1)
+        at = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
+        hit = vocab.hashes[at] == hashes
+        found.append((starts[hit], np.full(int(hit.sum()), size), at[hit]))
+    start, size, piece = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(start, kind="stable")
+    return start[order], size[order], piece[order]
+
+
+def _add_logs(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > -math.inf else a
+
+
+def _long_forward(word: np.ndarray, logs: np.ndarray, vocab: Vocabulary) -> array:
+    """Log probability of every prefix of one word."""
+    alpha = array("d", [0.0]) + array("d", [-math.inf]) * len(word)
+    for first in range(0, len(word), POSITIONS):
+        start, size, piece = _arcs(word, vocab, first)
+        for i, j, weight in zip(start.tolist(), (start + size).tolist(), logs[piece].tolist()):
+            alpha[j] = _add_logs(alpha[j], alpha[i] + weight)
+    return alpha
+
+
+def _long_expected(word: np.ndarray, logs: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """Expected number of times one word uses each piece; suffixes are summed from the end, block by block."""
+    total = np.zeros(len(vocab.hashes) + 1)
+    forward = _long_forward(word, logs, vocab)
+    beta = array("d", [-math.inf]) * len(word) + array("d", [0.0])
+    for first in range((len(word) - 1) // POSITIONS * POSITIONS, -1, -POSITIONS):
+        start, size, piece = _arcs(word, vocab, first)
+        weights = logs[piece]
+        for i, j, weight in zip(start[::-1].tolist(), (start + size)[::-1].tolist(), weights[::-1].tolist()):
+            beta[i] = _add_logs(beta[i], weight + beta[j])
+        after = np.array(beta[first : first + POSITIONS + LONGEST_PIECE])[start + size - first]
+        used = np.exp(np.frombuffer(forward)[start] + weights + after - forward[-1])
+        total += np.bincount(piece, weights=used, minlength=len(total))
+    return total
+
+
 def marginals(words: list[bytes], logs: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """Natural log of the summed probability of all segmentations, per word."""
     out = np.zeros(len(words))
     logs = np.append(logs[: len(vocab.hashes)], -np.inf)
     for at, matrix in _by_length(words):
         out[at] = _forward(_lattice(matrix, vocab), logs, *matrix.shape)[-1]
+    for at, word in _long(words):
+        out[at] = _long_forward(word, logs, vocab)[-1]
     return out
 
 
@@ -135,6 +198,8 @@ def expected(words: list[bytes], counts: np.ndarray, logs: np.ndarray, vocab: Vo
                 beta[i] = np.logaddexp(beta[i], through)
                 used = weight * np.exp(alpha[i] + through - alpha[-1])
                 total += _count(piece, used, len(total))
+    for at, word in _long(words):
+        total += counts[at] * _long_expected(word, logs, vocab)
     total[-1] = 0
     return total
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -40,6 +41,31 @@ def test_marginals_and_expectations_match_enumeration():
     assert (lattice.marginals([b"the"], moved, vocab)[0] - got[0]) / 1e-6 == pytest.approx(total[k], abs=1e-4)
 
 
+def test_long_words_in_blocks_equal_the_whole_lattice(monkeypatch):
+    vocab = lattice.vocabulary("piece_bpe_32k.model")
+    words = [b"the", b"aGVsbG8gd29ybGQ" * 20, "日本語のテキスト".encode() * 9, bytes(range(128, 256))]
+    counts = np.array([1, 2, 3, 1])
+    whole = lattice.marginals(words, vocab.start, vocab), lattice.expected(words, counts, vocab.start, vocab)
+    monkeypatch.setattr(lattice, "LONG_WORD", 10)
+    for positions in (7, 16, 100_000):
+        monkeypatch.setattr(lattice, "POSITIONS", positions)
+        np.testing.assert_allclose(lattice.marginals(words, vocab.start, vocab), whole[0], rtol=1e-10)
+        np.testing.assert_allclose(lattice.expected(words, counts, vocab.start, vocab), whole[1], rtol=1e-7, atol=1e-12)
+
+
+def test_word_of_a_megabyte():
+    vocab = lattice.vocabulary("piece_bpe_32k.model")
+    word = np.random.default_rng(1).integers(97, 123, 1_000_000, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    total = lattice.expected([word[:200_000]], np.ones(1), vocab.start, vocab)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The expected pieces cover the word and its space; memory is that of one block of positions.
+    assert peak < 60_000_000
+    assert 200_001 / lattice.LONGEST_PIECE < total.sum() < 200_002
+    assert math.isfinite(lattice.marginals([word], vocab.start, vocab)[0])
+
+
 def test_base_counts_and_probabilities(spark):
     rows = awkward()
     out = lattice.document_scores(frame(spark, rows)).collect()
