@@ -13,6 +13,7 @@ DAY_FIRST = (
     "[d/M/yyyy][d-M-yyyy][d.M.yyyy][yyyy/M/d][yyyy.M.d]"
     "[MMMM d, yyyy][MMMM d yyyy][MMM d, yyyy][MMM d yyyy][d MMMM yyyy][d MMM yyyy][d-MMM-yyyy][MMM-d-yyyy]"
 )
+NUMERIC_DATE = r"^\d{1,2}([/.-])\d{1,2}\1\d{4}$"
 SHORT_YEAR = "[d/M/yy][d-M-yy][d.M.yy][d-MMM-yy][d MMM yy]"
 # Two-digit years from this one on belong to the century before.
 PIVOT = 69
@@ -46,18 +47,26 @@ def date_from_text(text: Column) -> Column:
     """ISO first, then day-first numeric forms, then month names; a time of day, a weekday's name and the
     ending of an ordinal are ignored.
 
-    One formatter with optional parts reads all forms but ISO; a month above 12 and a two-digit year need
-    another.
+    The shape is tested first: the common numeric form takes one formatter, and text without a digit none.
+    One formatter with optional parts reads all other forms but ISO; a month above 12 and a two-digit year
+    need another.
     """
     trimmed = F.trim(text)
+    slashes = F.translate(trimmed, ".-", "//")
+    numeric = F.coalesce(F.try_to_date(slashes, "d/M/yyyy"), F.try_to_date(slashes, "M/d/yyyy"))
     day = F.when(trimmed.contains(":"), F.regexp_replace(trimmed, TIME_OF_DAY, "")).otherwise(trimmed)
     day = F.regexp_replace(F.regexp_replace(day, WEEKDAY, ""), ORDINAL, "$1")
     iso = (F.substring(trimmed, 5, 1) == "-") & (F.length(trimmed) >= 8)
     short = F.try_to_date(day, SHORT_YEAR)
     short = F.when(F.year(short) % 100 >= PIVOT, F.add_months(short, -1200)).otherwise(short)
-    return F.when(iso, trimmed.try_cast("date")).when(
+    other = F.when(
         day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
     ).when(day.rlike(r"[A-Za-z/.-]+ ?\d{2}$"), short)
+    return (
+        F.when(iso, trimmed.try_cast("date"))
+        .when(trimmed.rlike(NUMERIC_DATE), numeric)
+        .when(trimmed.rlike(r"\d\d"), other)
+    )
 
 
 def parse_date(text: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenceline.functions.parsing import date_from_text, to_number
+from fenceline.sources.shared import materialize
 
 # Words that hint at a column's role (matched as substrings of the lower-case name),
 # accepted boolean texts, texts that count as blank, and the number of sample values.
@@ -22,6 +23,7 @@ METRIC_WORDS = [
 BOOLEAN_TEXTS = ["true", "false", "yes", "no", "y", "n", "1", "0", "t", "f", "on", "off"]
 BLANK_TEXTS = ["", "nan", "null", "none", "na"]
 SAMPLE_VALUES = 5
+STATISTICS = ["min_value", "max_value", "mean_value", "std_value"]
 
 WARNINGS = (
     ("date_column", "No date column detected. Time-series analysis will be limited."),
@@ -90,40 +92,24 @@ def value_counts(long: DataFrame) -> DataFrame:
 
 
 def column_counts(long: DataFrame, approximate: bool = False) -> DataFrame:
-    """Total, nulls, distinct values and the share of distinct values per column.
+    """``summary`` of the cells' distinct values, which cross the shuffle once.
 
-    ``approximate`` replaces the exact distinct count, which shuffles every distinct value once, by a
-    sketch of fixed size.
+    ``approximate`` replaces the exact distinct count by a sketch of fixed size; then only one small row per
+    column and task is shuffled.
     """
-    total, ratio = F.col("total_count"), F.try_divide("unique_count", "total_count")
     if approximate:
-        counts = long.groupBy(*COLUMN_KEY).agg(
-            F.count(F.lit(1)).alias("total_count"),
-            F.count_if(F.col("value").isNull()).alias("null_count"),
-            F.approx_count_distinct("value").alias("unique_count"),
-        )
-    else:
-        counts = (
-            value_counts(long)
-            .groupBy(*COLUMN_KEY)
-            .agg(
-                F.sum("rows").alias("total_count"),
-                F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("rows"))), F.lit(0)).alias("null_count"),
-                F.count("value").alias("unique_count"),
-            )
-        )
-    return counts.withColumn("cardinality_ratio", F.when(total > 0, ratio).otherwise(0.0))
+        return summary(long.withColumn("rows", F.lit(1)), F.approx_count_distinct("value"))
+    return summary(value_counts(long))
 
 
-def sample_values(long: DataFrame) -> DataFrame:
-    """The first five distinct values of each column, in order of appearance.
+def sample_values(values: DataFrame) -> DataFrame:
+    """The first five distinct values of each column, in order of appearance, from its ``value_counts``.
 
-    Reads the same value counts as ``column_counts``; the limit is applied in the map tasks.
+    The limit is applied in the map tasks.
     """
     rank = F.row_number().over(Window.partitionBy(*COLUMN_KEY).orderBy("first_seen", "value"))
     return (
-        value_counts(long)
-        .filter("value is not null")
+        values.filter("value is not null")
         .withColumn("rank", rank)
         .filter(F.col("rank") <= SAMPLE_VALUES)
         .groupBy(*COLUMN_KEY)
@@ -132,58 +118,89 @@ def sample_values(long: DataFrame) -> DataFrame:
     )
 
 
-def _text_evidence(long: DataFrame) -> DataFrame:
-    """What the non-null values of each text column look like, over all rows.
+EVIDENCE = ["named_dates", "unnamed_dates", "words", "integers", "numbers", "number_rows"]
+
 
-    Partial aggregation; only the test of booleans keeps values, and those are among its few words.
+def summary(values: DataFrame, unique: Column | None = None) -> DataFrame:
+    """Total, nulls, distinct values and their share per column, and what the values of a text column look like.
+
+    ``values`` holds each value with its number of rows, so each distinct value is parsed once. Partial
+    aggregation; only the test of booleans keeps values, and those are among its few words.
     """
-    texts = long.filter("storage = '' and value is not null")
-    word = F.lower(F.trim("value"))
-    bare = F.regexp_replace(F.trim("value"), "[, ]", "")
-    blank = bare.isin(*BLANK_TEXTS)
-    whole = to_number(bare)
-    money = to_number(F.regexp_replace(bare, "[£$€]", ""))
-    money_blank = F.regexp_replace(bare, "[£$€]", "").isin(*BLANK_TEXTS)
-    day = date_from_text(F.col("value"))
-    return texts.groupBy("ordinal").agg(
-        F.count_if(day.isNotNull()).alias("named_dates"),
-        F.count_if(F.year(day).between(1900, 2100)).alias("unnamed_dates"),
+    present = F.col("value").isNotNull()
+    text = F.when(present & (F.col("storage") == ""), F.col("value"))
+    bare = F.regexp_replace(F.trim("text"), "[, ]", "")
+    read = (
+        values.withColumn("text", text)
+        .withColumns({"bare": bare, "word": F.lower(F.trim("text")), "day": date_from_text(F.col("text"))})
+        .withColumn("plain", F.regexp_replace("bare", "[£$€]", ""))
+        .withColumns({"whole": to_number(F.col("bare")), "money": to_number(F.col("plain"))})
+    )
+    whole, money, word, rows = F.col("whole"), F.col("money"), F.col("word"), F.col("rows")
+    blank, money_blank = F.col("bare").isin(*BLANK_TEXTS), F.col("plain").isin(*BLANK_TEXTS)
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
+
+    counts = read.groupBy(*COLUMN_KEY).agg(
+        F.sum("rows").alias("total_count"),
+        rows_where(~present).alias("null_count"),
+        (F.count("value") if unique is None else unique).alias("unique_count"),
+        rows_where(F.col("day").isNotNull()).alias("named_dates"),
+        rows_where(F.year("day").between(1900, 2100)).alias("unnamed_dates"),
         F.when(F.bool_and(word.isin(*BOOLEAN_TEXTS)), F.collect_set(F.when(word.isin(*BOOLEAN_TEXTS), word))).alias("words"),
-        F.bool_and(blank | F.coalesce(whole == F.floor(whole), F.lit(False))).alias("integers"),
-        F.bool_and(money_blank | money.isNotNull()).alias("numbers"),
-        F.count_if(~money_blank & money.isNotNull()).alias("number_rows"),
-        F.count(F.lit(1)).alias("rows"),
+        F.bool_and(F.when(present, blank | F.coalesce(whole == F.floor(whole), F.lit(False)))).alias("integers"),
+        F.bool_and(F.when(present, money_blank | money.isNotNull())).alias("numbers"),
+        rows_where(~money_blank & money.isNotNull()).alias("number_rows"),
     )
+    total, ratio = F.col("total_count"), F.try_divide("unique_count", "total_count")
+    counts = counts.withColumn("cardinality_ratio", F.when(total > 0, ratio).otherwise(0.0))
+    return counts.select(*[c for c in counts.columns if c not in EVIDENCE], *EVIDENCE)
 
 
-def detect_types(long: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add ``detected_type``: the storage type, or for text the first test that passes."""
+def detect_types(counts: DataFrame) -> DataFrame:
+    """``detected_type`` in place of the evidence: the storage type, or for text the first test that passes."""
     named = _has_word(DATE_WORDS)
-    looks_dated = F.when(named, F.col("named_dates")).otherwise(F.col("unnamed_dates")) * 2 >= F.col("rows")
     filled = F.col("total_count") - F.col("null_count")
+    looks_dated = F.when(named, F.col("named_dates")).otherwise(F.col("unnamed_dates")) * 2 >= filled
     kind = (
         F.when(filled == 0, "unknown")
         .when(F.col("storage") != "", F.col("storage"))
         .when(looks_dated, "date")
         .when(F.size("words").between(1, 2), "boolean")
         .when(F.col("integers"), "integer")
-        .when(F.col("numbers") & (F.col("number_rows") >= F.col("rows") * 0.8), "float")
+        .when(F.col("numbers") & (F.col("number_rows") >= filled * 0.8), "float")
         .when(F.col("unique_count") / filled < 0.5, "categorical")
         .otherwise("text")
     )
-    evidence = _text_evidence(long)
-    return counts.join(evidence, "ordinal", "left").select(*counts.columns, kind.alias("detected_type"))
-
-
-def numeric_stats(long: DataFrame) -> DataFrame:
-    """Minimum, maximum, mean and sample deviation of the values that are plain numbers."""
-    number = to_number(F.trim("value"))
-    return long.groupBy("ordinal").agg(
-        F.min(number).alias("min_value"),
-        F.max(number).alias("max_value"),
-        F.avg(number).alias("mean_value"),
-        F.when(F.count(number) > 0, F.coalesce(F.stddev_samp(number), F.lit(0.0))).alias("std_value"),
-    )
+    return counts.withColumn("detected_type", kind).drop(*EVIDENCE)
+
+
+def numeric_stats(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Minimum, maximum, mean and sample deviation of the values that are plain finite numbers, by ordinal.
+
+    One aggregation over the columns as they are stored; no cell is turned into a row.
+    """
+    nothing, kinds = F.lit(None).cast("double"), dict(df.dtypes)
+
+    def stats(i: int, name: str) -> Column:
+        column, kind = F.col(f"`{name}`"), _storage(kinds[name])
+        if kind in ("integer", "float") and kinds[name] != "float":
+            number = column.cast("double")
+            number = F.when(F.abs(number) < float("inf"), number) if kinds[name] == "double" else number
+        elif kind in ("boolean", "datetime"):
+            number = None
+        else:
+            # A four-byte float is the number it is shown as.
+            number = to_number(F.trim(column.cast("string")))
+        values = (nothing,) * 4
+        if number is not None:
+            deviation = F.when(F.count(number) > 0, F.coalesce(F.stddev_samp(number), F.lit(0.0)))
+            values = (F.min(number), F.max(number), F.avg(number), deviation)
+        return F.struct(F.lit(i).alias("ordinal"), *[v.alias(c) for v, c in zip(values, STATISTICS)]).alias(f"c{i}")
+
+    names = [c for c in df.columns if c != order_by]
+    return df.agg(*[stats(i, n) for i, n in enumerate(names)]).select(F.inline(F.array(*[f"c{i}" for i in range(len(names))])))
 
 
 def suggest_roles(types: DataFrame) -> DataFrame:
@@ -191,6 +208,7 @@ def suggest_roles(types: DataFrame) -> DataFrame:
     kind, ratio, unique = F.col("detected_type"), F.col("cardinality_ratio"), F.col("unique_count")
     text = kind.isin("categorical", "text")
     numeric = kind.isin("integer", "float")
+    # Thresholds and confidences of the rules.
     rules = [
         (kind.isin("date", "datetime"), "date", 0.95),
         (_has_word(ID_WORDS) & kind.isin("categorical", "text", "integer"), "identifier", 0.8),
@@ -210,18 +228,21 @@ def suggest_roles(types: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, order_by: str | None = None, approximate: bool = False) -> DataFrame:
-    """One row per column with counts, samples, type, numeric statistics and suggested role."""
+    """One row per column with counts, samples, type, numeric statistics and suggested role.
+
+    Distinct values are counted once and stored for the counts, the types and the samples.
+    """
     long = cells(df, order_by)
-    roles = suggest_roles(detect_types(long, column_counts(long, approximate)))
+    values = materialize(value_counts(long), "values")
+    roles = suggest_roles(detect_types(column_counts(long, True) if approximate else summary(values)))
     numeric = F.col("detected_type").isin("integer", "float")
-    stats = ["min_value", "max_value", "mean_value", "std_value"]
     return (
-        roles.join(sample_values(long).select("ordinal", "sample_values"), "ordinal", "left")
-        .join(numeric_stats(long), "ordinal", "left")
+        roles.join(sample_values(values).select("ordinal", "sample_values"), "ordinal", "left")
+        .join(numeric_stats(df, order_by), "ordinal", "left")
         .select(
             *roles.columns,
             F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
-            *[F.when(numeric, F.col(c)).alias(c) for c in stats],
+            *[F.when(numeric, F.col(c)).alias(c) for c in STATISTICS],
         )
         .drop("storage")
     )

@@ -884,9 +884,9 @@ def _text_cells(spark, sf_dir):
 
 @query
 def profile_columns(spark, sf_dir):
-    long = _text_cells(spark, sf_dir)
-    counts = prof.column_counts(long)
-    samples = prof.sample_values(long).withColumn("sample_values", F.array_join("sample_values", "|"))
+    values = materialize(prof.value_counts(_text_cells(spark, sf_dir)), "values")
+    counts = prof.summary(values)
+    samples = prof.sample_values(values).withColumn("sample_values", F.array_join("sample_values", "|"))
     return flat(
         counts.join(samples.select("ordinal", "sample_values"), "ordinal")
         .select("ordinal", "column_name", "total_count", "null_count", "unique_count", "cardinality_ratio", "sample_values"),
@@ -899,19 +899,18 @@ def profile_numeric(spark, sf_dir):
     lines = fixtures.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
     )
-    return flat(prof.numeric_stats(prof.cells(lines, "l_orderkey")), 4)
+    return flat(prof.numeric_stats(lines, "l_orderkey"), 4)
 
 
 @query
 def detect_types(spark, sf_dir):
-    long = _text_cells(spark, sf_dir)
-    types = prof.detect_types(long, prof.column_counts(long))
+    types = prof.detect_types(prof.column_counts(_text_cells(spark, sf_dir)))
     return types.select("column_name", "detected_type")
 
 
 def _roles(spark, sf_dir, name, order):
-    long = prof.cells(fixtures.table(spark, sf_dir, name), order)
-    return prof.suggest_roles(prof.detect_types(long, prof.column_counts(long)))
+    counts = prof.column_counts(prof.cells(fixtures.table(spark, sf_dir, name), order))
+    return prof.suggest_roles(prof.detect_types(counts))
 
 
 @query

@@ -4,7 +4,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from fenceline.functions.parsing import parse_date, parse_number, parse_typed_date
+from fenceline.functions.parsing import date_from_text, parse_date, parse_number, parse_typed_date
 from fenceline.operators import ingest, profile as prof
 from fenceline.operators.ingest import DatasetSchema
 
@@ -191,3 +191,43 @@ def test_approximate_profile_is_close(spark):
     long = prof.cells(spark.range(5000).withColumn("v", F.col("id") % 700), "id")
     exact, rough = prof.column_counts(long).first(), prof.column_counts(long, approximate=True).first()
     assert exact["unique_count"] == 700 and abs(rough["unique_count"] - 700) < 70
+
+
+def test_profile_reads_its_source_once_per_pass(spark, tmp_path):
+    path = str(tmp_path / "profiled")
+    spark.range(400).selectExpr("id", "id % 7 as v", "cast(id % 3 as string) as t").write.parquet(path)
+    source = spark.read.parquet(path)
+
+    def scans(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation [")
+
+    assert scans(prof.detect_types(prof.column_counts(prof.cells(source, "id")))) == 1
+    numbers = prof.numeric_stats(source, "id")
+    assert scans(numbers) == 1 and "Generate explode" not in numbers._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numeric_stats_of_awkward_columns(spark):
+    from decimal import Decimal
+
+    rows = [
+        (float("nan"), 0.1, Decimal("1.25"), " 4 ", True, None),
+        (float("inf"), 0.5, Decimal("2.75"), "x", False, None),
+        (2.0, None, None, "1e1", None, None),
+    ]
+    df = spark.createDataFrame(rows, "a double, `b.c` float, d decimal(9,2), e string, f boolean, g int")
+    got = {r["ordinal"]: tuple(r)[1:] for r in prof.numeric_stats(df).collect()}
+    deviation = 2**0.5
+    assert got[0] == (2.0, 2.0, 2.0, 0.0)
+    assert got[1] == (0.1, 0.5, 0.3, pytest.approx(0.4 / deviation))
+    assert got[2] == (1.25, 2.75, 2.0, pytest.approx(1.5 / deviation))
+    assert got[3] == (4.0, 10.0, 7.0, pytest.approx(6 / deviation))
+    assert got[4] == got[5] == (None,) * 4
+    assert {tuple(r)[1:] for r in prof.numeric_stats(df.limit(0)).collect()} == {(None,) * 4}
+
+
+def test_dates_by_shape(spark):
+    texts = ["3/4/2021", "03-04-2021", "4.13.2021", "3/4-2021", "n/a", "5", "3/4/21", "1st May 2021", "Mon, 3/4/2021 10:30"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(date_from_text(F.col("t")).cast("string"))
+    april = "2021-04-03"
+    assert [r[0] for r in df.collect()] == [april, april, "2021-04-13", None, None, None, april, "2021-05-01", april]
