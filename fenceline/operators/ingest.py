@@ -2,11 +2,12 @@
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fenceline.functions.parsing import clean_identifier, parse_typed_date, parse_typed_number
 from fenceline.functions.text import short_hash
+from fenceline.sources.shared import materialize
 
 # The two row errors; a CSV data row is numbered from line 2.
 NO_IDENTIFIER = "All identifier columns are empty"
@@ -47,21 +48,21 @@ def require_columns(df: DataFrame, schema: DatasetSchema) -> None:
 def with_row_index(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Number rows 0, 1, 2, ... in read order without moving them.
 
-    Rows are counted per partition; the running offsets (one per partition) are joined back.
+    The rows are stored once with their partition and place in it, so the source is read once and partitions
+    need not come out the same twice; running offsets, one per partition, are joined to the stored rows.
     """
     # The id's upper part is the partition, its lower 33 bits the position inside.
-    placed = df.withColumn("__id", F.monotonically_increasing_id()).withColumn(
-        "__part", F.shiftright("__id", 33)
+    placed = materialize(df.withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("__part", F.shiftright("__id", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("__part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     )
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
-    offsets, start = [], 0
-    for part in sizes:
-        offsets.append((part["__part"], start))
-        start += part["n"]
-    small = df.sparkSession.createDataFrame(offsets, "__part bigint, __start bigint")
     position = F.col("__id").bitwiseAND((1 << 33) - 1)
-    return placed.join(F.broadcast(small), "__part").select(
-        (F.col("__start") + position).alias(name), *df.columns
+    return placed.join(F.broadcast(offsets), "__part").select(
+        (F.col("__start") + position).alias(name), *[F.col(f"`{c}`") for c in df.columns]
     )
 
 

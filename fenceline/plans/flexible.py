@@ -85,7 +85,9 @@ def upload(spark: SparkSession, registry: DataFrame, dataset_id: int, csv_path:
     schema = datasets.get_schema(registry, dataset_id)
     source = read_csv(spark, csv_path, infer_types=False)
     ingest.require_columns(source, schema)
-    cleaned = materialize(ingest.clean(ingest.with_row_index(source), schema), "cleaned")
+    # Stored with its row numbers; nothing reads the CSV again.
+    source = ingest.with_row_index(source)
+    cleaned = materialize(ingest.clean(source, schema), "cleaned")
     summary, errors = ingest.transform_summary(cleaned), ingest.row_errors(cleaned)
     packed = ingest.packed_rows(ingest.valid_rows(cleaned), schema)
     # Row ids go on behind those of earlier uploads.
@@ -94,7 +96,7 @@ def upload(spark: SparkSession, registry: DataFrame, dataset_id: int, csv_path:
         raise NoValidRows(f"No valid rows after transformation: {errors.orderBy("row", "error").take(20)}")
     datasets.append_rows(packed, rows_path)
     registry = datasets.add_stats(registry, packed)
-    registry = datasets.store_analysis(registry, dataset_id, profile(with_types(source)))
+    registry = datasets.store_analysis(registry, dataset_id, profile(with_types(source), order_by="row_index"))
     return Upload(registry, packed, summary, errors)
 
 

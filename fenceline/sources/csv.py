@@ -1,6 +1,6 @@
 """CSV files with a header, in UTF-8 or else Latin-1."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Whole cells that stand for a missing value.
@@ -56,6 +56,99 @@ def with_types(df: DataFrame) -> DataFrame:
     return df.select(*[typed(i, name) for i, name in enumerate(df.columns)])
 
 
+def _effect(line: Column) -> tuple[Column, Column]:
+    """What a line does to the state "inside a quoted cell" (0 or 1): the state behind it where that is certain,
+    else NULL, and otherwise how often it changes the state.
+
+    Doubled quotes stand for one inside a cell and for an empty cell outside; neither changes the state. Of the
+    others, one at the beginning of a cell opens it or, inside, closes it: a change. Any other closes or is
+    plain text, so outside is certain behind it.
+    """
+    opener = "\x01"
+    single = F.replace(F.translate(line, opener, ""), F.lit('""'), F.lit(""))
+    marked = F.regexp_replace(single, '(^|,)"', f"$1{opener}")
+    tail = F.substring_index(marked, '"', -1)
+    changes = F.length(tail) - F.length(F.replace(tail, F.lit(opener), F.lit("")))
+    certain = marked.contains('"')
+    return F.when(certain, changes % 2), F.when(certain, 0).otherwise(changes)
+
+
+def _run(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Along an order, add ``certain``: the state behind each row where some row so far makes it certain, and
+    ``parity``: whether the state at the beginning is changed by then, where none does."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    df = df.withColumn("parity", F.sum("changes").over(w) % 2)
+    anchor = F.last((F.col("state") + F.col("parity")) % 2, ignorenulls=True).over(w)
+    return df.withColumn("certain", (anchor + F.col("parity")) % 2)
+
+
+def records(lines: DataFrame) -> DataFrame:
+    """Lines (file, block, id, line) joined to records (file, block, id, text, leads), in order; the first record of
+    a file leads.
+
+    ``block`` is the place of a split in its file and ``id`` orders the lines of a split. A first pass reduces each
+    split to what it does to the state and where its last record begins, for either state at its own beginning:
+    one row. Running over the splits of a file that gives the state in which each begins. A cell that is never
+    closed takes in the rest of its file.
+    """
+    state, changes = _effect(F.col("line"))
+    split = ["file", "block"]
+    w = Window.partitionBy(*split).orderBy("id")
+    marked = _run(lines.withColumns({"state": state, "changes": changes}), split, "id")
+
+    def before(begin: Column) -> Column:
+        return F.coalesce(F.lag(F.coalesce("certain", (F.col("parity") + begin) % 2)).over(w), begin)
+
+    either = marked.withColumns({"open0": before(F.lit(0)), "open1": before(F.lit(1))})
+    splits = either.groupBy(*split).agg(
+        F.max_by(F.struct("certain", "parity"), "id").alias("last"),
+        F.max(F.when(F.col("open0") == 0, F.col("id"))).alias("start0"),
+        F.max(F.when(F.col("open1") == 0, F.col("id"))).alias("start1"),
+    )
+    splits = splits.select(
+        *split, "start0", "start1", F.col("last.certain").alias("state"),
+        F.when(F.col("last.certain").isNull(), F.col("last.parity")).otherwise(0).alias("changes"),
+    )
+    along = Window.partitionBy("file").orderBy("block")
+    splits = _run(splits, ["file"], "block").withColumn(
+        "begin", F.coalesce(F.lag(F.coalesce("certain", "parity")).over(along), F.lit(0))
+    )
+    start = F.when(F.col("begin") == 0, F.col("start0")).otherwise(F.col("start1"))
+    place = F.when(start.isNotNull(), F.struct(F.col("block").alias("block"), start.alias("id")))
+    carried = F.last(place, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("carried", carried).select(*split, "begin", "carried")
+
+    opened = marked.join(splits, split).withColumn("open", before(F.col("begin")))
+    own = F.last(F.when(F.col("open") == 0, F.struct(F.col("block").alias("block"), F.col("id").alias("id"))), ignorenulls=True).over(w)
+    leads = (F.col("block") == 0) & (F.row_number().over(w) == 1)
+    placed = opened.select(
+        "file", F.coalesce(own, "carried").alias("at"), F.struct("block", "id", "line").alias("part"), leads.alias("leads")
+    )
+    # Grouped where they are in order: the ranges are the groups' clustering as well.
+    placed = placed.select("file", "at.block", "at.id", "part", "leads").repartitionByRange("file", "block", "id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["line"]), "\n")
+    found = placed.groupBy("file", "block", "id").agg(text.alias("text"), F.bool_or("leads").alias("leads"))
+    return found.sortWithinPartitions("file", "block", "id")
+
+
+def _quoted_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """CSV whose quoted cells may go over lines, by as many tasks as the files have splits; rows in order."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+        F.decode(F.col("value").cast("binary"), encoding).alias("line"),
+    )
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    # The first record of the first file only.
+    names = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, **options).columns
+    found = records(lines).withColumn("text", F.regexp_replace("text", "\\r$", ""))
+    cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), options)
+    # Every file begins with its header.
+    body = found.filter("not leads and trim(text) <> ''")
+    return body.select(cells.alias("cells")).select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)])
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -66,17 +159,23 @@ def read_csv(
 ) -> DataFrame:
     """Scan with header. Without ``infer_types`` all columns are text.
 
-    Cells equal to a word of ``missing`` (default MISSING) are NULL. ``multi_line`` allows line breaks inside
-    quotes, but then a file cannot be split over tasks; left out, the file itself decides, and switched off
-    for a file that has them it is an error. With ``multi_line`` and ``encoding`` given no extra pass runs.
+    Cells equal to a word of ``missing`` (default MISSING) are NULL. Where some line has an odd number of quotes,
+    lines are joined to records over many tasks. ``multi_line`` leaves line breaks inside quotes to Spark's own
+    reader, which takes each such file in one task and without an extra pass if ``encoding`` is given too;
+    switched off for a file that has them it is an error.
     """
     if multi_line is None or encoding is None or not multi_line:
         found, broken = _facts(spark, path)
         encoding = encoding or found
         if broken and multi_line is False:
             raise ValueError(f"{path} has line breaks inside quotes; read it with multi_line")
-        multi_line = broken
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, encoding=encoding, quote='"', escape='"')
+    else:
+        broken = False
+    if broken and not multi_line:
+        df = _quoted_lines(spark, path, encoding)
+    else:
+        whole = bool(multi_line)
+        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=whole, encoding=encoding, quote='"', escape='"')
     words = MISSING if missing is None else missing
     df = df.select(*[F.when(~F.col(f"`{c}`").isin(*words), F.col(f"`{c}`")).alias(c) for c in df.columns])
     return with_types(df) if infer_types else df
