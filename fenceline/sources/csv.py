@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fenceline.sources.shared import materialize
+
 # Whole cells that stand for a missing value.
 MISSING = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -83,8 +85,8 @@ def _run(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """Lines (file, block, id, line) joined to records (file, block, id, text, leads), in order; the first record of
-    a file leads.
+    """Lines (file, block, id, line) joined to records (file, block, id, text, leads); the first record of a
+    file leads.
 
     ``block`` is the place of a split in its file and ``id`` orders the lines of a split. A first pass reduces each
     split to what it does to the state and where its last record begins, for either state at its own beginning:
@@ -124,11 +126,9 @@ def records(lines: DataFrame) -> DataFrame:
     placed = opened.select(
         "file", F.coalesce(own, "carried").alias("at"), F.struct("block", "id", "line").alias("part"), leads.alias("leads")
     )
-    # Grouped where they are in order: the ranges are the groups' clustering as well.
-    placed = placed.select("file", "at.block", "at.id", "part", "leads").repartitionByRange("file", "block", "id")
+    placed = placed.select("file", "at.block", "at.id", "part", "leads")
     text = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["line"]), "\n")
-    found = placed.groupBy("file", "block", "id").agg(text.alias("text"), F.bool_or("leads").alias("leads"))
-    return found.sortWithinPartitions("file", "block", "id")
+    return placed.groupBy("file", "block", "id").agg(text.alias("text"), F.bool_or("leads").alias("leads"))
 
 
 def _quoted_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -144,9 +144,11 @@ def _quoted_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     names = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding, **options).columns
     found = records(lines).withColumn("text", F.regexp_replace("text", "\\r$", ""))
     cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), options)
-    # Every file begins with its header.
-    body = found.filter("not leads and trim(text) <> ''")
-    return body.select(cells.alias("cells")).select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)])
+    # Every file begins with its header. Records are stored once, since types and rows are read apart; a pass that does
+    # not need the order leaves the sort out.
+    body = found.filter("not leads and trim(text) <> ''").select("file", "block", "id", cells.alias("cells"))
+    stored = materialize(body, "records").orderBy("file", "block", "id")
+    return stored.select(*[F.col(f"cells.c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def read_csv(
