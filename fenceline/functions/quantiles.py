@@ -8,6 +8,8 @@ from fenceline.sources.shared import materialize
 #: Distinct values that are ordered in one piece; values sampled to find splitters.
 SMALL_DOMAIN = 1_000_000
 SAMPLE = 4096
+#: Blocks of values that one step of a descent tells apart.
+FAN_OUT = 256
 
 
 def interpolate(low: Column, high: Column, fraction: Column) -> Column:
@@ -169,6 +171,65 @@ def _split(hist, wide, keys, value, weight, sample, seed) -> DataFrame:
     return counts.filter((rank >= 0) & (rank < F.col("__w"))).withColumn("__rank", rank)
 
 
+def running_quantiles(
+    changes: DataFrame, wanted: DataFrame, keys: list[str], value: str, probabilities, names, fan_out: int = FAN_OUT
+) -> DataFrame:
+    """Quantiles of the whole numbers that are current at wanted places of an order, a rolling window for instance.
+
+    ``changes`` (keys, value, at, change) tells how many of a value come, or go where negative, at a place. ``wanted`` (keys, at, n)
+    names each place once, with the number of values current there; places where n is 0 are left out. Both are stored tables
+    or cheap to make from such, as they are read more than once.
+    Columns out: keys, ``at`` and one column per name.
+
+    No value is repeated for the places that see it. The range of values is cut into at most ``fan_out`` blocks (a power of two), the
+    changes of a block are summed per place, and their running sum is the block's size at every place. The running sum over blocks
+    tells which of them holds a wanted rank, and the next step cuts only those, down to single values. A window is as long as a
+    key has places, or ``fan_out`` rows. The driver sees the smallest and the largest value.
+    """
+    bits = fan_out.bit_length() - 1
+    low, high = changes.agg(F.min(value), F.max(value)).first()
+    top = 0
+    while low is not None and (high >> bits * top) - (low >> bits * top) >= fan_out:
+        top += 1
+    ranks = F.array(
+        *[
+            F.struct(F.lit(f"{side}{i}").alias("which"), _rank(F.col("n"), p, side).cast("bigint").alias("rank"))
+            for i, p in enumerate(probabilities)
+            for side in ("low", "high")
+        ]
+    )
+    place, within = [*keys, "at"], [*keys, "__parent"]
+    open_ = wanted.filter("n > 0").select(*place, "n", F.lit(0).cast("bigint").alias("__parent"), ranks.alias("__ranks"))
+    for step in range(top, -1, -1):
+        block = F.shiftright(F.col(value).cast("bigint"), bits * step)
+        parent = F.shiftright(block, bits) if step < top else F.lit(0).cast("bigint")
+        moved = changes.select(*place, parent.alias("__parent"), block.alias("__block"), "change")
+        moved = moved.join(open_.select(*within).distinct(), within, "left_semi")
+        moved = moved.groupBy(*within, "__block", "at").agg(F.sum("change").alias("change"))
+        marks = open_.join(moved.select(*within, "__block").distinct(), within).withColumn("change", F.lit(0).cast("bigint"))
+        upto_here = Window.partitionBy(*within, "__block").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+        sizes = (
+            moved.unionByName(marks, allowMissingColumns=True)
+            .withColumn("__size", F.sum("change").over(upto_here))
+            .filter("__ranks is not null and __size > 0")
+        )
+        over_blocks = Window.partitionBy(*place, "__parent").orderBy("__block").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = sizes.withColumn("__end", F.sum("__size").over(over_blocks)).withColumn("__start", F.expr("__end - __size"))
+        inside = F.expr(
+            "transform(filter(__ranks, r -> r.rank >= __start and r.rank < __end),"
+            " r -> struct(r.which as which, r.rank - __start as rank))"
+        )
+        hit = sizes.select(*place, "n", F.col("__block").alias("__parent"), inside.alias("__ranks")).filter("size(__ranks) > 0")
+        open_ = materialize(hit, "places") if step else hit
+    labels = [f"{side}{i}" for i in range(len(probabilities)) for side in ("low", "high")]
+    picked = open_.groupBy(*place).agg(
+        F.max("n").alias("n"),
+        *[F.max(F.when(F.array_contains("__ranks.which", label), F.col("__parent"))).cast("double").alias(f"__{label}") for label in labels],
+    )
+    found = _from_ranks(F.col("n"), probabilities, lambda i, side: F.col(f"__{side}{i}"))
+    return picked.select(*place, *[q.alias(name) for q, name in zip(found, names)])
+
+
 def exact_quantiles(
     df: DataFrame, key: str, value: str, probabilities, names, small_domain: int = SMALL_DOMAIN
 ) -> DataFrame:

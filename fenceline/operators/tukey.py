@@ -9,14 +9,14 @@ lie inside the (one day longer) window.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fenceline.functions.quantiles import array_quantile, histogram_quantiles
+from fenceline.functions.quantiles import FAN_OUT, array_quantile, running_quantiles
 from fenceline.functions.text import fixed
 from fenceline.settings import DEFAULTS, DETECTION_METRICS, DetectionSettings
 from fenceline.sources.shared import materialize
 
 QUARTILES = (0.25, 0.75)
-# Width of a value block: a 33-bit change then has at most 2^17 blocks of 2^16 values.
-BLOCK = 65_536
+# Blocks of values per step of the search for a coarse quartile: a 33-bit change takes five steps, small numbers one or two.
+BLOCK = FAN_OUT
 FALLBACK_LABELS = {1: "store", 2: "sku", 3: "global"}
 
 
@@ -109,13 +109,9 @@ TARGET = ["date", "store_id", "sku_id", "day_number", "metric_name", "value"]
 def _short_targets(short: DataFrame, observed: DataFrame, settings: DetectionSettings) -> DataFrame:
     """Level from counts first, then quartiles only for the (level, key, day) that were chosen."""
     choice = materialize(_choose_level(short, observed, settings), "baseline-levels")
-    needed = choice.filter("level is not null").select(*LEVEL_KEYS, "day_number").distinct()
+    needed = choice.filter("level is not null").select(*LEVEL_KEYS, "day_number", "n").distinct()
     quartiles = _coarse_quartiles(observed, needed, settings)
-    return (
-        choice.join(quartiles, [*LEVEL_KEYS, "day_number"], "left")
-        .withColumn("n", F.coalesce("n", "global_n"))
-        .drop("global_n")
-    )
+    return choice.join(quartiles, [*LEVEL_KEYS, "day_number"], "left")
 
 
 def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSettings) -> DataFrame:
@@ -154,33 +150,35 @@ def _choose_level(short: DataFrame, observed: DataFrame, settings: DetectionSett
             *TARGET,
             F.col("chosen.level").alias("level"),
             F.col("chosen.level_key").alias("level_key"),
-            F.when(F.col("chosen").isNull(), F.col("global_n")).alias("global_n"),
+            F.coalesce("chosen.n", "global_n").alias("n"),
         )
     )
 
 
 def _coarse_quartiles(observed, needed, settings) -> DataFrame:
-    """Quartiles per needed (metric, level, key, day) from counted values."""
-    keys = LEVEL_KEYS
-    days = needed.select(
-        *keys,
-        F.col("day_number").alias("target_day"),
-        F.explode(
-            F.sequence(F.col("day_number") - settings.window_days, F.col("day_number") - 1)
-        ).alias("day_number"),
+    """Quartiles per needed (metric, level, key, day): values counted per day once, windows from running sums.
+
+    A needed day looks at no more than two spans of the calendar as long as the window, so only values of these spans are read. The
+    span in the join also deals out a key that has a large part of all rows.
+    """
+    keys, w = LEVEL_KEYS, settings.window_days
+    spans = needed.select(
+        *keys, F.explode(F.array(*[F.floor((F.col("day_number") - back) / w) for back in (w, 1)])).alias("span")
+    ).distinct()
+    values = _with_levels(observed.filter(F.col("reach") > F.col("day_number"))).select(
+        *keys, "day_number", "reach", "value", F.floor(F.col("day_number") / w).alias("span")
     )
-    values = _with_levels(observed).select(*keys, "day_number", "reach", "value")
-    values = values.join(days.select(*keys, "day_number").distinct(), [*keys, "day_number"], "left_semi")
-    # Count equal values of a day before repeating them for the target days they reach.
-    counted = values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("w"))
-    hist = (
-        counted.join(days, [*keys, "day_number"])
-        .filter(F.col("target_day") <= F.col("reach"))
-        .groupBy(*keys, "target_day", "value")
-        .agg(F.sum("w").alias("w"))
+    counted = (
+        values.join(spans, [*keys, "span"], "left_semi")
+        .groupBy(*keys, "day_number", "reach", "value")
+        .agg(F.count(F.lit(1)).alias("w"))
     )
-    found = histogram_quantiles(hist, [*keys, "target_day"], "value", "w", QUARTILES, ("q1", "q3"), BLOCK)
-    return found.withColumnRenamed("target_day", "day_number")
+    come = F.struct((F.col("day_number") + 1).alias("at"), F.col("w").alias("change"))
+    go = F.struct((F.col("reach") + 1).alias("at"), (-F.col("w")).alias("change"))
+    changes = materialize(counted.select(*keys, "value", F.inline(F.array(come, go))), "value-changes")
+    wanted = needed.withColumnRenamed("day_number", "at")
+    found = running_quantiles(changes, wanted, keys, "value", QUARTILES, ("q1", "q3"), BLOCK)
+    return found.withColumnRenamed("at", "day_number")
 
 
 def tukey_results(

@@ -1,8 +1,16 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fenceline.functions.quantiles import array_quantile, exact_quantiles, histogram_quantiles, splitter_quantiles
+from fenceline.functions.quantiles import (
+    array_quantile,
+    exact_quantiles,
+    histogram_quantiles,
+    running_quantiles,
+    splitter_quantiles,
+)
 from fenceline.operators.tukey import with_fences
 
 PROBS, NAMES = (0.25, 0.5, 0.75), ("a", "b", "c")
@@ -113,3 +121,31 @@ def test_splitters_bound_every_window(spark, tmp_path, monkeypatch):
     for g, vs in values.items():
         assert got[g]["n"] == len(vs)
         assert [got[g][c] for c in "abcdef"] == pytest.approx([float(np.percentile(vs, 100 * p)) for p in probs], rel=1e-12)
+
+
+@pytest.mark.parametrize("fan_out", [64, 1 << 17])
+def test_running_quantiles_follow_the_window(spark, fan_out):
+    rng = random.Random(fan_out)
+    rows = [
+        (key, rng.choice([0, -7, rng.randint(-40_000, 40_000), rng.randint(0, 9)]), start, start + rng.randint(1, 6))
+        for key, n in [("hot", 400), ("few", 9), ("one", 1), ("far", 3)]
+        for start in (rng.randint(0, 20) for _ in range(n))
+    ]
+    rows += [("far", 3_000_000_000, 2, 5), ("far", -3_000_000_000, 2, 6)]
+    changes = [(k, v, a, 1) for k, v, a, _ in rows] + [(k, v, b, -1) for k, v, _, b in rows]
+    current = {(k, at): [v for k2, v, a, b in rows if k2 == k and a <= at < b] for k in ("hot", "few", "one", "far") for at in range(0, 28, 2)}
+    changes = spark.createDataFrame(changes, "g string, v bigint, at int, change bigint")
+    wanted = spark.createDataFrame([(k, at, len(vs)) for (k, at), vs in current.items()], "g string, at int, n bigint")
+    got = {
+        (r["g"], r["at"]): [r[name] for name in NAMES]
+        for r in running_quantiles(changes, wanted, ["g"], "v", PROBS, NAMES, fan_out).collect()
+    }
+    assert set(got) == {place for place, vs in current.items() if vs}
+    for place, found in got.items():
+        assert np.allclose(found, np.quantile(current[place], PROBS), rtol=1e-12), place
+
+
+def test_running_quantiles_of_nothing(spark):
+    changes = spark.createDataFrame([], "g string, v bigint, at int, change bigint")
+    wanted = spark.createDataFrame([("a", 1, 0)], "g string, at int, n bigint")
+    assert running_quantiles(changes, wanted, ["g"], "v", PROBS, NAMES).collect() == []
