@@ -21,7 +21,7 @@ from fenceline.operators import reports as rep
 from fenceline.operators import tukey
 from fenceline.operators import workflow as work
 from fenceline.operators.detections import forest_detections, tukey_detections
-from fenceline.plans import fixtures
+from fenceline.plans import fixtures, history
 from fenceline.plans.daily import run_range, store_run
 from fenceline.plans.flexible import analyze_csv
 from fenceline.settings import DEFAULTS
@@ -314,6 +314,18 @@ def incident_merge(spark, sf_dir):
     return flat(merged.select("incident_id", "date", "status", "severity_score", "sku_count", "change"), 4)
 
 
+@query
+def incident_history(spark, sf_dir):
+    """The same rerun against a table in buckets, which is not shuffled."""
+    earlier = stored(spark, sf_dir, "incidents").filter(F.col("date") < F.lit(HALF_WAY)).withColumn(
+        "severity_score", F.lit(1.0)
+    )
+    old, new = new_path(spark, "history"), new_path(spark, "history")
+    history.store_incidents(earlier, old)
+    merged = history.merge_run(spark, old, stored(spark, sf_dir, "run"), as_of(), new)
+    return flat(merged.select("incident_id", "date", "status", "severity_score", "sku_count"), 4)
+
+
 @query
 def incident_items(spark, sf_dir):
     items = inc.incident_items(

@@ -521,6 +521,9 @@ def oracle_sql() -> dict[str, str]:
                sku_count, CASE WHEN NOT old THEN 'created' WHEN status = 'resolved' THEN 'unchanged' ELSE 'updated' END AS change
         FROM (SELECT *, date < DATE '1998-06-30' AS old FROM incident)""",
     )
+    sql["incident_history"] = (
+        f"SELECT incident_id, date, status, severity_score, sku_count FROM ({sql['incident_merge']})"
+    )
     sql["incident_items"] = _with(
         FLAGGED,
         "SELECT incident_id, sku_id, round(contribution_score, 6) AS contribution_score, detection_result_ids FROM items",
