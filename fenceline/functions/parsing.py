@@ -22,6 +22,13 @@ ORDINAL = r"(?i)\b(\d{1,2})(st|nd|rd|th)\b"
 COMPACT = r"^(19|20)\d{6}$"
 MONTH_FIRST = "[M/d/yyyy][M-d-yyyy][M.d.yyyy]"
 HAS_YEAR = r"\d{4}"
+# All forms below have two separators with something between them, and no letters but whole names of months.
+SEPARATED = r"[/. -][^/. -]+[/. -]"
+FOREIGN_WORD = (
+    r"(?i)(?<![a-z])(?!(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?"
+    r"|oct(ober)?|nov(ember)?|dec(ember)?)(?![a-z]))[a-z]"
+)
+BEYOND_ASCII = r"[^\x00-\x7F]"
 TIME_OF_DAY = r"[T ]+\d{1,2}:\d{2}.*$"
 
 
@@ -47,7 +54,8 @@ def date_from_text(text: Column) -> Column:
     """ISO first, then day-first numeric forms, then month names; a time of day, a weekday's name and the
     ending of an ordinal are ignored.
 
-    The shape is tested first: the common numeric form takes one formatter, and text without a digit none.
+    The shape is tested first: the common numeric form takes one formatter, and text without a digit, without two
+    separators or with other words than months none, as a formatter that fails costs far more than these tests.
     One formatter with optional parts reads all other forms but ISO; a month above 12 and a two-digit year
     need another.
     """
@@ -59,13 +67,14 @@ def date_from_text(text: Column) -> Column:
     iso = (F.substring(trimmed, 5, 1) == "-") & (F.length(trimmed) >= 8)
     short = F.try_to_date(day, SHORT_YEAR)
     short = F.when(F.year(short) % 100 >= PIVOT, F.add_months(short, -1200)).otherwise(short)
+    known = ~day.rlike(FOREIGN_WORD) | day.rlike(BEYOND_ASCII)
     other = F.when(
-        day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
-    ).when(day.rlike(r"[A-Za-z/.-]+ ?\d{2}$"), short)
+        known & day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
+    ).when(known & day.rlike(r"[A-Za-z/.-]+ ?\d{2}$"), short)
     return (
         F.when(iso, trimmed.try_cast("date"))
         .when(trimmed.rlike(NUMERIC_DATE), numeric)
-        .when(trimmed.rlike(r"\d\d"), other)
+        .when(trimmed.rlike(r"\d\d") & trimmed.rlike(SEPARATED), other)
     )
 
 

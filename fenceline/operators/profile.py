@@ -129,11 +129,11 @@ def summary(values: DataFrame, unique: Column | None = None) -> DataFrame:
     """
     present = F.col("value").isNotNull()
     text = F.when(present & (F.col("storage") == ""), F.col("value"))
-    bare = F.regexp_replace(F.trim("text"), "[, ]", "")
+    bare = F.translate(F.trim("text"), ", ", "")
     read = (
         values.withColumn("text", text)
         .withColumns({"bare": bare, "word": F.lower(F.trim("text")), "day": date_from_text(F.col("text"))})
-        .withColumn("plain", F.regexp_replace("bare", "[£$€]", ""))
+        .withColumn("plain", F.translate("bare", "£$€", ""))
         .withColumns({"whole": to_number(F.col("bare")), "money": to_number(F.col("plain"))})
     )
     whole, money, word, rows = F.col("whole"), F.col("money"), F.col("word"), F.col("rows")

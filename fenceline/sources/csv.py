@@ -58,27 +58,30 @@ def with_types(df: DataFrame) -> DataFrame:
     return df.select(*[typed(i, name) for i, name in enumerate(df.columns)])
 
 
-def _effect(line: Column) -> tuple[Column, Column]:
-    """What a line does to the state "inside a quoted cell" (0 or 1): the state behind it where that is certain,
-    else NULL, and otherwise how often it changes the state.
+def _effect(lines: DataFrame) -> DataFrame:
+    """What a line does to the state "inside a quoted cell" (0 or 1): ``state`` behind it where that is certain,
+    else NULL, and otherwise by ``changes`` how often it changes the state.
 
     Doubled quotes stand for one inside a cell and for an empty cell outside; neither changes the state. Of the
     others, one at the beginning of a cell opens it or, inside, closes it: a change. Any other closes or is
-    plain text, so outside is certain behind it.
+    plain text, so outside is certain behind it. Each step is a column of its own, so that it runs once a line.
     """
-    opener = "\x01"
-    single = F.replace(F.translate(line, opener, ""), F.lit('""'), F.lit(""))
-    marked = F.regexp_replace(single, '(^|,)"', f"$1{opener}")
-    tail = F.substring_index(marked, '"', -1)
-    changes = F.length(tail) - F.length(F.replace(tail, F.lit(opener), F.lit("")))
-    certain = marked.contains('"')
-    return F.when(certain, changes % 2), F.when(certain, 0).otherwise(changes)
+    opener, quoted = "\x01", F.col("line").contains('"')
+    single = F.replace(F.translate("line", opener, ""), F.lit('""'), F.lit(""))
+    marked = lines.withColumn("marked", F.when(quoted, F.regexp_replace(single, '(^|,)"', f"$1{opener}")))
+    tail = marked.withColumn("tail", F.substring_index("marked", '"', -1))
+    certain = F.col("marked").contains('"')
+    changes = F.length("tail") - F.length(F.translate("tail", opener, ""))
+    counted = tail.withColumns({"certain": certain, "changes": F.coalesce(changes, F.lit(0))})
+    return counted.withColumns(
+        {"state": F.when(F.col("certain"), F.col("changes") % 2), "changes": F.when(F.col("certain"), 0).otherwise(F.col("changes"))}
+    ).drop("marked", "tail", "certain")
 
 
 def _run(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Along an order, add ``certain``: the state behind each row where some row so far makes it certain, and
     ``parity``: whether the state at the beginning is changed by then, where none does."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("parity", F.sum("changes").over(w) % 2)
     anchor = F.last((F.col("state") + F.col("parity")) % 2, ignorenulls=True).over(w)
     return df.withColumn("certain", (anchor + F.col("parity")) % 2)
@@ -93,10 +96,9 @@ def records(lines: DataFrame) -> DataFrame:
     one row. Running over the splits of a file that gives the state in which each begins. A cell that is never
     closed takes in the rest of its file.
     """
-    state, changes = _effect(F.col("line"))
     split = ["file", "block"]
     w = Window.partitionBy(*split).orderBy("id")
-    marked = _run(lines.withColumns({"state": state, "changes": changes}), split, "id")
+    marked = _run(_effect(lines), split, "id")
 
     def before(begin: Column) -> Column:
         return F.coalesce(F.lag(F.coalesce("certain", (F.col("parity") + begin) % 2)).over(w), begin)
@@ -121,13 +123,14 @@ def records(lines: DataFrame) -> DataFrame:
     splits = splits.withColumn("carried", carried).select(*split, "begin", "carried")
 
     opened = marked.join(splits, split).withColumn("open", before(F.col("begin")))
-    own = F.last(F.when(F.col("open") == 0, F.struct(F.col("block").alias("block"), F.col("id").alias("id"))), ignorenulls=True).over(w)
+    own = F.last(F.when(F.col("open") == 0, F.struct(F.col("block").alias("block"), F.col("id").alias("id"))), ignorenulls=True)
+    own = own.over(w.rowsBetween(Window.unboundedPreceding, 0))
     leads = (F.col("block") == 0) & (F.row_number().over(w) == 1)
     placed = opened.select(
         "file", F.coalesce(own, "carried").alias("at"), F.struct("block", "id", "line").alias("part"), leads.alias("leads")
     )
     placed = placed.select("file", "at.block", "at.id", "part", "leads")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["line"]), "\n")
+    text = F.array_join(F.sort_array(F.collect_list("part"))["line"], "\n")
     return placed.groupBy("file", "block", "id").agg(text.alias("text"), F.bool_or("leads").alias("leads"))
 
 

@@ -89,3 +89,11 @@ def test_records_of_any_splits_equal_one_split(spark):
     assert of([]) == walk()
     assert of([3, 4, 50, 51, 90]) == walk()
     assert records(spark.createDataFrame([], "file string, block long, id long, line string")).count() == 0
+
+
+def test_a_line_is_searched_for_quotes_once(spark):
+    """Each of the two passes over the lines (state of splits, records) marks opening quotes once a line."""
+    lines = spark.createDataFrame([("f", 0, 0, 'a,"b'), ("f", 0, 1, 'c",d')], "file string, block long, id long, line string")
+    found = records(lines)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count('(^|,)"') <= 2
+    assert [r["text"] for r in found.collect()] == ['a,"b\nc",d']

@@ -235,3 +235,27 @@ def test_dates_by_shape(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(date_from_text(F.col("t")).cast("string"))
     april = "2021-04-03"
     assert [r[0] for r in df.collect()] == [april, april, "2021-04-13", None, None, None, april, "2021-05-01", april]
+
+
+def test_dates_are_not_lost_by_their_shape(spark, monkeypatch):
+    """The tests of the shape keep every text that a formatter reads, and others never come to one."""
+    from fenceline.functions import parsing
+
+    days, months = ["5", "05", "31", "1st"], ["5", "05", "May", "may", "Sep", "Sept", "SEPTEMBER", "December", "\u017fep", "mayor"]
+    years = ["2020", "20", "99", "12345"]
+    texts = [x for d in days for m in months for y in years for x in (
+        f"{d} {m} {y}", f"{d}-{m}-{y}", f"{d}/{m}/{y}", f"{d}.{m}.{y}", f"{m} {d}, {y}", f"{m} {d} {y}", f"{m}-{d}-{y}",
+        f"{y}/{m}/{d}", f"{y}.{m}.{d}", f"{y}-{m}-{d}", f"Mon, {d} {m} {y}", f" {d} {m} {y} 10:30 pm", f"{d}/{m}/{y}T10:00:00Z",
+    )]
+    texts += ["plain 123456", "two\nlines 25", "order 12 of 2020", "12 34 56", "1234 56 78", "a-b-12", "5 May", "20200505"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def read():
+        return [str(r[0]) for r in df.select(parsing.date_from_text(F.col("t"))).collect()]
+
+    guarded, plan = read(), df.select(parsing.date_from_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert parsing.SEPARATED in plan and parsing.FOREIGN_WORD[:20] in plan
+    monkeypatch.setattr(parsing, "SEPARATED", "")
+    monkeypatch.setattr(parsing, "FOREIGN_WORD", "(?!)")
+    assert guarded == read()
+    assert 300 < sum(d != "None" for d in guarded) < len(texts)
