@@ -65,16 +65,20 @@ def date_from_text(text: Column) -> Column:
     day = F.when(trimmed.contains(":"), F.regexp_replace(trimmed, TIME_OF_DAY, "")).otherwise(trimmed)
     day = F.regexp_replace(F.regexp_replace(day, WEEKDAY, ""), ORDINAL, "$1")
     iso = (F.substring(trimmed, 5, 1) == "-") & (F.length(trimmed) >= 8)
-    short = F.try_to_date(day, SHORT_YEAR)
-    short = F.when(F.year(short) % 100 >= PIVOT, F.add_months(short, -1200)).otherwise(short)
-    known = ~day.rlike(FOREIGN_WORD) | day.rlike(BEYOND_ASCII)
-    other = F.when(
-        known & day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
-    ).when(known & day.rlike(r"[A-Za-z/.-]+ ?\d{2}$"), short)
+
+    def other(day: Column) -> Column:
+        short = F.try_to_date(day, SHORT_YEAR)
+        short = F.when(F.year(short) % 100 >= PIVOT, F.add_months(short, -1200)).otherwise(short)
+        known = ~day.rlike(FOREIGN_WORD) | day.rlike(BEYOND_ASCII)
+        return F.when(
+            known & day.rlike(HAS_YEAR), F.coalesce(F.try_to_date(day, DAY_FIRST), F.try_to_date(day, MONTH_FIRST))
+        ).when(known & day.rlike(r"[A-Za-z/.-]+ ?\d{2}$"), short)
+
+    # By way of an array, the text without its trimmings is made once and not for each test of it.
     return (
         F.when(iso, trimmed.try_cast("date"))
         .when(trimmed.rlike(NUMERIC_DATE), numeric)
-        .when(trimmed.rlike(r"\d\d") & trimmed.rlike(SEPARATED), other)
+        .when(trimmed.rlike(r"\d\d") & trimmed.rlike(SEPARATED), F.get(F.transform(F.array(day), other), 0))
     )
 
 

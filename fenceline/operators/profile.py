@@ -125,7 +125,7 @@ def summary(values: DataFrame, unique: Column | None = None) -> DataFrame:
     """Total, nulls, distinct values and their share per column, and what the values of a text column look like.
 
     ``values`` holds each value with its number of rows, so each distinct value is parsed once. Partial
-    aggregation; only the test of booleans keeps values, and those are among its few words.
+    aggregation over numbers only; ``words`` is how many different boolean texts there are, if all values are such.
     """
     present = F.col("value").isNotNull()
     text = F.when(present & (F.col("storage") == ""), F.col("value"))
@@ -139,6 +139,10 @@ def summary(values: DataFrame, unique: Column | None = None) -> DataFrame:
     whole, money, word, rows = F.col("whole"), F.col("money"), F.col("word"), F.col("rows")
     blank, money_blank = F.col("bare").isin(*BLANK_TEXTS), F.col("plain").isin(*BLANK_TEXTS)
 
+    # One bit per boolean text: a number as the state of the aggregation, which a set of words would keep out of hash tables of numbers.
+    place = F.array_position(F.array(*[F.lit(w) for w in BOOLEAN_TEXTS]), word).cast("int")
+    word_bit = F.when(word.isin(*BOOLEAN_TEXTS), F.call_function("shiftleft", F.lit(1), place))
+
     def rows_where(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, rows)), F.lit(0))
 
@@ -148,7 +152,7 @@ def summary(values: DataFrame, unique: Column | None = None) -> DataFrame:
         (F.count("value") if unique is None else unique).alias("unique_count"),
         rows_where(F.col("day").isNotNull()).alias("named_dates"),
         rows_where(F.year("day").between(1900, 2100)).alias("unnamed_dates"),
-        F.when(F.bool_and(word.isin(*BOOLEAN_TEXTS)), F.collect_set(F.when(word.isin(*BOOLEAN_TEXTS), word))).alias("words"),
+        F.when(F.bool_and(word.isin(*BOOLEAN_TEXTS)), F.bit_count(F.bit_or(word_bit))).alias("words"),
         F.bool_and(F.when(present, blank | F.coalesce(whole == F.floor(whole), F.lit(False)))).alias("integers"),
         F.bool_and(F.when(present, money_blank | money.isNotNull())).alias("numbers"),
         rows_where(~money_blank & money.isNotNull()).alias("number_rows"),
@@ -167,7 +171,7 @@ def detect_types(counts: DataFrame) -> DataFrame:
         F.when(filled == 0, "unknown")
         .when(F.col("storage") != "", F.col("storage"))
         .when(looks_dated, "date")
-        .when(F.size("words").between(1, 2), "boolean")
+        .when(F.col("words").between(1, 2), "boolean")
         .when(F.col("integers"), "integer")
         .when(F.col("numbers") & (F.col("number_rows") >= filled * 0.8), "float")
         .when(F.col("unique_count") / filled < 0.5, "categorical")
