@@ -253,7 +253,7 @@ def test_dates_are_not_lost_by_their_shape(spark, monkeypatch):
     def read():
         return [str(r[0]) for r in df.select(parsing.date_from_text(F.col("t"))).collect()]
 
-    guarded, plan = read(), df.select(parsing.date_from_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    guarded, plan = read(), df.select(parsing.date_from_text(F.col("t")).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
     assert parsing.SEPARATED in plan and parsing.FOREIGN_WORD[:20] in plan and plan.count("st|nd|rd|th") == 1
     monkeypatch.setattr(parsing, "SEPARATED", "")
     monkeypatch.setattr(parsing, "FOREIGN_WORD", "(?!)")
